@@ -92,7 +92,7 @@ def _py_float(t: Column) -> Column:
     """Python ``float(text)``: surrounding whitespace allowed, nothing else; failure -> NULL."""
     s = ustrip(t)
     ok = s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.when(ok, F.try_cast(s, "double"))
+    return F.when(ok, s.try_cast("double"))
 
 
 def change_value(change_text: Column, change_class: Column) -> Column:
@@ -132,13 +132,13 @@ def absolute_link(base: str, href: Column) -> Column:
 def parse_date_text(c: Column) -> Column:
     """First token; ``d-M-yyyy`` (what strptime %d-%m-%Y accepts) or ISO ``yyyy-MM-dd``."""
     tok = first_token(c)
-    return F.coalesce(F.try_to_date(tok, F.lit("d-M-yyyy")), F.try_to_date(tok, F.lit("yyyy-MM-dd")))
+    return F.coalesce(F.try_to_date(tok, "d-M-yyyy"), F.try_to_date(tok, "yyyy-MM-dd"))
 
 
 def format_date_input(c: Column) -> Column:
     """Epoch seconds, ISO (``Z`` allowed) or ``dd-MM-yyyy`` text -> ``dd-MM-yyyy``; else ''."""
     s = c.cast("string")
-    as_num = F.when(s.rlike(r"^-?\d+(\.\d+)?$"), F.timestamp_seconds(F.try_cast(s, "double")))
+    as_num = F.when(s.rlike(r"^-?\d+(\.\d+)?$"), F.timestamp_seconds(s.try_cast("double")))
     iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.regexp_replace(s, "Z$", "+00:00")))
     parsed = F.coalesce(as_num, iso)
     keep = F.when(s.contains("-") & (F.length(s) == 10), s)
@@ -152,7 +152,7 @@ DATE_ERROR_RANGE = "Wrong date format (expected: DD-MM-YYYY - DD-MM-YYYY)"
 
 
 def _strict_dmy(c: Column) -> Column:
-    return F.try_to_date(c, F.lit("d-M-yyyy"))
+    return F.try_to_date(c, "d-M-yyyy")
 
 
 def date_request_error(d: Column) -> Column:

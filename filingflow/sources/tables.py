@@ -302,3 +302,19 @@ REGISTRY = {
 
 def registry_scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return REGISTRY[table](spark, sf_dir)
+
+
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed report pages: one per filing link, its attachments as ``<tr class="dane">`` rows."""
+    f = file_arrivals(spark, sf_dir).select("id", "report_id", "file_name")
+    row = F.concat(
+        F.lit('<tr class="dane"><td>'), F.col("id").cast("string"), F.lit('</td><td><a href="download/'),
+        F.col("id").cast("string"), F.lit('">'), F.col("file_name"), F.lit("</a></td></tr>"),
+    )
+    pages = f.groupBy("report_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("tr")))), lambda x: x["tr"]), "").alias("rows")
+    )
+    return pages.select(
+        F.concat(F.lit(LISTING_BASE + "komunikat?geru_id="), F.col("report_id").cast("string")).alias("link"),
+        F.concat(F.lit("<html><body><table>"), F.col("rows"), F.lit("</table></body></html>")).alias("html"),
+    )
