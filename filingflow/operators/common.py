@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingflow.session import scratch_dir
+from filingflow.session import checkpoint_root, scratch_dir
 
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
@@ -72,3 +72,24 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
 def lower_key(c: str | Column) -> Column:
     """Case-insensitive join key (the registry compares company names without case)."""
     return F.lower(F.col(c) if isinstance(c, str) else c)
+
+
+def dense_ids(df: DataFrame, order_cols: list[str], start: Column | int = 0, out: str = "id", partitions: int | None = None) -> DataFrame:
+    """Number rows ``start+1, start+2, ...`` in ``order_cols`` order without a global window.
+
+    The rows are range-partitioned on the order columns, each partition's row count is taken
+    (one small row per partition), offsets are prefix sums over those counts, and rows are
+    numbered inside their own partition. Used for AUTO_INCREMENT-style ids of appended rows.
+    """
+    n = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    checkpoint_root(df.sparkSession)
+    # The range bounds are sampled from the input; counting and numbering must see the *same*
+    # partitioning, so the partitioned rows are checkpointed (reliably, to the shared folder) once.
+    ranged = df.repartitionByRange(n, *order_cols).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
+    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    numbered = ranged.join(F.broadcast(offsets), "__pid")
+    w_in = Window.partitionBy("__pid").orderBy(*order_cols)
+    base = start if isinstance(start, Column) else F.lit(start)
+    return numbered.withColumn(out, (base + F.col("__off") + F.row_number().over(w_in)).cast("bigint")).drop("__pid", "__off")
