@@ -13,9 +13,13 @@ _WS = r"[\s\x1c-\x1f]"
 _WS_RUN = r"(?U)\s+"
 
 
+# Every character Python's str.strip() removes (str.isspace), derived by rule.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def ustrip(c: Column) -> Column:
-    """Python ``str.strip()``: Unicode whitespace removed at both ends."""
-    return F.regexp_replace(c, rf"(?U)^{_WS}+|{_WS}+$", "")
+    """Python ``str.strip()``: Unicode whitespace removed at both ends (native btrim)."""
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def first_token(c: Column) -> Column:

@@ -1 +1,240 @@
-"""Catalogue entries (filled in below)."""
+"""Catalogue entries: documents — S3, D1-D9, D11, W4, W5, J7."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from filingflow.operators import documents as D
+from filingflow.operators import registry as R
+from filingflow.plans.catalog import register
+from filingflow.sources import tables as T
+
+MODEL = "llama3.2:latest"
+WS_CLASS = D.UNICODE_WS_CLASS
+_HAS_TEXT = f"regexp_replace(text, '{WS_CLASS}', '', 'g') <> ''"
+
+
+@register(
+    "document_scan",
+    """SELECT page_id, url, trim(regexp_replace(
+  replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'),
+      '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+  '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ') AS text, 1 AS n_pages FROM pages""",
+)
+def q_document_scan(spark, sf):
+    return D.document_scan(T.read(spark, sf, "pages"))
+
+
+@register(
+    "chunk_documents",
+    f"SELECT doc_id, TRUE AS size_ok, md5(regexp_replace(text, '{WS_CLASS}', '', 'g')) AS md5_nows FROM documents",
+)
+def q_chunk_documents(spark, sf):
+    return D.chunk_invariants(T.read(spark, sf, "documents").select("doc_id", "text"), 2000)
+
+
+@register(
+    "chunk_documents_1000",
+    f"SELECT doc_id, TRUE AS size_ok, md5(regexp_replace(text, '{WS_CLASS}', '', 'g')) AS md5_nows FROM documents",
+)
+def q_chunk_documents_1000(spark, sf):
+    return D.chunk_invariants(T.read(spark, sf, "documents").select("doc_id", "text"), 1000)
+
+
+@register(
+    "size_tier",
+    """SELECT id, n_pages, CASE WHEN n_pages <= 2 THEN 1 WHEN n_pages >= 40 THEN 9 ELSE 5 END AS n_clusters,
+  CASE WHEN n_pages <= 2 THEN 50 WHEN n_pages >= 40 THEN 1200 ELSE 600 END AS token_budget FROM file_arrivals""",
+    ("file_arrivals",),
+)
+def q_size_tier(spark, sf):
+    f = T.file_arrivals(spark, sf)
+    k, b = D.size_tier(F.col("n_pages"))
+    return f.select("id", "n_pages", k.alias("n_clusters"), b.alias("token_budget"))
+
+
+def _file_chunks(spark, sf):
+    """Per arrival: its chunk array and size tier."""
+    f = T.file_arrivals(spark, sf).select("id", "company", "file_name", "n_pages", "text")
+    k, b = D.size_tier(F.col("n_pages"))
+    return f.select(
+        "id", "company", "file_name", "n_pages", k.alias("k"), b.alias("budget"),
+        D.chunk_column(F.col("text")).alias("chunks"),
+    )
+
+
+@register(
+    "empty_document",
+    f"""SELECT id, concat('❌ Brak tekstu do przetworzenia w: ', file_name) AS message FROM file_arrivals
+WHERE NOT ({_HAS_TEXT})""",
+    ("file_arrivals",),
+)
+def q_empty_document(spark, sf):
+    c = _file_chunks(spark, sf)
+    return c.where(F.size("chunks") == 0).select("id", D.empty_document_message(F.col("file_name")).alias("message"))
+
+
+@register("too_few_chunks")
+def q_too_few_chunks(spark, sf):
+    c = _file_chunks(spark, sf).withColumn("n_chunks", F.size("chunks"))
+    bad = c.where((F.col("n_chunks") > 0) & (F.col("n_chunks") < F.col("k")))
+    return bad.select("id", "file_name", D.too_few_chunks_message(F.col("n_chunks"), F.col("k")).alias("error"))
+
+
+def _doc_chunks(spark, sf):
+    return D.chunk_documents(T.read(spark, sf, "documents").select("doc_id", "text"))
+
+
+@register("embed_chunks", f"SELECT doc_id, TRUE AS all_unit FROM documents WHERE {_HAS_TEXT}")
+def q_embed_chunks(spark, sf):
+    e = D.embed_chunks(_doc_chunks(spark, sf))
+    n = D.l2_norm(F.col("vec"))
+    ok = (F.abs(n - 1.0) < 1e-9) | (n == 0.0)
+    return e.groupBy("doc_id").agg(F.bool_and(ok).alias("all_unit"))
+
+
+def _embedding_points(spark, sf):
+    e = T.read(spark, sf, "embeddings")
+    return e.select(
+        (F.col("vec_id") % 20).alias("grp"), F.col("vec_id").alias("pid"),
+        F.col("embedding").cast("array<double>").alias("vec"), "label",
+    )
+
+
+@register(
+    "cluster_chunks",
+    """SELECT vec_id % 20 AS grp, CAST(5 AS BIGINT) AS n_centroids, TRUE AS all_nearest FROM embeddings
+GROUP BY vec_id % 20 HAVING count(*) >= 5""",
+)
+def q_cluster_chunks(spark, sf):
+    pts = _embedding_points(spark, sf).drop("label")
+    k = pts.select("grp").distinct().withColumn("k", F.lit(5))
+    assigned, cents = D.kmeans_per_group(pts, k)
+    # independent check: the assigned distance is the minimum over all centroids of the group
+    best = D.distances_to_centroids(assigned.select("grp", "pid", "vec"), cents).groupBy("grp", "pid").agg(
+        F.min("dist").alias("best")
+    )
+    chk = assigned.join(best, ["grp", "pid"]).groupBy("grp").agg(F.bool_and(F.col("dist") <= F.col("best")).alias("all_nearest"))
+    n = cents.groupBy("grp").agg(F.count(F.lit(1)).alias("n_centroids"))
+    return n.join(chk, "grp")
+
+
+_LABEL_DIST = """e AS (SELECT vec_id, vec_id % 20 AS grp, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+x AS (SELECT e.grp, e.label, r.i, e.v[r.i] AS xi FROM e, range(1, 65) r(i)),
+c AS (SELECT grp, label, i, avg(xi) AS ci FROM x GROUP BY ALL),
+cv AS (SELECT grp, label, list(ci ORDER BY i) AS cvec FROM c GROUP BY ALL),
+d AS (SELECT e.grp, cv.label AS cluster, e.vec_id AS pid,
+  list_sum(list_transform(range(1, len(e.v) + 1), lambda i: (e.v[i] - cv.cvec[i]) * (e.v[i] - cv.cvec[i]))) AS dist
+  FROM e JOIN cv ON cv.grp = e.grp)"""
+
+_W5_SQL = f"""WITH {_LABEL_DIST}
+SELECT grp, CAST(cluster AS INTEGER) AS cluster, arg_min(pid, (dist, pid)) AS pid FROM d GROUP BY grp, cluster"""
+
+
+def _w5(spark, sf):
+    pts = _embedding_points(spark, sf)
+    return D.nearest_per_cluster(pts.drop("label"), D.label_centroids(pts))
+
+
+@register("nearest_chunk_per_cluster", _W5_SQL)
+def q_nearest_chunk_per_cluster(spark, sf):
+    return _w5(spark, sf)
+
+
+def _d7_sql(max_clusters: int = 10) -> str:
+    """The sequential unique pick, unrolled over the (at most 10) labels of a group."""
+    steps = ["s0 AS (SELECT DISTINCT grp, CAST([] AS BIGINT[]) AS pids, CAST([] AS INTEGER[]) AS cls FROM d)"]
+    for n in range(1, max_clusters + 1):
+        steps.append(
+            f"""s{n} AS (SELECT g.grp,
+  CASE WHEN p.pid IS NULL THEN g.pids ELSE list_append(g.pids, p.pid) END AS pids,
+  CASE WHEN p.pid IS NULL THEN g.cls ELSE list_append(g.cls, p.cluster) END AS cls
+  FROM s{n - 1} g LEFT JOIN LATERAL (
+    SELECT l.cluster, (SELECT arg_min(d.pid, (d.dist, d.pid)) FROM d
+      WHERE d.grp = g.grp AND d.cluster = l.cluster AND NOT list_contains(g.pids, d.pid)) AS pid
+    FROM lab l WHERE l.grp = g.grp AND l.step = {n}) p ON TRUE)"""
+        )
+    return f"""WITH {_LABEL_DIST},
+lab AS (SELECT grp, cluster, row_number() OVER (PARTITION BY grp ORDER BY cluster) AS step FROM (SELECT DISTINCT grp, cluster FROM d)),
+{','.join(steps)}
+SELECT grp, CAST(o - 1 AS INTEGER) AS "order", CAST(cls[o] AS INTEGER) AS cluster, pids[o] AS pid
+FROM s{max_clusters}, range(1, len(pids) + 1) r(o)"""
+
+
+@register("select_representatives", _d7_sql())
+def q_select_representatives(spark, sf):
+    pts = _embedding_points(spark, sf)
+    return D.select_representatives(pts.drop("label"), D.label_centroids(pts))
+
+
+@register(
+    "build_prompts",
+    f"""WITH w AS ({_W5_SQL}),
+g AS (SELECT grp, string_agg(concat('chunk ', CAST(pid AS VARCHAR)), chr(10) || chr(10) ORDER BY cluster) AS combined FROM w GROUP BY grp)
+SELECT grp, combined, concat('{D.PROMPT_TEMPLATE.split("{text}")[0].replace(chr(10), "' || chr(10) || '")}', combined,
+  '{D.PROMPT_TEMPLATE.split("{text}")[1]}') AS prompt,
+  CAST(length(concat('{D.PROMPT_TEMPLATE.split("{text}")[0].replace(chr(10), "' || chr(10) || '")}', combined,
+  '{D.PROMPT_TEMPLATE.split("{text}")[1]}')) AS INTEGER) AS prompt_length FROM g""",
+)
+def q_build_prompts(spark, sf):
+    reps = _w5(spark, sf).select("grp", F.col("cluster").alias("order"), F.concat(F.lit("chunk "), F.col("pid").cast("string")).alias("chunk"))
+    return D.build_prompts(reps)
+
+
+_SUMMARY_SQL = """concat('#### Model: llama3.2:latest | Liczba stron: ', CAST(n_pages AS VARCHAR), ' ####', chr(10),
+  array_to_string(list_slice(string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '), ' '), 1,
+    least(200, CASE WHEN n_pages <= 2 THEN 50 WHEN n_pages >= 40 THEN 1200 ELSE 600 END)), ' '))"""
+
+
+def _file_summaries(spark, sf):
+    f = T.file_arrivals(spark, sf).select("id", "company", "file_name", "n_pages", F.col("text").alias("combined"))
+    _, b = D.size_tier(F.col("n_pages"))
+    return D.summarise(f.withColumn("budget", b), MODEL)
+
+
+@register("summarise_batch", f"SELECT id, {_SUMMARY_SQL} AS summary FROM file_arrivals", ("file_arrivals",))
+def q_summarise_batch(spark, sf):
+    return _file_summaries(spark, sf).select("id", "summary")
+
+
+@register(
+    "attach_summaries",
+    f"""SELECT f.id, s.summary AS new_summary FROM downloaded_files f LEFT JOIN
+  (SELECT company, file_name, {_SUMMARY_SQL} AS summary FROM file_arrivals) s
+  ON lower(s.company) = lower(f.company) AND s.file_name = f.file_name""",
+    ("downloaded_files", "file_arrivals"),
+)
+def q_attach_summaries(spark, sf):
+    s = _file_summaries(spark, sf).select("company", "file_name", "summary")
+    return R.attach_summaries(T.downloaded_files(spark, sf), s).select("id", "new_summary")
+
+
+@register(
+    "write_back_summaries",
+    f"""SELECT f.id, CASE WHEN s.summary IS NOT NULL THEN TRUE ELSE f.is_summarized END AS is_summarized,
+  coalesce(s.summary, f.summary_text) AS summary_text
+FROM downloaded_files f LEFT JOIN (SELECT company, file_name, {_SUMMARY_SQL} AS summary FROM file_arrivals) s
+  ON lower(s.company) = lower(f.company) AND s.file_name = f.file_name""",
+    ("downloaded_files", "file_arrivals"),
+)
+def q_write_back_summaries(spark, sf):
+    s = _file_summaries(spark, sf).select("company", "file_name", "summary")
+    files = T.downloaded_files(spark, sf)
+    att = R.attach_summaries(files, s)
+    changes = att.where(F.col("new_summary").isNotNull()).select(
+        "id", F.col("new_summary").alias("summary_text"), F.col("id").alias("change_no")
+    )
+    return R.update_file_summary(files, changes).select("id", "is_summarized", "summary_text")
+
+
+@register(
+    "file_i_of_n",
+    """SELECT id, company, CAST(row_number() OVER (PARTITION BY company ORDER BY id) AS INTEGER) AS file_i,
+  CAST(count(*) OVER (PARTITION BY company) AS INTEGER) AS file_n FROM downloaded_files""",
+    ("downloaded_files",),
+)
+def q_file_i_of_n(spark, sf):
+    return D.file_i_of_n(T.downloaded_files(spark, sf).select("id", "company"))

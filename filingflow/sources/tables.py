@@ -20,7 +20,17 @@ DRIVER_TABLES = (
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Driver table scan. A scan that yields fewer splits than the cluster has cores (a tiny
+    single-row-group file) is spread round-robin so per-row parsing uses every core; at cluster
+    scale scans have far more splits than cores and this never triggers."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    if _SPREAD_SMALL_SCANS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
+
+
+_SPREAD_SMALL_SCANS = os.environ.get("FILINGFLOW_SPREAD_SMALL_SCANS", "1") == "1"
 
 
 def _lpad_num(c: Column, n: int = 9) -> Column:
@@ -165,18 +175,20 @@ def file_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_arrival_per_md5(arrivals: DataFrame) -> DataFrame:
-    """Inside a batch the first row (smallest id) of an md5 wins.
+    """Inside a batch the first row (smallest id) of an md5 wins; NULL md5 never registers.
 
-    A partially aggregated ``min_by`` instead of a window: a hot md5 (one file copied a million
-    times) is combined map-side, so no task ever holds all copies of one hash.
+    ``min(id)`` per md5 is partially aggregated map-side (a hot md5 copied a million times is
+    combined before the shuffle), then a semi join on the unique id keeps the winners. Only
+    ``(md5, id)`` crosses the aggregation shuffle, and the semi join lets Catalyst prune wide
+    columns (the document text) that the consumer does not read.
     """
-    cols = [c for c in arrivals.columns if c != "md5_hash"]
-    won = (
+    winners = (
         arrivals.where(F.col("md5_hash").isNotNull())
         .groupBy("md5_hash")
-        .agg(F.min_by(F.struct(*cols), F.col("id")).alias("w"))
+        .agg(F.min("id").alias("__wid"))
+        .select("__wid")
     )
-    return won.select(*[F.col("w")[c].alias(c) for c in cols], "md5_hash").select(*arrivals.columns)
+    return arrivals.join(winners, arrivals["id"] == winners["__wid"], "left_semi")
 
 
 def downloaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
