@@ -34,6 +34,7 @@ def load_all() -> None:
         q_jobs,
         q_listing,
         q_registry,
+        q_report,
         q_search,
         q_stats,
         q_streams,
