@@ -8,6 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def _at(arr, i):
+    """1-based array access that yields NULL past the end (ANSI-safe ``element_at``)."""
+    return F.try_element_at(arr, F.lit(i) if isinstance(i, int) else i)
+
+
 # Unicode-wide whitespace, as Python's str.strip()/split() and re's \s see it.
 _WS = r"[\s\x1c-\x1f]"
 _WS_RUN = r"(?U)\s+"
@@ -24,7 +30,7 @@ def ustrip(c: Column) -> Column:
 
 def first_token(c: Column) -> Column:
     """Python ``s.split()[0]`` (after strip)."""
-    return F.element_at(F.split(ustrip(c), _WS_RUN), 1)
+    return _at(F.split(ustrip(c), _WS_RUN), 1)
 
 
 # ----------------------------------------------------------------------------- N1 header split
@@ -40,7 +46,7 @@ def split_header(h: Column) -> Column:
     parts = F.split(h, r"\|")
     kept = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     stripped = F.transform(kept, ustrip)
-    date = F.element_at(stripped, 1)
+    date = _at(stripped, 1)
     date = F.when(date.contains(" "), first_token(date)).otherwise(date)
     fixed = F.concat(F.array(date), F.slice(stripped, 2, F.greatest(F.size(stripped) - 1, F.lit(0))))
     return (
@@ -162,7 +168,7 @@ def _strict_dmy(c: Column) -> Column:
 def date_request_error(d: Column) -> Column:
     """N10: '' is fine; ``a - b`` needs both parts, a single date needs one; else the error text."""
     parts = F.split(d, " - ")
-    rng_ok = _strict_dmy(ustrip(F.element_at(parts, 1))).isNotNull() & _strict_dmy(
+    rng_ok = _strict_dmy(ustrip(_at(parts, 1))).isNotNull() & _strict_dmy(
         ustrip(F.try_element_at(parts, F.lit(2)))
     ).isNotNull()
     return (
@@ -177,8 +183,8 @@ def range_from_to(d: Column) -> tuple[Column, Column]:
     parts = F.split(d, " - ")
     empty = F.coalesce(d, F.lit("")) == ""
     is_rng = d.contains(" - ")
-    dfrom = F.when(empty, F.lit("N/A")).when(is_rng, ustrip(F.element_at(parts, 1))).otherwise(d)
-    dto = F.when(empty, F.lit("N/A")).when(is_rng, ustrip(F.element_at(parts, 2))).otherwise(d)
+    dfrom = F.when(empty, F.lit("N/A")).when(is_rng, ustrip(_at(parts, 1))).otherwise(d)
+    dto = F.when(empty, F.lit("N/A")).when(is_rng, ustrip(_at(parts, 2))).otherwise(d)
     return dfrom, dto
 
 

@@ -23,6 +23,12 @@ from filingflow.functions import text as X
 from filingflow.operators.common import ordinal
 from filingflow.session import checkpoint_root
 
+
+def _at(arr, i):
+    """1-based array access that yields NULL past the end (ANSI-safe ``element_at``)."""
+    return F.try_element_at(arr, F.lit(i) if isinstance(i, int) else i)
+
+
 # ----------------------------------------------------------------------------- S3 HTML -> text
 
 _WS_ASCII = r"[ \t\n\r\f]+"
@@ -277,7 +283,7 @@ def select_representatives(points: DataFrame, centroids: DataFrame) -> DataFrame
     def step(acc, cl):
         taken = F.transform(acc, lambda a: a["pid"])
         free = F.filter(cl["c"], lambda x: ~F.array_contains(taken, x["pid"]))
-        pick = F.element_at(free, 1)["pid"]
+        pick = _at(free, 1)["pid"]
         return F.when(pick.isNull(), acc).otherwise(
             F.concat(acc, F.array(F.struct(cl["cluster"].cast("int").alias("cluster"), pick.cast("bigint").alias("pid"))))
         )

@@ -16,6 +16,12 @@ from filingflow.functions import text as X
 from filingflow.operators.common import ordinal
 from filingflow.operators.documents import extractive_summary
 
+
+def _at(arr, i):
+    """1-based array access that yields NULL past the end (ANSI-safe ``element_at``)."""
+    return F.try_element_at(arr, F.lit(i) if isinstance(i, int) else i)
+
+
 BLOCKS_PER_PART = 50
 OVERVIEW_WORDS = 300
 NO_DOCUMENTS = "*No documents to summarize*"
@@ -147,7 +153,7 @@ def pipe_table(rows: Column) -> Column:
     body = F.transform(
         idx,
         lambda i: F.concat(
-            F.lit("| "), F.concat_ws(" | ", *[pad(F.element_at(cells[c], i), c) for c in TABLE_COLUMNS]), F.lit(" |")
+            F.lit("| "), F.concat_ws(" | ", *[pad(_at(cells[c], i), c) for c in TABLE_COLUMNS]), F.lit(" |")
         ),
     )
     return F.array_join(F.concat(F.array(header, align), body), "\n")

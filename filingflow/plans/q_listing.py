@@ -10,6 +10,12 @@ from filingflow.plans.catalog import register
 from filingflow.sources import listing as L
 from filingflow.sources import tables as T
 
+
+def _at(arr, i):
+    """1-based array access that yields NULL past the end (ANSI-safe ``element_at``)."""
+    return F.try_element_at(arr, F.lit(i) if isinstance(i, int) else i)
+
+
 _PL_LABEL = """CASE report_type WHEN 'current' THEN 'Bieżący' WHEN 'quarterly' THEN 'Kwartalny'
   WHEN 'semi-annual' THEN 'Półroczny' WHEN 'interim' THEN 'Śródroczny' ELSE 'Roczny' END"""
 _PAGE = "CAST(floor(id / 100) AS BIGINT)"
@@ -61,12 +67,12 @@ def q_split_header(spark, sf):
 
 @register("report_type_enum", "SELECT id, report_type FROM reports", ("reports",))
 def q_report_type_enum(spark, sf):
-    return _raw(spark, sf).select("id", X.report_type_enum(F.element_at(_hdr(), 2)).alias("report_type"))
+    return _raw(spark, sf).select("id", X.report_type_enum(_at(_hdr(), 2)).alias("report_type"))
 
 
 @register("report_category_enum", "SELECT id, report_category FROM reports", ("reports",))
 def q_report_category_enum(spark, sf):
-    return _raw(spark, sf).select("id", X.report_category_enum(F.element_at(_hdr(), 3)).alias("report_category"))
+    return _raw(spark, sf).select("id", X.report_category_enum(_at(_hdr(), 3)).alias("report_category"))
 
 
 @register("change_value", "SELECT id, rate_change FROM reports", ("reports",))
@@ -85,7 +91,7 @@ def q_price_value(spark, sf):
     ("reports",),
 )
 def q_title_or_untitled(spark, sf):
-    return _raw(spark, sf).select("id", X.title_or_untitled(F.col("title_text"), F.element_at(_hdr(), 2)).alias("title"))
+    return _raw(spark, sf).select("id", X.title_or_untitled(F.col("title_text"), _at(_hdr(), 2)).alias("title"))
 
 
 @register("absolute_link", "SELECT id, link FROM reports", ("reports",))
@@ -96,7 +102,7 @@ def q_absolute_link(spark, sf):
 @register("parse_date_text", "SELECT id, date FROM reports", ("reports",))
 def q_parse_date_text(spark, sf):
     # whole header date segment "dd-MM-yyyy HH:mm:ss": N8 keeps the first token
-    seg = X.ustrip(F.element_at(F.split("header_text", r"\|"), 1))
+    seg = X.ustrip(_at(F.split("header_text", r"\|"), 1))
     return _raw(spark, sf).select("id", X.parse_date_text(seg).alias("date"))
 
 

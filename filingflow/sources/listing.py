@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from filingflow.functions import text as X
 from filingflow.sources.tables import ATTACHMENT_BASE, LISTING_BASE
 
+
+def _at(arr, i):
+    """1-based array access that yields NULL past the end (ANSI-safe ``element_at``)."""
+    return F.try_element_at(arr, F.lit(i) if isinstance(i, int) else i)
+
+
 _LI = r"(?s)<li(?:\s[^>]*)?>(.*?)</li>"
 _TR_DANE = r'(?s)<tr class="dane"[^>]*>(.*?)</tr>'
 
@@ -59,13 +65,13 @@ def normalise_listing(items: DataFrame) -> tuple[DataFrame, DataFrame]:
         X.change_value(F.col("change_text"), F.col("change_class")).alias("rate_change"),
         X.price_value(F.col("price_text")).alias("exchange_rate"),
     )
-    label = F.element_at("hdr", 2)
+    label = _at("hdr", 2)
     out = typed.select(
         *[c for c in items.columns if c not in ("header_text", "title_text", "change_class", "change_text", "price_text", "href")],
-        X.parse_date_text(F.element_at("hdr", 1)).alias("date"),
+        X.parse_date_text(_at("hdr", 1)).alias("date"),
         X.title_or_untitled(F.col("title_text"), label).alias("title"),
         X.report_type_enum(label).alias("report_type"),
-        X.report_category_enum(F.element_at("hdr", 3)).alias("report_category"),
+        X.report_category_enum(_at("hdr", 3)).alias("report_category"),
         "rate_change",
         "exchange_rate",
         X.absolute_link(LISTING_BASE, F.col("href")).alias("link"),
@@ -81,13 +87,13 @@ def listing_frame(items: DataFrame) -> DataFrame:
     """The seven-column listing frame exactly as the reference builds it, including its swapped
     rate labels (change % under ``exchange rate``, price under ``rate change``; SURVEY X1)."""
     h = X.split_header(F.col("header_text"))
-    label = F.element_at(h, 2)
+    label = _at(h, 2)
     return items.select(
         *[c for c in items.columns if c in ("company_id", "company", "page_no", "pos", "id")],
-        F.element_at(h, 1).alias("date"),
+        _at(h, 1).alias("date"),
         X.title_or_untitled(F.col("title_text"), label).alias("title"),
         label.alias("report type"),
-        F.element_at(h, 3).alias("report category"),
+        _at(h, 3).alias("report category"),
         X.change_value(F.col("change_text"), F.col("change_class")).alias("exchange rate"),
         X.price_value(F.col("price_text")).alias("rate change"),
         X.absolute_link(LISTING_BASE, F.col("href")).alias("link"),
