@@ -1 +1,79 @@
-"""Catalogue entries (filled in below)."""
+"""Catalogue entries: streams drained with availableNow (R1-R3) and the pipeline."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from filingflow.operators.common import lower_key  # noqa: F401
+from filingflow.plans import q_listing, q_registry
+from filingflow.plans.catalog import ORACLES, register
+from filingflow.session import scratch_dir
+from filingflow.sources import tables as T
+from filingflow.streaming import feeds
+
+
+def _land(df, name: str, files: int, order_col: str | None = None):
+    """Land a DataFrame as several parquet files (arrivals over time) and return (path, schema)."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, f"landing-{name}")
+    out = df.repartitionByRange(files, order_col) if order_col else df.repartition(files)
+    out.write.parquet(path)
+    return path, spark.read.parquet(path).schema
+
+
+@register("incremental_feed")
+def q_incremental_feed(spark, sf):
+    landing, schema = _land(T.listing_pages(spark, sf), "listing", 4, "page_no")
+    out = feeds.incremental_feed(spark, landing, schema, scratch_dir(spark, "feed-sink"), scratch_dir(spark, "feed-ckpt"))
+    return out.select("company_id", "page_no", "pos", "date", "title", "report_type", "report_category", "rate_change", "exchange_rate", "link")
+
+
+ORACLES["incremental_feed"] = ORACLES["normalise_listing"]
+
+
+@register("streaming_registry", "SELECT DISTINCT md5_hash, file_size FROM file_arrivals", ("file_arrivals",))
+def q_streaming_registry(spark, sf):
+    arr = T.file_arrivals(spark, sf).drop("text", "n_pages")
+    landing, schema = _land(arr, "arrivals", 4, "id")
+    reg = feeds.streaming_registry(spark, landing, schema, scratch_dir(spark, "registry"), scratch_dir(spark, "registry-ckpt"))
+    return reg.select("md5_hash", "file_size")
+
+
+@register("execution_pairing")
+def q_execution_pairing(spark, sf):
+    log = T.job_execution_log(spark, sf).where(F.col("status") == "running")
+    starts = log.select(
+        F.col("id").alias("execution_id"), "job_name", "started_at", F.col("status").alias("start_status"),
+        F.lit(None).cast("string").alias("end_status"), F.lit(None).cast("timestamp_ntz").alias("finished_at"),
+        F.lit(None).cast("int").alias("reports_found"), F.lit(None).cast("int").alias("documents_processed"),
+        F.lit(None).cast("bigint").alias("summary_report_id"), F.lit(None).cast("string").alias("error_message"),
+        F.lit(None).cast("string").alias("log_file_path"), F.lit(False).alias("is_end"),
+    )
+    ends = q_registry._end_events(spark, sf).select(
+        "execution_id", F.lit(None).cast("string").alias("job_name"), F.lit(None).cast("timestamp_ntz").alias("started_at"),
+        F.lit(None).cast("string").alias("start_status"), F.col("status").alias("end_status"), "finished_at",
+        "reports_found", "documents_processed", "summary_report_id", "error_message", "log_file_path", F.lit(True).alias("is_end"),
+    )
+    landing, schema = _land(starts.unionByName(ends), "exec-events", 4)
+    st = feeds.execution_pairing(spark, landing, schema, scratch_dir(spark, "exec-state"), scratch_dir(spark, "exec-ckpt"))
+    from filingflow.functions.text import micros_between
+
+    secs = F.floor(micros_between(F.col("started_at"), F.col("finished_at")) / F.lit(1000000)).cast("int")
+    return st.where(F.col("start_status").isNotNull()).select(
+        F.col("execution_id").alias("id"), "job_name", F.coalesce("end_status", "start_status").alias("status"), "started_at",
+        "finished_at", F.when(F.col("is_end"), secs).alias("duration_seconds"), "reports_found", "documents_processed",
+        "summary_report_id", "error_message", "log_file_path",
+    )
+
+
+ORACLES["execution_pairing"] = ORACLES["close_execution"]
+
+
+@register("pipeline_result")
+def q_pipeline_result(spark, sf):
+    from filingflow.operators.pipeline import run_pipeline
+
+    return run_pipeline(spark, sf)["summaries"]
+
+
+_ = q_listing  # the feed oracle above is the batch normalisation's
