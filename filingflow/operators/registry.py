@@ -320,3 +320,18 @@ def unmigrated_configs(legacy: DataFrame, jobs: DataFrame) -> DataFrame:
 def tags_json(company: Column, job_name: Column) -> Column:
     """A9 + N16: the summary tags as stored."""
     return X.json_list_encode(F.array(F.lower(company), F.replace(job_name, F.lit("_"), F.lit("-"))))
+
+
+def append_searches(history: DataFrame, requests: DataFrame) -> DataFrame:
+    """Searches appended with new ids; '' date -> NULL, only the first token of a range is
+    kept, dd-MM-yyyy becomes a DATE (ISO text parses as well); model and time are never passed
+    by the run (X18) and stay NULL."""
+    d = F.when(F.coalesce(X.ustrip(F.col("report_date_text")), F.lit("")) == "", F.lit(None).cast("date")).otherwise(
+        X.parse_date_text(F.col("report_date_text"))
+    )
+    rows = requests.select(
+        "request_no", "company_name", F.col("report_amount").cast("int").alias("report_amount"), "download_type",
+        d.alias("report_date"), "report_type", "report_category",
+        F.lit(None).cast("string").alias("model_used"), F.lit(None).cast("int").alias("execution_time"),
+    )
+    return append_with_ids(history, rows, ["request_no"]).drop("request_no")

@@ -378,3 +378,37 @@ def q_job_activation(spark, sf):
         (F.col("status") != "cancelled") & (F.col("started_at") >= F.lit("2024-01-29 00:00:00").cast("timestamp_ntz"))
     )
     return R.job_activation(T.scheduled_jobs(spark, sf), installed)
+
+
+@register(
+    "append_search",
+    """SELECT (SELECT max(id) FROM search_history) + row_number() OVER (ORDER BY r.id) AS id, c.name AS company_name,
+  5 AS report_amount, 'PDF HTML' AS download_type, CASE WHEN r.id % 5 = 0 THEN NULL ELSE r.date END AS report_date,
+  'current quarterly' AS report_type, 'ESPI EBI' AS report_category, CAST(NULL AS VARCHAR) AS model_used,
+  CAST(NULL AS INTEGER) AS execution_time
+FROM reports r JOIN companies c ON c.id = r.company_id""",
+    ("search_history", "reports", "companies"),
+)
+def q_append_search(spark, sf):
+    from filingflow.plans.q_listing import _date_requests
+
+    req = _date_requests(spark, sf).join(T.reports(spark, sf).select("id", "company_id"), "id")
+    c = T.companies(spark, sf).select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
+    req = req.join(c, "company_id").select(
+        F.col("id").alias("request_no"), "company_name", F.lit(5).alias("report_amount"), F.lit("PDF HTML").alias("download_type"),
+        F.col("request").alias("report_date_text"), F.lit("current quarterly").alias("report_type"),
+        F.lit("ESPI EBI").alias("report_category"),
+    )
+    return R.append_searches(T.search_history(spark, sf), req)
+
+
+@register(
+    "registry_scan",
+    "SELECT id, company_id, date, title, report_type, report_category, rate_change, exchange_rate, link FROM reports",
+    ("reports",),
+)
+def q_registry_scan(spark, sf):
+    """A registry table read with its declared schema (column order and types enforced)."""
+    from filingflow.sources.schemas import REGISTRY_SCHEMAS, conform
+
+    return conform(T.registry_scan(spark, sf, "reports"), REGISTRY_SCHEMAS["reports"])
