@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
-from filingflow.operators.common import ordinal
+from filingflow.operators.common import cut_lineage, ordinal
 from filingflow.session import checkpoint_root
 
 
@@ -210,29 +210,82 @@ def _means(assigned: DataFrame) -> DataFrame:
     return m.select("grp", "cluster", vector_to_array("__m").alias("center"))
 
 
+# Groups up to this many points are clustered inside one Arrow batch (numpy Lloyd); larger groups
+# use the distributed iterations, so no unbounded group is ever gathered into one task.
+LOCAL_GROUP_MAX = 20_000
+
+
+def _lloyd_local(max_iter: int, tol: float):
+    """Lloyd's k-means for one group in numpy, with the same rules as the distributed path:
+    evenly spaced initial points by pid, ties to the smaller cluster, empty cluster keeps its centre."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        pdf = pdf.sort_values("pid", kind="stable")
+        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        n, k = len(x), int(pdf["k"].iloc[0])
+        c = x[[(i * n) // k for i in range(k)]].copy()
+        for _ in range(max_iter):
+            d = np.stack([((x - c[j]) ** 2).sum(axis=1) for j in range(k)], axis=1)
+            lab = d.argmin(axis=1)
+            new = c.copy()
+            for j in range(k):
+                m = lab == j
+                if m.any():
+                    new[j] = x[m].mean(axis=0)
+            moved = ((new - c) ** 2).sum(axis=1).max()
+            c = new
+            if moved <= tol:
+                break
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]] * k, "cluster": list(range(k)), "center": list(c)})
+
+    return run
+
+
 def kmeans_per_group(points: DataFrame, k: DataFrame, max_iter: int = 20, tol: float = 1e-12) -> tuple[DataFrame, DataFrame]:
     """Lloyd's k-means inside every group. ``points``: (grp, pid, vec); ``k``: (grp, k).
 
     Deterministic: the initial centres are the points at evenly spaced positions of the group
     (ranks floor(i*n/k)+1 by pid), ties go to the smaller cluster id, an empty cluster keeps its
     centre. Groups with fewer points than k are left out (the caller reports them, D4).
+    Groups of at most ``LOCAL_GROUP_MAX`` points are clustered per group in one Arrow batch;
+    larger groups run as distributed DataFrame iterations. The final assignment is native.
     Returns (assignments (grp, pid, cluster, dist), centroids (grp, cluster, center)).
     """
-    spark = points.sparkSession
-    checkpoint_root(spark)
-    pts = points.select("grp", "pid", F.col("vec").cast("array<double>").alias("vec")).checkpoint(eager=True)
+    pts = points.select("grp", "pid", F.col("vec").cast("array<double>").alias("vec"))
     sizes = pts.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).join(k.select("grp", "k"), "grp")
     sizes = sizes.where(F.col("n") >= F.col("k"))
+    small = sizes.where(F.col("n") <= LOCAL_GROUP_MAX).select("grp", "k")
+    large = sizes.where(F.col("n") > LOCAL_GROUP_MAX)
+    cents = (
+        pts.join(small, "grp")
+        .groupBy("grp")
+        .applyInPandas(_lloyd_local(max_iter, tol), "grp long, cluster int, center array<double>")
+    )
+    if large.limit(1).count() > 0:
+        # both branches are written to the shared folder first: the union then starts from two
+        # plain scans instead of two plans over the same lineage
+        dist = _kmeans_distributed(pts.join(large.select("grp"), "grp", "left_semi"), large, max_iter, tol)
+        cents = cut_lineage(cents, "kmeans-local").unionByName(cut_lineage(dist, "kmeans-dist"))
+    valid = pts.join(sizes.select("grp"), "grp", "left_semi")
+    return _nearest(valid, cents), cents
+
+
+def _kmeans_distributed(pts: DataFrame, sizes: DataFrame, max_iter: int, tol: float) -> DataFrame:
+    """Lloyd's iterations as DataFrame steps: one join of points with their group's centroid
+    array and one partially aggregated mean per (group, cluster) per iteration, with the points
+    and each iteration's centroids checkpointed to the shared folder."""
+    checkpoint_root(pts.sparkSession)
+    pts = pts.checkpoint(eager=True)
     picks = sizes.select(
         "grp", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("cluster"), "n", "k"
     ).withColumn("rank", (F.floor(F.col("cluster") * F.col("n") / F.col("k")) + 1).cast("int"))
     ranked = ordinal(pts, ["grp"], "pid", out="rank")
-    cents = picks.join(ranked, ["grp", "rank"]).select("grp", "cluster", F.col("vec").alias("center"))
-    pts = pts.join(sizes.select("grp"), "grp", "left_semi")
+    cents = picks.join(ranked, ["grp", "rank"]).select("grp", F.col("cluster").cast("int").alias("cluster"), F.col("vec").alias("center"))
     cents = cents.checkpoint(eager=True)
     for _ in range(max_iter):
-        assigned = _nearest(pts, cents)
-        new = _means(assigned)
+        new = _means(_nearest(pts, cents))
         new = (
             cents.alias("o")
             .join(new.alias("m"), ["grp", "cluster"], "left")
@@ -245,7 +298,7 @@ def kmeans_per_group(points: DataFrame, k: DataFrame, max_iter: int = 20, tol: f
         cents = new
         if moved == 0:
             break
-    return _nearest(pts, cents), cents
+    return cents
 
 
 # ----------------------------------------------------------------------------- D7 / W5 representatives

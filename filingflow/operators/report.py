@@ -100,12 +100,9 @@ def _g_format(x: Column) -> Column:
     return F.when(s == "-0", F.lit("0")).otherwise(s)
 
 
-def pipe_table(rows: Column) -> Column:
-    """A Markdown pipe table like ``DataFrame.to_markdown(index=False)``: column width =
-    max(header + 2, widest value); text left-aligned, numbers right-aligned on the decimal point.
-    ``rows`` is an ARRAY<STRUCT> with the listing-frame columns (bounded: the newest filings)."""
-    cells = {}
-    widths = {}
+def _cells_and_widths(rows: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+    cells: dict[str, Column] = {}
+    widths: dict[str, Column] = {}
 
     def field_g(c):
         return lambda r: _g_format(r[c])
@@ -131,9 +128,25 @@ def pipe_table(rows: Column) -> Column:
             txt = F.transform(rows, field_s(c))
         cells[c] = txt
         widths[c] = F.greatest(F.lit(len(c) + 2), F.coalesce(F.array_max(F.transform(txt, lambda t: F.length(t))), F.lit(0)))
+    return cells, widths
+
+
+def with_pipe_table(df: DataFrame, rows_col: str = "rows", out: str = "table") -> DataFrame:
+    """A Markdown pipe table like ``DataFrame.to_markdown(index=False)``: column width =
+    max(header + 2, widest value); text left-aligned, numbers right-aligned on the decimal point.
+    ``rows_col`` is an ARRAY<STRUCT> with the listing-frame columns (bounded: the newest filings).
+
+    Cells and widths are projected first and the lines built from those columns, so each cell
+    and width is evaluated once per table rather than once per output line."""
+    cells, widths = _cells_and_widths(F.col(rows_col))
+    key = {c: f"__c{i}" for i, c in enumerate(TABLE_COLUMNS)}
+    wkey = {c: f"__w{i}" for i, c in enumerate(TABLE_COLUMNS)}
+    staged = df.select(
+        "*", *[cells[c].alias(key[c]) for c in TABLE_COLUMNS], *[widths[c].alias(wkey[c]) for c in TABLE_COLUMNS]
+    )
 
     def pad(v: Column, c: str) -> Column:
-        return F.lpad(v, widths[c], " ") if c in NUMERIC_COLUMNS else F.rpad(v, widths[c], " ")
+        return F.lpad(v, F.col(wkey[c]), " ") if c in NUMERIC_COLUMNS else F.rpad(v, F.col(wkey[c]), " ")
 
     header = F.concat(F.lit("| "), F.concat_ws(" | ", *[pad(F.lit(c), c) for c in TABLE_COLUMNS]), F.lit(" |"))
     align = F.concat(
@@ -141,22 +154,21 @@ def pipe_table(rows: Column) -> Column:
         F.concat_ws(
             "|",
             *[
-                F.concat(F.repeat(F.lit("-"), widths[c] + 1), F.lit(":"))
+                F.concat(F.repeat(F.lit("-"), F.col(wkey[c]) + 1), F.lit(":"))
                 if c in NUMERIC_COLUMNS
-                else F.concat(F.lit(":"), F.repeat(F.lit("-"), widths[c] + 1))
+                else F.concat(F.lit(":"), F.repeat(F.lit("-"), F.col(wkey[c]) + 1))
                 for c in TABLE_COLUMNS
             ],
         ),
         F.lit("|"),
     )
-    idx = F.sequence(F.lit(1), F.size(rows))
+    zipped = F.arrays_zip(*[F.col(key[c]).alias(key[c]) for c in TABLE_COLUMNS])
     body = F.transform(
-        idx,
-        lambda i: F.concat(
-            F.lit("| "), F.concat_ws(" | ", *[pad(_at(cells[c], i), c) for c in TABLE_COLUMNS]), F.lit(" |")
-        ),
+        zipped,
+        lambda z: F.concat(F.lit("| "), F.concat_ws(" | ", *[pad(z[key[c]], c) for c in TABLE_COLUMNS]), F.lit(" |")),
     )
-    return F.array_join(F.concat(F.array(header, align), body), "\n")
+    table = F.when(F.size(rows_col) > 0, F.array_join(F.concat(F.array(header, align), body), "\n"))
+    return staged.withColumn(out, table).drop(*key.values(), *wkey.values())
 
 
 def newest_listing(frame: DataFrame, key: str, limit: int) -> DataFrame:
@@ -204,12 +216,12 @@ def collective_report(frame: DataFrame, files: DataFrame, as_of: str, model: str
     fl = files.withColumn("company", F.lower("company"))
     nfiles = fl.groupBy("company").agg(F.count(F.lit(1)).alias("n_files"))
     ov = collective_overview(fl)
-    heads = listing.join(nfiles, "company", "left").join(ov, "company", "left")
+    heads = with_pipe_table(listing.join(nfiles, "company", "left").join(ov, "company", "left"))
     head = heads.select(
         "company", F.lit(0).alias("part"),
         report_header(
             F.col("company"), as_of, dfrom, dto, F.size("rows"), F.coalesce("n_files", F.lit(0)), model,
-            F.col("overview"), F.when(F.size("rows") > 0, pipe_table(F.col("rows"))),
+            F.col("overview"), F.col("table"),
         ).alias("text"),
     )
     body = concat_summaries(fl).join(listing.select("company"), "company", "left_semi")

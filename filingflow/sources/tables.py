@@ -20,16 +20,42 @@ DRIVER_TABLES = (
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Driver table scan. A scan that yields fewer splits than the cluster has cores (a tiny
-    single-row-group file) is spread round-robin so per-row parsing uses every core; at cluster
-    scale scans have far more splits than cores and this never triggers."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Driver table scan. A multi-megabyte file that still yields fewer splits than the cluster
+    has cores (one parquet row group) is spread round-robin so per-row text work uses every
+    core; at cluster scale scans have far more splits than cores and this never triggers, and
+    small files are left alone (a shuffle would cost more than it saves)."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if _SPREAD_SMALL_SCANS and df.rdd.getNumPartitions() < cores:
+    if _SPREAD_SMALL_SCANS and _splits(df, path) < cores and _bytes(spark, path) >= SPREAD_MIN_BYTES:
         df = df.repartition(cores)
     return df
 
 
+SPREAD_MIN_BYTES = 4 * 1024 * 1024
+_BYTES: dict[str, int] = {}
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    """Stored size of a path through the Hadoop FileSystem API (any storage), cached per path."""
+    if path not in _BYTES:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        _BYTES[path] = int(fs.getContentSummary(p).getLength())
+    return _BYTES[path]
+
+
+_SPLITS: dict[str, int] = {}
+
+
+def _splits(df: DataFrame, path: str) -> int:
+    """Number of scan splits of a file (planned once per path)."""
+    if path not in _SPLITS:
+        _SPLITS[path] = df.rdd.getNumPartitions()
+    return _SPLITS[path]
+
+
 _SPREAD_SMALL_SCANS = os.environ.get("FILINGFLOW_SPREAD_SMALL_SCANS", "1") == "1"
 
 

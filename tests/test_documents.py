@@ -105,3 +105,13 @@ def test_html_to_text_drops_script_strings(spark):
     html = '<html><script>var t="</p>";</script><style>p{}</style><!-- c --><p>A &amp; B</p><p>C</p></html>'
     df = spark.createDataFrame([(html,)], "h string")
     assert rows(df.select(D.html_to_text(F.col("h")))) == [("A & B C",)]
+
+
+def test_kmeans_distributed_path_agrees_with_local(spark, monkeypatch):
+    pts = _points(spark)
+    k = spark.createDataFrame([(1, 3), (2, 3)], "grp long, k int")
+    local, _ = D.kmeans_per_group(pts, k)
+    monkeypatch.setattr(D, "LOCAL_GROUP_MAX", 0)  # every group takes the distributed iterations
+    dist, cents = D.kmeans_per_group(pts, k)
+    assert sorted(rows(local, "grp", "pid", "cluster")) == sorted(rows(dist, "grp", "pid", "cluster"))
+    assert cents.count() == 6
