@@ -41,17 +41,23 @@ def split_header(h: Column) -> Column:
 
     Split on ``|``, drop the last segment, strip each, keep the first token of the date; with
     two kept segments the third is ``unknown``. Fewer than two kept segments -> NULL (the row
-    is rejected instead of failing the whole feed).
+    is rejected instead of failing the whole feed). The listing format keeps two or three
+    segments, handled with plain element access; longer headers take the general form.
     """
     parts = F.split(h, r"\|")
-    kept = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    stripped = F.transform(kept, ustrip)
-    date = _at(stripped, 1)
-    date = F.when(date.contains(" "), first_token(date)).otherwise(date)
-    fixed = F.concat(F.array(date), F.slice(stripped, 2, F.greatest(F.size(stripped) - 1, F.lit(0))))
+    n = F.size(parts) - 1
+
+    def seg(i: int) -> Column:
+        return ustrip(_at(parts, i))
+
+    first = seg(1)
+    date = F.when(first.contains(" "), first_token(first)).otherwise(first)
+    kept = F.slice(parts, 1, F.greatest(n, F.lit(0)))
+    general = F.concat(F.array(date), F.transform(F.slice(kept, 2, F.greatest(n - 1, F.lit(0))), ustrip))
     return (
-        F.when(F.size(stripped) == 2, F.concat(fixed, F.array(F.lit("unknown"))))
-        .when(F.size(stripped) >= 3, fixed)
+        F.when(n == 2, F.array(date, seg(2), F.lit("unknown")))
+        .when(n == 3, F.array(date, seg(2), seg(3)))
+        .when(n > 3, general)
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from filingflow.functions import text as X
 from filingflow.operators.common import ordinal
 from filingflow.operators.documents import extractive_summary
+from filingflow.session import checkpoint_root
 
 
 def _at(arr, i):
@@ -46,10 +47,11 @@ def summary_blocks(files: DataFrame) -> DataFrame:
     return num.select("company", "file_i", "file_n", block.alias("block"))
 
 
-def concat_summaries(files: DataFrame) -> DataFrame:
+def concat_summaries(files: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """(company, part, text) — the ordered blocks of each company, ``BLOCKS_PER_PART`` per part.
     A company whose files include no document gets the single line ``*No documents to summarize*``."""
-    b = summary_blocks(files).withColumn("part", F.floor((F.col("file_i") - 1) / BLOCKS_PER_PART).cast("int"))
+    blocks = summary_blocks(files) if blocks is None else blocks
+    b = blocks.withColumn("part", F.floor((F.col("file_i") - 1) / BLOCKS_PER_PART).cast("int"))
     parts = b.groupBy("company", "part").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_i", "block"))), lambda x: x["block"]), "").alias("text")
     )
@@ -61,10 +63,11 @@ def concat_summaries(files: DataFrame) -> DataFrame:
     return parts.unionByName(none)
 
 
-def collective_overview(files: DataFrame, words: int = OVERVIEW_WORDS) -> DataFrame:
+def collective_overview(files: DataFrame, words: int = OVERVIEW_WORDS, blocks: DataFrame | None = None) -> DataFrame:
     """D10 default (no model): the first ``words`` words of the company's concatenated summaries.
     Every block holds at least four words, so only blocks 1..words can contribute (bounded)."""
-    b = summary_blocks(files).where(F.col("file_i") <= words)
+    blocks = summary_blocks(files) if blocks is None else blocks
+    b = blocks.where(F.col("file_i") <= words)
     g = b.groupBy("company").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_i", "block"))), lambda x: x["block"]), "").alias("t")
     )
@@ -211,11 +214,14 @@ def collective_report(frame: DataFrame, files: DataFrame, as_of: str, model: str
     ``files``: (id, company, file_name, summary_text). Company keys are compared lower-cased.
     """
     dfrom, dto = X.range_from_to(F.lit(date_request))
+    checkpoint_root(frame.sparkSession)
     fr = frame.withColumn("company", F.lower("company"))
-    listing = newest_listing(fr, "company", limit)
+    # both are read by several branches below: computed once, reliably checkpointed
+    listing = newest_listing(fr, "company", limit).checkpoint(eager=True)
     fl = files.withColumn("company", F.lower("company"))
+    blocks = summary_blocks(fl).checkpoint(eager=True)
     nfiles = fl.groupBy("company").agg(F.count(F.lit(1)).alias("n_files"))
-    ov = collective_overview(fl)
+    ov = collective_overview(fl, blocks=blocks)
     heads = with_pipe_table(listing.join(nfiles, "company", "left").join(ov, "company", "left"))
     head = heads.select(
         "company", F.lit(0).alias("part"),
@@ -224,7 +230,7 @@ def collective_report(frame: DataFrame, files: DataFrame, as_of: str, model: str
             F.col("overview"), F.col("table"),
         ).alias("text"),
     )
-    body = concat_summaries(fl).join(listing.select("company"), "company", "left_semi")
+    body = concat_summaries(fl, blocks=blocks).join(listing.select("company"), "company", "left_semi")
     body = body.select("company", (F.col("part") + 1).alias("part"), "text")
     last = body.groupBy("company").agg(F.max("part").alias("p"))
     tail = listing.select("company").join(last, "company", "left").select(

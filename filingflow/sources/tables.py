@@ -32,7 +32,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-SPREAD_MIN_BYTES = 4 * 1024 * 1024
+SPREAD_MIN_BYTES = int(os.environ.get("FILINGFLOW_SPREAD_MIN_BYTES", 4 * 1024 * 1024))
 _BYTES: dict[str, int] = {}
 
 

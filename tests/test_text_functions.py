@@ -113,3 +113,8 @@ def test_standard_file_name(spark):
     name = X.standard_file_name(F.lit("PKO BP"), F.lit(1), F.lit(2), F.col("a"))
     assert one(spark, name, "Raport\t roczny  2024.PDF") == "PKO BP report 1 file 2 Raport roczny 2024.PDF"
     assert one(spark, X.file_extension(F.col("a")), "a.b.PDF") == "pdf"
+
+
+def test_split_header_long_header_general_path(spark):
+    h = "01-02-2024 08:00:00 | Roczny | ESPI | extra | 5/2024"
+    assert one(spark, X.split_header(F.col("a")), h) == ["01-02-2024", "Roczny", "ESPI", "extra"]
