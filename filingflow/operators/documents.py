@@ -12,6 +12,8 @@ representative chunks -> prompt -> summary, over whole tables of documents.
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -67,7 +69,7 @@ def _pieces(text: str, sep: str) -> list[str]:
 def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
     """Greedy packing of pieces into chunks of at most ``size`` characters (stripped)."""
     out: list[str] = []
-    cur: list[str] = []
+    cur: deque[str] = deque()
     total = 0
     for p in pieces:
         n = len(p)
@@ -76,7 +78,7 @@ def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
             if doc:
                 out.append(doc)
             while cur and (total > overlap or total + n > size):
-                total -= len(cur.pop(0))
+                total -= len(cur.popleft())
         cur.append(p)
         total += n
     doc = "".join(cur).strip()
@@ -215,34 +217,63 @@ def _means(assigned: DataFrame) -> DataFrame:
 LOCAL_GROUP_MAX = 20_000
 
 
-def _lloyd_local(max_iter: int, tol: float):
+def _lloyd_group(x, k: int, max_iter: int, tol: float):
     """Lloyd's k-means for one group in numpy, with the same rules as the distributed path:
     evenly spaced initial points by pid, ties to the smaller cluster, empty cluster keeps its centre."""
+    import numpy as np
+
+    n = len(x)
+    c = x[[(i * n) // k for i in range(k)]].copy()
+    for _ in range(max_iter):
+        d = np.stack([((x - c[j]) ** 2).sum(axis=1) for j in range(k)], axis=1)
+        lab = d.argmin(axis=1)
+        new = c.copy()
+        for j in range(k):
+            m = lab == j
+            if m.any():
+                new[j] = x[m].mean(axis=0)
+        moved = ((new - c) ** 2).sum(axis=1).max()
+        c = new
+        if moved <= tol:
+            break
+    return c
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _lloyd_batches(max_iter: int, tol: float):
+    """mapInPandas body: rows arrive hash-partitioned by group and sorted by (grp, pid); every
+    complete group in a batch is clustered, and a group cut by the batch boundary is carried
+    over to the next batch of the same partition (groups here are bounded by LOCAL_GROUP_MAX)."""
+
+    def run(batches):
         import numpy as np
 
-        pdf = pdf.sort_values("pid", kind="stable")
-        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        n, k = len(x), int(pdf["k"].iloc[0])
-        c = x[[(i * n) // k for i in range(k)]].copy()
-        for _ in range(max_iter):
-            d = np.stack([((x - c[j]) ** 2).sum(axis=1) for j in range(k)], axis=1)
-            lab = d.argmin(axis=1)
-            new = c.copy()
-            for j in range(k):
-                m = lab == j
-                if m.any():
-                    new[j] = x[m].mean(axis=0)
-            moved = ((new - c) ** 2).sum(axis=1).max()
-            c = new
-            if moved <= tol:
-                break
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]] * k, "cluster": list(range(k)), "center": list(c)})
+        carry = None
+        for pdf in batches:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            last = pdf["grp"].iloc[-1] if len(pdf) else None
+            carry = pdf[pdf["grp"] == last]
+            done = pdf[pdf["grp"] != last]
+            if len(done):
+                yield _cluster_frame(done, max_iter, tol, np)
+        if carry is not None and len(carry):
+            yield _cluster_frame(carry, max_iter, tol, np)
 
     return run
 
 
+def _cluster_frame(pdf: pd.DataFrame, max_iter: int, tol: float, np) -> pd.DataFrame:
+    grps, clusters, centers = [], [], []
+    for g, part in pdf.groupby("grp", sort=False):
+        x = np.stack(part["vec"].to_numpy()).astype(np.float64)
+        k = int(part["k"].iloc[0])
+        c = _lloyd_group(x, k, max_iter, tol)
+        grps.extend([g] * k)
+        clusters.extend(range(k))
+        centers.extend(list(c))
+    return pd.DataFrame({"grp": pd.Series(grps, dtype="int64"), "cluster": pd.Series(clusters, dtype="int32"), "center": pd.Series(centers, dtype=object)})
+
+
 def kmeans_per_group(points: DataFrame, k: DataFrame, max_iter: int = 20, tol: float = 1e-12) -> tuple[DataFrame, DataFrame]:
     """Lloyd's k-means inside every group. ``points``: (grp, pid, vec); ``k``: (grp, k).
 
@@ -260,8 +291,9 @@ def kmeans_per_group(points: DataFrame, k: DataFrame, max_iter: int = 20, tol: f
     large = sizes.where(F.col("n") > LOCAL_GROUP_MAX)
     cents = (
         pts.join(small, "grp")
-        .groupBy("grp")
-        .applyInPandas(_lloyd_local(max_iter, tol), "grp long, cluster int, center array<double>")
+        .repartition("grp")
+        .sortWithinPartitions("grp", "pid")
+        .mapInPandas(_lloyd_batches(max_iter, tol), "grp long, cluster int, center array<double>")
     )
     if large.limit(1).count() > 0:
         # both branches are written to the shared folder first: the union then starts from two

@@ -14,6 +14,7 @@ from filingflow.operators import documents as D
 from filingflow.operators import registry as R
 from filingflow.operators import report as P
 from filingflow.sources import listing as L
+from filingflow.session import checkpoint_root
 from filingflow.sources import tables as T
 
 
@@ -23,7 +24,13 @@ def condense_files(files: DataFrame, model: str, chunk_size: int = 2000) -> Data
     clusters (the run continues, nothing is stored)."""
     k, budget = D.size_tier(F.col("n_pages"))
     base = files.select("id", "company", "file_name", "n_pages", k.alias("k"), budget.alias("budget"), "text")
-    chunks = D.chunk_documents(base.select(F.col("id").alias("doc_id"), "text"), chunk_size).withColumnRenamed("doc_id", "id")
+    checkpoint_root(files.sparkSession)
+    # chunks and embedded points feed several branches: each is computed once and checkpointed
+    chunks = (
+        D.chunk_documents(base.select(F.col("id").alias("doc_id"), "text"), chunk_size)
+        .withColumnRenamed("doc_id", "id")
+        .checkpoint(eager=True)
+    )
     counts = chunks.groupBy("id").agg(F.count(F.lit(1)).alias("n_chunks"))
     meta = base.drop("text").join(counts, "id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
     empty = meta.where(F.col("n_chunks") == 0).select(
@@ -37,7 +44,7 @@ def condense_files(files: DataFrame, model: str, chunk_size: int = 2000) -> Data
     ok = meta.where(F.col("n_chunks") >= F.col("k"))
     ok_chunks = chunks.join(ok.select("id"), "id", "left_semi")
     emb = D.embed_chunks(ok_chunks)
-    pts = emb.select(F.col("id").alias("grp"), F.col("chunk_no").cast("bigint").alias("pid"), "vec")
+    pts = emb.select(F.col("id").alias("grp"), F.col("chunk_no").cast("bigint").alias("pid"), "vec").checkpoint(eager=True)
     _, cents = D.kmeans_per_group(pts, ok.select(F.col("id").alias("grp"), "k"))
     reps = D.select_representatives(pts, cents)
     reps = reps.join(ok_chunks.select(F.col("id").alias("grp"), F.col("chunk_no").cast("bigint").alias("pid"), "chunk"), ["grp", "pid"])
@@ -55,7 +62,8 @@ def run_pipeline(spark: SparkSession, sf_dir: str, model: str = "llama3.2:latest
     registry = R.register_files(T.downloaded_files(spark, sf_dir).limit(0), arrivals.drop("text", "n_pages"))
     docs = arrivals.join(registry.select(F.col("md5_hash").alias("m")), arrivals["md5_hash"] == F.col("m"), "left_semi")
     docs = docs.where(P.is_document(F.col("file_name")))
-    condensed = condense_files(docs, model)
+    # read by the write-back, the per-file texts and the report: computed once
+    condensed = condense_files(docs, model).checkpoint(eager=True)
     stored = condensed.where(F.col("summary").isNotNull())
     att = R.attach_summaries(registry, stored.select("company", "file_name", "summary"))
     changes = att.where(F.col("new_summary").isNotNull()).select("id", F.col("new_summary").alias("summary_text"), F.col("id").alias("change_no"))

@@ -115,3 +115,17 @@ def test_kmeans_distributed_path_agrees_with_local(spark, monkeypatch):
     dist, cents = D.kmeans_per_group(pts, k)
     assert sorted(rows(local, "grp", "pid", "cluster")) == sorted(rows(dist, "grp", "pid", "cluster"))
     assert cents.count() == 6
+
+
+def test_kmeans_groups_cut_by_arrow_batches(spark, monkeypatch):
+    pts = _points(spark)
+    k = spark.createDataFrame([(1, 3), (2, 3)], "grp long, k int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # groups of 12 span batches
+    try:
+        small_batches, _ = D.kmeans_per_group(pts, k)
+        got = sorted(rows(small_batches, "grp", "pid", "cluster"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(D, "LOCAL_GROUP_MAX", 0)
+    dist, _ = D.kmeans_per_group(pts, k)
+    assert got == sorted(rows(dist, "grp", "pid", "cluster"))
