@@ -251,15 +251,32 @@ def log_finished_runs(log: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def resolve_execution_summary(log: DataFrame, summaries: DataFrame) -> DataFrame:
+RANGE_BUCKET_SECONDS = 3600
+
+
+def resolve_execution_summary(log: DataFrame, summaries: DataFrame, bucket_seconds: int = RANGE_BUCKET_SECONDS) -> DataFrame:
     """The FK the reference leaves unset — the earliest summary of the same job created inside
-    [started_at, finished_at]. Equi join on job_name plus a range condition, then a partially
-    aggregated ``min_by`` per execution (no window over a hot job)."""
-    l = log.where(F.col("finished_at").isNotNull()).select(
-        F.col("id").alias("execution_id"), "job_name", "started_at", "finished_at"
+    [started_at, finished_at].
+
+    A bucketed range join: every execution is exploded over the time buckets its run spans and
+    each summary falls in exactly one bucket, so candidate pairs only meet on (job, bucket) —
+    never all executions x all summaries of a busy job — and each qualifying pair meets once.
+    A partially aggregated ``min_by`` per execution picks the earliest (ties: smaller id).
+    """
+    def bucket(ts):
+        return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
+
+    l = log.where(F.col("finished_at").isNotNull() & (F.col("finished_at") >= F.col("started_at"))).select(
+        F.col("id").alias("execution_id"), "job_name", "started_at", "finished_at",
+        F.explode(F.sequence(bucket(F.col("started_at")), bucket(F.col("finished_at")))).alias("bucket"),
+    )
+    s = summaries.select(
+        F.col("id").alias("summary_id"), F.col("job_name").alias("s_job"), "created_at", bucket(F.col("created_at")).alias("s_bucket")
+    )
+    cond = (
+        (l["job_name"] == s["s_job"]) & (l["bucket"] == s["s_bucket"])
+        & (s["created_at"] >= l["started_at"]) & (s["created_at"] <= l["finished_at"])
     )
-    s = summaries.select(F.col("id").alias("summary_id"), F.col("job_name").alias("s_job"), F.col("created_at"))
-    cond = (l["job_name"] == s["s_job"]) & (s["created_at"] >= l["started_at"]) & (s["created_at"] <= l["finished_at"])
     pairs = l.join(s, cond, "inner")
     return pairs.groupBy("execution_id").agg(
         F.min_by("summary_id", F.struct("created_at", "summary_id")).alias("summary_report_id")

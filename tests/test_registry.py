@@ -114,3 +114,18 @@ def test_report_limit_default(spark):
     jobs = T.scheduled_jobs(spark, SF_SMALL)
     got = S.list_jobs(jobs).where(F.col("id") % 5 == 0).select("report_limit").distinct().collect()
     assert [r[0] for r in got] == [5]  # NULL report_limit reads as 5
+
+
+def test_bucketed_range_join_spans_buckets(spark):
+    log = spark.createDataFrame(
+        [(1, "j", dt.datetime(2024, 1, 1, 0, 50), dt.datetime(2024, 1, 1, 2, 10)), (2, "j", dt.datetime(2024, 1, 1, 5, 0), None)],
+        "id long, job_name string, started_at timestamp_ntz, finished_at timestamp_ntz",
+    )
+    summ = spark.createDataFrame(
+        [(10, "j", dt.datetime(2024, 1, 1, 1, 30)), (11, "j", dt.datetime(2024, 1, 1, 0, 55)), (12, "k", dt.datetime(2024, 1, 1, 0, 51)),
+         (13, "j", dt.datetime(2024, 1, 1, 2, 11))],
+        "id long, job_name string, created_at timestamp_ntz",
+    )
+    # a 2h20m run spans three hour buckets; the earliest summary of the same job inside wins
+    assert rows(R.resolve_execution_summary(log, summ)) == [(1, 11)]
+    assert rows(R.resolve_execution_summary(log, summ, bucket_seconds=60)) == [(1, 11)]
