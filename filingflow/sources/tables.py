@@ -39,10 +39,13 @@ _BYTES: dict[str, int] = {}
 def _bytes(spark: SparkSession, path: str) -> int:
     """Stored size of a path through the Hadoop FileSystem API (any storage), cached per path."""
     if path not in _BYTES:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        _BYTES[path] = int(fs.getContentSummary(p).getLength())
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            _BYTES[path] = int(fs.getContentSummary(p).getLength())
+        except Exception:  # noqa: BLE001 - no JVM access: treat as small
+            _BYTES[path] = 0
     return _BYTES[path]
 
 
@@ -52,7 +55,10 @@ _SPLITS: dict[str, int] = {}
 def _splits(df: DataFrame, path: str) -> int:
     """Number of scan splits of a file (planned once per path)."""
     if path not in _SPLITS:
-        _SPLITS[path] = df.rdd.getNumPartitions()
+        try:
+            _SPLITS[path] = df.rdd.getNumPartitions()
+        except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): never spread
+            _SPLITS[path] = 1 << 30
     return _SPLITS[path]
 
 

@@ -87,3 +87,13 @@ def test_registry_stream_stores_each_md5_once(spark):
     assert reg.count() == reg.select("md5_hash").distinct().count() == arr.select("md5_hash").distinct().count()
     assert reg.select("id").distinct().count() == reg.count()
     assert reg.agg(F.max("id")).collect()[0][0] == reg.count()
+
+
+def test_every_inventory_id_has_queries():
+    from filingflow.plans.inventory import INVENTORY
+
+    qs = entry.queries()
+    missing = {i: [k for k in keys if k not in qs] for i, keys in INVENTORY.items() if any(k not in qs for k in keys)}
+    assert missing == {}
+    covered = {k for keys in INVENTORY.values() for k in keys}
+    assert set(qs) - covered == set()  # every catalogue key is accounted for by an inventory id
