@@ -143,28 +143,52 @@ def recent_searches_display(history: DataFrame, limit=2) -> DataFrame:
     )
 
 
+PREFIX_LENGTHS = (4, 8, 12, 16)
+
+
 def company_lookup(requests: DataFrame, companies: DataFrame, name_col="name") -> DataFrame:
     """F11 batched: the request text is a case-insensitive LIKE pattern; first hit = smallest id.
 
-    Requests without ``%``/``_`` are plain case-insensitive equality and go through an equi join;
-    only true patterns need the pattern join, whose request side is broadcast when its
-    estimated size is small.
+    * Requests without ``%``/``_`` are plain case-insensitive equality: an equi join.
+    * Patterns with a literal prefix of at least 4 characters join on that prefix: each company
+      name is exploded into its prefixes of 4/8/12/16 characters, each pattern picks the longest
+      of those lengths inside its literal prefix, and the LIKE is the residual filter — exact,
+      and a pattern only meets names that share its prefix.
+    * The rest (``%x%``-style patterns) use a nested-loop join with the request side broadcast
+      when its estimated size is small.
     """
     q = requests.select(F.col(name_col).alias("pattern")).distinct()
+    lp = F.lower(F.col("pattern"))
     is_pat = F.col("pattern").contains("%") | F.col("pattern").contains("_")
     literal = q.where(~is_pat)
-    pats = q.where(is_pat)
+    pats = q.where(is_pat).withColumn("__lit", F.length(F.regexp_extract(lp, r"^([^%_]*)", 1)))
     c = companies.select("id", lower_key("name").alias("lname"))
     lit_hit = (
         literal.join(c.groupBy("lname").agg(F.min("id").alias("company_id")), F.lower("pattern") == F.col("lname"), "left")
         .select("pattern", "company_id")
     )
-    pat_hit = (
-        c.join(broadcast_if_small(pats), F.expr("lname LIKE lower(pattern)"), "right")
+    plen = F.lit(None).cast("int")
+    for n in PREFIX_LENGTHS:
+        plen = F.when(F.col("__lit") >= n, F.lit(n)).otherwise(plen)
+    keyed = pats.where(F.col("__lit") >= PREFIX_LENGTHS[0]).withColumn("__plen", plen).withColumn(
+        "__prefix", F.substring(lp, 1, 16)
+    ).withColumn("__prefix", F.expr("substring(__prefix, 1, __plen)"))
+    names = c.select(
+        "id", "lname",
+        F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("lname", 1, n).alias("p")) for n in PREFIX_LENGTHS])).alias("k"),
+    ).where(F.length("lname") >= F.col("k.n")).select("id", "lname", F.col("k.n").alias("__plen"), F.col("k.p").alias("__prefix"))
+    pref_hit = (
+        keyed.join(names, ["__plen", "__prefix"], "left")
+        .groupBy("pattern")
+        .agg(F.min(F.when(F.expr("lname LIKE lower(pattern)"), F.col("id"))).alias("company_id"))
+    )
+    short = pats.where(F.col("__lit") < PREFIX_LENGTHS[0]).drop("__lit")
+    loop_hit = (
+        c.join(broadcast_if_small(short), F.expr("lname LIKE lower(pattern)"), "right")
         .groupBy("pattern")
         .agg(F.min("id").alias("company_id"))
     )
-    return lit_hit.unionByName(pat_hit)
+    return lit_hit.unionByName(pref_hit).unionByName(loop_hit)
 
 
 def list_companies(companies: DataFrame) -> DataFrame:

@@ -129,3 +129,10 @@ def test_bucketed_range_join_spans_buckets(spark):
     # a 2h20m run spans three hour buckets; the earliest summary of the same job inside wins
     assert rows(R.resolve_execution_summary(log, summ)) == [(1, 11)]
     assert rows(R.resolve_execution_summary(log, summ, bucket_seconds=60)) == [(1, 11)]
+
+
+def test_company_lookup_prefix_path(spark):
+    comp = spark.createDataFrame([(5, "Customer#000000001"), (3, "Customer#000000002"), (9, "Other")], "id long, name string")
+    req = spark.createDataFrame([("customer#00000000_",), ("CUSTOMER#00000009_",), ("Custom%",), ("%ther",)], "name string")
+    got = dict(rows(S.company_lookup(req, comp)))
+    assert got == {"customer#00000000_": 3, "CUSTOMER#00000009_": None, "Custom%": 3, "%ther": 9}
