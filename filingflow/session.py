@@ -27,6 +27,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        # checkpoint files of intermediates are removed once their RDDs are garbage collected
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
