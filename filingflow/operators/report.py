@@ -186,6 +186,64 @@ def newest_listing(frame: DataFrame, key: str, limit: int) -> DataFrame:
     )
 
 
+def listing_tables(frame: DataFrame, key: str, limit: int) -> DataFrame:
+    """(key, n_rows, table): the newest ``limit`` listing rows of each key as a Markdown pipe table.
+
+    Row-wise and code-generated: cells are plain column expressions, widths and decimal places
+    are window maxima over the key (already partitioned by the top-k window), lines are padded
+    per row, and only the at most ``limit`` + 2 finished lines are collected per key.
+    """
+    w = Window.partitionBy(key).orderBy(F.desc("ord"))
+    top = frame.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit)
+    wk = Window.partitionBy(key)
+    cell = {c: f"__c{i}" for i, c in enumerate(TABLE_COLUMNS)}
+    width = {c: f"__w{i}" for i, c in enumerate(TABLE_COLUMNS)}
+
+    def frac_len(t: Column) -> Column:
+        return F.when(t.contains("."), F.length(t) - F.instr(t, ".")).otherwise(0)
+
+    cols = []
+    for c in TABLE_COLUMNS:
+        src = F.col(f"`{c}`")
+        cols.append((_g_format(src) if c in NUMERIC_COLUMNS else F.coalesce(src.cast("string"), F.lit(""))).alias(cell[c]))
+    t = top.select(key, "__rn", *cols)
+    for c in NUMERIC_COLUMNS:
+        v = F.col(cell[c])
+        decs = F.max(frac_len(v)).over(wk)
+        aligned = F.when(v.contains("."), F.rpad(v, F.length(v) + decs - frac_len(v), " ")).otherwise(
+            F.when(decs > 0, F.rpad(v, F.length(v) + decs + 1, " ")).otherwise(v)
+        )
+        t = t.withColumn(cell[c], aligned)
+    t = t.select("*", *[F.greatest(F.lit(len(c) + 2), F.max(F.length(cell[c])).over(wk)).alias(width[c]) for c in TABLE_COLUMNS])
+
+    def pad(v: Column, c: str) -> Column:
+        return F.lpad(v, F.col(width[c]), " ") if c in NUMERIC_COLUMNS else F.rpad(v, F.col(width[c]), " ")
+
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[pad(F.col(cell[c]), c) for c in TABLE_COLUMNS]), F.lit(" |"))
+    header = F.concat(F.lit("| "), F.concat_ws(" | ", *[pad(F.lit(c), c) for c in TABLE_COLUMNS]), F.lit(" |"))
+    align = F.concat(
+        F.lit("|"),
+        F.concat_ws(
+            "|",
+            *[
+                F.concat(F.repeat(F.lit("-"), F.col(width[c]) + 1), F.lit(":"))
+                if c in NUMERIC_COLUMNS
+                else F.concat(F.lit(":"), F.repeat(F.lit("-"), F.col(width[c]) + 1))
+                for c in TABLE_COLUMNS
+            ],
+        ),
+        F.lit("|"),
+    )
+    g = t.select(key, "__rn", line.alias("__line"), header.alias("__h"), align.alias("__a")).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.first("__h").alias("__h"),
+        F.first("__a").alias("__a"),
+        F.sort_array(F.collect_list(F.struct("__rn", "__line"))).alias("__lines"),
+    )
+    table = F.array_join(F.concat(F.array("__h", "__a"), F.transform("__lines", lambda x: x["__line"])), "\n")
+    return g.select(key, "n_rows", table.alias("table"))
+
+
 DEFAULT_FOOTER = "*Raport wygenerowany automatycznie*"
 
 
@@ -217,16 +275,16 @@ def collective_report(frame: DataFrame, files: DataFrame, as_of: str, model: str
     checkpoint_root(frame.sparkSession)
     fr = frame.withColumn("company", F.lower("company"))
     # both are read by several branches below: computed once, reliably checkpointed
-    listing = newest_listing(fr, "company", limit).checkpoint(eager=True)
+    listing = listing_tables(fr, "company", limit).checkpoint(eager=True)
     fl = files.withColumn("company", F.lower("company"))
     blocks = summary_blocks(fl).checkpoint(eager=True)
     nfiles = fl.groupBy("company").agg(F.count(F.lit(1)).alias("n_files"))
     ov = collective_overview(fl, blocks=blocks)
-    heads = with_pipe_table(listing.join(nfiles, "company", "left").join(ov, "company", "left"))
+    heads = listing.join(nfiles, "company", "left").join(ov, "company", "left")
     head = heads.select(
         "company", F.lit(0).alias("part"),
         report_header(
-            F.col("company"), as_of, dfrom, dto, F.size("rows"), F.coalesce("n_files", F.lit(0)), model,
+            F.col("company"), as_of, dfrom, dto, F.col("n_rows"), F.coalesce("n_files", F.lit(0)), model,
             F.col("overview"), F.col("table"),
         ).alias("text"),
     )
