@@ -103,77 +103,6 @@ def _g_format(x: Column) -> Column:
     return F.when(s == "-0", F.lit("0")).otherwise(s)
 
 
-def _cells_and_widths(rows: Column) -> tuple[dict[str, Column], dict[str, Column]]:
-    cells: dict[str, Column] = {}
-    widths: dict[str, Column] = {}
-
-    def field_g(c):
-        return lambda r: _g_format(r[c])
-
-    def field_s(c):
-        return lambda r: F.coalesce(r[c].cast("string"), F.lit(""))
-
-    def frac_len(t):
-        return F.when(t.contains("."), F.length(t) - F.instr(t, ".")).otherwise(0)
-
-    def align(decs):
-        return lambda t: (
-            F.when(t.contains("."), F.rpad(t, F.length(t) + decs - frac_len(t), " "))
-            .otherwise(F.when(decs > 0, F.rpad(t, F.length(t) + decs + 1, " ")).otherwise(t))
-        )
-
-    for c in TABLE_COLUMNS:
-        if c in NUMERIC_COLUMNS:
-            txt = F.transform(rows, field_g(c))
-            decs = F.aggregate(txt, F.lit(0), lambda acc, t: F.greatest(acc, frac_len(t)))
-            txt = F.transform(txt, align(decs))
-        else:
-            txt = F.transform(rows, field_s(c))
-        cells[c] = txt
-        widths[c] = F.greatest(F.lit(len(c) + 2), F.coalesce(F.array_max(F.transform(txt, lambda t: F.length(t))), F.lit(0)))
-    return cells, widths
-
-
-def with_pipe_table(df: DataFrame, rows_col: str = "rows", out: str = "table") -> DataFrame:
-    """A Markdown pipe table like ``DataFrame.to_markdown(index=False)``: column width =
-    max(header + 2, widest value); text left-aligned, numbers right-aligned on the decimal point.
-    ``rows_col`` is an ARRAY<STRUCT> with the listing-frame columns (bounded: the newest filings).
-
-    Cells and widths are projected first and the lines built from those columns, so each cell
-    and width is evaluated once per table rather than once per output line."""
-    cells, widths = _cells_and_widths(F.col(rows_col))
-    key = {c: f"__c{i}" for i, c in enumerate(TABLE_COLUMNS)}
-    wkey = {c: f"__w{i}" for i, c in enumerate(TABLE_COLUMNS)}
-    staged = df.select(
-        "*", *[cells[c].alias(key[c]) for c in TABLE_COLUMNS], *[widths[c].alias(wkey[c]) for c in TABLE_COLUMNS]
-    )
-
-    def pad(v: Column, c: str) -> Column:
-        return F.lpad(v, F.col(wkey[c]), " ") if c in NUMERIC_COLUMNS else F.rpad(v, F.col(wkey[c]), " ")
-
-    header = F.concat(F.lit("| "), F.concat_ws(" | ", *[pad(F.lit(c), c) for c in TABLE_COLUMNS]), F.lit(" |"))
-    align = F.concat(
-        F.lit("|"),
-        F.concat_ws(
-            "|",
-            *[
-                F.concat(F.repeat(F.lit("-"), F.col(wkey[c]) + 1), F.lit(":"))
-                if c in NUMERIC_COLUMNS
-                else F.concat(F.lit(":"), F.repeat(F.lit("-"), F.col(wkey[c]) + 1))
-                for c in TABLE_COLUMNS
-            ],
-        ),
-        F.lit("|"),
-    )
-    zipped = F.arrays_zip(*[F.col(key[c]).alias(key[c]) for c in TABLE_COLUMNS])
-    body = F.transform(
-        zipped,
-        lambda z: F.concat(F.lit("| "), F.concat_ws(" | ", *[pad(z[key[c]], c) for c in TABLE_COLUMNS]), F.lit(" |")),
-    )
-    table = F.when(F.size(rows_col) > 0, F.array_join(F.concat(F.array(header, align), body), "\n"))
-    return staged.withColumn(out, table).drop(*key.values(), *wkey.values())
-
-
 def newest_listing(frame: DataFrame, key: str, limit: int) -> DataFrame:
     """Per key the newest ``limit`` listing rows as an ordered array (partial top-k first)."""
     w = Window.partitionBy(key).orderBy(F.desc("ord"))

@@ -409,6 +409,6 @@ def q_append_search(spark, sf):
 )
 def q_registry_scan(spark, sf):
     """A registry table read with its declared schema (column order and types enforced)."""
-    from filingflow.sources.schemas import REGISTRY_SCHEMAS, conform
+    from filingflow.sources.schemas import REGISTRY_SCHEMAS, conform, domain_check
 
-    return conform(T.registry_scan(spark, sf, "reports"), REGISTRY_SCHEMAS["reports"])
+    return domain_check(conform(T.registry_scan(spark, sf, "reports"), REGISTRY_SCHEMAS["reports"]), "reports")

@@ -31,10 +31,6 @@ def incremental_feed(spark: SparkSession, landing: str, schema, sink: str, check
     return spark.read.parquet(sink)
 
 
-def _empty_like(spark: SparkSession, df_schema) -> DataFrame:
-    return spark.createDataFrame([], df_schema)
-
-
 def streaming_registry(spark: SparkSession, landing: str, schema, registry_path: str, checkpoint: str, files_per_trigger: int = 1):
     """R2: each micro-batch runs U3 (first arrival per md5, anti join on the registry, append).
 
