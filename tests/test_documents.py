@@ -131,12 +131,11 @@ def test_kmeans_groups_cut_by_arrow_batches(spark, monkeypatch):
     assert got == sorted(rows(dist, "grp", "pid", "cluster"))
 
 
-def _fake_model():
-    """A stand-in for a caller's model, built once per partition by the hook."""
-    return lambda prompt: "MODEL: " + " ".join(prompt.split()[:3])
-
-
 def test_summarise_with_model_hook(spark):
+    def _fake_model():
+        """A stand-in for a caller's model, built once per partition by the hook."""
+        return lambda prompt: "MODEL: " + " ".join(prompt.split()[:3])
+
     prompts = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one two")], "grp long, prompt string")
     got = sorted(rows(D.summarise_with_model(prompts, _fake_model)))
     assert got == [(1, "MODEL: alpha beta gamma"), (2, "MODEL: one two")]
