@@ -95,12 +95,24 @@ TABLE_COLUMNS = ["date", "title", "report type", "report category", "exchange ra
 NUMERIC_COLUMNS = {"exchange rate", "rate change"}
 
 
+def _strip_fraction_zeros(s: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
 def _g_format(x: Column) -> Column:
-    """Python ``format(v, 'g')`` for values with at most two decimals and < 6 significant digits:
-    the two-decimal text without trailing zeros."""
-    s = x.cast("decimal(20,2)").cast("string")
-    s = F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", "")
-    return F.when(s == "-0", F.lit("0")).otherwise(s)
+    """Python ``format(v, 'g')``: six significant digits; fixed notation when the decimal exponent
+    lies in [-4, 6), otherwise ``d.ddddde+XX``; trailing zeros removed. The exponent is read from
+    the value rounded to six digits; each fixed-notation precision is its own literal format."""
+    d = x.cast("double")
+    sci = F.format_string("%.5e", d)
+    exp = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int")
+    fixed = F.lit(None).cast("string")
+    for e in range(-4, 6):
+        fixed = F.when(exp == e, _strip_fraction_zeros(F.format_string(f"%.{5 - e}f", d))).otherwise(fixed)
+    mant, ex = F.regexp_extract(sci, r"^(.*)e", 1), F.regexp_extract(sci, r"(e[+-]\d+)$", 1)
+    scientific = F.concat(_strip_fraction_zeros(mant), ex)
+    out = F.when(d == 0, F.lit("0")).when((exp >= -4) & (exp < 6), fixed).otherwise(scientific)
+    return F.when(out == "-0", F.lit("0")).otherwise(out)
 
 
 def newest_listing(frame: DataFrame, key: str, limit: int) -> DataFrame:

@@ -139,3 +139,12 @@ def test_summarise_with_model_hook(spark):
     prompts = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one two")], "grp long, prompt string")
     got = sorted(rows(D.summarise_with_model(prompts, _fake_model)))
     assert got == [(1, "MODEL: alpha beta gamma"), (2, "MODEL: one two")]
+
+
+def test_g_format_matches_python(spark):
+    from filingflow.operators.report import _g_format
+
+    vals = [0.0, 21.42, -0.33, 108.0, 1.01, 1234.5678, 12345.67, 0.0001234, 0.00001234, 123456.0, 1234567.0, -2.7, 0.5]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r[0] for r in df.select(_g_format(F.col("v"))).collect()]
+    assert got == [format(v, "g") for v in vals]
