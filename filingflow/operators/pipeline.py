@@ -60,8 +60,9 @@ def run_pipeline(spark: SparkSession, sf_dir: str, model: str = "llama3.2:latest
     accepted, rejected = L.normalise_listing(items)
     arrivals = T.file_arrivals(spark, sf_dir)
     registry = R.register_files(T.downloaded_files(spark, sf_dir).limit(0), arrivals.drop("text", "n_pages"))
-    docs = arrivals.join(registry.select(F.col("md5_hash").alias("m")), arrivals["md5_hash"] == F.col("m"), "left_semi")
-    docs = docs.where(P.is_document(F.col("file_name")))
+    # every downloaded document is condensed (the md5 check only keeps duplicates out of the
+    # registry, so a duplicate's summary has no registry row to be written back to)
+    docs = arrivals.where(P.is_document(F.col("file_name")))
     # read by the write-back, the per-file texts and the report: computed once
     condensed = condense_files(docs, model).checkpoint(eager=True)
     stored = condensed.where(F.col("summary").isNotNull())

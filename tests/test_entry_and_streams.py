@@ -97,3 +97,26 @@ def test_every_inventory_id_has_queries():
     assert missing == {}
     covered = {k for keys in INVENTORY.values() for k in keys}
     assert set(qs) - covered == set()  # every catalogue key is accounted for by an inventory id
+
+
+def test_pipeline_outputs_are_consistent(spark):
+    from filingflow.operators.pipeline import run_pipeline
+    from filingflow.sources import tables as T
+
+    out = run_pipeline(spark, SF_SMALL)
+    docs = T.file_arrivals(spark, SF_SMALL)
+    n_docs = docs.select("md5_hash").distinct().count()
+    summ = out["summaries"]
+    # every downloaded document gets exactly one outcome: a summary or an error
+    assert summ.count() == summ.select("id").distinct().count() == docs.count()
+    assert summ.where(F.col("summary").isNull() & F.col("error").isNull()).count() == 0
+    assert summ.where(F.col("error").isNotNull() & ~F.col("error").startswith("n_samples=")).count() == 0
+    files = out["files"]
+    assert files.count() == n_docs  # one registry row per md5
+    stored = summ.where(F.col("summary").isNotNull()).join(files.select("company", "file_name"), ["company", "file_name"], "left_semi")
+    assert files.where(F.col("is_summarized")).count() == stored.count()
+    rep = out["report"]
+    heads = rep.where(F.col("part") == 0)
+    assert heads.where(~F.col("text").startswith("# Zbiorczy Raport GPW - ")).count() == 0
+    tails = rep.groupBy("company").agg(F.max("part").alias("p")).join(rep, "company").where(F.col("part") == F.col("p"))
+    assert tails.where(~F.col("text").contains("---")).count() == 0
