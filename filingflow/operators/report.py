@@ -265,7 +265,7 @@ def scrape_status_text(n_files: Column) -> Column:
     return F.concat(F.lit("SUCCESS! "), F.when(n_files > 0, F.concat(F.lit("downloaded "), n_files.cast("string"), F.lit(" files "))).otherwise(F.lit("")))
 
 
-def summary_report_rows(reports: DataFrame, as_of_stamp: str) -> DataFrame:
+def summary_report_rows(reports: DataFrame, as_of_stamp: str, report_dir: str = "reports") -> DataFrame:
     """Registry rows for generated reports: dates converted (N/A -> NULL), preview = first
     200 characters of the overview, tags as JSON, format ``md`` (X9)."""
     df = X.parse_date_text(F.col("date_from_text"))
@@ -276,7 +276,7 @@ def summary_report_rows(reports: DataFrame, as_of_stamp: str) -> DataFrame:
         F.when(F.col("date_to_text") != "N/A", dt).alias("date_to"),
         F.col("report_count").cast("int").alias("report_count"),
         F.col("document_count").cast("int").alias("document_count"),
-        F.concat(F.lit("SUMMARY_REPORTS/"), F.col("company"), F.lit(f"_{as_of_stamp}_summary.md")).alias("file_path"),
+        F.concat(F.lit(f"{report_dir}/"), F.col("company"), F.lit(f"_{as_of_stamp}_summary.md")).alias("file_path"),
         F.lit("md").alias("file_format"),
         F.col("file_size").cast("bigint").alias("file_size"),
         F.col("model_used"),

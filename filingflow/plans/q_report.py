@@ -151,7 +151,7 @@ rows AS (SELECT a.company, a.file_size, nr.n_rows, coalesce(nf.n_files, 0) AS n_
   JOIN nr USING (company) LEFT JOIN nf USING (company) LEFT JOIN ov USING (company))
 SELECT (SELECT max(id) FROM summary_reports) + row_number() OVER (ORDER BY company) AS id, 'manual' AS job_name, company,
   CAST(NULL AS DATE) AS date_from, CAST(NULL AS DATE) AS date_to, CAST(n_rows AS INTEGER) AS report_count,
-  CAST(n_files AS INTEGER) AS document_count, concat('SUMMARY_REPORTS/', company, '_20240201_000000_summary.md') AS file_path,
+  CAST(n_files AS INTEGER) AS document_count, concat('reports/', company, '_20240201_000000_summary.md') AS file_path,
   'md' AS file_format, file_size, '{MODEL}' AS model_used, substr(overview, 1, 200) AS summary_preview,
   concat('["', company, '", "manual"]') AS tags FROM rows""",
     ("downloaded_files", "reports", "companies", "summary_reports"),
