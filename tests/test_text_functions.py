@@ -118,3 +118,10 @@ def test_standard_file_name(spark):
 def test_split_header_long_header_general_path(spark):
     h = "01-02-2024 08:00:00 | Roczny | ESPI | extra | 5/2024"
     assert one(spark, X.split_header(F.col("a")), h) == ["01-02-2024", "Roczny", "ESPI", "extra"]
+
+
+def test_html_text_fragments(spark):
+    from filingflow.sources.listing import html_text
+
+    assert one(spark, html_text(F.col("a")), "<b>A &amp; B</b> &lt;x&gt;") == "A & B <x>"
+    assert one(spark, html_text(F.col("a")), "plain") == "plain"
