@@ -111,7 +111,11 @@ def _g_format(x: Column) -> Column:
         fixed = F.when(exp == e, _strip_fraction_zeros(F.format_string(f"%.{5 - e}f", d))).otherwise(fixed)
     mant, ex = F.regexp_extract(sci, r"^(.*)e", 1), F.regexp_extract(sci, r"(e[+-]\d+)$", 1)
     scientific = F.concat(_strip_fraction_zeros(mant), ex)
-    out = F.when(d == 0, F.lit("0")).when((exp >= -4) & (exp < 6), fixed).otherwise(scientific)
+    general = F.when(d == 0, F.lit("0")).when((exp >= -4) & (exp < 6), fixed).otherwise(scientific)
+    # exact fast path: below 1e4 with at most two decimals the value has at most six significant
+    # digits, so its two-decimal text without trailing zeros is already the 'g' text
+    short = F.regexp_replace(F.regexp_replace(d.cast("decimal(20,2)").cast("string"), r"0+$", ""), r"\.$", "")
+    out = F.when((F.abs(d) < 1e4) & (F.bround(d, 2) == d), short).otherwise(general)
     return F.when(out == "-0", F.lit("0")).otherwise(out)
 
 
