@@ -120,3 +120,22 @@ def test_pipeline_outputs_are_consistent(spark):
     assert heads.where(~F.col("text").startswith("# Zbiorczy Raport GPW - ")).count() == 0
     tails = rep.groupBy("company").agg(F.max("part").alias("p")).join(rep, "company").where(F.col("part") == F.col("p"))
     assert tails.where(~F.col("text").contains("---")).count() == 0
+
+
+def test_legacy_config_json_golden(spark, tmp_path):
+    """FIXTURES §3: the documented job JSON reads as one job row (multi-line layout, unknown key
+    dropped, defaults filled)."""
+    from filingflow.sources.config_files import legacy_config_scan
+
+    (tmp_path / "weekly.json").write_text(
+        '{\n  "job_name": "weekly_report",\n  "company": "Asseco",\n  "date_from": "18-10-2025",\n'
+        '  "date_to": "25-10-2025",\n  "model": "llama3.2:latest",\n  "cron_schedule": "0 9 * * 1",\n'
+        '  "enabled": true,\n  "email_notify": null,\n  "description": "weekly",\n  "extra_key": 1\n}\n'
+    )
+    got = legacy_config_scan(spark, str(tmp_path), multi_line=True).collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r["job_name"], r["company"], r["cron_schedule"], r["enabled"], r["report_limit"]) == (
+        "weekly_report", "Asseco", "0 9 * * 1", True, 5,
+    )
+    assert "extra_key" not in r.asDict()
