@@ -7,6 +7,7 @@ only invented here (under the system temp dir) when the session has none, as in
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +42,21 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver was started from (once for each context)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="filingflow-code-")  # Spark sends the file on from the driver
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "filingflow"), "zip", os.path.dirname(here), os.path.basename(here)))
+    _SHIPPED.add(sc.applicationId)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
