@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingflow.llm import decontamination, line_dedup, mixing, sharding, simhash
+from filingflow.llm import decontamination, fingerprints, language_id, line_dedup, mixing, quality, sharding, simhash
 from filingflow.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,17 @@ def q_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@register("op2_language_id")
+def q_language_id(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs, folds=4, held=2).select("doc_id", "held_out", "lang_pred", "score", "label_share")
+
+
+@register("op3_fingerprints")
+def q_fingerprints(spark, sf_dir):
+    return fingerprints.edit_likeness(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register(
     "op4_mixing",
     r"""
@@ -82,6 +93,13 @@ def q_simhash(spark, sf_dir):
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
+@register("op8_quality")
+def q_quality(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, load(spark, sf_dir, "labels").select("doc_id", "quality"), folds=3, held=1)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @register(
     "op9_decontamination",
     r"""
