@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +67,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def range_marks(df: DataFrame, id_col: str, n: int) -> np.ndarray:
+    """At most n - 1 ids that cut the table into about equal ranges (quantiles; only the id is read)."""
+    if n < 2:
+        return np.zeros(0, np.int64)
+    got = df.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / n for i in range(1, n)], 20 * n)).first()[0]
+    return np.unique(np.array(got or [], np.int64))
+
+
+def ranges_of(id_col: Column, marks: np.ndarray) -> Column:
+    """Range of an id, ascending from 1; a null id is in range 0."""
+
+    @F.pandas_udf("int")
+    def place(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in ids:
+            at = np.searchsorted(marks, s.fillna(0).to_numpy(np.int64), "left") + 1
+            yield pd.Series(np.where(s.isna(), 0, at).astype(np.int32))
+
+    return place(id_col.cast("long"))
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the row offsets into them, without Python strings.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import joined_bytes, others, shuffle_partitions, text_buffers
+from filingflow.llm.common import joined_bytes, others, range_marks, ranges_of, shuffle_partitions, text_buffers
 
 K = 128
 SHINGLE = 5  # words
@@ -182,26 +182,21 @@ def deal_in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Bounds are quantiles of the ids. Null ids form the last range. Only the ranges' first ids (one for
     each) reach the driver.
     """
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    ids = docs.select(F.col(id_col).alias("id"))
-    marks = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10000)).first()[0] or []
-    bounds = np.unique(np.array(marks, np.int64))
+    n = shuffle_partitions(docs.sparkSession)
+    marks = range_marks(docs, id_col, n)
 
-    @F.pandas_udf("int")
-    def range_of(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in series:
-            place = len(bounds) - np.searchsorted(bounds, s.fillna(0).to_numpy(np.int64), "left")
-            yield pd.Series(np.where(s.isna(), len(bounds) + 1, place).astype(np.int32))
+    def falling(c: Column) -> Column:  # the first range has the largest ids, the last the null ones
+        return F.lit(len(marks) + 1) - ranges_of(c, marks)
 
-    firsts = ids.groupBy(range_of("id").alias("r")).agg(F.max("id").alias("id")).orderBy("r").collect()
+    ids = docs.select(F.col(id_col).alias("id"))
+    firsts = ids.groupBy(falling(F.col("id")).alias("r")).agg(F.max("id").alias("id")).orderBy("r").collect()
     before = {r["r"]: (firsts[i - 1]["r"], r["id"]) for i, r in enumerate(firsts)}
     here = F.col("__range")
     cases = [F.lit(x) for r, (prev, top) in before.items() for x in (r, F.struct(F.lit(prev).alias("to"), F.lit(top).cast("long").alias("id")))]
     head = F.element_at(F.create_map(*cases), here) if cases else F.lit(None).cast("struct<to:int,id:bigint>")
     own = F.struct(here.alias("to"), F.lit(False).alias("tail"))
     copy = F.struct(head["to"].alias("to"), F.lit(True).alias("tail"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), range_of(F.col(id_col)).alias("__range"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), falling(F.col(id_col)).alias("__range"))
     rows = rows.withColumn("__to", F.explode(F.when(F.col("__id").eqNullSafe(head["id"]), F.array(own, copy)).otherwise(F.array(own))))
     rows = rows.select(F.col("__to.to").alias("__range"), F.col("__to.tail").alias("__tail"), "__id", "__text")
     return rows.repartitionById(n, F.col("__range") % n).sortWithinPartitions("__range", "__tail", F.desc_nulls_last("__id"), F.xxhash64("__text"))

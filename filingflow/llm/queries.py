@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingflow.llm import decontamination, fingerprints, language_id, line_dedup, mixing, quality, sharding, simhash
+from filingflow.llm import decontamination, fingerprints, language_id, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_store
 from filingflow.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +94,18 @@ def q_simhash(spark, sf_dir):
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
+@register("op6_suffix_dedup")
+def q_suffix_dedup(spark, sf_dir):
+    cut = suffix_dedup.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@register("op7_token_ids")
+def q_token_ids(spark, sf_dir):
+    shards = token_store.write_shards(load(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_documents(shards)
+
+
 @register("op8_quality")
 def q_quality(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
