@@ -8,7 +8,7 @@ equal to the fraction, by a draw that its id and the seed alone decide.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingflow.llm.common import others, shuffle_partitions, written
@@ -90,16 +90,8 @@ def mix_plan(
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: the columns of ``docs``, each document ``copies`` times (0: not at all)."""
-    plan = mix_plan(docs, **options)
-    return (
-        plan.where(F.col("copies") > 0)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*[f"`{c}`" for c in docs.columns])
-    ) if not {"size", "source_size", "target", "copies"} & {c.lower() for c in docs.columns} else _mix_clashing(docs, options)
-
-
-def _mix_clashing(docs: DataFrame, options: dict) -> DataFrame:
-    """Columns that bear the plan's names are set aside and come back under their names."""
-    kept = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("size", "source_size", "target", "copies")}
-    aside = docs.withColumnsRenamed(kept)
-    return mix(aside, **options).withColumnsRenamed({v: k for k, v in kept.items()})
+    plan = ("size", "source_size", "target", "copies")
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in plan}  # set aside and given back
+    rows = mix_plan(docs.withColumnsRenamed(own), **options).where(F.col("copies") > 0)
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop(*plan, "__copy")
+    return rows.withColumnsRenamed({v: k for k, v in own.items()}).select(*[f"`{c}`" for c in docs.columns])
