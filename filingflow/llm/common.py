@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,19 @@ def others(df: DataFrame, new: list[str]) -> list[str]:
     return [f"`{c}`" for c in df.columns if c.lower() not in taken]
 
 
+def own_names(operator):
+    """Names that start with ``__`` belong to the operators: columns of the caller that do are renamed on the
+    way in and get their names back on the way out."""
+
+    @wraps(operator)
+    def call(docs: DataFrame, *args, **options) -> DataFrame:
+        away = {c: f"own_column_{i}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        out = operator(docs.withColumnsRenamed(away) if away else docs, *args, **options)
+        return out.withColumnsRenamed({v: k for k, v in away.items()}) if away else out
+
+    return call
+
+
 def with_row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``__rk``, ``__rd``: a key that equal (id, text) rows share and no other rows do.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import crc_bucket, others, text_buffers
+from filingflow.llm.common import crc_bucket, others, own_names, text_buffers
 
 UNKNOWN = "und"
 
@@ -236,6 +236,7 @@ def learn(docs: DataFrame, how: Training, usable: Column, id_col: str, text_col:
     return net
 
 
+@own_names
 def label_languages(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (mean probability of that language over all bytes, 0 to 1) and ``label_share``
     (share of bytes labelled with it); columns of these names are replaced.

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import others, shuffle_partitions, written
+from filingflow.llm.common import others, own_names, shuffle_partitions, written
 from filingflow.operators.common import dense_ids
 
 SEED = "mix-1"
@@ -59,6 +59,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, ca
     return src.select("source", "source_size", F.when(F.col("__cap") <= share, F.col("__cap")).otherwise(share).alias("target"))
 
 
+@own_names
 def mix_plan(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -88,6 +89,7 @@ def mix_plan(
     )
 
 
+@own_names
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: the columns of ``docs``, each document ``copies`` times (0: not at all)."""
     plan = ("size", "source_size", "target", "copies")

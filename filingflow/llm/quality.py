@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import crc_bucket, others, text_buffers
+from filingflow.llm.common import crc_bucket, others, own_names, text_buffers
 from filingflow.llm.fingerprints import CHUNK, word_hashes
 
 WORD_SLOTS = 256
@@ -174,6 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, how: Training, folds: int, held: i
     return fit(pos, unl, prior, how)
 
 
+@own_names
 def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1; 0.5 where there is no model); a column of this name is replaced. Null and empty
     texts are scored as texts without bytes. Long texts are read whole. Equal texts get equal scores."""

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import shuffle_partitions, text_buffers, with_row_key, written
+from filingflow.llm.common import own_names, shuffle_partitions, text_buffers, with_row_key, written
 
 BITS = 64
 SEED = 42
@@ -247,6 +247,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
 
 
+@own_names
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, ``fingerprint``, ``component_id``) for every row.
 
@@ -271,6 +272,7 @@ def _rooted(nodes: DataFrame, distance: int) -> DataFrame:
     return nodes.join(comp, nodes["__fp"] == comp["node"], "left").select(*nodes.columns, F.coalesce("root", "__fp").alias("__root"))
 
 
+@own_names
 def keep_representatives(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null ids come last; of rows with
     the same id, one of the smallest text hash). Columns are unchanged."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import others, shuffle_partitions, text_buffers, written
+from filingflow.llm.common import others, own_names, shuffle_partitions, text_buffers, written
 from filingflow.llm.fingerprints import mix
 
 LENGTH = 400
@@ -337,7 +337,7 @@ def compare_segments(segments: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(``__rk``, ``__rd``, ``spans``): byte ranges (start, end) of each row that repeated strings cover, unmerged."""
+    """(``__rk``, ``__rd``, ``__spans``): byte ranges (start, end) of each row that repeated strings cover, unmerged."""
     found = find_anchors(keyed, length, gram)
     groups = found.groupBy("kh").agg(F.count(F.lit(1)).alias("n"), F.min("sh").alias("least"), F.max("sh").alias("most")).where("n > 1")
     groups = written(groups.select("kh", (F.col("least") != F.col("most")).alias("mixed")), "repeat-groups")
@@ -355,7 +355,7 @@ def repeated_spans(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     part = written(part.unionByName(copies), "repeat-runs")
     pieces = again.where("mixed").join(part, ["kh", "sh"])
     pieces = pieces.select("__rk", "__rd", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + length).alias("end"))
-    return whole.unionByName(pieces).groupBy("__rk", "__rd").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return whole.unionByName(pieces).groupBy("__rk", "__rd").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -368,6 +368,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@own_names
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``spans`` (array of removed byte ranges, merged), ``kept_bytes`` (binary: a cut may
     fall inside a character) and ``kept_sha256``; columns of these names are replaced.
@@ -385,7 +386,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     keys = {"__rk": F.xxhash64(text, ident), "__rd": F.xxhash64(ident, F.length(text)), "__text": text}
     keyed = docs.withColumns(keys)
     spans = repeated_spans(keyed.select("__rk", "__rd", "__text"), length, gram)
-    fed = keyed.join(spans, ["__rk", "__rd"], "left").select(*rest, "__text", F.col("spans").alias("__spans"))
+    fed = keyed.join(spans, ["__rk", "__rd"], "left").select(*rest, "__text", "__spans")
     blank = {"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<start:int,end:int>>")}
     schema = docs.select(*rest).withColumns(blank | {"kept_bytes": F.lit(b""), "kept_sha256": F.lit("")}).schema
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
