@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import WHITE, ascii_lower, others, with_row_key
+from filingflow.llm.common import WHITE, ascii_lower, others, own_names, with_row_key, written
 
 
 def line_key(line: Column) -> Column:
@@ -18,6 +18,7 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
+@own_names
 def dedup_lines(
     docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -30,10 +31,9 @@ def dedup_lines(
     """
     base = with_row_key(docs, id_col, text_col)
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    keys = F.transform(
-        lines, lambda x: F.when(F.length(line_key(x)) >= min_chars, F.unhex(F.md5(line_key(x).cast("binary"))))
-    )
-    narrow = base.select("__rk", "__rd", keys.alias("__keys"))
+    keys = F.transform(lines, lambda x: F.when(F.length(F.btrim(x, F.lit(WHITE))) >= min_chars, F.unhex(F.md5(line_key(x).cast("binary")))))
+    # written once: the hashes are read for the counts and again for the positions
+    narrow = written(base.select("__rk", "__rd", keys.alias("__keys")), "line-keys")
     shared = (
         narrow.select(F.explode(F.array_distinct(F.array_compact("__keys"))).alias("__key"))
         .groupBy("__key")
@@ -41,6 +41,8 @@ def dedup_lines(
         .where(F.col("__n") >= min_docs)
         .select("__key")
     )
+    # written, so that both sides of the join below are shuffled as they are and a hot line can be split
+    shared = written(shared, "shared-lines")
     lost = (
         narrow.select("__rk", "__rd", F.posexplode("__keys").alias("__pos", "__key"))
         .where(F.col("__key").isNotNull())
