@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import ascii_lower, others, with_row_key
+from filingflow.llm.common import ascii_lower, others, own_names, with_row_key, written
 from filingflow.operators.common import broadcast_if_small
 
 # Fixed value: everything in ASCII that is no digit or lower-case letter splits words.
@@ -57,6 +57,7 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int, id_col: str, text_col:
     )
 
 
+@own_names
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,
@@ -74,7 +75,8 @@ def decontaminate(
     result. Empty tables on either side are fine.
     """
     new = ["n_words", "n_hit", "n_items", "items", "spans"]
-    hits = find_hits(docs, items, n, id_col, text_col, item_id, item_text)
+    # written: the windows are sought once, for the spans and for the items
+    hits = written(find_hits(docs, items, n, id_col, text_col, item_id, item_text), "benchmark-hits")
     key = ["__rk", "__rd"]
     ends = hits.select(*key, "__start", (F.col("__start") + F.col("__len")).alias("__end")).distinct()
     order = Window.partitionBy(*key).orderBy("__start", "__end")
@@ -101,6 +103,7 @@ def decontaminate(
     )
 
 
+@own_names
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, **cols) -> DataFrame:
     """``docs`` without the documents that hold a window of an item, columns unchanged."""
     id_col, text_col = cols.get("id_col", "doc_id"), cols.get("text_col", "text")
