@@ -42,7 +42,9 @@ def cron_check(cron: Column) -> Column:
     errs = []
     for i, (lo, hi, name) in enumerate(CRON_FIELDS):
         p = _at(parts, i + 1)
-        bad = p.rlike(r"^[0-9]+$") & ~p.isin("*", "*/1") & ((p.cast("long") < lo) | (p.cast("long") > hi))
+        # a number too long for a decimal is out of any range
+        n = p.try_cast("decimal(38,0)")
+        bad = p.rlike(r"^[0-9]+$") & (n.isNull() | (n < lo) | (n > hi))
         errs.append(F.when(bad, F.lit(f"{name} musi być między {lo} a {hi}")))
     first = _at(F.filter(F.array(*errs), lambda e: e.isNotNull()), 1)
     msg = F.when(F.size(parts) != 5, F.lit(CRON_FIELD_COUNT_ERROR)).otherwise(F.coalesce(first, F.lit(CRON_OK)))
@@ -67,59 +69,106 @@ def job_errors(job_name: Column, company: Column, model: Column, cron: Column, d
     return F.filter(errs, lambda e: e.isNotNull())
 
 
-def _expand(field: Column, lo: int, hi: int) -> Column:
-    """Allowed values of one cron field: ``*``, ``*/n``, ``a``, ``a-b``, ``a-b/n`` and comma lists."""
+# Names that a month or weekday field may use, from their first number on.
+MONTH_NAMES = (1, "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split())
+DAY_NAMES = (0, "SUN MON TUE WED THU FRI SAT".split())
 
-    def item(x: Column) -> Column:
-        base = F.split(x, "/")
-        rng = _at(base, 1)
-        step = F.coalesce(F.try_element_at(base, F.lit(2)).cast("int"), F.lit(1))
+
+def _number(x: Column, names: tuple[int, list[str]] | None) -> Column:
+    """A field's number or three-letter name (any case); NULL for anything else."""
+    out = x.try_cast("int")
+    if names:
+        first, words = names
+        at = F.array_position(F.array(*[F.lit(w) for w in words]), F.upper(x))
+        out = F.coalesce(out, F.when(at > 0, (at - 1 + first).cast("int")))
+    return F.when(x.rlike(r"^(\d+|[A-Za-z]+)$"), out)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: bound as the variable of a lambda over one element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _expand(field: Column, lo: int, hi: int, names: tuple[int, list[str]] | None = None) -> Column:
+    """Allowed values of one cron field: ``*``, ``*/n``, ``a``, ``a-b``, ``a-b/n`` and comma lists; numbers or names.
+    NULL if any item is malformed: not a number or name, out of range, falling, or a step below 1."""
+
+    def bounds(x: Column) -> Column:
+        rng, step = _at(x, 1), _at(x, 2)
         ends = F.split(rng, "-")
-        a = F.when(rng == "*", F.lit(lo)).otherwise(_at(ends, 1).cast("int"))
-        b = F.when(rng == "*", F.lit(hi)).when(F.size(ends) == 2, _at(ends, 2).cast("int")).when(
-            F.size(base) == 2, F.lit(hi)
-        ).otherwise(a)
-        return F.when(a.isNull() | b.isNull() | (a > b), F.array().cast("array<int>")).otherwise(F.sequence(a, b, step))
+        a = F.when(rng == "*", F.lit(lo)).otherwise(_number(_at(ends, 1), names))
+        b = (
+            F.when(rng == "*", F.lit(hi))
+            .when(F.size(ends) == 2, _number(_at(ends, 2), names))
+            .when(F.size(x) == 2, F.lit(hi))
+            .otherwise(a)
+        )
+        every = F.when(F.size(x) == 1, F.lit(1)).otherwise(_number(step, None))
+        return F.struct(a.alias("a"), b.alias("b"), every.alias("every"), (F.size(ends) + F.size(x) * 10).alias("form"))
+
+    def values(v: Column) -> Column:
+        fine = v["form"].isin(11, 12, 21, 22) & (v["a"] >= lo) & (v["a"] <= v["b"]) & (v["b"] <= hi) & (v["every"] >= 1)
+        return F.when(fine, F.sequence(v["a"], v["b"], F.least(v["every"], F.lit(hi + 1))))
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(field, ","), item))))
+    items = F.transform(F.split(field, ","), lambda x: _let(_let(F.split(x, "/"), bounds), values))
+    return _let(items, lambda i: F.when(~F.exists(i, lambda x: x.isNull()), F.array_sort(F.array_distinct(F.flatten(i)))))
 
 
-def next_fire_time(cron: Column, now: Column, horizon_days: int = 1500) -> Column:
+def next_fire_time(cron: Column, now: Column) -> Column:
     """K5: the first minute strictly after ``now`` that the cron expression selects.
 
-    Day rule as in Vixie cron: when both day-of-month and day-of-week are restricted (not
-    starting with ``*``) a day matches if either does. Candidate days are a bounded ``sequence``
-    (``horizon_days``); NULL when nothing matches inside it or the expression is malformed.
+    Day rule as in Vixie cron: when both day-of-month and day-of-week are restricted (not starting
+    with ``*``) a day matches if either does. NULL when the expression is malformed or no date ever
+    matches. Days are listed month by month, only in months of the month set, and the fold stops
+    listing once it holds two; any day that exists comes back within eight years (29 February
+    across a century year), so 97 months hold the next one or there is none.
     """
-    parts = _parts(cron)
-    mins = _expand(_at(parts, 1), 0, 59)
-    hours = _expand(_at(parts, 2), 0, 23)
-    doms = _expand(_at(parts, 3), 1, 31)
-    months = _expand(_at(parts, 4), 1, 12)
-    dows = F.transform(_expand(_at(parts, 5), 0, 7), lambda d: d % 7)
-    dom_any = _at(parts, 3).startswith("*")
-    dow_any = _at(parts, 5).startswith("*")
-    times = F.array_sort(F.flatten(F.transform(hours, lambda h: F.transform(mins, lambda m: h * 60 + m))))
+    fields = _let(
+        _parts(cron),
+        lambda p: F.struct(
+            (F.size(p) == 5).alias("five"),
+            _expand(_at(p, 1), 0, 59).alias("minutes"),
+            _expand(_at(p, 2), 0, 23).alias("hours"),
+            _expand(_at(p, 3), 1, 31).alias("doms"),
+            _expand(_at(p, 4), 1, 12, MONTH_NAMES).alias("months"),
+            F.transform(_expand(_at(p, 5), 0, 7, DAY_NAMES), lambda d: d % 7).alias("dows"),
+            _at(p, 3).startswith("*").alias("any_dom"),
+            _at(p, 5).startswith("*").alias("any_dow"),
+        ),
+    )
     today = F.to_date(now)
-    days = F.sequence(today, F.date_add(today, horizon_days))
+    first = F.trunc(today, "MM")
+
+    def days_of(f: Column) -> Column:
+        def day_ok(d: Column) -> Column:
+            dom_ok, dow_ok = F.array_contains(f["doms"], F.dayofmonth(d)), F.array_contains(f["dows"], F.dayofweek(d) - 1)
+            both = f["any_dom"] & f["any_dow"]
+            rule = F.when(both, F.lit(True)).when(f["any_dom"], dow_ok).when(f["any_dow"], dom_ok).otherwise(dom_ok | dow_ok)
+            return (d >= today) & rule
+
+        def more(found: Column, m: Column) -> Column:
+            days = F.filter(F.sequence(m, F.last_day(m)), day_ok)
+            return F.when(F.size(found) >= 2, found).otherwise(F.concat(found, F.slice(days, 1, 2)))
 
-    def day_ok(d: Column) -> Column:
-        dom_ok = F.array_contains(doms, F.dayofmonth(d))
-        dow_ok = F.array_contains(dows, F.dayofweek(d) - 1)
-        rule = F.when(dom_any & dow_any, F.lit(True)).when(dom_any, dow_ok).when(dow_any, dom_ok).otherwise(dom_ok | dow_ok)
-        return F.array_contains(months, F.month(d)) & rule
+        months = F.transform(F.sequence(F.lit(0), F.lit(97)), lambda i: F.add_months(first, i))
+        return F.aggregate(F.filter(months, lambda m: F.array_contains(f["months"], F.month(m))), F.array().cast("array<date>"), more)
 
-    cand = F.slice(F.filter(days, day_ok), 1, 2)
-    now_min = F.hour(now) * 60 + F.minute(now)
-    later_today = _at(F.filter(times, lambda t: t > now_min), 1)
-    first_day = _at(cand, 1)
+    def times_of(f: Column) -> Column:
+        return F.array_sort(F.flatten(F.transform(f["hours"], lambda h: F.transform(f["minutes"], lambda m: h * 60 + m))))
 
     def at(d: Column, t: Column) -> Column:
         return F.make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d), F.floor(t / 60).cast("int"), (t % 60).cast("int"), F.lit(0))
 
-    earliest = _at(times, 1)
-    when_today = F.when(later_today.isNotNull(), at(first_day, later_today)).otherwise(
-        at(_at(cand, 2), earliest)
-    )
-    ok = (F.size(parts) == 5) & (F.size(times) > 0)
-    return F.when(ok, F.when(first_day == today, when_today).otherwise(at(first_day, earliest)))
+    def choose(c: Column) -> Column:
+        passed = F.hour(now) * 60 + F.minute(now)
+        later = _at(F.filter(c["times"], lambda t: t > passed), 1)
+        earliest, day = _at(c["times"], 1), _at(c["days"], 1)
+        return F.when((day == today) & later.isNotNull(), at(day, later)).when(day == today, at(_at(c["days"], 2), earliest)).otherwise(at(day, earliest))
+
+    def solve(f: Column) -> Column:
+        fine = f["five"]
+        for name in ("minutes", "hours", "doms", "months", "dows"):
+            fine = fine & f[name].isNotNull()
+        return F.when(fine, _let(F.struct(days_of(f).alias("days"), times_of(f).alias("times")), choose))
+
+    return _let(fields, solve)

@@ -37,7 +37,7 @@ def first_token(c: Column) -> Column:
 
 
 def split_header(h: Column) -> Column:
-    """``'19-09-2024 15:41:53 | Bieżący | ESPI | 22/2024'`` -> ``[19-09-2024, Bieżący, ESPI]``.
+    """``'02-03-2021 08:00:00 | Roczny | EBI | 7/2021'`` -> ``[02-03-2021, Roczny, EBI]``.
 
     Split on ``|``, drop the last segment, strip each, keep the first token of the date; with
     two kept segments the third is ``unknown``. Fewer than two kept segments -> NULL (the row
@@ -155,10 +155,13 @@ def format_date_input(c: Column) -> Column:
     """Epoch seconds, ISO (``Z`` allowed) or ``dd-MM-yyyy`` text -> ``dd-MM-yyyy``; else ''."""
     s = c.cast("string")
     as_num = F.when(s.rlike(r"^-?\d+(\.\d+)?$"), F.timestamp_seconds(s.try_cast("double")))
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.regexp_replace(s, "Z$", "+00:00")))
-    parsed = F.coalesce(as_num, iso)
+    # an ISO text is valid as a whole, but its day is the one it names, whatever its offset
+    iso = F.when(
+        s.rlike(r"^\d{4}-\d{2}-\d{2}") & F.try_to_timestamp(F.regexp_replace(s, "Z$", "+00:00")).isNotNull(),
+        F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"),
+    )
     keep = F.when(s.contains("-") & (F.length(s) == 10), s)
-    out = F.coalesce(F.date_format(parsed, "dd-MM-yyyy"), keep, F.lit(""))
+    out = F.coalesce(F.date_format(as_num, "dd-MM-yyyy"), F.date_format(iso, "dd-MM-yyyy"), keep, F.lit(""))
     return F.when(F.coalesce(s, F.lit("")) == "", F.lit("")).otherwise(out)
 
 

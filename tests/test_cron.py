@@ -76,3 +76,29 @@ def test_next_fire_time_matches_brute_force(spark):
     got = df.select("c", "now", C.next_fire_time(F.col("c"), F.col("now")).alias("nx")).collect()
     for r in got:
         assert r["nx"] == brute_next(r["c"], r["now"]), (r["c"], r["now"])
+
+
+def _next(spark, expr, now):
+    df = spark.createDataFrame([(expr, now)], "c string, now timestamp_ntz")
+    return df.select(C.next_fire_time(F.col("c"), F.col("now")).alias("x")).first()["x"]
+
+
+def test_leap_days_across_a_century_year(spark):
+    assert _next(spark, "0 0 29 2 *", dt.datetime(2096, 3, 1)) == dt.datetime(2104, 2, 29)
+    assert _next(spark, "0 0 30 2 *", dt.datetime(2024, 1, 1)) is None
+
+
+def test_names_in_month_and_weekday_fields(spark):
+    now = dt.datetime(2024, 2, 1, 10, 30)
+    for named, plain in (("0 9 * * MON", "0 9 * * 1"), ("0 9 * jan *", "0 9 * 1 *"), ("0 9 * * 1-FRI", "0 9 * * 1-5"), ("0 9 * Mar,DEC sun", "0 9 * 3,12 0")):
+        assert _next(spark, named, now) == brute_next(plain, now), named
+
+
+def test_malformed_fields_give_null_and_never_fail(spark):
+    bad = ["*/0 * * * *", "0 9 * * FOO", "x 9 * * 1", "99999999999999999999 9 * * 1", "70 9 * * 1", "5-1 9 * * 1", "1-2-3 9 * * 1", "0 9 * *", "", None, "1/2/3 * * * *", ", * * * *"]
+    df = spark.createDataFrame([(b,) for b in bad], "c string")
+    got = df.select(C.next_fire_time(F.col("c"), F.lit("2024-02-01 10:30:00").cast("timestamp_ntz")).alias("n")).collect()
+    assert all(r["n"] is None for r in got)
+    assert _check(spark, "99999999999999999999 9 * * 1") == (False, "Minuta musi być między 0 a 59")
+    assert _check(spark, "9" * 60 + " 9 * * 1") == (False, "Minuta musi być między 0 a 59")
+    assert _check(spark, "0 9 * * MON")[0] is True

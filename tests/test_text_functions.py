@@ -125,3 +125,10 @@ def test_html_text_fragments(spark):
 
     assert one(spark, html_text(F.col("a")), "<b>A &amp; B</b> &lt;x&gt;") == "A & B <x>"
     assert one(spark, html_text(F.col("a")), "plain") == "plain"
+
+
+def test_date_input_keeps_the_text_own_day(spark):
+    given = {"2024-01-02T00:30:00+02:00": "02-01-2024", "2024-01-02T23:30:00-05:00": "02-01-2024", "2024-01-02T00:30:00Z": "02-01-2024", "0": "01-01-1970"}
+    df = spark.createDataFrame([(k,) for k in given], "c string")
+    got = {r["c"]: r["v"] for r in df.select("c", X.format_date_input(F.col("c")).alias("v")).collect()}
+    assert got == given
