@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingflow.session import checkpoint_root, scratch_dir
+from filingflow.session import scratch_dir
 
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
@@ -61,6 +61,19 @@ def ordinal(
     return res.drop(b, "__off")
 
 
+def top_k(rows: DataFrame, keys: list[str], order: list[Column], limit: Column, salt: Column, salts: int = 64, out: str = "rn") -> DataFrame:
+    """The first ``limit`` rows (a column, any size, one value per key) of each key, numbered from 1 in ``out``.
+
+    Rows are cut once per (key, salt) and then per key, so a hot key is spread over ``salts`` tasks
+    and only its survivors meet.
+    """
+    part = rows.withColumns({"__limit": limit, "__salt": F.pmod(F.xxhash64(salt), F.lit(salts))})
+    first = Window.partitionBy(*keys, "__salt").orderBy(*order)
+    part = part.withColumn(out, F.row_number().over(first)).where(F.col(out) <= F.col("__limit"))
+    last = Window.partitionBy(*keys).orderBy(*order)
+    return part.withColumn(out, F.row_number().over(last)).where(F.col(out) <= F.col("__limit")).drop("__limit", "__salt")
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Materialise ``df`` as parquet in the shared checkpoint folder and continue from it."""
     spark = df.sparkSession
@@ -77,19 +90,29 @@ def lower_key(c: str | Column) -> Column:
 def dense_ids(df: DataFrame, order_cols: list[str], start: Column | int = 0, out: str = "id", partitions: int | None = None) -> DataFrame:
     """Number rows ``start+1, start+2, ...`` in ``order_cols`` order without a global window.
 
-    The rows are range-partitioned on the order columns, each partition's row count is taken
-    (one small row per partition), offsets are prefix sums over those counts, and rows are
-    numbered inside their own partition. Used for AUTO_INCREMENT-style ids of appended rows.
+    Only the order columns are range-partitioned and written (distinct keys with their row counts);
+    each partition's row count is taken (one small row per partition), offsets are prefix sums over
+    those counts, and keys are numbered inside their own partition. The wide rows meet their number
+    in one join; rows that share a key are numbered inside it, in no particular order.
     """
     n = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    checkpoint_root(df.sparkSession)
-    # The range bounds are sampled from the input; counting and numbering must see the *same*
-    # partitioning, so the partitioned rows are checkpointed (reliably, to the shared folder) once.
-    ranged = df.repartitionByRange(n, *order_cols).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    names = [f"__k{i}" for i in range(len(order_cols))]
+    keys = df.select(*[F.col(c).alias(k) for c, k in zip(order_cols, names)]).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    # The range bounds are sampled; counting and numbering must see the same partitions: written once.
+    ranged = cut_lineage(keys.repartitionByRange(n, *names).withColumn("__pid", F.spark_partition_id()), "dense-ids")
+    counts = ranged.groupBy("__pid").agg(F.sum("__n").alias("__all"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    numbered = ranged.join(F.broadcast(offsets), "__pid")
-    w_in = Window.partitionBy("__pid").orderBy(*order_cols)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__all").over(w), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy("__pid").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ranged.join(F.broadcast(offsets), "__pid").withColumn("__first", F.col("__off") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    same = None
+    for c, k in zip(order_cols, names):
+        hit = df[c].eqNullSafe(numbered[k])
+        same = hit if same is None else same & hit
+    joined = df.join(numbered.select(*names, "__first", "__n"), same)
+    tie = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))
     base = start if isinstance(start, Column) else F.lit(start)
-    return numbered.withColumn(out, (base + F.col("__off") + F.row_number().over(w_in)).cast("bigint")).drop("__pid", "__off")
+    one = joined.where(F.col("__n") == 1).withColumn("__tie", F.lit(1))
+    many = joined.where(F.col("__n") > 1).withColumn("__tie", tie)
+    rows = one.unionByName(many).withColumn(out, (base + F.col("__first") + F.col("__tie")).cast("bigint"))
+    return rows.drop(*names, "__first", "__n", "__tie")

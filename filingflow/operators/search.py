@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
-from filingflow.operators.common import broadcast_if_small, lower_key
+from filingflow.operators.common import lower_key, top_k
 
 
 def search_reports(reports: DataFrame, company_id=None, date_from=None, date_to=None, report_type=None, limit=100):
@@ -143,52 +143,69 @@ def recent_searches_display(history: DataFrame, limit=2) -> DataFrame:
     )
 
 
-PREFIX_LENGTHS = (4, 8, 12, 16)
+GRAM = 3
+
+
+def _grams(c: Column, n: int) -> Column:
+    """Every distinct run of ``n`` characters (none if the text is shorter)."""
+    at = F.sequence(F.lit(1), F.length(c) - n + 1)
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def company_lookup(requests: DataFrame, companies: DataFrame, name_col="name") -> DataFrame:
     """F11 batched: the request text is a case-insensitive LIKE pattern; first hit = smallest id.
 
-    * Requests without ``%``/``_`` are plain case-insensitive equality: an equi join.
-    * Patterns with a literal prefix of at least 4 characters join on that prefix: each company
-      name is exploded into its prefixes of 4/8/12/16 characters, each pattern picks the longest
-      of those lengths inside its literal prefix, and the LIKE is the residual filter — exact,
-      and a pattern only meets names that share its prefix.
-    * The rest (``%x%``-style patterns) use a nested-loop join with the request side broadcast
-      when its estimated size is small.
+    Each pattern takes the narrowest exact way, by its form:
+
+    * no wildcard: equality, an equi join;
+    * text and one ``%`` at its end: the smallest id per name prefix is aggregated first, so a prefix
+      that all names share is one row;
+    * wildcards only: the smallest id per name length decides;
+    * anything else: names are indexed by the n-grams (1 to 3 characters) they hold, the pattern
+      joins on the rarest n-gram of its literal runs, and LIKE is the residual filter.
     """
-    q = requests.select(F.col(name_col).alias("pattern")).distinct()
-    lp = F.lower(F.col("pattern"))
-    is_pat = F.col("pattern").contains("%") | F.col("pattern").contains("_")
-    literal = q.where(~is_pat)
-    pats = q.where(is_pat).withColumn("__lit", F.length(F.regexp_extract(lp, r"^([^%_]*)", 1)))
-    c = companies.select("id", lower_key("name").alias("lname"))
-    lit_hit = (
-        literal.join(c.groupBy("lname").agg(F.min("id").alias("company_id")), F.lower("pattern") == F.col("lname"), "left")
-        .select("pattern", "company_id")
+    q = requests.select(F.col(name_col).alias("pattern")).where(F.col(name_col).isNotNull()).distinct()
+    q = q.withColumn("lp", F.lower("pattern")).withColumn("runs", F.filter(F.split("lp", "[%_]"), lambda r: r != ""))
+    any_, one = F.col("lp").contains("%"), F.col("lp").contains("_")
+    form = (
+        F.when(~any_ & ~one, F.lit("text"))
+        .when(F.size("runs") == 0, F.lit("wild"))
+        .when(F.col("lp").rlike("^[^%_]+%$"), F.lit("prefix"))
+        .otherwise(F.lit("grams"))
     )
-    plen = F.lit(None).cast("int")
-    for n in PREFIX_LENGTHS:
-        plen = F.when(F.col("__lit") >= n, F.lit(n)).otherwise(plen)
-    keyed = pats.where(F.col("__lit") >= PREFIX_LENGTHS[0]).withColumn("__plen", plen).withColumn(
-        "__prefix", F.substring(lp, 1, 16)
-    ).withColumn("__prefix", F.expr("substring(__prefix, 1, __plen)"))
-    names = c.select(
-        "id", "lname",
-        F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("lname", 1, n).alias("p")) for n in PREFIX_LENGTHS])).alias("k"),
-    ).where(F.length("lname") >= F.col("k.n")).select("id", "lname", F.col("k.n").alias("__plen"), F.col("k.p").alias("__prefix"))
-    pref_hit = (
-        keyed.join(names, ["__plen", "__prefix"], "left")
-        .groupBy("pattern")
-        .agg(F.min(F.when(F.expr("lname LIKE lower(pattern)"), F.col("id"))).alias("company_id"))
+    q = q.withColumn("form", form)
+    c = companies.select("id", lower_key("name").alias("lname")).where(F.col("name").isNotNull())
+
+    text = q.where("form = 'text'").join(c.groupBy("lname").agg(F.min("id").alias("company_id")), F.col("lp") == F.col("lname"), "left")
+
+    starts = c.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("lname")), lambda i: F.substring("lname", F.lit(1), i))).alias("start"))
+    starts = starts.groupBy("start").agg(F.min("id").alias("company_id"))
+    prefix = q.where("form = 'prefix'").join(starts, F.expr("substring(lp, 1, length(lp) - 1)") == F.col("start"), "left")
+
+    lengths = c.groupBy(F.length("lname").alias("len")).agg(F.min("id").alias("id"))  # one row for each length
+    least = F.length("lp") - F.length(F.replace("lp", F.lit("_")))
+    wild = q.where("form = 'wild'").withColumns({"least": least, "open": any_})
+    spans = wild.select("pattern", "least", "open").join(
+        F.broadcast(lengths.agg(F.sort_array(F.collect_list(F.struct("len", "id"))).alias("lens")))
     )
-    short = pats.where(F.col("__lit") < PREFIX_LENGTHS[0]).drop("__lit")
-    loop_hit = (
-        c.join(broadcast_if_small(short), F.expr("lname LIKE lower(pattern)"), "right")
-        .groupBy("pattern")
-        .agg(F.min("id").alias("company_id"))
+    fit = F.filter("lens", lambda x: F.when(F.col("open"), x["len"] >= F.col("least")).otherwise(x["len"] == F.col("least")))
+    wild = spans.select("pattern", F.array_min(F.transform(fit, lambda x: x["id"])).alias("company_id"))
+
+    hard = q.where("form = 'grams'")
+    longest = F.aggregate("runs", F.lit(""), lambda a, r: F.when(F.length(r) > F.length(a), r).otherwise(a))
+    hard = hard.withColumn("n", F.least(F.lit(GRAM), F.length(longest)))
+    names = c.select("id", "lname", F.explode(F.flatten(F.array(*[_grams(F.col("lname"), n) for n in range(1, GRAM + 1)]))).alias("gram"))
+    wanted = hard.select("pattern", "lp", F.explode(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.when(F.length(r) >= F.col("n"), F.transform(
+        F.sequence(F.lit(1), F.length(r) - F.col("n") + 1), lambda i: F.substring(r, i, F.col("n")))).otherwise(F.array().cast("array<string>")))))).alias("gram"))
+    frequency = names.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    rarest = wanted.join(frequency, "gram", "left").groupBy("pattern", "lp").agg(
+        F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("gram")
     )
-    return lit_hit.unionByName(pref_hit).unionByName(loop_hit)
+    hits = rarest.join(names, "gram", "left").groupBy("pattern").agg(F.min(F.when(F.expr("lname LIKE lp"), F.col("id"))).alias("company_id"))
+    out = [x.select("pattern", "company_id") for x in (text, prefix, wild, hits)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 def list_companies(companies: DataFrame) -> DataFrame:
@@ -196,73 +213,71 @@ def list_companies(companies: DataFrame) -> DataFrame:
     return companies.select("id", "name", "full_name", "sector").orderBy("name", "id")
 
 
-# The type codes the listing request sends, by report type.
-TYPE_CODE = {"current": "RB", "semi-annual": "P", "quarterly": "Q", "interim": "O", "annual": "R"}
 DEFAULT_RUN_TYPES = ["current", "quarterly", "semi-annual", "annual"]
 DEFAULT_CATEGORIES = ["ESPI", "EBI"]
-MAX_REPORT_LIMIT = 100
 
 
-def per_request_limit(rows: DataFrame, request_col: str, order: list[Column], limit_col: str) -> DataFrame:
-    """At most ``limit_col`` rows (domain 1-100) per request, numbered ``rn``.
+def per_request_limit(rows: DataFrame, request_col: str, order: list[Column], limit_col: str, salt_col: str = "id") -> DataFrame:
+    """At most ``limit_col`` rows per request, numbered ``rn``; the limit is the request's own, of any size."""
+    return top_k(rows, [request_col], order, F.col(limit_col), F.col(salt_col)).withColumn("rn", F.col("rn").cast("int"))
 
-    ``row_number() <= 100`` with a literal bound lets Spark insert a partial WindowGroupLimit
-    before the shuffle, so a hot request key never ships more than 100 rows per map task.
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(request_col).orderBy(*order)
-    return (
-        rows.withColumn("rn", F.row_number().over(w))
-        .where(F.col("rn") <= MAX_REPORT_LIMIT)
-        .where(F.col("rn") <= F.col(limit_col))
-        .withColumn("rn", F.col("rn").cast("int"))
-    )
 
+def job_requests(jobs: DataFrame) -> DataFrame:
+    """One listing request per job: company key, type set, category set, first and last day (NULL: open), report limit.
 
-def newest_per_group(reports: DataFrame, group_cols: list[str], n: int = MAX_REPORT_LIMIT) -> DataFrame:
-    """Newest ``n`` reports per group (partial top-k before the shuffle)."""
-    from pyspark.sql import Window
+    ``report_categories`` (JSON list) and ``date_request`` (a day, ``day - day`` or empty) are optional columns.
+    """
 
-    w = Window.partitionBy(*group_cols).orderBy(F.desc("date"), F.desc("id"))
-    return reports.withColumn("__g", F.row_number().over(w)).where(F.col("__g") <= n).drop("__g")
+    def optional(name: str) -> Column:
+        return F.col(name) if name in jobs.columns else F.lit(None).cast("string")
 
+    def items(c: Column, default: list[str]) -> Column:
+        return F.coalesce(X.json_list_decode(c), F.array(*[F.lit(t) for t in default]))
 
-def job_requests(jobs: DataFrame) -> DataFrame:
-    """One listing request per job: company key, type set, report limit."""
-    types = F.coalesce(X.json_list_decode(F.col("report_types")), F.array(*[F.lit(t) for t in DEFAULT_RUN_TYPES]))
+    first, last = X.range_from_to(optional("date_request"))
     return jobs.select(
         "job_name",
         lower_key("company").alias("ckey"),
-        types.alias("types"),
+        items(F.col("report_types"), DEFAULT_RUN_TYPES).alias("types"),
+        items(optional("report_categories"), DEFAULT_CATEGORIES).alias("categories"),
+        F.when(first != "N/A", X.parse_date_text(first)).alias("first_day"),
+        F.when(last != "N/A", X.parse_date_text(last)).alias("last_day"),
         F.coalesce(F.col("report_limit"), F.lit(5)).alias("lim"),
     )
 
 
+def _cut_to_largest(reports: DataFrame, requests: DataFrame, companies: DataFrame, groups: list[str]) -> DataFrame:
+    """Reports with their company key, each group cut to the largest limit that any undated request of the company
+    has (exact: none takes more), or whole where a request has dates."""
+    c = companies.select(F.col("id").alias("company_id"), lower_key("name").alias("ckey"))
+    dated = F.col("first_day").isNotNull() | F.col("last_day").isNotNull()
+    most = requests.groupBy("ckey").agg(F.max(F.when(dated, F.lit(2**31 - 1)).otherwise(F.col("lim"))).alias("__most"))
+    r = reports.join(c, "company_id").join(most, "ckey")
+    return top_k(r, ["company_id", *groups], [F.desc("date"), F.desc("id")], F.col("__most"), F.col("id"), out="__g").drop("__g", "__most")
+
+
 def listing_filter(jobs: DataFrame, companies: DataFrame, reports: DataFrame) -> DataFrame:
     """the listing request as a table filter, one request per job.
 
-    type set (default: the scheduled run's four types), category set (ESPI, EBI), company text
-    (case-insensitive), newest first, at most ``report_limit`` (default 5) rows, offset 0.
-    Each (company, type, category) group is first cut to its newest 100 (exact: no request
-    takes more than 100), so the request join stays bounded even for a hot company.
+    Type set (default: the scheduled run's four types), category set (default ESPI and EBI), a day or a
+    range of days, company text (case-insensitive), newest first, at most the request's
+    ``report_limit`` (default 5) rows, offset 0. Groups of a company are first cut to what its
+    largest request can take, so the join stays bounded by the requests, not by the company.
     """
-    c = companies.select(F.col("id").alias("company_id"), lower_key("name").alias("ckey"))
-    r = reports.where(F.col("report_category").isin(*DEFAULT_CATEGORIES)).select(
-        "id", "company_id", "date", "report_type", "report_category"
-    )
-    r = newest_per_group(r, ["company_id", "report_type", "report_category"]).join(c, "company_id")
-    cand = r.join(job_requests(jobs), "ckey").where(F.array_contains("types", F.col("report_type")))
-    out = per_request_limit(cand, "job_name", [F.desc("date"), F.desc("id")], "lim")
-    return out.select("job_name", "id", "date", "report_type", "rn")
+    req = job_requests(jobs)
+    r = reports.select("id", "company_id", "date", "report_type", "report_category")
+    r = _cut_to_largest(r, req, companies, ["report_type", "report_category"])
+    wanted = F.array_contains("types", F.col("report_type")) & F.array_contains("categories", F.col("report_category"))
+    inside = F.coalesce(F.col("date") >= F.col("first_day"), F.lit(True)) & F.coalesce(F.col("date") <= F.col("last_day"), F.lit(True))
+    out = per_request_limit(r.join(req, "ckey").where(wanted & inside), "job_name", [F.desc("date"), F.desc("id")], "lim")
+    return out.select("job_name", "id", "date", "report_type", "report_category", "rn")
 
 
 def report_limit_per_job(jobs: DataFrame, companies: DataFrame, reports: DataFrame) -> DataFrame:
-    """T3 alone: each job's newest ``report_limit`` reports of its company (no type filter)."""
-    c = companies.select(F.col("id").alias("company_id"), lower_key("name").alias("ckey"))
-    r = newest_per_group(reports.select("id", "company_id", "date"), ["company_id"]).join(c, "company_id")
-    cand = r.join(job_requests(jobs).drop("types"), "ckey")
-    return per_request_limit(cand, "job_name", [F.desc("date"), F.desc("id")], "lim").select("job_name", "id", "date", "rn")
+    """T3 alone: each job's newest ``report_limit`` reports of its company (no other filter)."""
+    req = job_requests(jobs).withColumns({"first_day": F.lit(None).cast("date"), "last_day": F.lit(None).cast("date")})
+    r = _cut_to_largest(reports.select("id", "company_id", "date"), req, companies, [])
+    return per_request_limit(r.join(req, "ckey"), "job_name", [F.desc("date"), F.desc("id")], "lim").select("job_name", "id", "date", "rn")
 
 
 def file_type_filter(files: DataFrame, name_col="file_name") -> DataFrame:

@@ -148,13 +148,25 @@ def q_recent_searches_display(spark, sf):
     "company_lookup",
     """SELECT q.pattern, (SELECT min(id) FROM companies c WHERE lower(c.name) LIKE lower(q.pattern)) AS company_id
 FROM (SELECT DISTINCT company_name AS pattern FROM search_history
-      UNION SELECT DISTINCT concat(substr(company_name, 1, 17), '_') FROM search_history) q""",
+      UNION SELECT DISTINCT concat(substr(company_name, 1, 17), '_') FROM search_history
+      UNION SELECT DISTINCT concat(substr(company_name, 1, 16), '%') FROM search_history
+      UNION SELECT DISTINCT concat('%', substr(company_name, 15, 4), '_%') FROM search_history
+      UNION SELECT unnest(['%', '_', repeat('_', 18), 'Customer#%', '%7', 'C%9', '%#%', '%zz%', '%00_7%'])) q""",
     ("companies", "search_history"),
 )
 def q_company_lookup(spark, sf):
     h = T.search_history(spark, sf)
     req = h.select(F.col("company_name").alias("name")).unionByName(
-        h.select(F.concat(F.substring("company_name", 1, 17), F.lit("_")).alias("name"))
+        h.select(
+            F.explode(
+                F.array(
+                    F.concat(F.substring("company_name", 1, 17), F.lit("_")),
+                    F.concat(F.substring("company_name", 1, 16), F.lit("%")),
+                    F.concat(F.lit("%"), F.substring("company_name", 15, 4), F.lit("_%")),
+                    *[F.lit(p) for p in ("%", "_", "_" * 18, "Customer#%", "%7", "C%9", "%#%", "%zz%", "%00_7%")],
+                )
+            ).alias("name")
+        )
     )
     return S.company_lookup(req, T.companies(spark, sf))
 
@@ -168,19 +180,39 @@ _JOB_REQ = """jr AS (SELECT job_name, lower(company) AS ckey,
   coalesce(CAST(CAST(NULLIF(report_types, '') AS JSON) AS VARCHAR[]), ['current', 'quarterly', 'semi-annual', 'annual']) AS types,
   coalesce(report_limit, 5) AS lim FROM scheduled_jobs)"""
 
+# A third of the requests ask for days, two fifths for one category; the rest take the defaults.
+_DATED_REQ = """jr AS (SELECT job_name, lower(company) AS ckey,
+  coalesce(CAST(CAST(NULLIF(report_types, '') AS JSON) AS VARCHAR[]), ['current', 'quarterly', 'semi-annual', 'annual']) AS types,
+  CASE id % 5 WHEN 0 THEN ['ESPI'] WHEN 1 THEN ['EBI'] ELSE ['ESPI', 'EBI'] END AS cats,
+  CASE id % 6 WHEN 0 THEN DATE '1995-01-01' WHEN 3 THEN DATE '1997-06-17' END AS d1,
+  CASE id % 6 WHEN 0 THEN DATE '1996-12-31' WHEN 3 THEN DATE '1997-06-17' END AS d2,
+  coalesce(report_limit, 5) * CASE WHEN id % 7 = 0 THEN 50 ELSE 1 END AS lim FROM scheduled_jobs)"""
+
+
+def _requests(spark, sf):
+    j, k = T.scheduled_jobs(spark, sf), F.col("id")
+    return j.withColumns(
+        {
+            "report_categories": F.when(k % 5 == 0, '["ESPI"]').when(k % 5 == 1, '["EBI"]'),
+            "date_request": F.when(k % 6 == 0, "01-01-1995 - 31-12-1996").when(k % 6 == 3, "17-06-1997").otherwise(F.lit("")),
+            "report_limit": F.coalesce("report_limit", F.lit(5)) * F.when(k % 7 == 0, F.lit(50)).otherwise(F.lit(1)),
+        }
+    )
+
 
 @register(
     "listing_filter",
-    f"""WITH {_JOB_REQ},
-cand AS (SELECT jr.job_name, r.id, r.date, r.report_type, jr.lim,
+    f"""WITH {_DATED_REQ},
+cand AS (SELECT jr.job_name, r.id, r.date, r.report_type, r.report_category, jr.lim,
   row_number() OVER (PARTITION BY jr.job_name ORDER BY r.date DESC, r.id DESC) AS rn
   FROM jr JOIN companies c ON lower(c.name) = jr.ckey JOIN reports r ON r.company_id = c.id
-  WHERE r.report_category IN ('ESPI', 'EBI') AND list_contains(jr.types, r.report_type))
-SELECT job_name, id, date, report_type, CAST(rn AS INTEGER) AS rn FROM cand WHERE rn <= lim""",
+  WHERE list_contains(jr.cats, r.report_category) AND list_contains(jr.types, r.report_type)
+    AND (d1 IS NULL OR r.date BETWEEN d1 AND d2))
+SELECT job_name, id, date, report_type, report_category, CAST(rn AS INTEGER) AS rn FROM cand WHERE rn <= lim""",
     ("scheduled_jobs", "companies", "reports"),
 )
 def q_listing_filter(spark, sf):
-    return S.listing_filter(T.scheduled_jobs(spark, sf), T.companies(spark, sf), T.reports(spark, sf))
+    return S.listing_filter(_requests(spark, sf), T.companies(spark, sf), T.reports(spark, sf))
 
 
 @register(
