@@ -91,10 +91,12 @@ def decontaminate(
     result = found.join(named, key)
     return (
         with_row_key(docs, id_col, text_col)
+        # counted before the join, so that the text moves only if the caller keeps it
+        .withColumn("__words", F.size(words_of(F.col(text_col))).cast("long"))
         .join(result, key, "left")
         .select(
             *others(docs, new),
-            F.size(words_of(F.col(text_col))).cast("long").alias("n_words"),
+            F.col("__words").alias("n_words"),
             F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce(F.size("__items"), F.lit(0)).cast("long").alias("n_items"),
             F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
