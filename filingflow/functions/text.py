@@ -5,6 +5,9 @@ codegen; none is a Python UDF.
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -271,3 +274,74 @@ def json_list_encode(arr: Column) -> Column:
         lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')),
     )
     return F.when(F.coalesce(F.size(arr), F.lit(0)) > 0, F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")))
+
+
+# ----------------------------------------------------------------------------- HTML references
+
+# Named references come from the standard library's table, as one constant.
+_NAMED = json.dumps(name2codepoint | {"apos": 39})
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point, NULL outside Unicode; a no-break space is a plain space."""
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    four = F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0"))
+    return F.when(code == 0xA0, F.lit(" ")).when(valid, F.decode(four, "UTF-32"))
+
+
+def decode_references(c: Column) -> Column:
+    """Named, decimal and hexadecimal character references decoded, each once; unknown ones stay as they are."""
+    names = F.from_json(F.lit(_NAMED), "map<string,int>")
+
+    def piece(p: Column) -> Column:
+        ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        code = (
+            F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 6), 16, 10).cast("long"))
+            .when(ref.startswith("#"), F.substring(ref, 2, 7).try_cast("long"))
+            .otherwise(F.try_element_at(names, ref))
+        )
+        char = F.when(ref != "", _character(code))
+        return F.when(char.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.substr(p, F.length(ref) + 2)))
+
+    parts = F.split(c, "&", -1)
+    tail = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), piece)
+    return F.when(~c.contains("&"), c).otherwise(F.array_join(F.concat(F.slice(parts, 1, 1), tail), ""))
+
+
+# ----------------------------------------------------------------------------- extractive summary
+
+
+def sentences(text: Column) -> Column:
+    """Trimmed sentences of a text (white space collapsed): runs that end with ``.``, ``!`` or ``?``."""
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\r\f]+", " ")
+    return F.filter(F.transform(F.regexp_extract_all(flat, F.lit(r"[^.!?]+[.!?]*"), 0), lambda x: F.btrim(x, F.lit(" "))), lambda x: x != "")
+
+
+def sentence_rows(text: Column) -> Column:
+    """Array of (minus the number of different words, position, number of words, sentence)."""
+    words = lambda x: F.split(x, " ")
+    return F.transform(
+        sentences(text),
+        lambda x, i: F.struct((-F.size(F.array_distinct(words(x)))).alias("score"), i.alias("pos"), F.size(words(x)).alias("n"), x.alias("s")),
+    )
+
+
+def fill_budget(rows: Column, budget: Column) -> Column:
+    """Sentences in rank order while they fit into ``budget`` words, put back in text order. A first sentence that alone is
+    too long is cut to the budget."""
+    kind = "struct<used:int,full:boolean,picked:array<struct<pos:int,s:string>>>"
+    start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<struct<pos:int,s:string>>").alias("picked")).cast(kind)
+
+    def step(a: Column, r: Column) -> Column:
+        fits = ~a["full"] & (a["used"] + r["n"] <= budget)
+        first = ~a["full"] & (a["used"] == 0) & (r["n"] > budget)
+        cut = F.array_join(F.slice(F.split(r["s"], " "), F.lit(1), budget), " ")
+        return (
+            F.when(fits, F.struct((a["used"] + r["n"]).alias("used"), F.lit(False).alias("full"), F.concat(a["picked"], F.array(F.struct(r["pos"].alias("pos"), r["s"].alias("s")))).alias("picked")))
+            .when(first, F.struct(budget.alias("used"), F.lit(True).alias("full"), F.array(F.struct(r["pos"].alias("pos"), cut.alias("s"))).alias("picked")))
+            .otherwise(F.struct(a["used"].alias("used"), F.lit(True).alias("full"), a["picked"].alias("picked")))
+            .cast(kind)
+        )
+
+    picked = F.aggregate(F.array_sort(rows), start, step, lambda a: F.array_sort(a["picked"]))
+    return F.array_join(F.transform(picked, lambda x: x["s"]), " ")

@@ -1,29 +1,29 @@
 """Document condensation: S3, D1-D9, W5, W4 — chunk -> embed -> per-document k-means ->
 representative chunks -> prompt -> summary, over whole tables of documents.
 
-* Chunking (D1) is the one per-row Python helper (an Arrow-batched pandas UDF): the recursive
-  separator splitter has no compact native form. Everything else is native Spark.
+* Chunking (D1) is a per-row Python helper (an Arrow-batched pandas UDF): the recursive
+  separator splitter has no compact native form. Pages are split one by one.
 * Embedding (D5) is HashingTF + IDF + L2 Normalizer from Spark ML (JVM side).
-* K-means per document (D6) is Lloyd's algorithm written as DataFrame iterations: each step
-  is one join of points with their document's centroid array (<= 9 centroids) and one
-  partially aggregated ``Summarizer.mean`` per (document, cluster). A document with millions of
-  chunks is therefore spread over many tasks; nothing is gathered per document.
+* K-means per document (D6) is one Arrow pass over points dealt by document; centres, assignments
+  and the distances that pick representatives all come from it. The chunks of one document meet in
+  one task, as its text did before.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
-from filingflow.operators.common import cut_lineage, ordinal
-from filingflow.session import checkpoint_root
+from filingflow.operators.common import ordinal, top_k
 
 
 def _at(arr, i):
@@ -38,14 +38,12 @@ _WS_ASCII = r"[ \t\n\r\f]+"
 
 def html_to_text(html: Column) -> Column:
     """S3: drop script/style/comments first (they may hold ``</p>`` in strings), then tags,
-    decode the common entities, collapse whitespace."""
+    decode character references, collapse whitespace."""
     t = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>", " ")
     t = F.regexp_replace(t, r"(?is)<style\b[^>]*>.*?</style>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, r"<[^>]*>", " ")
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return F.btrim(F.regexp_replace(t, _WS_ASCII, " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(X.decode_references(t), _WS_ASCII, " "), F.lit(" "))
 
 
 def document_scan(pages: DataFrame) -> DataFrame:
@@ -110,32 +108,40 @@ def split_text(text: str, size: int = 2000, overlap: int = 0, seps: tuple[str, .
     return out
 
 
-def chunk_column(text: Column, size: int = 2000, overlap: int = 0) -> Column:
-    """D1 as a column: ARRAY<STRING> of chunks (Arrow-batched pandas UDF)."""
+def chunk_column(pages: Column, size: int = 2000, overlap: int = 0) -> Column:
+    """D1 as a column: the chunks of an ARRAY<STRING> of pages, each page split by itself, in page order
+    (Arrow-batched pandas UDF; a chunk never crosses a page)."""
 
     @F.pandas_udf("array<string>")
-    def _chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t or "", size, overlap))
+    def _chunks(docs: pd.Series) -> pd.Series:
+        return docs.map(lambda d: [c for page in (d if d is not None else ()) for c in split_text(page or "", size, overlap)])
 
-    return _chunks(text)
+    return _chunks(pages)
 
 
-def chunk_documents(docs: DataFrame, size: int = 2000, overlap: int = 0, text_col: str = "text") -> DataFrame:
-    """One row per chunk (doc_id, chunk_no 0-based, chunk)."""
-    arr = docs.select("doc_id", chunk_column(F.col(text_col), size, overlap).alias("chunks"))
-    return arr.select("doc_id", F.posexplode("chunks").alias("chunk_no", "chunk"))
+def pages_of(docs: DataFrame) -> Column:
+    """The ``pages`` array, or the whole text as one page."""
+    return F.col("pages") if "pages" in docs.columns else F.array(F.coalesce(F.col("text"), F.lit("")))
+
+
+def chunk_documents(docs: DataFrame, size: int = 2000, overlap: int = 0, id_col: str = "doc_id") -> DataFrame:
+    """One row per chunk (id, chunk_no 0-based over the whole document, chunk)."""
+    arr = docs.select(id_col, chunk_column(pages_of(docs), size, overlap).alias("chunks"))
+    return arr.select(id_col, F.posexplode("chunks").alias("chunk_no", "chunk"))
 
 
 UNICODE_WS_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in X.PY_WHITESPACE) + "]"
 
 
 def chunk_invariants(docs: DataFrame, size: int = 2000) -> DataFrame:
-    """D1 check: no chunk longer than ``size``; the whitespace-free join of the chunks equals the
-    whitespace-free text (nothing lost, nothing duplicated)."""
-    arr = docs.select("doc_id", chunk_column(F.col("text"), size).alias("chunks"))
+    """D1 check: no chunk longer than ``size``; every chunk lies inside one page; the whitespace-free join of the chunks
+    equals the whitespace-free text (nothing lost, nothing duplicated)."""
+    arr = docs.select("doc_id", pages_of(docs).alias("pages"), chunk_column(pages_of(docs), size).alias("chunks"))
+    inside = F.forall("chunks", lambda c: F.exists("pages", lambda p: F.contains(p, c)))
     return arr.select(
         "doc_id",
         F.coalesce(F.array_max(F.transform("chunks", lambda c: F.length(c))) <= size, F.lit(True)).alias("size_ok"),
+        inside.alias("page_ok"),
         F.md5(F.regexp_replace(F.array_join("chunks", ""), UNICODE_WS_CLASS, "")).alias("md5_nows"),
     )
 
@@ -151,6 +157,7 @@ def size_tier(n_pages: Column) -> tuple[Column, Column]:
     return k.cast("int"), budget.cast("int")
 
 
+# The two message texts below.
 def empty_document_message(file_name: Column) -> Column:
     """D3: fixed message for a document without any text chunk."""
     return F.concat(F.lit("❌ Brak tekstu do przetworzenia w: "), file_name)
@@ -198,149 +205,85 @@ def _centroid_arrays(centroids: DataFrame) -> DataFrame:
     return centroids.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cluster", "center"))).alias("__cs"))
 
 
-def _nearest(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Each point's nearest centroid (ties -> smallest cluster id) and the squared distance."""
-    j = points.join(_centroid_arrays(centroids), "grp")
-    best = F.array_min(F.transform("__cs", lambda c: F.struct(sq_dist(F.col("vec"), c["center"]).alias("d"), c["cluster"].alias("c"))))
-    return j.withColumn("__b", best).select(
-        *[c for c in points.columns], F.col("__b.c").alias("cluster"), F.col("__b.d").alias("dist")
-    )
-
-
 def _means(assigned: DataFrame) -> DataFrame:
     m = assigned.groupBy("grp", "cluster").agg(Summarizer.mean(array_to_vector("vec")).alias("__m"))
     return m.select("grp", "cluster", vector_to_array("__m").alias("center"))
 
 
-# Groups up to this many points are clustered inside one Arrow batch (numpy Lloyd); larger groups
-# use the distributed iterations, so no unbounded group is ever gathered into one task.
-LOCAL_GROUP_MAX = 20_000
-
+def _lloyd(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lloyd's k-means until no label changes: (centres, squared distances of every point to every centre).
 
-def _lloyd_group(x, k: int, max_iter: int, tol: float):
-    """Lloyd's k-means for one group in numpy, with the same rules as the distributed path:
-    evenly spaced initial points by pid, ties to the smaller cluster, empty cluster keeps its centre."""
-    import numpy as np
-
-    n = len(x)
-    c = x[[(i * n) // k for i in range(k)]].copy()
-    for _ in range(max_iter):
+    Evenly spaced initial points by pid, ties to the smaller cluster; an empty cluster keeps its centre.
+    Labels that repeat an earlier sum of distances end the loop, so it always ends.
+    """
+    c, lab, best = x[[(i * len(x)) // k for i in range(k)]].copy(), None, np.inf
+    while True:
         d = np.stack([((x - c[j]) ** 2).sum(axis=1) for j in range(k)], axis=1)
-        lab = d.argmin(axis=1)
-        new = c.copy()
+        new, total = d.argmin(axis=1), d.min(axis=1).sum()
+        if lab is not None and (np.array_equal(new, lab) or total >= best):
+            return c, d
+        lab, best = new, total
         for j in range(k):
-            m = lab == j
-            if m.any():
-                new[j] = x[m].mean(axis=0)
-        moved = ((new - c) ** 2).sum(axis=1).max()
-        c = new
-        if moved <= tol:
-            break
-    return c
+            if (lab == j).any():
+                c[j] = x[lab == j].mean(axis=0)
 
 
-def _lloyd_batches(max_iter: int, tol: float):
-    """mapInPandas body: rows arrive hash-partitioned by group and sorted by (grp, pid); every
-    complete group in a batch is clustered, and a group cut by the batch boundary is carried
-    over to the next batch of the same partition (groups here are bounded by LOCAL_GROUP_MAX)."""
+_KMEANS = "grp long, pid long, cluster int, dist double, dists array<double>, center array<double>"
 
-    def run(batches):
-        import numpy as np
 
-        carry = None
-        for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            last = pdf["grp"].iloc[-1] if len(pdf) else None
+def _kmeans_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows arrive dealt by group and sorted by (grp, pid); a group cut by a batch's end is carried into the next."""
+    carry = None
+    for pdf in batches:
+        pdf = pd.concat([carry, pdf], ignore_index=True) if carry is not None else pdf
+        if len(pdf):
+            last = pdf["grp"].iloc[-1]
             carry = pdf[pdf["grp"] == last]
-            done = pdf[pdf["grp"] != last]
-            if len(done):
-                yield _cluster_frame(done, max_iter, tol, np)
-        if carry is not None and len(carry):
-            yield _cluster_frame(carry, max_iter, tol, np)
-
-    return run
+            if len(carry) < len(pdf):
+                yield _cluster_frame(pdf[pdf["grp"] != last])
+    if carry is not None and len(carry):
+        yield _cluster_frame(carry)
 
 
-def _cluster_frame(pdf: pd.DataFrame, max_iter: int, tol: float, np) -> pd.DataFrame:
-    grps, clusters, centers = [], [], []
+def _cluster_frame(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = []
     for g, part in pdf.groupby("grp", sort=False):
-        x = np.stack(part["vec"].to_numpy()).astype(np.float64)
         k = int(part["k"].iloc[0])
-        c = _lloyd_group(x, k, max_iter, tol)
-        grps.extend([g] * k)
-        clusters.extend(range(k))
-        centers.extend(list(c))
-    return pd.DataFrame({"grp": pd.Series(grps, dtype="int64"), "cluster": pd.Series(clusters, dtype="int32"), "center": pd.Series(centers, dtype=object)})
+        c, d = _lloyd(np.stack(part["vec"].to_numpy()).astype(np.float64), k)
+        near = d.argmin(axis=1)
+        out += [(g, p, j, row[j], row, None) for p, j, row in zip(part["pid"], near, d)]
+        out += [(g, None, j, None, None, c[j]) for j in range(k)]
+    frame = pd.DataFrame(out, columns=["grp", "pid", "cluster", "dist", "dists", "center"])
+    return frame.astype({"grp": "int64", "pid": "Int64", "cluster": "int32"})
 
 
-def kmeans_per_group(points: DataFrame, k: DataFrame, max_iter: int = 20, tol: float = 1e-12) -> tuple[DataFrame, DataFrame]:
+def kmeans_per_group(points: DataFrame, k: DataFrame) -> DataFrame:
     """Lloyd's k-means inside every group. ``points``: (grp, pid, vec); ``k``: (grp, k).
 
-    Deterministic: the initial centres are the points at evenly spaced positions of the group
-    (ranks floor(i*n/k)+1 by pid), ties go to the smaller cluster id, an empty cluster keeps its
-    centre. Groups with fewer points than k are left out (the caller reports them, D4).
-    Groups of at most ``LOCAL_GROUP_MAX`` points are clustered per group in one Arrow batch;
-    larger groups run as distributed DataFrame iterations. The final assignment is native.
-    Returns (assignments (grp, pid, cluster, dist), centroids (grp, cluster, center)).
+    One Python node gives all a caller needs: a row per point (cluster, squared distance, distances to
+    all centres) and a row per centre (``pid`` NULL, ``center``). Iterated until nothing changes, the same
+    for groups of any size; groups with fewer points than k are left out (the caller reports them, D4).
+    A group is the chunks of one document, which was one row to begin with, so it fits a task.
     """
-    pts = points.select("grp", "pid", F.col("vec").cast("array<double>").alias("vec"))
-    sizes = pts.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).join(k.select("grp", "k"), "grp")
-    sizes = sizes.where(F.col("n") >= F.col("k"))
-    small = sizes.where(F.col("n") <= LOCAL_GROUP_MAX).select("grp", "k")
-    large = sizes.where(F.col("n") > LOCAL_GROUP_MAX)
-    cents = (
-        pts.join(small, "grp")
-        .repartition("grp")
-        .sortWithinPartitions("grp", "pid")
-        .mapInPandas(_lloyd_batches(max_iter, tol), "grp long, cluster int, center array<double>")
-    )
-    if large.limit(1).count() > 0:
-        # both branches are written to the shared folder first: the union then starts from two
-        # plain scans instead of two plans over the same lineage
-        dist = _kmeans_distributed(pts.join(large.select("grp"), "grp", "left_semi"), large, max_iter, tol)
-        cents = cut_lineage(cents, "kmeans-local").unionByName(cut_lineage(dist, "kmeans-dist"))
-    valid = pts.join(sizes.select("grp"), "grp", "left_semi")
-    return _nearest(valid, cents), cents
-
-
-def _kmeans_distributed(pts: DataFrame, sizes: DataFrame, max_iter: int, tol: float) -> DataFrame:
-    """Lloyd's iterations as DataFrame steps: one join of points with their group's centroid
-    array and one partially aggregated mean per (group, cluster) per iteration, with the points
-    and each iteration's centroids checkpointed to the shared folder."""
-    checkpoint_root(pts.sparkSession)
-    pts = pts.checkpoint(eager=True)
-    picks = sizes.select(
-        "grp", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("cluster"), "n", "k"
-    ).withColumn("rank", (F.floor(F.col("cluster") * F.col("n") / F.col("k")) + 1).cast("int"))
-    ranked = ordinal(pts, ["grp"], "pid", out="rank")
-    cents = picks.join(ranked, ["grp", "rank"]).select("grp", F.col("cluster").cast("int").alias("cluster"), F.col("vec").alias("center"))
-    cents = cents.checkpoint(eager=True)
-    for _ in range(max_iter):
-        new = _means(_nearest(pts, cents))
-        new = (
-            cents.alias("o")
-            .join(new.alias("m"), ["grp", "cluster"], "left")
-            .select("grp", "cluster", F.coalesce(F.col("m.center"), F.col("o.center")).alias("center"))
-            .checkpoint(eager=True)
-        )
-        moved = (
-            new.alias("a").join(cents.alias("b"), ["grp", "cluster"]).where(sq_dist(F.col("a.center"), F.col("b.center")) > tol).limit(1).count()
-        )
-        cents = new
-        if moved == 0:
-            break
-    return cents
+    sizes = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).join(k.select("grp", "k"), "grp").where("n >= k")
+    pts = points.select("grp", "pid", F.col("vec").cast("array<double>").alias("vec")).join(sizes.select("grp", "k"), "grp")
+    return pts.repartition("grp").sortWithinPartitions("grp", "pid").mapInPandas(_kmeans_batches, _KMEANS)
 
 
 # ----------------------------------------------------------------------------- D7 / W5 representatives
 
 
 def distances_to_centroids(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(grp, pid, cluster, dist) for every point against every centroid of its group (<= 9)."""
+    """(grp, pid, cluster, dist, k) for every point against every centroid of its group."""
     j = points.join(_centroid_arrays(centroids), "grp")
-    d = j.select("grp", "pid", F.explode(F.transform("__cs", lambda c: F.struct(c["cluster"].alias("cluster"), sq_dist(F.col("vec"), c["center"]).alias("dist")))).alias("x"))
-    return d.select("grp", "pid", "x.cluster", "x.dist")
+    d = j.select("grp", "pid", F.size("__cs").alias("k"), F.explode(F.transform("__cs", lambda c: F.struct(c["cluster"].alias("cluster"), sq_dist(F.col("vec"), c["center"]).alias("dist")))).alias("x"))
+    return d.select("grp", "pid", "x.cluster", "x.dist", "k")
+
+
+def distances_of_clustering(clustered: DataFrame) -> DataFrame:
+    """The same rows from the output of ``kmeans_per_group``."""
+    d = clustered.where(F.col("pid").isNotNull()).select("grp", "pid", F.size("dists").alias("k"), F.posexplode("dists").alias("cluster", "dist"))
+    return d.select("grp", "pid", "cluster", "dist", "k")
 
 
 def nearest_per_cluster(points: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -350,17 +293,19 @@ def nearest_per_cluster(points: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def select_representatives(points: DataFrame, centroids: DataFrame) -> DataFrame:
+    """D7 for given centroids; see ``unique_picks``."""
+    return unique_picks(distances_to_centroids(points, centroids))
+
+
+def unique_picks(distances: DataFrame) -> DataFrame:
     """One representative per cluster in cluster order, each the nearest point to its centroid
     that an earlier cluster has not taken already (the clustering filter's unique pick).
 
-    Only the ``k`` nearest candidates per cluster can matter (at most k-1 are taken before), so
-    the candidate set is a partial top-k per (group, cluster) and the sequential pick is a fold
-    over at most k*k candidates per group.
+    With k clusters only the k nearest candidates of each can matter (at most k - 1 are taken before),
+    so the candidates are a salted top-k per (group, cluster), and the sequential pick is a fold over
+    at most k * k candidates per group.
     """
-    d = distances_to_centroids(points, centroids)
-    kk = centroids.groupBy("grp").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("grp", "cluster").orderBy("dist", "pid")
-    cand = d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 9).join(kk, "grp").where(F.col("r") <= F.col("k"))
+    cand = top_k(distances, ["grp", "cluster"], [F.col("dist"), F.col("pid")], F.col("k"), F.col("pid"), salts=16)
     per = cand.groupBy("grp", "cluster").agg(F.sort_array(F.collect_list(F.struct("dist", "pid"))).alias("c"))
     grp = per.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cluster", "c"))).alias("cl"))
     init = F.array().cast("array<struct<cluster:int,pid:bigint>>")
@@ -403,9 +348,9 @@ def build_prompts(reps: DataFrame, text_col: str = "chunk") -> DataFrame:
 
 
 def extractive_summary(text: Column, budget: Column, max_words: int = 200) -> Column:
-    """D9 default (no model): the first min(200, budget) whitespace-separated words."""
-    words = F.split(F.btrim(F.regexp_replace(text, _WS_ASCII, " "), F.lit(" ")), " ")
-    return F.array_join(F.slice(words, 1, F.least(F.lit(max_words), budget)), " ")
+    """D9 default (no model): the sentences with the most different words, from the whole text, as many as fit into
+    min(``max_words``, budget) words, in text order."""
+    return X.fill_budget(X.sentence_rows(text), F.least(F.lit(max_words), budget))
 
 
 def summary_header(model: Column, n_pages: Column) -> Column:
@@ -419,15 +364,31 @@ def summarise(prompts: DataFrame, model: str, budget_col: str = "budget", pages_
     return prompts.withColumn("summary", F.concat(summary_header(F.lit(model), F.col(pages_col)), F.lit("\n"), s))
 
 
-def summarise_with_model(prompts: DataFrame, model_fn, schema: str = "grp long, summary string") -> DataFrame:
-    """D9 hook: a caller's model applied per Arrow batch (built once per partition)."""
+# Fixed value: what stands for the summary when the model fails.
+MODEL_FAILED = "❌ Błąd podczas generowania podsumowania: "
+
+
+def summarise_with_model(prompts: DataFrame, model_fn, model: str, budget_col: str = "budget", pages_col: str = "n_pages") -> DataFrame:
+    """D9 hook: a caller's model applied per Arrow batch (built once per partition): (grp, summary).
+
+    The model gets the prompt and the token budget; its answer follows the header line. A prompt on which
+    the model raises gets the failure text with the reason instead; other rows go on.
+    """
 
     def run(batches):
         fn = model_fn()
         for pdf in batches:
-            yield pd.DataFrame({"grp": pdf["grp"], "summary": [fn(p) for p in pdf["prompt"]]})
-
-    return prompts.select("grp", "prompt").mapInPandas(run, schema)
+            out = []
+            for prompt, budget in zip(pdf["prompt"], pdf["budget"]):
+                try:
+                    out.append(fn(prompt, int(budget)))
+                except Exception as e:  # noqa: BLE001 - whatever the caller's model raises
+                    out.append(f"{MODEL_FAILED}{e}")
+            yield pd.DataFrame({"grp": pdf["grp"], "header": pdf["header"], "answer": out})
+
+    fed = prompts.select("grp", "prompt", F.col(budget_col).alias("budget"), summary_header(F.lit(model), F.col(pages_col)).alias("header"))
+    got = fed.mapInPandas(run, "grp long, header string, answer string")
+    return got.select("grp", F.concat("header", F.lit("\n"), "answer").alias("summary"))
 
 
 # ----------------------------------------------------------------------------- W4

@@ -13,14 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
-from filingflow.operators.common import ordinal
-from filingflow.operators.documents import extractive_summary
-from filingflow.session import checkpoint_root
-
-
-def _at(arr, i):
-    """1-based array access that yields NULL past the end (ANSI-safe ``element_at``)."""
-    return F.try_element_at(arr, F.lit(i) if isinstance(i, int) else i)
+from filingflow.operators.common import cut_lineage, ordinal, top_k
+from filingflow.sources.listing import listing_frame, newest_items, parse_items
 
 
 BLOCKS_PER_PART = 50
@@ -47,11 +41,10 @@ def summary_blocks(files: DataFrame) -> DataFrame:
     return num.select("company", "file_i", "file_n", block.alias("block"))
 
 
-def concat_summaries(files: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+def concat_summaries(files: DataFrame) -> DataFrame:
     """(company, part, text) — the ordered blocks of each company, ``BLOCKS_PER_PART`` per part.
     A company whose files include no document gets the single line ``*No documents to summarize*``."""
-    blocks = summary_blocks(files) if blocks is None else blocks
-    b = blocks.withColumn("part", F.floor((F.col("file_i") - 1) / BLOCKS_PER_PART).cast("int"))
+    b = summary_blocks(files).withColumn("part", F.floor((F.col("file_i") - 1) / BLOCKS_PER_PART).cast("int"))
     parts = b.groupBy("company", "part").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_i", "block"))), lambda x: x["block"]), "").alias("text")
     )
@@ -63,18 +56,28 @@ def concat_summaries(files: DataFrame, blocks: DataFrame | None = None) -> DataF
     return parts.unionByName(none)
 
 
-def collective_overview(files: DataFrame, words: int = OVERVIEW_WORDS, blocks: DataFrame | None = None) -> DataFrame:
-    """D10 default (no model): the first ``words`` words of the company's concatenated summaries.
-    Every block holds at least four words, so only blocks 1..words can contribute (bounded)."""
-    blocks = summary_blocks(files) if blocks is None else blocks
-    b = blocks.where(F.col("file_i") <= words)
-    g = b.groupBy("company").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_i", "block"))), lambda x: x["block"]), "").alias("t")
-    )
-    return g.select("company", extractive_summary(F.col("t"), F.lit(words), max_words=words).alias("overview"))
+def collective_overview(files: DataFrame, words: int = OVERVIEW_WORDS) -> DataFrame:
+    """D10 default (no model): (company, overview), the sentences with the most different words among all files of the
+    company, as many as fit into ``words`` words, in file order.
 
-
-# The collective prompt sent to a caller's model (hook path only).
+    Every sentence of every summary is ranked. A budget of ``words`` words holds at most as many
+    sentences, so that many per company leave the partial top-k, whatever the company's size. A
+    company without a summary has no row.
+    """
+    docs = files.where(is_document(F.col("file_name")) & F.col("summary_text").isNotNull())
+    rows = docs.select("company", "id", F.explode(X.sentence_rows(F.col("summary_text"))).alias("r"))
+    rows = rows.select("company", "id", "r.*")
+    rank = [F.col("score"), F.col("id"), F.col("pos")]
+    top = top_k(rows, ["company"], rank, F.lit(words), F.col("id"), out="rn")
+    used = F.sum("n").over(Window.partitionBy("company").orderBy(*rank).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = F.array_join(F.slice(F.split("s", " "), 1, words), " ")  # a first sentence that is too long by itself
+    top = top.withColumn("used", used).withColumn("s", F.when(F.col("rn") == 1, cut).otherwise(F.col("s")))
+    kept = top.where((F.col("used") <= words) | (F.col("rn") == 1))
+    lines = F.sort_array(F.collect_list(F.struct("id", "pos", "s")))
+    return kept.groupBy("company").agg(F.array_join(F.transform(lines, lambda x: x["s"]), " ").alias("overview"))
+
+
+# The collective prompt sent to a caller's model, and what replaces its answer if it fails.
 COLLECTIVE_PROMPT = (
     "Na podstawie poniższych pojedynczych streszczeń raportów giełdowych dla firmy {company}, \n"
     "stwórz JEDNO ZBIORCZE PODSUMOWANIE (około 300-500 słów) które:\n\n"
@@ -89,6 +92,36 @@ COLLECTIVE_PROMPT = (
 )
 
 
+COLLECTIVE_FAILED = "Błąd podczas generowania zbiorczego podsumowania: "
+
+
+def collective_prompts(files: DataFrame) -> DataFrame:
+    """(company, part, prompt): the collective prompt over the concatenated summaries, one prompt for each part of at most
+    ``BLOCKS_PER_PART`` files, so that a prompt is bounded."""
+    head, rest = COLLECTIVE_PROMPT.split("{company}")
+    middle, tail = rest.split("{individual_summaries}")
+    text = F.concat(F.lit(head), F.col("company"), F.lit(middle), F.col("text"), F.lit(tail))
+    return concat_summaries(files).where(F.col("text") != NO_DOCUMENTS).select("company", "part", text.alias("prompt"))
+
+
+def overview_with_model(files: DataFrame, model_fn) -> DataFrame:
+    """D10 hook: (company, part, overview) from a caller's model, built once per partition; where it raises, the failure
+    text with the reason, other rows go on."""
+
+    def run(batches):
+        fn = model_fn()
+        for pdf in batches:
+            out = []
+            for prompt in pdf["prompt"]:
+                try:
+                    out.append(fn(prompt))
+                except Exception as e:  # noqa: BLE001 - whatever the caller's model raises
+                    out.append(f"{COLLECTIVE_FAILED}{e}")
+            yield pdf[["company", "part"]].assign(overview=out)
+
+    return collective_prompts(files).mapInPandas(run, "company string, part int, overview string")
+
+
 # ----------------------------------------------------------------------------- pipe table
 
 TABLE_COLUMNS = ["date", "title", "report type", "report category", "exchange rate", "rate change", "link"]
@@ -119,18 +152,6 @@ def _g_format(x: Column) -> Column:
     return F.when(out == "-0", F.lit("0")).otherwise(out)
 
 
-def newest_listing(frame: DataFrame, key: str, limit: int) -> DataFrame:
-    """Per key the newest ``limit`` listing rows as an ordered array (partial top-k first)."""
-    w = Window.partitionBy(key).orderBy(F.desc("ord"))
-    top = frame.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit)
-    return top.groupBy(key).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct(F.col("__rn").alias("rn"), F.struct(*[F.col(f"`{c}`") for c in TABLE_COLUMNS]).alias("r")))),
-            lambda x: x["r"],
-        ).alias("rows")
-    )
-
-
 def listing_tables(frame: DataFrame, key: str, limit: int) -> DataFrame:
     """(key, n_rows, table): the newest ``limit`` listing rows of each key as a Markdown pipe table.
 
@@ -189,6 +210,7 @@ def listing_tables(frame: DataFrame, key: str, limit: int) -> DataFrame:
     return g.select(key, "n_rows", table.alias("table"))
 
 
+# Headings and labels of the report, here and in ``report_header``.
 DEFAULT_FOOTER = "*Raport wygenerowany automatycznie*"
 
 
@@ -209,23 +231,20 @@ def report_header(company: Column, as_of: str, date_from: Column, date_to: Colum
     )
 
 
-def collective_report(frame: DataFrame, files: DataFrame, as_of: str, model: str, date_request: str = "",
+def collective_report(items: DataFrame, files: DataFrame, as_of: str, model: str, date_request: str = "",
                       limit: int = 5, footer: str = DEFAULT_FOOTER) -> DataFrame:
     """(company, part, text) — part 0 header + table, parts 1.. the A7 parts, last part the footer.
 
-    ``frame``: listing frame rows with ``company`` and an ordering column ``ord`` (newest = largest);
+    ``items``: unparsed listing items with ``company`` (only the newest ``limit`` of each are parsed);
     ``files``: (id, company, file_name, summary_text). Company keys are compared lower-cased.
     """
     dfrom, dto = X.range_from_to(F.lit(date_request))
-    checkpoint_root(frame.sparkSession)
-    fr = frame.withColumn("company", F.lower("company"))
-    # both are read by several branches below: computed once, reliably checkpointed
-    listing = listing_tables(fr, "company", limit).checkpoint(eager=True)
+    newest = newest_items(items.withColumn("company", F.lower("company")), "company", limit)
+    # a few rows per company, read by all three kinds of parts
+    listing = cut_lineage(listing_tables(listing_frame(parse_items(newest)), "company", limit), "report-listing")
     fl = files.withColumn("company", F.lower("company"))
-    blocks = summary_blocks(fl).checkpoint(eager=True)
-    nfiles = fl.groupBy("company").agg(F.count(F.lit(1)).alias("n_files"))
-    ov = collective_overview(fl, blocks=blocks)
-    heads = listing.join(nfiles, "company", "left").join(ov, "company", "left")
+    counts = fl.groupBy("company").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(is_document(F.col("file_name"))).alias("n_docs"))
+    heads = listing.join(counts, "company", "left").join(collective_overview(fl), "company", "left")
     head = heads.select(
         "company", F.lit(0).alias("part"),
         report_header(
@@ -233,25 +252,21 @@ def collective_report(frame: DataFrame, files: DataFrame, as_of: str, model: str
             F.col("overview"), F.col("table"),
         ).alias("text"),
     )
-    body = concat_summaries(fl, blocks=blocks).join(listing.select("company"), "company", "left_semi")
+    body = concat_summaries(fl).join(listing.select("company"), "company", "left_semi")
     body = body.select("company", (F.col("part") + 1).alias("part"), "text")
-    last = body.groupBy("company").agg(F.max("part").alias("p"))
-    tail = listing.select("company").join(last, "company", "left").select(
-        "company", (F.coalesce("p", F.lit(0)) + 1).alias("part"), F.lit(f"\n\n---\n\n{footer}\n").alias("text")
+    # files without a document still have one part, the line that says so
+    parts = F.when(F.col("n_files").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BLOCKS_PER_PART)))
+    tail = listing.select("company").join(counts, "company", "left").select(
+        "company", (parts + 1).cast("int").alias("part"), F.lit(f"\n\n---\n\n{footer}\n").alias("text")
     )
     return head.unionByName(body).unionByName(tail)
 
 
-def write_reports(parts: DataFrame, path: str) -> None:
-    """S8 sink: one text output per company, parts in order (sorted within the company's task)."""
-    (
-        parts.repartition("company")
-        .sortWithinPartitions("company", "part")
-        .select("company", "text")
-        .write.mode("overwrite")
-        .partitionBy("company")
-        .text(path)
-    )
+def write_artifacts(parts: DataFrame, path: str, order: list[str]) -> DataFrame:
+    """S8 / S9 sink: the texts as a table, dealt by all of ``order`` and sorted, so that a company with most of the parts is
+    spread over files; returns what was written, read back."""
+    parts.repartition(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    return parts.sparkSession.read.parquet(path)
 
 
 def run_result_text(company: Column, as_of: str, date_to: Column, model: Column, status_text: Column, n_docs: Column) -> Column:

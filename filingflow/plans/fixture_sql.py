@@ -47,7 +47,7 @@ FROM documents""",
     "downloaded_files": """
 SELECT f.id, f.company, f.report_id, f.file_name, f.file_type, f.file_size, f.md5_hash,
   l.doc_id IS NOT NULL AS is_summarized,
-  CASE WHEN l.doc_id IS NOT NULL THEN substr(f.text, 1, 200) END AS summary_text
+  CASE WHEN l.doc_id IS NOT NULL THEN f.text END AS summary_text
 FROM file_arrivals f LEFT JOIN labels l ON l.doc_id = f.id
 WHERE f.id IN (SELECT min(id) FROM file_arrivals GROUP BY md5_hash)""",
     "scheduled_jobs": """

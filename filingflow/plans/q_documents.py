@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from filingflow.operators import documents as D
 from filingflow.operators import registry as R
+from filingflow.operators.common import cut_lineage
 from filingflow.plans.catalog import register
 from filingflow.sources import tables as T
 
@@ -21,27 +22,31 @@ _HAS_TEXT = f"regexp_replace(text, '{WS_CLASS}', '', 'g') <> ''"
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
       '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'),
       '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+    '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
   '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ') AS text, 1 AS n_pages FROM pages""",
 )
 def q_document_scan(spark, sf):
     return D.document_scan(T.read(spark, sf, "pages"))
 
 
+def _paged(spark, sf):
+    return T.file_arrivals(spark, sf).select(F.col("id").alias("doc_id"), "pages")
+
+
 @register(
     "chunk_documents",
-    f"SELECT doc_id, TRUE AS size_ok, md5(regexp_replace(text, '{WS_CLASS}', '', 'g')) AS md5_nows FROM documents",
+    f"SELECT doc_id, TRUE AS size_ok, TRUE AS page_ok, md5(regexp_replace(text, '{WS_CLASS}', '', 'g')) AS md5_nows FROM documents",
 )
 def q_chunk_documents(spark, sf):
-    return D.chunk_invariants(T.read(spark, sf, "documents").select("doc_id", "text"), 2000)
+    return D.chunk_invariants(_paged(spark, sf), 2000)
 
 
 @register(
     "chunk_documents_1000",
-    f"SELECT doc_id, TRUE AS size_ok, md5(regexp_replace(text, '{WS_CLASS}', '', 'g')) AS md5_nows FROM documents",
+    f"SELECT doc_id, TRUE AS size_ok, TRUE AS page_ok, md5(regexp_replace(text, '{WS_CLASS}', '', 'g')) AS md5_nows FROM documents",
 )
 def q_chunk_documents_1000(spark, sf):
-    return D.chunk_invariants(T.read(spark, sf, "documents").select("doc_id", "text"), 1000)
+    return D.chunk_invariants(_paged(spark, sf), 1000)
 
 
 @register(
@@ -58,11 +63,11 @@ def q_size_tier(spark, sf):
 
 def _file_chunks(spark, sf):
     """Per arrival: its chunk array and size tier."""
-    f = T.file_arrivals(spark, sf).select("id", "company", "file_name", "n_pages", "text")
+    f = T.file_arrivals(spark, sf)
     k, b = D.size_tier(F.col("n_pages"))
     return f.select(
         "id", "company", "file_name", "n_pages", k.alias("k"), b.alias("budget"),
-        D.chunk_column(F.col("text")).alias("chunks"),
+        D.chunk_column(F.col("pages")).alias("chunks"),
     )
 
 
@@ -77,7 +82,14 @@ def q_empty_document(spark, sf):
     return c.where(F.size("chunks") == 0).select("id", D.empty_document_message(F.col("file_name")).alias("message"))
 
 
-@register("too_few_chunks")
+# A page of at most 500 characters is one chunk unless it is blank; an HTML file is one page and wants one cluster.
+_FEW_SQL = f"""WITH p AS (SELECT id, file_name, n_pages, CASE WHEN n_pages >= 40 THEN 9 WHEN n_pages <= 2 THEN 1 ELSE 5 END AS k,
+  len(list_filter(list_transform(range(0, n_pages), lambda i: substr(text, 500 * i + 1, 500)),
+    lambda x: regexp_replace(x, '{WS_CLASS}', '', 'g') <> '')) AS n FROM file_arrivals WHERE file_type = 'pdf')
+SELECT id, file_name, concat('n_samples=', n, ' should be >= n_clusters=', k, '.') AS error FROM p WHERE n > 0 AND n < k"""
+
+
+@register("too_few_chunks", _FEW_SQL, ("file_arrivals",))
 def q_too_few_chunks(spark, sf):
     c = _file_chunks(spark, sf).withColumn("n_chunks", F.size("chunks"))
     bad = c.where((F.col("n_chunks") > 0) & (F.col("n_chunks") < F.col("k")))
@@ -85,7 +97,7 @@ def q_too_few_chunks(spark, sf):
 
 
 def _doc_chunks(spark, sf):
-    return D.chunk_documents(T.read(spark, sf, "documents").select("doc_id", "text"))
+    return D.chunk_documents(_paged(spark, sf))
 
 
 @register("embed_chunks", f"SELECT doc_id, TRUE AS all_unit FROM documents WHERE {_HAS_TEXT}")
@@ -96,33 +108,38 @@ def q_embed_chunks(spark, sf):
     return e.groupBy("doc_id").agg(F.bool_and(ok).alias("all_unit"))
 
 
+# vectors of one document: a group's size does not grow with the table
+GROUP = 100
+
+
 def _embedding_points(spark, sf):
     e = T.read(spark, sf, "embeddings")
     return e.select(
-        (F.col("vec_id") % 20).alias("grp"), F.col("vec_id").alias("pid"),
+        F.floor(F.col("vec_id") / GROUP).cast("bigint").alias("grp"), F.col("vec_id").alias("pid"),
         F.col("embedding").cast("array<double>").alias("vec"), "label",
     )
 
 
 @register(
     "cluster_chunks",
-    """SELECT vec_id % 20 AS grp, CAST(5 AS BIGINT) AS n_centroids, TRUE AS all_nearest FROM embeddings
-GROUP BY vec_id % 20 HAVING count(*) >= 5""",
+    """SELECT vec_id // 100 AS grp, CAST(5 AS BIGINT) AS n_centroids, TRUE AS all_nearest, count(*) AS n_points FROM embeddings
+GROUP BY vec_id // 100 HAVING count(*) >= 5""",
 )
 def q_cluster_chunks(spark, sf):
     pts = _embedding_points(spark, sf).drop("label")
     k = pts.select("grp").distinct().withColumn("k", F.lit(5))
-    assigned, cents = D.kmeans_per_group(pts, k)
+    out = cut_lineage(D.kmeans_per_group(pts, k), "kmeans")
+    cents = out.where(F.col("pid").isNull()).select("grp", "cluster", "center")
+    assigned = out.where(F.col("pid").isNotNull()).select("grp", "pid", "cluster", "dist")
     # independent check: the assigned distance is the minimum over all centroids of the group
-    best = D.distances_to_centroids(assigned.select("grp", "pid", "vec"), cents).groupBy("grp", "pid").agg(
-        F.min("dist").alias("best")
-    )
-    chk = assigned.join(best, ["grp", "pid"]).groupBy("grp").agg(F.bool_and(F.col("dist") <= F.col("best")).alias("all_nearest"))
+    best = D.distances_to_centroids(pts, cents).groupBy("grp", "pid").agg(F.min("dist").alias("best"))
+    near = F.col("dist") <= F.col("best") * (1 + 1e-9)
+    chk = assigned.join(best, ["grp", "pid"]).groupBy("grp").agg(F.bool_and(near).alias("all_nearest"), F.count(F.lit(1)).alias("n_points"))
     n = cents.groupBy("grp").agg(F.count(F.lit(1)).alias("n_centroids"))
     return n.join(chk, "grp")
 
 
-_LABEL_DIST = """e AS (SELECT vec_id, vec_id % 20 AS grp, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+_LABEL_DIST = """e AS (SELECT vec_id, vec_id // 100 AS grp, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 x AS (SELECT e.grp, e.label, r.i, e.v[r.i] AS xi FROM e, range(1, 65) r(i)),
 c AS (SELECT grp, label, i, avg(xi) AS ci FROM x GROUP BY ALL),
 cv AS (SELECT grp, label, list(ci ORDER BY i) AS cvec FROM c GROUP BY ALL),
@@ -170,23 +187,38 @@ def q_select_representatives(spark, sf):
     return D.select_representatives(pts.drop("label"), D.label_centroids(pts))
 
 
+# Representatives stand for documents here: point p speaks for the first chunk of document p.
+_HEAD, _TAIL = D.PROMPT_TEMPLATE.replace(chr(10), "' || chr(10) || '").split("{text}")
+
+
 @register(
     "build_prompts",
     f"""WITH w AS ({_W5_SQL}),
-g AS (SELECT grp, string_agg(concat('chunk ', CAST(pid AS VARCHAR)), chr(10) || chr(10) ORDER BY cluster) AS combined FROM w GROUP BY grp)
-SELECT grp, combined, concat('{D.PROMPT_TEMPLATE.split("{text}")[0].replace(chr(10), "' || chr(10) || '")}', combined,
-  '{D.PROMPT_TEMPLATE.split("{text}")[1]}') AS prompt,
-  CAST(length(concat('{D.PROMPT_TEMPLATE.split("{text}")[0].replace(chr(10), "' || chr(10) || '")}', combined,
-  '{D.PROMPT_TEMPLATE.split("{text}")[1]}')) AS INTEGER) AS prompt_length FROM g""",
+c AS (SELECT id, trim(substr(text, 1, 500), ' ' || chr(9) || chr(10) || chr(13)) AS chunk FROM file_arrivals WHERE file_type = 'pdf'),
+g AS (SELECT grp, string_agg(chunk, chr(10) || chr(10) ORDER BY cluster) AS combined FROM w JOIN c ON c.id = w.pid WHERE chunk <> '' GROUP BY grp)
+SELECT grp, combined, concat('{_HEAD}', combined, '{_TAIL}') AS prompt,
+  CAST(length(concat('{_HEAD}', combined, '{_TAIL}')) AS INTEGER) AS prompt_length FROM g""",
+    ("file_arrivals",),
 )
 def q_build_prompts(spark, sf):
-    reps = _w5(spark, sf).select("grp", F.col("cluster").alias("order"), F.concat(F.lit("chunk "), F.col("pid").cast("string")).alias("chunk"))
-    return D.build_prompts(reps)
-
-
-_SUMMARY_SQL = """concat('#### Model: llama3.2:latest | Liczba stron: ', CAST(n_pages AS VARCHAR), ' ####', chr(10),
-  array_to_string(list_slice(string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '), ' '), 1,
-    least(200, CASE WHEN n_pages <= 2 THEN 50 WHEN n_pages >= 40 THEN 1200 ELSE 600 END)), ' '))"""
+    pdf = T.file_arrivals(spark, sf).where(F.col("file_type") == "pdf").select("id", F.slice("pages", 1, 1).alias("pages"))
+    chunks = D.chunk_documents(pdf, id_col="id").where(F.col("chunk_no") == 0)
+    reps = _w5(spark, sf).select("grp", F.col("cluster").alias("order"), F.col("pid").alias("id"))
+    return D.build_prompts(reps.join(chunks, "id").select("grp", "order", "chunk"))
+
+
+# Sentences of the whole text ranked by their number of different words; those that fit the budget, in text order.
+_SUMMARIES = """sent AS (SELECT id, i AS pos, trim(s[i], ' ') AS s FROM (
+    SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+      SELECT id, regexp_extract_all(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), '[^.!?]+[.!?]*') AS s FROM file_arrivals))),
+sw AS (SELECT id, pos, s, string_split(s, ' ') AS w, least(200, CASE WHEN n_pages <= 2 THEN 50 WHEN n_pages >= 40 THEN 1200 ELSE 600 END) AS cap
+  FROM sent JOIN file_arrivals USING (id) WHERE s <> ''),
+rk AS (SELECT id, pos, s, w, cap, row_number() OVER o AS r, sum(len(w)) OVER o AS used FROM sw
+  WINDOW o AS (PARTITION BY id ORDER BY len(list_distinct(w)) DESC, pos)),
+pick AS (SELECT id, string_agg(CASE WHEN r = 1 THEN array_to_string(w[1 : cap], ' ') ELSE s END, ' ' ORDER BY pos) AS t
+  FROM rk WHERE used <= cap OR r = 1 GROUP BY id),
+summaries AS (SELECT f.id, f.company, f.file_name, concat('#### Model: llama3.2:latest | Liczba stron: ', CAST(n_pages AS VARCHAR), ' ####', chr(10),
+  coalesce(t, '')) AS summary FROM file_arrivals f LEFT JOIN pick USING (id))"""
 
 
 def _file_summaries(spark, sf):
@@ -195,15 +227,15 @@ def _file_summaries(spark, sf):
     return D.summarise(f.withColumn("budget", b), MODEL)
 
 
-@register("summarise_batch", f"SELECT id, {_SUMMARY_SQL} AS summary FROM file_arrivals", ("file_arrivals",))
+@register("summarise_batch", f"WITH {_SUMMARIES} SELECT id, summary FROM summaries", ("file_arrivals",))
 def q_summarise_batch(spark, sf):
     return _file_summaries(spark, sf).select("id", "summary")
 
 
 @register(
     "attach_summaries",
-    f"""SELECT f.id, s.summary AS new_summary FROM downloaded_files f LEFT JOIN
-  (SELECT company, file_name, {_SUMMARY_SQL} AS summary FROM file_arrivals) s
+    f"""WITH {_SUMMARIES}
+SELECT f.id, s.summary AS new_summary FROM downloaded_files f LEFT JOIN summaries s
   ON lower(s.company) = lower(f.company) AND s.file_name = f.file_name""",
     ("downloaded_files", "file_arrivals"),
 )
@@ -214,9 +246,10 @@ def q_attach_summaries(spark, sf):
 
 @register(
     "write_back_summaries",
-    f"""SELECT f.id, CASE WHEN s.summary IS NOT NULL THEN TRUE ELSE f.is_summarized END AS is_summarized,
+    f"""WITH {_SUMMARIES}
+SELECT f.id, CASE WHEN s.summary IS NOT NULL THEN TRUE ELSE f.is_summarized END AS is_summarized,
   coalesce(s.summary, f.summary_text) AS summary_text
-FROM downloaded_files f LEFT JOIN (SELECT company, file_name, {_SUMMARY_SQL} AS summary FROM file_arrivals) s
+FROM downloaded_files f LEFT JOIN summaries s
   ON lower(s.company) = lower(f.company) AND s.file_name = f.file_name""",
     ("downloaded_files", "file_arrivals"),
 )

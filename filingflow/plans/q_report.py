@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from filingflow.operators import report as P
 from filingflow.operators.registry import append_with_ids
 from filingflow.plans.catalog import register
+from filingflow.session import scratch_dir
 from filingflow.sources import listing as L
 from filingflow.sources import tables as T
 
@@ -34,29 +35,30 @@ def q_concat_summaries(spark, sf):
     return P.concat_summaries(_files(spark, sf))
 
 
-_OVERVIEW = """array_to_string(list_slice(string_split(trim(regexp_replace(t, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '), ' '), 1, 300), ' ')"""
+# All sentences of all summaries of a company ranked by their number of different words; those that fit into 300 words.
+_OVERVIEW = """osent AS (SELECT company, id, i AS pos, trim(s[i], ' ') AS s FROM (
+    SELECT company, id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+      SELECT lower(company) AS company, id, regexp_extract_all(regexp_replace(summary_text, '[ \\t\\n\\r\\f]+', ' ', 'g'), '[^.!?]+[.!?]*') AS s
+      FROM downloaded_files WHERE summary_text IS NOT NULL AND (suffix(file_name, '.pdf') OR suffix(file_name, '.html') OR suffix(file_name, '.htm'))))),
+ork AS (SELECT company, id, pos, s, row_number() OVER o AS r, sum(len(string_split(s, ' '))) OVER o AS used FROM osent WHERE s <> ''
+  WINDOW o AS (PARTITION BY company ORDER BY len(list_distinct(string_split(s, ' '))) DESC, id, pos)),
+ov AS (SELECT company, string_agg(CASE WHEN r = 1 THEN array_to_string(string_split(s, ' ')[1 : 300], ' ') ELSE s END, ' ' ORDER BY id, pos) AS overview
+  FROM ork WHERE used <= 300 OR r = 1 GROUP BY company)"""
 
 
-@register(
-    "collective_overview",
-    f"""WITH {_BLOCKS}
-SELECT company, {_OVERVIEW} AS overview FROM (SELECT company, string_agg(block, '' ORDER BY i) AS t FROM b WHERE i <= 300 GROUP BY company) g""",
-    ("downloaded_files",),
-)
+@register("collective_overview", f"WITH {_OVERVIEW} SELECT company, overview FROM ov", ("downloaded_files",))
 def q_collective_overview(spark, sf):
-    return P.collective_overview(_files(spark, sf))
+    return P.collective_overview(_files(spark, sf).withColumn("company", F.lower("company")))
 
 
-def _frame(spark, sf):
-    items = L.listing_page_scan(T.listing_pages(spark, sf))
-    fr = L.listing_frame(items)
-    c = T.companies(spark, sf).select(F.col("id").alias("company_id"), F.col("name").alias("company"))
-    fr = fr.join(c, "company_id")
-    return fr.withColumn("ord", F.struct(F.to_date("date", "dd-MM-yyyy").alias("d"), F.col("page_no"), F.col("pos")))
+def _items(spark, sf):
+    items = L.page_items(T.listing_pages(spark, sf))
+    return items.join(T.companies(spark, sf).select(F.col("id").alias("company_id"), F.col("name").alias("company")), "company_id")
 
 
 def _report_parts(spark, sf):
-    return P.collective_report(_frame(spark, sf), _files(spark, sf), AS_OF, MODEL)
+    parts = P.collective_report(_items(spark, sf), _files(spark, sf), AS_OF, MODEL)
+    return P.write_artifacts(parts, scratch_dir(spark, "reports"), ["company", "part"])
 
 
 _PL = """CASE report_type WHEN 'current' THEN 'Bieżący' WHEN 'quarterly' THEN 'Kwartalny'
@@ -69,7 +71,7 @@ def _g(c: str) -> str:
 
 _S8 = f"""WITH {_BLOCKS},
 parts AS (SELECT company, part, string_agg(block, '' ORDER BY i) AS text FROM b GROUP BY company, part),
-ov AS (SELECT company, {_OVERVIEW} AS overview FROM (SELECT company, string_agg(block, '' ORDER BY i) AS t FROM b WHERE i <= 300 GROUP BY company) g),
+{_OVERVIEW},
 nf AS (SELECT lower(company) AS company, count(*) AS n_files FROM downloaded_files GROUP BY 1),
 lr AS (SELECT lower(c.name) AS company, r.id, r.date AS d,
   strftime(r.date, '%d-%m-%Y') AS c_date,
@@ -123,7 +125,7 @@ def q_collective_report_sink(spark, sf):
 
 @register(
     "run_result_sink",
-    f"""SELECT l.id, concat('Raport GPW - ', j.company, chr(10), 'Wygenerowano: {AS_OF}', chr(10), 'Dzień: None', chr(10),
+    f"""SELECT l.id, concat('Raport GPW - ', j.company, chr(10), 'Wygenerowano: {AS_OF}', chr(10), 'Dzień: ', CASE WHEN l.id % 4 = 0 THEN 'None' ELSE strftime(l.started_at, '%Y-%m-%d') END, chr(10),
   'Model: ', j.model, chr(10), repeat('=', 80), chr(10), chr(10),
   'SUCCESS! ', CASE WHEN l.documents_processed > 0 THEN concat('downloaded ', l.documents_processed, ' files ') ELSE '' END,
   chr(10), chr(10), repeat('=', 80), chr(10), 'Znaleziono ', l.documents_processed, ' załączników', chr(10)) AS text
@@ -135,16 +137,16 @@ def q_run_result_sink(spark, sf):
     jobs = T.scheduled_jobs(spark, sf).select("job_name", "company", "model")
     j = log.join(jobs, "job_name")
     n = F.col("documents_processed")
-    txt = P.run_result_text(F.col("company"), AS_OF, F.lit(None).cast("date"), F.col("model"), P.scrape_status_text(n), n)
-    return j.select("id", txt.alias("text"))
+    day = F.when(F.col("id") % 4 != 0, F.to_date("started_at"))  # three runs of four ask for a day
+    txt = P.run_result_text(F.col("company"), AS_OF, day, F.col("model"), P.scrape_status_text(n), n)
+    return P.write_artifacts(j.select("id", txt.alias("text")), scratch_dir(spark, "run-results"), ["id"])
 
 
 @register(
     "append_summary_report",
     f"""WITH s8 AS ({_S8}),
 agg AS (SELECT company, CAST(sum(octet_length(encode(text))) AS BIGINT) AS file_size FROM s8 GROUP BY company),
-{_BLOCKS.replace('d AS (', 'd2 AS (', 1).replace('FROM d)', 'FROM d2)').replace('b AS (', 'b2 AS (')},
-ov AS (SELECT company, {_OVERVIEW} AS overview FROM (SELECT company, string_agg(block, '' ORDER BY i) AS t FROM b2 WHERE i <= 300 GROUP BY company) g),
+{_OVERVIEW},
 nf AS (SELECT lower(company) AS company, count(*) AS n_files FROM downloaded_files GROUP BY 1),
 nr AS (SELECT lower(c.name) AS company, least(count(*), 5) AS n_rows FROM reports r JOIN companies c ON c.id = r.company_id GROUP BY 1),
 rows AS (SELECT a.company, a.file_size, nr.n_rows, coalesce(nf.n_files, 0) AS n_files, ov.overview FROM agg a
@@ -162,8 +164,8 @@ def q_append_summary_report(spark, sf):
     files = _files(spark, sf).withColumn("company", F.lower("company"))
     nf = files.groupBy("company").agg(F.count(F.lit(1)).alias("document_count"))
     ov = P.collective_overview(files)
-    fr = _frame(spark, sf).withColumn("company", F.lower("company"))
-    nr = fr.groupBy("company").agg(F.least(F.count(F.lit(1)), F.lit(5)).alias("report_count"))
+    items = _items(spark, sf).withColumn("company", F.lower("company"))
+    nr = items.groupBy("company").agg(F.least(F.count(F.lit(1)), F.lit(5)).alias("report_count"))
     rows = (
         size.join(nr, "company").join(nf, "company", "left").join(ov, "company", "left")
         .select(

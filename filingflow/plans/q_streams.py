@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from filingflow.operators.pipeline import Pipeline
 from filingflow.plans import q_listing, q_registry  # noqa: F401  (oracles registered there)
 from filingflow.plans.catalog import ORACLES, register
 from filingflow.session import scratch_dir
@@ -32,7 +33,7 @@ ORACLES["incremental_feed"] = ORACLES["normalise_listing"]
 
 @register("streaming_registry", "SELECT DISTINCT md5_hash, file_size FROM file_arrivals", ("file_arrivals",))
 def q_streaming_registry(spark, sf):
-    arr = T.file_arrivals(spark, sf).drop("text", "n_pages")
+    arr = T.file_arrivals(spark, sf).drop("text", "n_pages", "pages")
     landing, schema = _land(arr, "arrivals", 4, "id")
     reg = feeds.streaming_registry(spark, landing, schema, scratch_dir(spark, "registry"), scratch_dir(spark, "registry-ckpt"))
     return reg.select("md5_hash", "file_size")
@@ -70,7 +71,5 @@ ORACLES["execution_pairing"] = ORACLES["close_execution"]
 
 @register("pipeline_result")
 def q_pipeline_result(spark, sf):
-    from filingflow.operators.pipeline import run_pipeline
-
-    return run_pipeline(spark, sf)["summaries"]
+    return Pipeline(spark, sf).condensed
 

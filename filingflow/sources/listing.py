@@ -8,7 +8,7 @@ page never leaves the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
@@ -25,26 +25,30 @@ _TR_DANE = r'(?s)<tr class="dane"[^>]*>(.*?)</tr>'
 
 
 def html_text(c: Column) -> Column:
-    """Visible text of an HTML fragment: tags dropped, the common entities decoded."""
-    t = F.regexp_replace(c, r"<[^>]*>", "")
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+    """Visible text of an HTML fragment: tags dropped, character references decoded."""
+    return X.decode_references(F.regexp_replace(c, r"<[^>]*>", ""))
 
 
 def _field(li: Column, pattern: str) -> Column:
     return F.regexp_extract(li, pattern, 1)
 
 
-def listing_page_scan(pages: DataFrame, key_cols=("company_id", "page_no")) -> DataFrame:
-    """One row per ``<li>`` with its ordinal and raw field texts."""
-    items = pages.select(*key_cols, F.posexplode(F.regexp_extract_all("html", F.lit(_LI), 1)).alias("pos", "li"))
+def page_items(pages: DataFrame, key_cols=("company_id", "page_no")) -> DataFrame:
+    """One row per ``<li>`` of a landed page with its ordinal, not parsed yet."""
+    return pages.select(*key_cols, F.posexplode(F.regexp_extract_all("html", F.lit(_LI), 1)).alias("pos", "li"))
+
+
+def header_text(li: Column) -> Column:
+    return html_text(_field(li, r'(?s)<span class="date">(.*?)</span>'))
+
+
+def parse_items(items: DataFrame) -> DataFrame:
+    """The raw field texts of each item; other columns stay."""
     li = F.col("li")
     return items.select(
-        *key_cols,
-        "pos",
+        *[c for c in items.columns if c != "li"],
         _field(li, r'<a href="([^"]*)"').alias("href"),
-        html_text(_field(li, r'(?s)<span class="date">(.*?)</span>')).alias("header_text"),
+        header_text(li).alias("header_text"),
         html_text(_field(li, r"(?s)<p>(.*?)</p>")).alias("title_text"),
         X.change_class_of(li).alias("change_class"),
         html_text(_field(li, r'(?s)<span class="(?:profit|loss) margin-left-30 pull-right">(.*?)</span>')).alias("change_text"),
@@ -52,35 +56,46 @@ def listing_page_scan(pages: DataFrame, key_cols=("company_id", "page_no")) -> D
     )
 
 
+def listing_page_scan(pages: DataFrame, key_cols=("company_id", "page_no")) -> DataFrame:
+    """One row per ``<li>`` with its ordinal and raw field texts."""
+    return parse_items(page_items(pages, key_cols))
+
+
+def newest_items(items: DataFrame, key: str, limit: int) -> DataFrame:
+    """The newest ``limit`` unparsed items of each key, with their order ``ord``: only the header's date is read before the cut."""
+    date = F.try_to_date(_at(X.split_header(header_text(F.col("li"))), 1), "dd-MM-yyyy")
+    dated = items.withColumn("ord", F.struct(date.alias("d"), "page_no", "pos"))
+    w = Window.partitionBy(key).orderBy(F.desc("ord"))
+    return dated.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
+
+
 def normalise_listing(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Job N: raw item texts -> typed report rows (accepted) and rows that cannot be parsed (rejected).
 
     The reference aborts the whole scrape on one malformed item (short header, a blank inside the
     loss text); here such an item goes to the rejected frame and the rest continue.
+
+    The finished row is the output of a generator, so the test for bad rows reads finished columns and
+    no field is extracted a second time inside the filter.
     """
-    h = X.split_header(F.col("header_text"))
-    typed = items.select(
-        "*",
-        h.alias("hdr"),
-        X.change_value(F.col("change_text"), F.col("change_class")).alias("rate_change"),
-        X.price_value(F.col("price_text")).alias("exchange_rate"),
-    )
+    raw = ("header_text", "title_text", "change_class", "change_text", "price_text", "href")
+    keys = [c for c in items.columns if c not in raw]
+    typed = items.select(*keys, *raw[1:], X.split_header(F.col("header_text")).alias("hdr"))
     label = _at("hdr", 2)
-    out = typed.select(
-        *[c for c in items.columns if c not in ("header_text", "title_text", "change_class", "change_text", "price_text", "href")],
+    row = F.struct(
         X.parse_date_text(_at("hdr", 1)).alias("date"),
         X.title_or_untitled(F.col("title_text"), label).alias("title"),
         X.report_type_enum(label).alias("report_type"),
         X.report_category_enum(_at("hdr", 3)).alias("report_category"),
-        "rate_change",
-        "exchange_rate",
+        X.change_value(F.col("change_text"), F.col("change_class")).alias("rate_change"),
+        X.price_value(F.col("price_text")).alias("exchange_rate"),
         X.absolute_link(LISTING_BASE, F.col("href")).alias("link"),
-        F.col("hdr").isNull().alias("_bad_header"),
+        F.col("hdr").isNull().alias("bad_header"),
     )
-    bad = F.col("_bad_header") | F.col("rate_change").isNull() | F.col("exchange_rate").isNull()
-    accepted = out.where(~bad).drop("_bad_header")
-    rejected = out.where(bad).drop("_bad_header")
-    return accepted, rejected
+    out = typed.select(*keys, F.explode(F.array(row)).alias("r"))
+    bad = F.col("r.bad_header") | F.col("r.rate_change").isNull() | F.col("r.exchange_rate").isNull()
+    cols = [*keys, *[f"r.{c}" for c in ("date", "title", "report_type", "report_category", "rate_change", "exchange_rate", "link")]]
+    return out.where(~bad).select(*cols), out.where(bad).select(*cols)
 
 
 def listing_frame(items: DataFrame) -> DataFrame:
@@ -89,7 +104,7 @@ def listing_frame(items: DataFrame) -> DataFrame:
     h = X.split_header(F.col("header_text"))
     label = _at(h, 2)
     return items.select(
-        *[c for c in items.columns if c in ("company_id", "company", "page_no", "pos", "id")],
+        *[c for c in items.columns if c in ("company_id", "company", "page_no", "pos", "id", "ord")],
         _at(h, 1).alias("date"),
         X.title_or_untitled(F.col("title_text"), label).alias("title"),
         label.alias("report type"),

@@ -20,49 +20,8 @@ DRIVER_TABLES = (
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Driver table scan. A multi-megabyte file that still yields fewer splits than the cluster
-    has cores (one parquet row group) is spread round-robin so per-row text work uses every
-    core; at cluster scale scans have far more splits than cores and this never triggers, and
-    small files are left alone (a shuffle would cost more than it saves)."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if _SPREAD_SMALL_SCANS and _splits(df, path) < cores and _bytes(spark, path) >= SPREAD_MIN_BYTES:
-        df = df.repartition(cores)
-    return df
-
-
-SPREAD_MIN_BYTES = int(os.environ.get("FILINGFLOW_SPREAD_MIN_BYTES", 4 * 1024 * 1024))
-_BYTES: dict[str, int] = {}
-
-
-def _bytes(spark: SparkSession, path: str) -> int:
-    """Stored size of a path through the Hadoop FileSystem API (any storage), cached per path."""
-    if path not in _BYTES:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            _BYTES[path] = int(fs.getContentSummary(p).getLength())
-        except Exception:  # noqa: BLE001 - no JVM access: treat as small
-            _BYTES[path] = 0
-    return _BYTES[path]
-
-
-_SPLITS: dict[str, int] = {}
-
-
-def _splits(df: DataFrame, path: str) -> int:
-    """Number of scan splits of a file (planned once per path)."""
-    if path not in _SPLITS:
-        try:
-            _SPLITS[path] = df.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): never spread
-            _SPLITS[path] = 1 << 30
-    return _SPLITS[path]
-
-
-_SPREAD_SMALL_SCANS = os.environ.get("FILINGFLOW_SPREAD_SMALL_SCANS", "1") == "1"
+    """Driver table scan."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def _lpad_num(c: Column, n: int = 9) -> Column:
@@ -186,9 +145,19 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PAGE_CHARS = 500
+
+
 def file_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     is_html = F.col("doc_id") % 3 == 0
+    n_pages = F.when(is_html, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n_chars") / F.lit(500.0)).cast("int")))
+    # an HTML file loads as one page, any other as pages of 500 characters (the last takes the rest)
+    width = F.when(is_html, F.length("text")).otherwise(F.lit(PAGE_CHARS))
+    pages = F.transform(
+        F.sequence(F.lit(1), n_pages),
+        lambda i: F.substring(F.col("text"), (i - 1) * PAGE_CHARS + 1, F.when(i == n_pages, F.length("text")).otherwise(width)),
+    )
     return d.select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("customer#"), _lpad_num(F.col("doc_id") % 97)).alias("company"),
@@ -200,9 +169,8 @@ def file_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_chars").alias("file_size"),
         F.md5(F.col("text")).alias("md5_hash"),
         "text",
-        F.when(is_html, F.lit(1))
-        .otherwise(F.greatest(F.lit(1), F.ceil(F.col("n_chars") / F.lit(500.0)).cast("int")))
-        .alias("n_pages"),
+        n_pages.alias("n_pages"),
+        pages.alias("pages"),
     )
 
 
@@ -231,7 +199,7 @@ def downloaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         "id", "company", "report_id", "file_name", "file_type", "file_size", "md5_hash",
         summarized.alias("is_summarized"),
-        F.when(summarized, F.substring("text", 1, 200)).alias("summary_text"),
+        F.when(summarized, F.col("text")).alias("summary_text"),
     )
 
 

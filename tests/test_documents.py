@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from filingflow.functions import text as X
 from filingflow.operators import documents as D
 from tests.conftest import SF_SMALL, rows
 
@@ -65,25 +66,37 @@ def _points(spark):
     return spark.createDataFrame(data, "grp long, pid long, vec array<double>")
 
 
+def _split(out):
+    return out.where(F.col("pid").isNotNull()), out.where(F.col("pid").isNull()).select("grp", "cluster", "center")
+
+
 def test_kmeans_contract_and_determinism(spark):
     pts = _points(spark)
     k = spark.createDataFrame([(1, 3), (2, 3)], "grp long, k int")
-    a1, c1 = D.kmeans_per_group(pts, k)
-    a2, _ = D.kmeans_per_group(pts, k)
+    a1, c1 = _split(D.kmeans_per_group(pts, k))
+    a2, _ = _split(D.kmeans_per_group(pts, k))
     assert sorted(rows(a1, "grp", "pid", "cluster")) == sorted(rows(a2, "grp", "pid", "cluster"))
     assert dict(rows(c1.groupBy("grp").count())) == {1: 3, 2: 3}
     # the three well separated blobs end up in three different clusters
     per = a1.groupBy("grp", "cluster").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(r[0] for r in rows(per, "n")) == [4] * 6
-    best = D.distances_to_centroids(a1.select("grp", "pid", "vec"), c1).groupBy("grp", "pid").agg(F.min("dist").alias("b"))
-    assert a1.join(best, ["grp", "pid"]).where(F.col("dist") > F.col("b")).count() == 0
+    best = D.distances_to_centroids(pts, c1).groupBy("grp", "pid").agg(F.min("dist").alias("b"))
+    assert a1.join(best, ["grp", "pid"]).where(F.abs(F.col("dist") - F.col("b")) > 1e-12).count() == 0
+    assert sorted(rows(D.distances_of_clustering(D.kmeans_per_group(pts, k)), "grp", "pid", "cluster")) == sorted(
+        rows(D.distances_to_centroids(pts, c1), "grp", "pid", "cluster")
+    )
 
 
 def test_kmeans_skips_groups_with_too_few_points(spark):
-    pts = _points(spark)
     k = spark.createDataFrame([(1, 20)], "grp long, k int")
-    a, c = D.kmeans_per_group(pts, k)
-    assert a.count() == 0 and c.count() == 0
+    assert D.kmeans_per_group(_points(spark), k).count() == 0
+
+
+def test_twelve_clusters_give_twelve_picks(spark):
+    pts = spark.createDataFrame([(1, i, [float(i)]) for i in range(30)], "grp long, pid long, vec array<double>")
+    cents = spark.createDataFrame([(1, j, [0.01 * j]) for j in range(12)], "grp long, cluster int, center array<double>")
+    got = rows(D.select_representatives(pts, cents).orderBy("order"), "cluster", "pid")
+    assert got == [(j, j) for j in range(12)]
 
 
 def test_representatives_are_unique(spark):
@@ -96,9 +109,37 @@ def test_representatives_are_unique(spark):
     assert plain == [(0, 0), (1, 0)]
 
 
-def test_extractive_summary_budget(spark):
-    df = spark.createDataFrame([("  one two\nthree   four five ", 3)], "t string, b int")
-    assert rows(df.select(D.extractive_summary(F.col("t"), F.col("b")))) == [("one two three",)]
+def test_extractive_summary_reads_the_whole_text(spark):
+    cases = [
+        ("  one two\nthree   four five ", 3, "one two three"),  # a sentence that is too long alone is cut
+        ("a a a. b c d e. the end here!", 4, "b c d e."),
+        ("a a a. b c d e. the end here!", 7, "b c d e. the end here!"),
+        ("x. " * 500 + "the last one counts most.", 5, "the last one counts most."),
+        ("", 5, ""),
+        (None, 5, ""),
+        ("...", 5, ""),
+    ]
+    df = spark.createDataFrame([(i, t, b) for i, (t, b, _) in enumerate(cases)], "i int, t string, b int")
+    got = dict(rows(df.select("i", D.extractive_summary(F.col("t"), F.col("b")))))
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_character_references(spark):
+    cases = {
+        "Sp&oacute;&#322;ka &ndash; A&amp;B": "Spółka – A&B",
+        "&#x142;&#X0142; &amp;lt; &lt;b&gt;": "łł &lt; <b>",
+        "a&nbsp;b&#160;c": "a b c",
+        "&nope; & &; &#; &#xZZ; &#0; &#55296; &#9999999; AT&T": "&nope; & &; &#; &#xZZ; &#0; &#55296; &#9999999; AT&T",
+        "&apos;&quot;&eacute": "'\"&eacute",
+        "&#128512;": "😀",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert dict(rows(df.select("t", X.decode_references(F.col("t"))))) == cases
+
+
+def test_chunks_stay_inside_pages(spark):
+    df = spark.createDataFrame([(1, ["aaa bbb", " ", "ccc"]), (2, []), (3, None)], "doc_id long, pages array<string>")
+    assert sorted(rows(D.chunk_documents(df, 2000), "doc_id", "chunk_no", "chunk")) == [(1, 0, "aaa bbb"), (1, 1, "ccc")]
 
 
 def test_html_to_text_drops_script_strings(spark):
@@ -107,38 +148,55 @@ def test_html_to_text_drops_script_strings(spark):
     assert rows(df.select(D.html_to_text(F.col("h")))) == [("A & B C",)]
 
 
-def test_kmeans_distributed_path_agrees_with_local(spark, monkeypatch):
-    pts = _points(spark)
-    k = spark.createDataFrame([(1, 3), (2, 3)], "grp long, k int")
-    local, _ = D.kmeans_per_group(pts, k)
-    monkeypatch.setattr(D, "LOCAL_GROUP_MAX", 0)  # every group takes the distributed iterations
-    dist, cents = D.kmeans_per_group(pts, k)
-    assert sorted(rows(local, "grp", "pid", "cluster")) == sorted(rows(dist, "grp", "pid", "cluster"))
-    assert cents.count() == 6
-
-
-def test_kmeans_groups_cut_by_arrow_batches(spark, monkeypatch):
+def test_kmeans_groups_cut_by_arrow_batches(spark):
     pts = _points(spark)
     k = spark.createDataFrame([(1, 3), (2, 3)], "grp long, k int")
+    whole = sorted(rows(_split(D.kmeans_per_group(pts, k))[0], "grp", "pid", "cluster"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # groups of 12 span batches
     try:
-        small_batches, _ = D.kmeans_per_group(pts, k)
-        got = sorted(rows(small_batches, "grp", "pid", "cluster"))
+        assert sorted(rows(_split(D.kmeans_per_group(pts, k))[0], "grp", "pid", "cluster")) == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    monkeypatch.setattr(D, "LOCAL_GROUP_MAX", 0)
-    dist, _ = D.kmeans_per_group(pts, k)
-    assert got == sorted(rows(dist, "grp", "pid", "cluster"))
 
 
 def test_summarise_with_model_hook(spark):
-    def _fake_model():
+    def _model():
         """A stand-in for a caller's model, built once per partition by the hook."""
-        return lambda prompt: "MODEL: " + " ".join(prompt.split()[:3])
 
-    prompts = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one two")], "grp long, prompt string")
-    got = sorted(rows(D.summarise_with_model(prompts, _fake_model)))
-    assert got == [(1, "MODEL: alpha beta gamma"), (2, "MODEL: one two")]
+        def answer(prompt, budget):
+            if "bad" in prompt:
+                raise ValueError("no answer")
+            return " ".join(prompt.split()[:budget])
+
+        return answer
+
+    prompts = spark.createDataFrame([(1, "alpha beta gamma delta", 3, 1), (2, "bad", 9, 4)], "grp long, prompt string, budget int, n_pages int")
+    got = dict(rows(D.summarise_with_model(prompts, _model, "m")))
+    assert got == {
+        1: "#### Model: m | Liczba stron: 1 ####\nalpha beta gamma",
+        2: "#### Model: m | Liczba stron: 4 ####\n" + D.MODEL_FAILED + "no answer",
+    }
+
+
+def test_overview_reads_all_files_and_model_failures_stay_local(spark):
+    from filingflow.operators import report as P
+
+    files = [(i, "c", f"f{i}.pdf", "a a a.") for i in range(700)] + [(900, "c", "last.htm", "many different words in here."), (901, "d", "x.pdf", "bad"), (902, "e", "x.txt", "not a document.")]
+    df = spark.createDataFrame(files, "id long, company string, file_name string, summary_text string")
+    got = dict(rows(P.collective_overview(df, words=9)))
+    assert got == {"c": "a a a. many different words in here.", "d": "bad"}
+
+    def _model():
+        def answer(prompt):
+            if "x.pdf" in prompt:
+                raise ValueError("no")
+            return "fine"
+
+        return answer
+
+    out = rows(P.overview_with_model(df, _model), "company", "part", "overview")
+    assert {o for c, _, o in out if c == "c"} == {"fine"} and len([1 for c, *_ in out if c == "c"]) == 15
+    assert [o for c, _, o in out if c == "d"] == [P.COLLECTIVE_FAILED + "no"]
 
 
 def test_g_format_matches_python(spark):

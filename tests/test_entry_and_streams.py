@@ -81,7 +81,7 @@ def test_registry_stream_stores_each_md5_once(spark):
     from filingflow.sources import tables as T
     from filingflow.streaming import feeds
 
-    arr = T.file_arrivals(spark, SF_SMALL).drop("text", "n_pages")
+    arr = T.file_arrivals(spark, SF_SMALL).drop("text", "n_pages", "pages")
     landing, schema = q_streams._land(arr, "t-arrivals", 3, "id")
     reg = feeds.streaming_registry(spark, landing, schema, scratch_dir(spark, "t-reg"), scratch_dir(spark, "t-reg-ckpt"))
     assert reg.count() == reg.select("md5_hash").distinct().count() == arr.select("md5_hash").distinct().count()
@@ -92,7 +92,9 @@ def test_registry_stream_stores_each_md5_once(spark):
 def test_every_inventory_id_has_queries():
     from filingflow.plans.inventory import INVENTORY
 
-    qs = entry.queries()
+    from filingflow.plans.catalog import QUERIES as qs, load_all
+
+    load_all()
     missing = {i: [k for k in keys if k not in qs] for i, keys in INVENTORY.items() if any(k not in qs for k in keys)}
     assert missing == {}
     covered = {k for keys in INVENTORY.values() for k in keys}
@@ -100,22 +102,22 @@ def test_every_inventory_id_has_queries():
 
 
 def test_pipeline_outputs_are_consistent(spark):
-    from filingflow.operators.pipeline import run_pipeline
+    from filingflow.operators.pipeline import Pipeline
     from filingflow.sources import tables as T
 
-    out = run_pipeline(spark, SF_SMALL)
+    out = Pipeline(spark, SF_SMALL)
     docs = T.file_arrivals(spark, SF_SMALL)
     n_docs = docs.select("md5_hash").distinct().count()
-    summ = out["summaries"]
+    summ = out.condensed
     # every downloaded document gets exactly one outcome: a summary or an error
     assert summ.count() == summ.select("id").distinct().count() == docs.count()
     assert summ.where(F.col("summary").isNull() & F.col("error").isNull()).count() == 0
     assert summ.where(F.col("error").isNotNull() & ~F.col("error").startswith("n_samples=")).count() == 0
-    files = out["files"]
+    files = out.files()
     assert files.count() == n_docs  # one registry row per md5
     stored = summ.where(F.col("summary").isNotNull()).join(files.select("company", "file_name"), ["company", "file_name"], "left_semi")
     assert files.where(F.col("is_summarized")).count() == stored.count()
-    rep = out["report"]
+    rep = out.report()
     heads = rep.where(F.col("part") == 0)
     assert heads.where(~F.col("text").startswith("# Zbiorczy Raport GPW - ")).count() == 0
     tails = rep.groupBy("company").agg(F.max("part").alias("p")).join(rep, "company").where(F.col("part") == F.col("p"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import __spark_entry__ as entry
+from filingflow.plans.catalog import QUERIES, load_all
 from tests.conftest import SF_SMALL
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonMapInArrow")
 
-# D1 (chunker UDF), D6 (bounded groups clustered per Arrow batch) and everything built on them.
+# D1 (chunker UDF), D6 (documents clustered per Arrow batch) and everything built on them.
 PYTHON_ALLOWED = {
     "chunk_documents", "chunk_documents_1000", "empty_document", "too_few_chunks", "embed_chunks", "cluster_chunks",
+    "build_prompts",
     "pipeline_result",
 }
 # queries that write artifacts or drain streams while being built are planned elsewhere
@@ -23,7 +25,8 @@ def _plan(df) -> str:
 
 def test_python_only_where_allowed(spark):
     bad = []
-    for name, fn in entry.queries().items():
+    load_all()
+    for name, fn in QUERIES.items():
         if name in SKIP:
             continue
         plan = _plan(fn(spark, SF_SMALL))
@@ -42,6 +45,15 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<conv_id:bigint,role:string>" in stats
 
 
-def test_partial_top_k_before_shuffle(spark):
+def test_a_hot_request_is_cut_in_salted_parts_first(spark):
     plan = _plan(entry.queries()["listing_filter"](spark, SF_SMALL))
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert plan.count("__salt") >= 2 and "hashpartitioning(job_name" in plan
+
+
+def test_one_python_node_in_the_condense_plan(spark):
+    from filingflow.operators import documents as D
+
+    pts = spark.createDataFrame([(1, i, [float(i), 0.0]) for i in range(9)], "grp long, pid long, vec array<double>")
+    picks = D.unique_picks(D.distances_of_clustering(D.kmeans_per_group(pts, spark.createDataFrame([(1, 3)], "grp long, k int"))))
+    picks.collect()
+    assert _plan(picks).split("Initial Plan")[0].count("MapInPandas") == 1
