@@ -1,8 +1,8 @@
 """Registry writes as pure functions ``(state, changes) -> new state``: U1-U16, W3, J1, J4-J7, J11, J12.
 
 Parquet has no MERGE, so an upsert is a join of the current snapshot with the change set and a
-per-column choice; the caller writes the result to a fresh snapshot folder (``snapshot_write``)
-and never overwrites a path that is being read. New AUTO_INCREMENT ids are ``max(id)`` plus a
+per-column choice; the caller writes the result to a fresh folder and never overwrites a path that
+is being read. New AUTO_INCREMENT ids are ``max(id)`` plus a
 distributed dense numbering of the new rows (``dense_ids``), never a global window.
 """
 
@@ -28,13 +28,6 @@ def append_with_ids(state: DataFrame, new_rows: DataFrame, order_cols: list[str]
     return j.withColumn(id_col, (F.col("__max_id") + F.col("__rank")).cast("bigint")).drop("__max_id", "__rank")
 
 
-def snapshot_write(df: DataFrame, table: str) -> str:
-    """Write a new state to its own snapshot folder under the shared checkpoint folder."""
-    path = scratch_dir(df.sparkSession, f"registry-{table}")
-    df.write.mode("errorifexists").parquet(path)
-    return path
-
-
 # --------------------------------------------------------------------------- companies
 
 
@@ -108,36 +101,37 @@ def update_file_summary(registry: DataFrame, changes: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- jobs
 
-JOB_CONFIG_COLS = ["company", "cron_schedule", "enabled", "model", "report_limit", "report_types"]
+JOB_CONFIG_COLS = [
+    "company", "date_from", "date_to", "model", "cron_schedule", "enabled", "report_limit", "report_types", "report_categories",
+]
 
 
 def upsert_jobs(jobs: DataFrame, batch: DataFrame, as_of: str) -> DataFrame:
-    """U5 insert-or-update by job_name.
+    """U5 insert-or-update by job_name; the result has every column of ``jobs``, and ``updated_at``.
 
-    Config columns and updated_at come from the batch (the last writer inside a batch wins, by
-    ``change_no``); id, last_run and run_count are kept for existing jobs; new jobs get new ids.
+    Rows the batch does not name stay as they are, whatever columns they have. For the others the
+    config columns and updated_at come from the batch (the last writer inside a batch wins, by
+    ``change_no``; a config column the batch lacks is NULL) and the rest is kept. New jobs get new ids, no
+    runs, and ``created_at`` = now.
     """
-    last = batch.groupBy("job_name").agg(F.max_by(F.struct(*JOB_CONFIG_COLS), F.col("change_no")).alias("c"))
-    last = last.select("job_name", *[F.col("c")[k].alias(k) for k in JOB_CONFIG_COLS])
-    ts = F.lit(as_of).cast("timestamp_ntz")
-    existing = jobs.select("id", "job_name", "last_run", "run_count")
-    merged = existing.join(last, "job_name", "full_outer")
-    upd = merged.where(F.col("id").isNotNull())
-    kept = upd.where(F.col("cron_schedule").isNull() & F.col("company").isNull()).select("job_name").join(jobs, "job_name")
-    changed = upd.where(F.col("cron_schedule").isNotNull() | F.col("company").isNotNull())
-    new = merged.where(F.col("id").isNull()).drop("id")
+    now = F.lit(as_of).cast("timestamp_ntz")
+    if "updated_at" not in jobs.columns:
+        jobs = jobs.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    cfg = [c for c in JOB_CONFIG_COLS if c in jobs.columns]
+    types = dict(jobs.dtypes)
+    given = [(F.col(c) if c in batch.columns else F.lit(None)).cast(types[c]).alias(c) for c in cfg]
+    last = batch.groupBy("job_name").agg(F.max_by(F.struct(*given), F.col("change_no")).alias("__c"))
+    named = last.select(F.col("job_name").alias("__job"), "__c")
+    hit = F.col("__job").isNotNull()
+    kept = jobs.join(named, jobs["job_name"] == named["__job"], "left")
+    value = {c: F.when(hit, F.col("__c")[c]).otherwise(F.col(c)) for c in cfg} | {"updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
+    kept = kept.select(*[value.get(c, F.col(c)).alias(c) for c in jobs.columns])
+    new = last.join(jobs.select("job_name"), "job_name", "left_anti").select("job_name", *[F.col("__c")[c].alias(c) for c in cfg])
     new = append_with_ids(jobs, new, ["job_name"])
-    out_cols = ["id", "job_name", *JOB_CONFIG_COLS, "last_run", "run_count", "updated_at"]
-    return (
-        kept.withColumn("updated_at", F.lit(None).cast("timestamp_ntz")).select(*out_cols)
-        .unionByName(changed.withColumn("updated_at", ts).select(*out_cols))
-        .unionByName(
-            new.withColumn("last_run", F.lit(None).cast("timestamp_ntz"))
-            .withColumn("run_count", F.lit(0).cast("bigint"))
-            .withColumn("updated_at", ts)
-            .select(*out_cols)
-        )
-    )
+    start = {"run_count": F.lit(0), "updated_at": now, "created_at": now}
+    rest = [c for c in jobs.columns if c not in ("id", "job_name", *cfg)]
+    new = new.withColumns({c: start.get(c, F.lit(None)).cast(types[c]) for c in rest})
+    return kept.unionByName(new.select(*jobs.columns))
 
 
 def update_run_stats(jobs: DataFrame, finished: DataFrame) -> DataFrame:
@@ -220,11 +214,10 @@ def start_executions(log: DataFrame, jobs_to_start: DataFrame, as_of: str) -> Da
 
 def close_executions(starts: DataFrame, ends: DataFrame) -> DataFrame:
     """Pair each start with its end event by execution id; status, finish, whole-second
-    duration (truncated), and *every* optional column overwritten — also with NULL."""
-    e = ends.select(
-        F.col("execution_id"), F.col("status").alias("__status"), "finished_at", "reports_found", "documents_processed",
-        "summary_report_id", "error_message", "log_file_path",
-    )
+    duration (truncated), and *every* optional column overwritten — also with NULL. Of several end
+    events of one execution the latest counts (by finish, then status)."""
+    cols = ["finished_at", "status", "reports_found", "documents_processed", "summary_report_id", "error_message", "log_file_path"]
+    e = ends.groupBy("execution_id").agg(F.max(F.struct(*cols)).alias("e")).select("execution_id", "e.*").withColumnRenamed("status", "__status")
     s = starts.select("id", "job_name", "status", "started_at")
     j = s.join(e, s["id"] == e["execution_id"], "left")
     closed = F.col("execution_id").isNotNull()
@@ -238,8 +231,17 @@ def close_executions(starts: DataFrame, ends: DataFrame) -> DataFrame:
     )
 
 
+def bump_jobs(jobs: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:
+    """U13, second half: a job with runs to log has last_run = now and run_count + their number."""
+    n = runs.groupBy("job_name").agg(F.count(F.lit(1)).alias("__n"))
+    j = jobs.join(n, "job_name", "left")
+    last = F.when(F.col("__n").isNotNull(), F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("last_run"))
+    value = {"last_run": last, "run_count": F.col("run_count") + F.coalesce("__n", F.lit(0))}
+    return j.select(*[value.get(c, F.col(c)).alias(c) for c in jobs.columns])
+
+
 def log_finished_runs(log: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:
-    """U13 (procedure): started = now - duration, finished = now, appended to the log."""
+    """U13, first half: started = now - duration, finished = now, appended to the log (the new rows)."""
     now = F.lit(as_of).cast("timestamp_ntz")
     added = append_with_ids(log, runs, ["run_key"])
     return added.select(

@@ -41,7 +41,7 @@ INVENTORY: dict[str, tuple[str, ...]] = {
     "J9": ("zip_attachments",),
     "J10": ("execution_with_summary",),
     "J11": ("execution_summary_resolve",),
-    "J12": ("referential_delete", "referential_delete_reports"),
+    "J12": ("referential_delete", "referential_delete_reports", "set_null_on_summary_delete"),
     # 2.4 aggregations
     "A1": ("company_stats",),
     "A2": ("company_file_stats",),
@@ -75,10 +75,10 @@ INVENTORY: dict[str, tuple[str, ...]] = {
     "U10": ("append_search",),
     "U11": ("append_summary_report",),
     "U12": ("set_enabled",),
-    "U13": ("log_finished_run",),
+    "U13": ("log_finished_run", "bump_finished_jobs"),
     "U14": ("add_report_limit",),
     "U15": ("migrate_v1_names",),
-    "U16": ("migrate_legacy_configs",),
+    "U16": ("migrate_legacy_configs", "migrated_job_state"),
     # 2.8 scalar logic
     "N1": ("split_header",),
     "N2": ("report_type_enum",),
@@ -111,7 +111,7 @@ INVENTORY: dict[str, tuple[str, ...]] = {
     "D9": ("summarise_batch",),
     "D10": ("collective_overview",),
     "D11": ("write_back_summaries",),
-    "D12": ("pipeline_result",),
+    "D12": ("pipeline_result", "pipeline_rejected", "pipeline_files", "pipeline_overview", "pipeline_report"),
     # 2.10 streaming
     "R1": ("incremental_feed",),
     "R2": ("streaming_registry",),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filingflow.functions import cron as C
+from filingflow.functions import text as X
 from filingflow.operators import registry as R
 from filingflow.plans.catalog import register
 from filingflow.session import scratch_dir
@@ -154,22 +155,40 @@ def q_unmigrated_configs(spark, sf):
 
 
 def migrate_legacy_configs(legacy, jobs, as_of: str):
-    """U16: S5 -> J5 -> U5; returns (new job state, number migrated)."""
+    """U16: S5 -> J5 -> U5, every field the job table has; returns (new job state, number migrated)."""
     todo = R.unmigrated_configs(legacy, jobs)
     batch = todo.select(
         "job_name", "company", "cron_schedule", "enabled", "model", F.col("report_limit").cast("int").alias("report_limit"),
-        F.lit(None).cast("string").alias("report_types"), F.lit(0).alias("change_no"),
+        X.parse_date_text(F.col("date_from")).alias("date_from"), X.parse_date_text(F.col("date_to")).alias("date_to"),
+        X.json_list_encode(F.col("report_types")).alias("report_types"), X.json_list_encode(F.col("report_categories")).alias("report_categories"),
+        F.lit(0).alias("change_no"),
     )
     state = R.upsert_jobs(jobs, batch, as_of)
     return state, todo.agg(F.count(F.lit(1)).alias("migrated"))
 
 
+_MIGRATED = f"""s AS (SELECT {_LEGACY_NAME} AS job_name, * EXCLUDE (job_name) FROM summary_reports),
+last AS (SELECT * FROM s WHERE id IN (SELECT max(id) FROM s GROUP BY job_name) AND job_name NOT IN (SELECT job_name FROM scheduled_jobs))"""
+
+
+@register("migrate_legacy_configs", f"WITH {_MIGRATED} SELECT count(*) AS migrated FROM last", ("summary_reports", "scheduled_jobs"))
+def q_migrate_legacy_configs(spark, sf):
+    return migrate_legacy_configs(_legacy_dir(spark, sf), T.scheduled_jobs(spark, sf), "2024-02-01 00:00:00")[1]
+
+
 @register(
-    "migrate_legacy_configs",
-    """SELECT count(DISTINCT concat(CASE WHEN (id // 100) % 2 = 0 THEN 'job_' ELSE 'weekly_' END, CAST(id // 100 AS VARCHAR))) AS migrated FROM summary_reports
-WHERE concat(CASE WHEN (id // 100) % 2 = 0 THEN 'job_' ELSE 'weekly_' END, CAST(id // 100 AS VARCHAR)) NOT IN (SELECT job_name FROM scheduled_jobs)""",
+    "migrated_job_state",
+    f"""WITH {_MIGRATED}
+SELECT id, job_name, company, CAST(NULL AS DATE) AS date_from, CAST(NULL AS DATE) AS date_to, cron_schedule, enabled, report_limit,
+  CAST(NULL AS VARCHAR) AS report_categories, run_count FROM scheduled_jobs
+UNION ALL SELECT (SELECT max(id) FROM scheduled_jobs) + row_number() OVER (ORDER BY job_name), job_name, company, date_from, date_to, '0 9 * * 1',
+  file_format = 'md', 5, '["ESPI"]', 0 FROM last""",
     ("summary_reports", "scheduled_jobs"),
 )
-def q_migrate_legacy_configs(spark, sf):
-    _, n = migrate_legacy_configs(_legacy_dir(spark, sf), T.scheduled_jobs(spark, sf), "2024-02-01 00:00:00")
-    return n
+def q_migrated_job_state(spark, sf):
+    jobs = T.scheduled_jobs(spark, sf).withColumns(
+        {"date_from": F.lit(None).cast("date"), "date_to": F.lit(None).cast("date"), "report_categories": F.lit(None).cast("string")}
+    )
+    legacy = _legacy_dir(spark, sf).withColumn("report_categories", F.array(F.lit("ESPI")))
+    state, _ = migrate_legacy_configs(legacy, jobs, "2024-02-01 00:00:00")
+    return state.select("id", "job_name", "company", "date_from", "date_to", "cron_schedule", "enabled", "report_limit", "report_categories", "run_count")

@@ -260,19 +260,23 @@ def q_zip_attachments(spark, sf):
 
 
 def attach_report_id(attachments, reports):
-    """An attachment inherits its filing's id through the filing link; NULL when no filing."""
-    r = reports.select(F.col("link").alias("r_link"), F.col("id").alias("report_id"))
+    """An attachment inherits its filing's id through the filing link; NULL when no filing. A filing that was
+    appended again is known by its newest id, the run's own row, so attachments never multiply."""
+    r = reports.groupBy(F.col("link").alias("r_link")).agg(F.max("id").alias("report_id"))
     return attachments.join(r, attachments["link"] == r["r_link"], "left").drop("r_link")
 
 
 @register(
     "attach_report_id",
-    f"""SELECT a.link, CAST(a.file_no AS INTEGER) AS file_no, a.url, a.name, r.id AS report_id
+    f"""SELECT a.link, CAST(a.file_no AS INTEGER) AS file_no, a.url, a.name,
+  CASE WHEN r.id % 5 = 0 THEN r.id + 10000000 ELSE r.id END AS report_id
 FROM ({_ATT_SQL}) a LEFT JOIN reports r ON r.link = a.link""",
     ("file_arrivals", "reports"),
 )
 def q_attach_report_id(spark, sf):
-    return attach_report_id(_attachments(spark, sf), T.reports(spark, sf))
+    reports = T.reports(spark, sf).select("id", "link")
+    again = reports.where(F.col("id") % 5 == 0).withColumn("id", F.col("id") + 10000000)  # one filing in five was appended twice
+    return attach_report_id(_attachments(spark, sf), reports.unionByName(again))
 
 
 def filing_and_file_ordinals(reports, companies, attachments):

@@ -149,20 +149,36 @@ def _job_batch(spark, sf):
     )
 
 
+# The job table with all its columns: those the bindings lack are derived from the last run.
+_FULL_JOBS = """fj AS (SELECT id, job_name, company, CAST(last_run AS DATE) AS date_from, CAST(NULL AS DATE) AS date_to, model, cron_schedule, enabled,
+  report_limit, report_types, CASE WHEN id % 2 = 0 THEN '["ESPI"]' END AS report_categories, last_run, last_run + INTERVAL 1 DAY AS next_run,
+  run_count, last_run - INTERVAL 9 DAY AS created_at, last_run AS updated_at FROM scheduled_jobs)"""
+
+
+def _full_jobs(spark, sf):
+    day = F.make_dt_interval(F.lit(1))
+    return T.scheduled_jobs(spark, sf).select(
+        "id", "job_name", "company", F.col("last_run").cast("date").alias("date_from"), F.lit(None).cast("date").alias("date_to"),
+        "model", "cron_schedule", "enabled", "report_limit", "report_types", F.when(F.col("id") % 2 == 0, '["ESPI"]').alias("report_categories"),
+        "last_run", (F.col("last_run") + day).alias("next_run"), "run_count", (F.col("last_run") - day * 9).alias("created_at"),
+        F.col("last_run").alias("updated_at"),
+    )
+
+
 @register(
     "upsert_jobs",
-    f"""WITH {_JOB_BATCH}
-SELECT j.id, j.job_name, j.company, j.cron_schedule, j.enabled, j.model, j.report_limit, j.report_types, j.last_run,
-  j.run_count, CAST(NULL AS TIMESTAMP) AS updated_at FROM scheduled_jobs j WHERE j.job_name NOT IN (SELECT job_name FROM last)
-UNION ALL SELECT j.id, l.job_name, l.company, l.cron_schedule, l.enabled, l.model, l.report_limit, l.report_types,
-  j.last_run, j.run_count, TIMESTAMP '{AS_OF}' FROM scheduled_jobs j JOIN last l ON l.job_name = j.job_name
-UNION ALL SELECT (SELECT max(id) FROM scheduled_jobs) + row_number() OVER (ORDER BY l.job_name), l.job_name, l.company,
-  l.cron_schedule, l.enabled, l.model, l.report_limit, l.report_types, CAST(NULL AS TIMESTAMP), CAST(0 AS BIGINT),
-  TIMESTAMP '{AS_OF}' FROM last l WHERE l.job_name NOT IN (SELECT job_name FROM scheduled_jobs)""",
+    f"""WITH {_JOB_BATCH}, {_FULL_JOBS}
+SELECT * FROM fj WHERE job_name NOT IN (SELECT job_name FROM last)
+UNION ALL BY NAME SELECT fj.id, fj.job_name, l.company, CAST(NULL AS DATE) AS date_from, CAST(NULL AS DATE) AS date_to, l.model, l.cron_schedule,
+  l.enabled, l.report_limit, l.report_types, CAST(NULL AS VARCHAR) AS report_categories, fj.last_run, fj.next_run, fj.run_count, fj.created_at,
+  TIMESTAMP '{AS_OF}' AS updated_at FROM fj JOIN last l ON l.job_name = fj.job_name
+UNION ALL BY NAME SELECT (SELECT max(id) FROM fj) + row_number() OVER (ORDER BY l.job_name) AS id, l.job_name, l.company, l.model,
+  l.cron_schedule, l.enabled, l.report_limit, l.report_types, CAST(0 AS BIGINT) AS run_count, TIMESTAMP '{AS_OF}' AS created_at,
+  TIMESTAMP '{AS_OF}' AS updated_at FROM last l WHERE l.job_name NOT IN (SELECT job_name FROM fj)""",
     ("summary_reports", "scheduled_jobs"),
 )
 def q_upsert_jobs(spark, sf):
-    return R.upsert_jobs(T.scheduled_jobs(spark, sf), _job_batch(spark, sf), AS_OF)
+    return R.upsert_jobs(_full_jobs(spark, sf), _job_batch(spark, sf), AS_OF)
 
 
 @register(
@@ -259,7 +275,7 @@ def q_start_execution(spark, sf):
 def _end_events(spark, sf):
     e = T.read(spark, sf, "events").where(F.col("event_type") == "click").select("event_id", "ts", "value")
     ok = F.col("value") >= 100
-    return e.select(
+    ends = e.select(
         F.col("event_id").alias("execution_id"),
         F.when(ok, F.lit("success")).otherwise(F.lit("failed")).alias("status"),
         (F.col("ts") + T.seconds_interval(F.col("value"))).alias("finished_at"),
@@ -269,15 +285,26 @@ def _end_events(spark, sf):
         F.when(~ok, F.lit("timeout")).alias("error_message"),
         F.lit(None).cast("string").alias("log_file_path"),
     )
+    late = ends.where(F.col("execution_id") % 4 == 0).withColumns(
+        {
+            "status": F.lit("cancelled"), "finished_at": F.col("finished_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(10)),
+            "documents_processed": F.lit(0), "error_message": F.lit("late"),
+        }
+    )
+    return ends.unionByName(late)
 
 
 @register(
     "close_execution",
-    """WITH e AS (SELECT event_id AS execution_id, CASE WHEN value >= 100 THEN 'success' ELSE 'failed' END AS status,
+    """WITH e0 AS (SELECT event_id AS execution_id, CASE WHEN value >= 100 THEN 'success' ELSE 'failed' END AS status,
   ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS finished_at, CAST(NULL AS INTEGER) AS reports_found,
   CAST(event_id % 9 AS INTEGER) AS documents_processed, CAST(NULL AS BIGINT) AS summary_report_id,
   CASE WHEN value < 100 THEN 'timeout' END AS error_message, CAST(NULL AS VARCHAR) AS log_file_path
-  FROM events WHERE event_type = 'click')
+  FROM events WHERE event_type = 'click'),
+-- every fourth execution also ends a second time, ten minutes later, without documents
+e2 AS (SELECT * FROM e0 WHERE execution_id % 4 <> 0 UNION ALL SELECT execution_id, 'cancelled', finished_at + INTERVAL 10 MINUTE, reports_found,
+  0, summary_report_id, 'late', log_file_path FROM e0 WHERE execution_id % 4 = 0),
+e AS (SELECT * FROM e2)
 SELECT s.id, s.job_name, coalesce(e.status, s.status) AS status, s.started_at, e.finished_at,
   CAST((epoch_us(e.finished_at) - epoch_us(s.started_at)) // 1000000 AS INTEGER) AS duration_seconds,
   e.reports_found, e.documents_processed, e.summary_report_id, e.error_message, e.log_file_path
@@ -333,6 +360,29 @@ def q_execution_with_summary(spark, sf):
     return R.execution_with_summary(T.job_execution_log(spark, sf), T.run_summaries(spark, sf))
 
 
+@register(
+    "bump_finished_jobs",
+    f"""SELECT j.id, j.job_name, CASE WHEN n IS NULL THEN j.last_run ELSE TIMESTAMP '{AS_OF}' END AS last_run, j.run_count + coalesce(n, 0) AS run_count
+FROM scheduled_jobs j LEFT JOIN (SELECT job_name, count(*) AS n FROM job_execution_log WHERE status IN ('success', 'failed') AND id % 3 = 0 GROUP BY 1) r
+  ON r.job_name = j.job_name""",
+    ("scheduled_jobs", "job_execution_log"),
+)
+def q_bump_finished_jobs(spark, sf):
+    runs = T.job_execution_log(spark, sf).where(F.col("status").isin("success", "failed") & (F.col("id") % 3 == 0))
+    return R.bump_jobs(T.scheduled_jobs(spark, sf), runs, AS_OF).select("id", "job_name", "last_run", "run_count")
+
+
+@register(
+    "set_null_on_summary_delete",
+    """SELECT l.id, CASE WHEN s.id IS NOT NULL THEN l.id * 10 END AS summary_report_id
+FROM job_execution_log l LEFT JOIN (SELECT id FROM run_summaries WHERE id % 4 <> 0) s ON s.id = l.id * 10""",
+    ("job_execution_log", "run_summaries"),
+)
+def q_set_null_on_summary_delete(spark, sf):
+    log = T.job_execution_log(spark, sf).select("id", (F.col("id") * 10).alias("summary_report_id"))
+    return R.set_null_on_summary_delete(log, T.run_summaries(spark, sf).where(F.col("id") % 4 != 0)).select("id", "summary_report_id")
+
+
 def _drop_request(spark, sf):
     return T.companies(spark, sf).where(F.col("sector") == "AUTOMOBILE").select("id")
 

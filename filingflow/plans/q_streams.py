@@ -13,11 +13,18 @@ from filingflow.streaming import feeds
 
 
 def _land(df, name: str, files: int, order_col: str | None = None):
-    """Land a DataFrame as several parquet files (arrivals over time) and return (path, schema)."""
+    """Land a DataFrame as several parquet files and return (path, schema); with ``order_col`` one range of it after the
+    other, so that files arrive in its order."""
     spark = df.sparkSession
     path = scratch_dir(spark, f"landing-{name}")
-    out = df.repartitionByRange(files, order_col) if order_col else df.repartition(files)
-    out.write.parquet(path)
+    if order_col:
+        marks = df.approxQuantile(order_col, [i / files for i in range(1, files)], 0.01)
+        for lo, hi in zip([None, *marks], [*marks, None]):
+            c = F.col(order_col)
+            part = df.where((F.lit(True) if lo is None else c > lo) & (F.lit(True) if hi is None else c <= hi))
+            part.coalesce(1).write.mode("append").parquet(path)
+    else:
+        df.repartition(files).write.parquet(path)
     return path, spark.read.parquet(path).schema
 
 
@@ -31,12 +38,18 @@ def q_incremental_feed(spark, sf):
 ORACLES["incremental_feed"] = ORACLES["normalise_listing"]
 
 
-@register("streaming_registry", "SELECT DISTINCT md5_hash, file_size FROM file_arrivals", ("file_arrivals",))
+# Files land in id order, so the first arrival of an md5 survives and ids follow the order of arrival.
+@register(
+    "streaming_registry",
+    """SELECT row_number() OVER (ORDER BY id) AS id, id AS arrival_id, md5_hash, file_size FROM file_arrivals
+WHERE id IN (SELECT min(id) FROM file_arrivals GROUP BY md5_hash)""",
+    ("file_arrivals",),
+)
 def q_streaming_registry(spark, sf):
     arr = T.file_arrivals(spark, sf).drop("text", "n_pages", "pages")
     landing, schema = _land(arr, "arrivals", 4, "id")
     reg = feeds.streaming_registry(spark, landing, schema, scratch_dir(spark, "registry"), scratch_dir(spark, "registry-ckpt"))
-    return reg.select("md5_hash", "file_size")
+    return reg.select("id", "arrival_id", "md5_hash", "file_size")
 
 
 @register("execution_pairing")
@@ -73,3 +86,27 @@ ORACLES["execution_pairing"] = ORACLES["close_execution"]
 def q_pipeline_result(spark, sf):
     return Pipeline(spark, sf).condensed
 
+
+@register("pipeline_rejected", "SELECT CAST(NULL AS BIGINT) AS company_id, CAST(NULL AS VARCHAR) AS link WHERE FALSE")
+def q_pipeline_rejected(spark, sf):
+    return Pipeline(spark, sf).rejected().select("company_id", "link")
+
+
+@register(
+    "pipeline_files",
+    """SELECT row_number() OVER (ORDER BY id) AS id, company, file_name, md5_hash FROM file_arrivals
+WHERE id IN (SELECT min(id) FROM file_arrivals GROUP BY md5_hash)""",
+    ("file_arrivals",),
+)
+def q_pipeline_files(spark, sf):
+    return Pipeline(spark, sf).files().select("id", "company", "file_name", "md5_hash")
+
+
+@register("pipeline_overview")
+def q_pipeline_overview(spark, sf):
+    return Pipeline(spark, sf).overview()
+
+
+@register("pipeline_report")
+def q_pipeline_report(spark, sf):
+    return Pipeline(spark, sf).report()

@@ -31,35 +31,33 @@ def incremental_feed(spark: SparkSession, landing: str, schema, sink: str, check
     return spark.read.parquet(sink)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, asked of its own file system; any other error is the caller's to see."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+REGISTRY_SCHEMA = (
+    "id long, arrival_id long, company string, file_name string, file_type string, file_size long, md5_hash string, batch_id long"
+)
+
+
 def streaming_registry(spark: SparkSession, landing: str, schema, registry_path: str, checkpoint: str, files_per_trigger: int = 1):
     """R2: each micro-batch runs U3 (first arrival per md5, anti join on the registry, append).
 
     The registry is a parquet folder that only ever grows by appends of md5s it does not hold,
-    so replaying a batch after a failure appends nothing twice.
+    so replaying a batch after a failure appends nothing twice. Only the md5 and id columns of it are read.
     """
     arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
 
+    def current(s: SparkSession) -> DataFrame:
+        return s.read.schema(REGISTRY_SCHEMA).parquet(registry_path) if path_exists(s, registry_path) else s.createDataFrame([], REGISTRY_SCHEMA)
+
     def register(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        try:
-            current = s.read.parquet(registry_path)
-        except Exception:  # noqa: BLE001 - first batch: no registry yet
-            current = None
-        fresh = R.first_arrival_dedup(batch)
-        if current is not None:
-            fresh = R.new_files_only(fresh, current)
-            start = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"))
-        else:
-            start = s.range(1).select(F.lit(0).cast("bigint").alias("m"))
-        fresh = fresh.withColumnRenamed("id", "arrival_id")
-        from filingflow.operators.common import dense_ids
-
-        numbered = dense_ids(fresh, ["arrival_id"], out="__r").join(F.broadcast(start))
-        out = numbered.select(
-            (F.col("m") + F.col("__r")).alias("id"), "arrival_id", "company", "file_name", "file_type", "file_size", "md5_hash",
-            F.lit(batch_id).alias("batch_id"),
-        )
-        out.write.mode("append").parquet(registry_path)
+        known = current(batch.sparkSession)
+        fresh = R.new_files_only(R.first_arrival_dedup(batch), known).withColumnRenamed("id", "arrival_id")
+        added = R.append_with_ids(known, fresh, ["arrival_id"]).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        added.select(*known.columns).write.mode("append").parquet(registry_path)
 
     q = (
         arrivals.writeStream.foreachBatch(register)
@@ -68,47 +66,37 @@ def streaming_registry(spark: SparkSession, landing: str, schema, registry_path:
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(registry_path)
+    return current(spark)
 
 
-EXEC_EVENT_COLS = [
-    "execution_id", "job_name", "started_at", "start_status", "end_status", "finished_at", "reports_found",
-    "documents_processed", "summary_report_id", "error_message", "log_file_path", "is_end",
-]
+START_COLS = ["job_name", "started_at", "start_status"]
+END_COLS = ["end_status", "finished_at", "reports_found", "documents_processed", "summary_report_id", "error_message", "log_file_path"]
+
+
+def fold_executions(events: DataFrame) -> DataFrame:
+    """One row per execution: the fields of its first start and of its latest end, each taken from one event as a whole."""
+    end = F.max(F.when(F.col("is_end"), F.struct(F.col("finished_at").alias("at"), *END_COLS)))
+    start = F.min(F.when(F.col("start_status").isNotNull(), F.struct(F.col("started_at").alias("at"), *START_COLS)))
+    one = events.groupBy("execution_id").agg(start.alias("s"), end.alias("e"))
+    cols = [F.col("s")[c].alias(c) for c in START_COLS] + [F.col("e")[c].alias(c) for c in END_COLS]
+    return one.select("execution_id", *cols, F.col("e").isNotNull().alias("is_end"))
 
 
 def execution_pairing(spark: SparkSession, landing: str, schema, state_root: str, checkpoint: str, files_per_trigger: int = 1):
-    """Start and end events of executions (one stream, ``is_end`` flag) folded into the latest
-    state per execution id. Each micro-batch merges into a fresh state snapshot (by key, end
-    overrides start); the newest snapshot is read back."""
+    """Start and end events of executions (one stream, ``is_end`` flag) folded into the latest state per execution id.
+
+    Each micro-batch writes its own events, folded, to a folder of its own; a replayed batch rewrites that
+    folder and nothing else. The state is the fold over all folders, so no batch copies what came
+    before and a run without new input gives the state as it was (an empty one before any input).
+    """
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
 
-    def snap(batch_id: int) -> str:
-        return f"{state_root}/batch={batch_id:08d}"
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        # the previous batch's snapshot is the state; a replayed batch rewrites its own snapshot
-        prev = s.read.parquet(snap(batch_id - 1)) if batch_id > 0 else None
-        rows = batch.select(*EXEC_EVENT_COLS)
-        if prev is not None:
-            rows = rows.unionByName(prev.select(*EXEC_EVENT_COLS))
-        merged = rows.groupBy("execution_id").agg(
-            F.max("job_name").alias("job_name"),
-            F.max("started_at").alias("started_at"),
-            F.max("start_status").alias("start_status"),
-            F.max_by("end_status", "is_end").alias("end_status"),
-            F.max_by("finished_at", "is_end").alias("finished_at"),
-            F.max_by("reports_found", "is_end").alias("reports_found"),
-            F.max_by("documents_processed", "is_end").alias("documents_processed"),
-            F.max_by("summary_report_id", "is_end").alias("summary_report_id"),
-            F.max_by("error_message", "is_end").alias("error_message"),
-            F.max_by("log_file_path", "is_end").alias("log_file_path"),
-            F.max("is_end").alias("is_end"),
-        )
-        merged.write.mode("overwrite").parquet(snap(batch_id))
-
-    q = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        fold_executions(batch).write.mode("overwrite").parquet(f"{state_root}/batch={batch_id:08d}")
+
+    q = events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max((p["batchId"] for p in q.recentProgress if p.get("numInputRows", 0) > 0), default=None)
-    return spark.read.parquet(snap(last)) if last is not None else None
+    kept = fold_executions(spark.createDataFrame([], schema))
+    if path_exists(spark, state_root):
+        kept = spark.read.schema(kept.schema).parquet(state_root).drop("batch")
+    return fold_executions(kept)

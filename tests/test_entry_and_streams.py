@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +143,60 @@ def test_legacy_config_json_golden(spark, tmp_path):
         "weekly_report", "Asseco", "0 9 * * 1", True, 5,
     )
     assert "extra_key" not in r.asDict()
+
+
+def test_streams_restart_on_unchanged_input(spark):
+    from filingflow.plans import q_streams
+    from filingflow.session import scratch_dir
+    from filingflow.sources import tables as T
+    from filingflow.streaming import feeds
+
+    arr = T.file_arrivals(spark, SF_SMALL).drop("text", "n_pages", "pages")
+    landing, schema = q_streams._land(arr, "t-again", 3, "id")
+    where = scratch_dir(spark, "t-again-reg"), scratch_dir(spark, "t-again-ckpt")
+    first = sorted(map(tuple, feeds.streaming_registry(spark, landing, schema, *where).collect()))
+    again = sorted(map(tuple, feeds.streaming_registry(spark, landing, schema, *where).collect()))
+    replay = sorted(map(tuple, feeds.streaming_registry(spark, landing, schema, where[0], scratch_dir(spark, "t-replay")).collect()))
+    assert first == again == replay and len(first) == arr.select("md5_hash").distinct().count()
+
+    kinds = "execution_id long, job_name string, started_at timestamp_ntz, start_status string, end_status string, finished_at timestamp_ntz, reports_found int, documents_processed int, summary_report_id long, error_message string, log_file_path string, is_end boolean"
+    t = dt.datetime(2024, 1, 1)
+    late = t + dt.timedelta(minutes=5)
+    events = spark.createDataFrame(
+        [
+            (1, "a", t, "running", None, None, None, None, None, None, None, False),
+            (1, None, None, None, "success", late, 3, None, 7, None, None, True),
+            (1, None, None, None, "failed", t, 9, 9, None, "early", "log", True),
+            (2, "b", t, "running", None, None, None, None, None, None, None, False),
+        ],
+        kinds,
+    )
+    landing, schema = q_streams._land(events, "t-exec", 2)
+    where = scratch_dir(spark, "t-exec-state"), scratch_dir(spark, "t-exec-ckpt")
+    for _ in range(2):
+        got = {r["execution_id"]: r for r in feeds.execution_pairing(spark, landing, schema, *where).collect()}
+        assert tuple(got[1])[1:] == ("a", t, "running", "success", late, 3, None, 7, None, None, True)
+        assert got[2]["is_end"] is False and got[2]["end_status"] is None
+    empty = scratch_dir(spark, "t-none")
+    events.limit(0).write.parquet(empty)
+    assert feeds.execution_pairing(spark, empty, schema, scratch_dir(spark, "t-none-s"), scratch_dir(spark, "t-none-c")).collect() == []
+
+
+def test_python_workers_find_the_package_from_another_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {repo!r})\n"
+        "from filingflow.session import build_session\n"
+        "spark = build_session('local[2]')\n"
+        "from filingflow.operators import documents as D\n"
+        "from pyspark.sql import functions as F\n"
+        "df = spark.createDataFrame([(1, 'a b')], 'doc_id long, text string')\n"
+        "print(D.chunk_documents(df).collect())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert out.returncode == 0 and "chunk='a b'" in out.stdout, out.stderr[-500:]

@@ -136,3 +136,17 @@ def test_company_lookup_prefix_path(spark):
     req = spark.createDataFrame([("customer#00000000_",), ("CUSTOMER#00000009_",), ("Custom%",), ("%ther",)], "name string")
     got = dict(rows(S.company_lookup(req, comp)))
     assert got == {"customer#00000000_": 3, "CUSTOMER#00000009_": None, "Custom%": 3, "%ther": 9}
+
+
+def test_upsert_keeps_untouched_jobs_and_all_columns(spark):
+    t = dt.datetime(2024, 1, 1)
+    jobs = spark.createDataFrame(
+        [(1, "a", "c1", "0 9 * * 1", 5, t, t, 3, t, "keep"), (2, "b", None, None, 7, t, t, 4, None, "x")],
+        "id long, job_name string, company string, cron_schedule string, report_limit int, next_run timestamp_ntz, created_at timestamp_ntz, run_count long, updated_at timestamp_ntz, note string",
+    )
+    batch = spark.createDataFrame([("a", "new", "* * * * *", 1), ("a", "newest", "1 * * * *", 2), ("z", None, None, 1)], "job_name string, company string, cron_schedule string, change_no int")
+    got = {r["job_name"]: r for r in R.upsert_jobs(jobs, batch, "2024-02-01 00:00:00").collect()}
+    now = dt.datetime(2024, 2, 1)
+    assert tuple(got["b"]) == (2, "b", None, None, 7, t, t, 4, None, "x")
+    assert tuple(got["a"]) == (1, "a", "newest", "1 * * * *", None, t, t, 3, now, "keep")
+    assert tuple(got["z"]) == (3, "z", None, None, None, None, now, 0, now, None)
