@@ -10,12 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from filingflow.functions.text import ustrip
-
-
-def _at(arr, i):
-    """1-based array access that yields NULL past the end (ANSI-safe ``element_at``)."""
-    return F.try_element_at(arr, F.lit(i) if isinstance(i, int) else i)
+from filingflow.functions.text import _at, ustrip
 
 
 # Cron field ranges and names (minute, hour, day of month, month, day of week).

@@ -23,14 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
+from filingflow.functions.text import _at
 from filingflow.operators.common import ordinal, top_k
 
 
-def _at(arr, i):
-    """1-based array access that yields NULL past the end (ANSI-safe ``element_at``)."""
-    return F.try_element_at(arr, F.lit(i) if isinstance(i, int) else i)
-
-
 # ----------------------------------------------------------------------------- S3 HTML -> text
 
 _WS_ASCII = r"[ \t\n\r\f]+"

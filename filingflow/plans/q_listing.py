@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
+from filingflow.functions.text import _at
 from filingflow.operators.common import ordinal
 from filingflow.plans.catalog import register
 from filingflow.sources import listing as L
 from filingflow.sources import tables as T
 
 
-def _at(arr, i):
-    """1-based array access that yields NULL past the end (ANSI-safe ``element_at``)."""
-    return F.try_element_at(arr, F.lit(i) if isinstance(i, int) else i)
-
-
 _PL_LABEL = """CASE report_type WHEN 'current' THEN 'Bieżący' WHEN 'quarterly' THEN 'Kwartalny'
   WHEN 'semi-annual' THEN 'Półroczny' WHEN 'interim' THEN 'Śródroczny' ELSE 'Roczny' END"""
 _PAGE = "CAST(floor(id / 100) AS BIGINT)"

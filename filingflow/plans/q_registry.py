@@ -9,6 +9,7 @@ from filingflow.plans.catalog import register
 from filingflow.session import scratch_dir
 from filingflow.sources import listing as L
 from filingflow.sources import tables as T
+from filingflow.sources.schemas import REGISTRY_SCHEMAS, conform, domain_check
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -249,16 +250,28 @@ def q_add_report_limit(spark, sf):
 
 @register(
     "migrate_v1_names",
-    "SELECT id, company_id, date, title, report_type, report_category, rate_change, exchange_rate FROM reports",
-    ("reports",),
+    """SELECT 'reports' AS table_name, id, concat_ws('|', company_id, date, title, report_type, report_category) AS v FROM reports
+UNION ALL SELECT 'companies', id, concat_ws('|', name, full_name) FROM companies
+UNION ALL SELECT 'search_history', id, concat_ws('|', company_name, epoch_us(created_at)) FROM search_history""",
+    ("reports", "companies", "search_history"),
 )
 def q_migrate_v1_names(spark, sf):
-    v1 = {v: k for k, v in R.V1_COLUMNS["dane"].items()}
-    dane = T.reports(spark, sf).drop("link")
-    dane = dane.select(*[F.col(c).alias(v1.get(c, c)) for c in dane.columns])
-    name, migrated = R.migrate_v1("dane", dane)
-    assert name == "reports"
-    return migrated
+    def migrated(v1_table, df):
+        back = {v: k for k, v in R.V1_COLUMNS[v1_table].items()}
+        return R.migrate_v1(v1_table, df.withColumnsRenamed({c: back[c] for c in df.columns if c in back}))
+
+    cells = {
+        "dane": (T.reports(spark, sf).drop("link"), ["company_id", "date", "title", "report_type", "report_category"]),
+        "firma": (T.companies(spark, sf).drop("sector"), ["name", "full_name"]),
+        "historia": (T.search_history(spark, sf), ["company_name", "created_at"]),
+    }
+    out = None
+    for v1_table, (df, cols) in cells.items():
+        name, new = migrated(v1_table, df)
+        value = [F.unix_micros(F.col(c).cast("timestamp")) if c == "created_at" else F.col(c) for c in cols]
+        rows = new.select(F.lit(name).alias("table_name"), "id", F.concat_ws("|", *[v.cast("string") for v in value]).alias("v"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @register(
@@ -452,13 +465,20 @@ def q_append_search(spark, sf):
     return R.append_searches(T.search_history(spark, sf), req)
 
 
-@register(
-    "registry_scan",
-    "SELECT id, company_id, date, title, report_type, report_category, rate_change, exchange_rate, link FROM reports",
-    ("reports",),
-)
-def q_registry_scan(spark, sf):
-    """A registry table read with its declared schema (column order and types enforced)."""
-    from filingflow.sources.schemas import REGISTRY_SCHEMAS, conform, domain_check
+def _scan_sql(table: str) -> str:
+    cells = ", ".join(f"CAST({f.name} AS VARCHAR)" for f in REGISTRY_SCHEMAS[table].fields if f.dataType.typeName() not in ("double", "timestamp_ntz"))
+    times = ", ".join(f"CAST(epoch_us({f.name}) AS VARCHAR)" for f in REGISTRY_SCHEMAS[table].fields if f.dataType.typeName() == "timestamp_ntz")
+    return f"SELECT '{table}' AS table_name, id, md5(concat_ws('|', {cells}{', ' + times if times else ''})) AS row_md5 FROM {table}"
+
 
-    return domain_check(conform(T.registry_scan(spark, sf, "reports"), REGISTRY_SCHEMAS["reports"]), "reports")
+@register("registry_scan", " UNION ALL ".join(_scan_sql(t) for t in REGISTRY_SCHEMAS), tuple(REGISTRY_SCHEMAS))
+def q_registry_scan(spark, sf):
+    """Every registry table read with its declared schema (column order, types and domains enforced)."""
+    out = None
+    for table, schema in REGISTRY_SCHEMAS.items():
+        df = domain_check(conform(T.registry_scan(spark, sf, table), schema), table)
+        cells = [F.col(f.name).cast("string") for f in schema.fields if f.dataType.typeName() not in ("double", "timestamp_ntz")]
+        cells += [F.unix_micros(F.col(f.name).cast("timestamp")).cast("string") for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+        rows = df.select(F.lit(table).alias("table_name"), "id", F.md5(F.concat_ws("|", *cells)).alias("row_md5"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -12,14 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
+from filingflow.functions.text import _at
 from filingflow.sources.tables import ATTACHMENT_BASE, LISTING_BASE
 
 
-def _at(arr, i):
-    """1-based array access that yields NULL past the end (ANSI-safe ``element_at``)."""
-    return F.try_element_at(arr, F.lit(i) if isinstance(i, int) else i)
-
-
 _LI = r"(?s)<li(?:\s[^>]*)?>(.*?)</li>"
 _TR_DANE = r'(?s)<tr class="dane"[^>]*>(.*?)</tr>'
 

@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REGISTRY_SCHEMAS: dict[str, T.StructType] = {
-    "companies": T.StructType(
-        [T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("full_name", T.StringType()),
-         T.StructField("sector", T.StringType())]
-    ),
-    "reports": T.StructType(
-        [T.StructField("id", T.LongType()), T.StructField("company_id", T.LongType()), T.StructField("date", T.DateType()),
-         T.StructField("title", T.StringType()), T.StructField("report_type", T.StringType()),
-         T.StructField("report_category", T.StringType()), T.StructField("rate_change", T.DoubleType()),
-         T.StructField("exchange_rate", T.DoubleType()), T.StructField("link", T.StringType())]
-    ),
+REGISTRY_DDL = {
+    "companies": "id bigint, name string, full_name string, sector string",
+    "reports": "id bigint, company_id bigint, date date, title string, report_type string, report_category string, rate_change double, "
+    "exchange_rate double, link string",
+    "downloaded_files": "id bigint, company string, report_id bigint, file_name string, file_type string, file_size bigint, md5_hash string, "
+    "is_summarized boolean, summary_text string",
+    "scheduled_jobs": "id bigint, job_name string, company string, cron_schedule string, enabled boolean, model string, report_limit int, "
+    "report_types string, last_run timestamp_ntz, run_count bigint",
+    "summary_reports": "id bigint, job_name string, company string, date_from date, date_to date, file_format string, file_size bigint, "
+    "summary_preview string, created_at timestamp_ntz",
+    "job_execution_log": "id bigint, job_name string, status string, started_at timestamp_ntz, finished_at timestamp_ntz, reports_found int, "
+    "documents_processed int, error_message string",
+    "search_history": "id bigint, company_name string, report_amount int, download_type string, report_type string, report_category string, "
+    "created_at timestamp_ntz",
 }
+REGISTRY_SCHEMAS: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in REGISTRY_DDL.items()}
 
 # ENUM domains of the registry.
 DOMAINS = {
@@ -30,7 +34,7 @@ DOMAINS = {
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Columns in schema order with the declared types; values outside an ENUM domain -> NULL."""
+    """Columns in schema order with the declared types."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
