@@ -265,11 +265,12 @@ _DUR = "(epoch_us(finished_at) - epoch_us(started_at))"
       CAST((({_DUR} + 50000) // 100000) % 10 AS VARCHAR), 's')
     ELSE concat(CAST(({_DUR} + 3000000) // 6000000 // 10 AS VARCHAR), '.',
       CAST((({_DUR} + 3000000) // 6000000) % 10 AS VARCHAR), 'min') END AS duration,
-  reports_found, '-' AS results,
+  reports_found, CASE WHEN id % 3 = 0 THEN '-' WHEN documents_processed > 0 THEN concat('📄 ', documents_processed, ' doc') ELSE '📂 Log' END AS results,
   coalesce(nullif(CASE WHEN length(error_message) > 100 THEN concat(substr(error_message, 1, 97), '...')
     ELSE error_message END, ''), '-') AS error
 FROM job_execution_log""",
     ("job_execution_log",),
 )
 def q_execution_history(spark, sf):
-    return S.execution_history(T.job_execution_log(spark, sf))
+    log = T.job_execution_log(spark, sf)  # two runs of three have a log file
+    return S.execution_history(log.withColumn("log_file_path", F.when(F.col("id") % 3 != 0, F.concat(F.lit("logs/"), F.col("id").cast("string")))))
