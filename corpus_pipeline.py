@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from filingflow.llm import decontamination, language_id, mixing, sharding, simhash
 from filingflow.llm.common import load, written
 
-LEAST_LANGUAGE_SCORE = 0.35  # mean probability of the best language over all bytes
+LEAST_LANGUAGE_SCORE = 0.3  # mean probability of the best language over all bytes
 SHARDS = 8
 
 #: Training of a network and float arithmetic; SQL has neither.
