@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
 from filingflow.operators.common import dense_ids, lower_key
-from filingflow.session import scratch_dir
 from filingflow.sources.tables import first_arrival_per_md5
 
 
