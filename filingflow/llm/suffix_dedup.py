@@ -35,7 +35,7 @@ GRAM = 32
 SYMBOL = 8  # bytes of a symbol
 GROUP_SEGMENTS = 4096  # distinct segments of a group that one task sorts
 TASK_SYMBOLS = 1 << 18  # symbols sorted together
-CHUNK = 8 << 20  # bytes that are hashed together, at least one text
+CHUNK = 1 << 20  # windows that are hashed together; longer texts are hashed piece by piece
 
 _BASES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)]
 _BYTES = [mix(np.arange(300 * i + 1, 300 * i + 257, dtype=np.uint64)) for i in (1, 2)]
@@ -71,8 +71,12 @@ def elected(order: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, anchor position, first window, k-gram hash, segment hash) for each text that has a window; positions are within the text. A segment
-    ends where the next one's first window is preceded: its last window is the one before it."""
+    """(text, anchor position, first window, k-gram hash, segment hash) for each text that has a window; positions are within the text. An
+    anchor's last window is the one before the next anchor's first.
+
+    A text of more than ``CHUNK`` windows is hashed in pieces that overlap by a window less a byte; an
+    anchor on a seam comes twice, with the windows of either piece.
+    """
     if len(data) < length:
         return
     hashes = Hashes(data)
@@ -88,6 +92,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> It
         yield i, pos - a, first, grams[pos], segment
 
 
+def long_anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The same for one long text, piece by piece."""
+    parts = []
+    for a in range(0, len(data) - length + 1, CHUNK):
+        piece = data[a : a + CHUNK + length - 1]
+        for _, pos, first, grams, segment in anchors(piece, np.array([0, len(piece)]), length, gram):
+            parts.append((pos + a, first + a, grams, segment))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(``__rk``, ``__rd``, ``lo``, ``windows``, ``at``, ``kh``, ``sh``): one row for each anchor of each row."""
     schema = "__rk long, __rd long, n int, at array<int>, lo array<int>, kh array<long>, sh array<long>"
@@ -100,7 +114,10 @@ def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             while first < b.num_rows:
                 last = max(first + 1, int(np.searchsorted(off, off[first] + CHUNK, "right")) - 1)
                 o = off[first : last + 1]
-                got = list(anchors(data[o[0] : o[-1]], o - o[0], length, gram))
+                if o[-1] - o[0] > CHUNK + length:
+                    got = [(0, *long_anchors(data[o[0] : o[-1]], length, gram))]
+                else:
+                    got = list(anchors(data[o[0] : o[-1]], o - o[0], length, gram))
                 if got:
                     rows = np.array([g[0] for g in got]) + first
                     cuts = pa.array(np.r_[0, np.cumsum([len(g[1]) for g in got])], pa.int32())

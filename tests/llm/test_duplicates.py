@@ -178,6 +178,29 @@ def test_large_groups_match_brute_force(make_docs, monkeypatch):
     check_repeats(make_docs)
 
 
+def test_long_texts_are_hashed_in_pieces(make_docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 100)
+    rng = np.random.default_rng(11)
+    texts = ["".join(chr(int(c)) for c in rng.integers(97, 99 + i, 700)) for i in range(4)]
+    texts += [texts[1][100:400] + texts[2][250:600], texts[3], "ab" * 300]
+    data, off = joined_bytes([t.encode() for t in texts])
+    whole = {(i, int(p)) for i, pos, *_ in suffix_dedup.anchors(data, off, 64, 16) for p in pos}
+    pieces = {(i, int(p)) for i, t in enumerate(texts) for p in suffix_dedup.long_anchors(np.frombuffer(t.encode(), np.uint8), 64, 16)[0]}
+    assert whole == pieces
+    segments, at, src = [], [], []
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        pos, first, *_ = suffix_dedup.long_anchors(np.frombuffer(raw, np.uint8), 64, 16)
+        last = np.r_[first[1:], len(raw) - 63] - 1
+        for p, a, b in zip(pos.tolist(), first.tolist(), last.tolist()):
+            segments.append(raw[a : b + 64])
+            at.append(p - a)
+            src.append((i, a))
+    found = {(i, a + int(o)) for (i, a), f in zip(src, suffix_dedup.repeated_windows(segments, at, 64)) for o in np.flatnonzero(f)}
+    n = Counter(t[o : o + 64] for t in texts for o in range(len(t) - 63))
+    assert found == {(i, o) for i, t in enumerate(texts) for o in range(len(t) - 63) if n[t[o : o + 64]] > 1}
+
+
 def test_repeats_odd_rows(odd_docs, no_docs):
     got = suffix_dedup.remove_repeats(odd_docs, length=32, gram=16).collect()
     assert len(got) == odd_docs.count()
@@ -195,7 +218,6 @@ def shingles(t):
 
 
 def test_sketch_estimates():
-    rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(5000)]
     a = " ".join(words[:3000])
     b = " ".join(words[1000:4000])
@@ -208,7 +230,6 @@ def test_sketch_estimates():
     parts = fingerprints.sketches(*joined_bytes([" ".join(words[:1004]).encode(), " ".join(words[1000:2004]).encode()]))
     assert fingerprints.merge(*parts).tolist() == whole.tolist()
     assert fingerprints.from_text(fingerprints.to_text(x)).tolist() == x.tolist()
-    assert rng is not None
 
 
 def test_small_sketches_are_exact(make_docs):

@@ -1,6 +1,5 @@
 """Line dedup, mixing and sharding: brute force, edge rows, clashing names."""
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -124,5 +123,5 @@ def test_one_key_with_most_rows(make_docs):
     got = sharding.shard_documents(make_docs([(1, "same")] * 2000 + [(i, "x") for i in range(50)]), 8).collect()
     hot = [r["slot"] for r in got if r["doc_id"] == 1 and r["size"] == 5]
     assert len(set(hot)) == 2000
-    assert hashlib.md5(b"").hexdigest()  # ids, not contents, decide
+    # ids, not contents, decide
     assert sharding.shard_documents(make_docs([(1, "other")]), 8).first()["shard"] == next(r["shard"] for r in got if r["doc_id"] == 1)
