@@ -66,7 +66,7 @@ WHERE id IN (SELECT min(id) FROM file_arrivals WHERE md5_hash IS NOT NULL GROUP
 
 @register("first_arrival_dedup", _W3, ("file_arrivals",))
 def q_first_arrival_dedup(spark, sf):
-    return R.first_arrival_dedup(T.file_arrivals(spark, sf))
+    return R.first_arrival_dedup(T.file_arrivals(spark, sf).drop("pages"))
 
 
 def _arrivals_lang(spark, sf):
