@@ -15,10 +15,11 @@ asked for.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,29 @@ SLOTS = 1 << 18  # of the first, hashed count of pairs
 # ------------------------------------------------------------------------------------- tokenizing
 
 
+class _Places(dict):
+    """Place of each key in the order of first use; a key that is asked for gets the next place."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = at = len(self)
+        return at
+
+
 class Encoder:
     """The tokenizer behind a cache of words.
 
     The tokenizer's byte-level pattern always cuts before a single space that follows a character other
-    than space, so a text without double spaces or a space at its end is its words, each with the
+    than space, so a text without double spaces or a space at either end is its words, each with the
     space before it, encoded one by one. All other texts are encoded whole.
+
+    Keys of the cache: a word stands for itself and the space before it; text without that space has a
+    zero character in front. Place 0 is the end id.
     """
 
-    MOST = 800_000  # cached words
+    MOST = 1_000_000  # cached words; the cache starts anew beyond that
+    RAW = "\0"
+    # A run of letters, then punctuation: the pattern always cuts between the two.
+    ENDED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]+)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,57 +72,115 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.places = _Places({self.RAW: 0})
+        self.flat, self.ends = np.array([END], np.int32), np.array([0, 1])
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, key: str) -> list[str]:
+        """Keys of the parts of a word that can be encoded one by one: lines (a single line end between other characters
+        is a token of its own), and letters before punctuation. Most new words are old ones with an end."""
+        lines = key.split("\n")
+        if len(lines) > 1 and any(not x or x == self.RAW or x[0].isspace() or x[-1].isspace() for x in lines):
+            return [key]
+        out = []
+        for i, line in enumerate(lines):
+            raw = self.RAW if i or line[:1] == self.RAW else ""
+            m = self.ENDED.fullmatch(line.lstrip(self.RAW))
+            out += [self.RAW + "\n"] if i else []
+            out += [raw + m[1], self.RAW + m[2]] if m else [raw + line.lstrip(self.RAW)]
+        return out
+
+    def _learn(self, fresh: list[str]) -> list[list[int]]:
+        """Ids of keys whose places are new, in their order; places that their pieces need follow."""
+        ids: list[list[int] | None] = []
+        cuts, first = [], len(self.places) - len(fresh)
+        queue = list(fresh)
+        for key in queue:  # grows by pieces that are new themselves
+            cut = self._pieces(key)
+            parts = []
+            if len(cut) > 1:
+                for c in cut:
+                    known = len(self.places)
+                    parts.append(self.places[c])
+                    if len(self.places) > known:
+                        queue.append(c)
+            cuts.append(parts)
+            ids.append(None)
+        plain = [i for i, c in enumerate(cuts) if not c]
+        texts = [queue[i][1:] if queue[i][:1] == self.RAW else " " + queue[i] for i in plain]
+        for i, got in zip(plain, self._encode(texts)):
+            ids[i] = got
+        for i in reversed(range(len(queue))):  # pieces come after what they belong to
+            if cuts[i]:
+                ids[i] = [t for at in cuts[i] for t in (ids[at - first] if at >= first else self.flat[self.ends[at] : self.ends[at + 1]].tolist())]
+        return ids
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``END`` after each, and the number of ids of each."""
-        if len(self.place) > self.MOST:
+        if len(self.places) > self.MOST:
             self._clear()
-        parts, whole = [], []
-        for t in texts:
-            if not t or "  " in t or t[-1] == " " or t[0] == " ":
-                parts.append(None)
-                whole.append(t)
+        before, keys, size, whole = len(self.places), [], np.zeros(len(texts), np.int64), []
+        for i, t in enumerate(texts):
+            if not t or t[0] == " " or t[-1] == " " or "  " in t or self.RAW in t:
+                whole.append(i)
+                words = []
             else:
                 words = t.split(" ")
-                parts.append([words[0], *[" " + w for w in words[1:]]])
-        place = self.place
-        fresh = list(dict.fromkeys(w for p in parts if p for w in p if w not in place))
-        if fresh:
-            ids = self._encode(fresh)
-            place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
+                words[0] = self.RAW + words[0]
+            keys += words
+            keys.append(self.RAW)
+            size[i] = len(words) + 1
+        at = np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
+        if len(self.places) > before:
+            ids = self._learn(list(islice(self.places, before, None)))
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
-        rest = iter(self._encode(whole))
-        out, counts = [], np.zeros(len(texts), np.int64)
-        for i, p in enumerate(parts):
-            if p is None:
-                got = np.array(next(rest), np.int32)
-            else:
-                at = np.fromiter(map(place.__getitem__, p), np.int64, len(p))
-                first = self.ends[at]
-                n = self.ends[at + 1] - first
-                got = self.flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            out += [got, np.array([END], np.int32)]
-            counts[i] = len(got) + 1
-        return np.concatenate(out) if out else np.zeros(0, np.int32), counts
+        first = self.ends[at]
+        n = self.ends[at + 1] - first
+        out = self.flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        counts = np.add.reduceat(n, np.cumsum(size) - size) if len(texts) else size
+        if whole:
+            pieces = np.split(out, np.cumsum(counts)[:-1])
+            for i, got in zip(whole, self._encode([texts[i] for i in whole])):
+                pieces[i] = np.array([*got, END], np.int32)
+                counts[i] = len(got) + 1
+            out = np.concatenate(pieces)
+        return out, counts
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: read once and its cache kept for the tasks that follow."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 # ---------------------------------------------------------------------------------------- Re-Pair
 
 
-def _frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of pairs that occur ``least`` times or more (ascending) and the code of every pair."""
+def _frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of pairs that occur ``least`` times or more, the places where one stands, and which one it is. Of pairs that
+    share a slot one is found at a time; the others have their turn in later rounds."""
     code = (seq[:-1].astype(np.int64) << 32) | seq[1:]
     slot = ((code ^ (code >> 32) * 0x9E3779B1) * 0x85EBCA6B >> 15) & (SLOTS - 1)
     many = np.bincount(slot, minlength=SLOTS) >= least
-    inside = code[many[slot] & (seq[:-1] != END)]  # a rule never runs over a document's end
-    pairs, n = np.unique(inside, return_counts=True)
-    return pairs[n >= least], code
+    maybe = np.flatnonzero(many[slot] & (seq[:-1] != END))  # a rule never runs over a document's end
+    here, slot = code[maybe], slot[maybe]
+    owner = np.zeros(SLOTS, np.int64)
+    owner[slot] = here
+    mine = owner[slot] == here
+    maybe, slot = maybe[mine], slot[mine]
+    times = np.bincount(slot, minlength=SLOTS)
+    good = np.flatnonzero(times >= least)
+    number = np.full(SLOTS, -1)
+    number[good] = np.arange(len(good))
+    which = number[slot]
+    return owner[good], maybe[which >= 0], which[which >= 0]
 
 
 def compress(ids: np.ndarray, least: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,21 +188,17 @@ def compress(ids: np.ndarray, least: int = MIN_USES) -> tuple[np.ndarray, np.nda
     where they don't overlap; rules may use the nonterminals of earlier rounds."""
     seq, rules, lengths = ids.astype(np.int64), [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
     while len(seq) > 1:
-        pairs, code = _frequent(seq, least)
+        pairs, here, which = _frequent(seq, least)
         if not len(pairs):
             break
-        at = np.searchsorted(pairs, code)
-        at[at == len(pairs)] = 0
-        here = np.flatnonzero(pairs[at] == code)
         run = np.r_[True, np.diff(here) != 1]  # neighbours overlap: every other one is taken
         place = np.arange(len(here)) - np.maximum.accumulate(np.where(run, np.arange(len(here)), 0))
-        here = here[place % 2 == 0]
-        used, which, n = np.unique(at[here], return_inverse=True, return_counts=True)
-        good = n >= max(2, least // 2)
+        here, which = here[place % 2 == 0], which[place % 2 == 0]
+        good = np.bincount(which, minlength=len(pairs)) >= max(2, least // 2)
         here, which = here[good[which]], (np.cumsum(good) - 1)[which[good[which]]]
         if len(here) < MIN_GAIN * len(seq):
             break
-        new = pairs[used[good]]
+        new = pairs[good]
         pair = np.stack([new >> 32, new & 0xFFFFFFFF], axis=1)
         size = np.where(pair >= FIRST_RULE, lengths[np.clip(pair - FIRST_RULE, 0, max(0, len(lengths) - 1))] if len(lengths) else 1, 1)
         seq[here] = FIRST_RULE + len(lengths) + which
@@ -221,7 +290,7 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     dealt = rows.repartitionById(n, F.col("range") % n).sortWithinPartitions("range", F.asc_nulls_first("id"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         names = ["range", "shard", "n_docs", "n_ids", "payload"]
         held: list = []  # (id, number of ids, ids) of the shard being filled
         here, shard, filled = None, 0, 0
