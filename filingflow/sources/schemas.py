@@ -21,7 +21,19 @@ REGISTRY_DDL = {
     "search_history": "id bigint, company_name string, report_amount int, download_type string, report_type string, report_category string, "
     "created_at timestamp_ntz",
 }
-REGISTRY_SCHEMAS: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in REGISTRY_DDL.items()}
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(),
+    "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def _schema(ddl: str) -> T.StructType:
+    """The type of a DDL text, without a session (modules are imported before there is one)."""
+    pairs = [field.split() for field in ddl.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+REGISTRY_SCHEMAS: dict[str, T.StructType] = {name: _schema(ddl) for name, ddl in REGISTRY_DDL.items()}
 
 # ENUM domains of the registry.
 DOMAINS = {

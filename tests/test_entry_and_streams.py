@@ -200,3 +200,14 @@ def test_python_workers_find_the_package_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert out.returncode == 0 and "chunk='a b'" in out.stdout, out.stderr[-500:]
+
+
+def test_queries_are_listed_without_a_session(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {repo!r}); import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "True", out.stderr[-500:]
