@@ -364,9 +364,11 @@ def repeated_spans(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     place = F.struct("__rk", "__rd", "lo", "windows", "at")
     kinds = again.where("mixed").groupBy("kh", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"))
     kinds = written(kinds.select("kh", "sh", "n", "p.*"), "repeat-kinds")
-    big = kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("k")).select("kh", (F.col("k") > GROUP_SEGMENTS).alias("big"))
+    # only the keys of large groups, written: the join below can then split or broadcast, whatever a group's size
+    hot = written(kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP_SEGMENTS).select("kh", F.lit(True).alias("big")), "repeat-large")
     raw = F.substring(F.col("__text").cast("binary"), F.col("lo") + 1, F.col("windows") - 1 + length)
-    segments = kinds.join(big, "kh").join(keyed, ["__rk", "__rd"]).select("kh", "sh", "at", raw.alias("raw"), "big")
+    marked = kinds.join(hot, "kh", "left").withColumn("big", F.coalesce("big", F.lit(False)))
+    segments = marked.join(keyed, ["__rk", "__rd"]).select("kh", "sh", "at", raw.alias("raw"), "big")
     part = compare_segments(written(segments, "repeat-segments"), length)
     copies = kinds.where("n > 1").select("kh", "sh", F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))
     part = written(part.unionByName(copies), "repeat-runs")
