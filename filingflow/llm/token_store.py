@@ -49,92 +49,59 @@ class _Places(dict):
 
 
 class Encoder:
-    """The tokenizer behind a cache of words.
+    """The tokenizer behind a cache of pieces.
 
-    The tokenizer's byte-level pattern always cuts before a single space that follows a character other
-    than space, so a text without double spaces or a space at either end is its words, each with the
-    space before it, encoded one by one. All other texts are encoded whole.
-
-    Keys of the cache: a word stands for itself and the space before it; text without that space has a
-    zero character in front. Place 0 is the end id.
+    The tokenizer's byte-level pattern always cuts between letters and what is not a letter, before a
+    single space and around a single line end, but for an apostrophe before letters, which may take
+    some of them. A text of plain letters whose white space is single spaces and line ends inside is
+    therefore its pieces by ``PIECE``, encoded one by one. All other texts are encoded whole.
     """
 
-    MOST = 1_000_000  # cached words; the cache starts anew beyond that
-    RAW = "\0"
-    # A run of letters, then punctuation: the pattern always cuts between the two.
-    ENDED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]+)")
+    MOST = 1_200_000  # cached pieces; the cache starts anew beyond that
+    LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+    PIECE = re.compile(rf" ?[^{LETTER}\s]*'[{LETTER}]+|\n| ?[{LETTER}]+| ?[^{LETTER}\s]+")
+    ASCII = bytes([0x0A, *range(0x20, 0x7F)])
+    NOT_LETTERS = re.compile(rf"[^{LETTER}]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
-        self.places = _Places({self.RAW: 0})
+        self.places = _Places({"": 0})  # the end id
         self.flat, self.ends = np.array([END], np.int32), np.array([0, 1])
 
+    def _plain(self, t: str) -> bool:
+        """Only these letters, printable ASCII and line ends; no white space in a row or at an end; no special token."""
+        if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in ("  ", " \n", "\n ", "\n\n", *self.special)):
+            return False
+        rest = t.encode("utf-8", "surrogatepass").translate(None, self.ASCII)  # deleted at the speed of a copy
+        return not rest or not self.NOT_LETTERS.search(rest.decode("utf-8", "replace"))
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, key: str) -> list[str]:
-        """Keys of the parts of a word that can be encoded one by one: lines (a single line end between other characters
-        is a token of its own), and letters before punctuation. Most new words are old ones with an end."""
-        lines = key.split("\n")
-        if len(lines) > 1 and any(not x or x == self.RAW or x[0].isspace() or x[-1].isspace() for x in lines):
-            return [key]
-        out = []
-        for i, line in enumerate(lines):
-            raw = self.RAW if i or line[:1] == self.RAW else ""
-            m = self.ENDED.fullmatch(line.lstrip(self.RAW))
-            out += [self.RAW + "\n"] if i else []
-            out += [raw + m[1], self.RAW + m[2]] if m else [raw + line.lstrip(self.RAW)]
-        return out
-
-    def _learn(self, fresh: list[str]) -> list[list[int]]:
-        """Ids of keys whose places are new, in their order; places that their pieces need follow."""
-        ids: list[list[int] | None] = []
-        cuts, first = [], len(self.places) - len(fresh)
-        queue = list(fresh)
-        for key in queue:  # grows by pieces that are new themselves
-            cut = self._pieces(key)
-            parts = []
-            if len(cut) > 1:
-                for c in cut:
-                    known = len(self.places)
-                    parts.append(self.places[c])
-                    if len(self.places) > known:
-                        queue.append(c)
-            cuts.append(parts)
-            ids.append(None)
-        plain = [i for i, c in enumerate(cuts) if not c]
-        texts = [queue[i][1:] if queue[i][:1] == self.RAW else " " + queue[i] for i in plain]
-        for i, got in zip(plain, self._encode(texts)):
-            ids[i] = got
-        for i in reversed(range(len(queue))):  # pieces come after what they belong to
-            if cuts[i]:
-                ids[i] = [t for at in cuts[i] for t in (ids[at - first] if at >= first else self.flat[self.ends[at] : self.ends[at + 1]].tolist())]
-        return ids
-
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``END`` after each, and the number of ids of each."""
         if len(self.places) > self.MOST:
             self._clear()
         before, keys, size, whole = len(self.places), [], np.zeros(len(texts), np.int64), []
         for i, t in enumerate(texts):
-            if not t or t[0] == " " or t[-1] == " " or "  " in t or self.RAW in t:
-                whole.append(i)
-                words = []
+            pieces = []
+            if self._plain(t):
+                pieces = self.PIECE.findall(t)
             else:
-                words = t.split(" ")
-                words[0] = self.RAW + words[0]
-            keys += words
-            keys.append(self.RAW)
-            size[i] = len(words) + 1
+                whole.append(i)
+            keys += pieces
+            keys.append("")
+            size[i] = len(pieces) + 1
         at = np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
         if len(self.places) > before:
-            ids = self._learn(list(islice(self.places, before, None)))
+            ids = self._encode(list(islice(self.places, before, None)))
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
         first = self.ends[at]
@@ -142,11 +109,11 @@ class Encoder:
         out = self.flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         counts = np.add.reduceat(n, np.cumsum(size) - size) if len(texts) else size
         if whole:
-            pieces = np.split(out, np.cumsum(counts)[:-1])
+            parts = np.split(out, np.cumsum(counts)[:-1])
             for i, got in zip(whole, self._encode([texts[i] for i in whole])):
-                pieces[i] = np.array([*got, END], np.int32)
+                parts[i] = np.array([*got, END], np.int32)
                 counts[i] = len(got) + 1
-            out = np.concatenate(pieces)
+            out = np.concatenate(parts)
         return out, counts
 
 
@@ -333,19 +300,21 @@ def read_documents(shards: DataFrame) -> DataFrame:
     inside = Window.partitionBy("range").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = place.select("range", "shard", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inside")).join(ranges, "range")
     starts = starts.select("range", "shard", (F.col("base") + F.col("inside")).alias("start"))
-    placed = shards.join(starts, ["range", "shard"]).select("start", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, raw in zip(b.column(0).to_pylist(), b.column(1)):
+            for r, number, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 shard = Shard(raw.as_py())
                 ids = shard.ids().astype("<u4")
                 ends = np.cumsum(shard.counts)
                 firsts = ends - shard.counts
                 crc = [zlib.crc32(ids[a:e]) for a, e in zip(firsts.tolist(), ends.tolist())]
+                n = len(firsts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids, pa.int64()), pa.array(firsts + start), pa.array(shard.counts), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    [pa.array(np.full(n, r, np.int32)), pa.array(np.full(n, number)), pa.array(shard.doc_ids, pa.int64()), pa.array(firsts), pa.array(shard.counts), pa.array(crc, pa.int64())],
+                    names=["range", "shard", "doc_id", "first", "n_tokens", "ids_crc32"],
                 )
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # decoded where they are read; narrow rows, not payloads, meet the starts
+    read = shards.select("range", "shard", "payload").mapInArrow(run, "range int, shard long, doc_id long, first long, n_tokens long, ids_crc32 long")
+    return read.join(starts, ["range", "shard"]).select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

@@ -118,7 +118,7 @@ def test_quality_odd_rows(odd_docs, no_docs, spark):
 
 def test_encoder_equals_the_tokenizer():
     whole = Tokenizer.from_file(BPE)
-    texts = ["  a  b ", "x<|endoftext|> y", "a\n\n b \n  c\t\n", "it's  o'k 's", " lead", "", "a b   c", "\n", "a \n", "Ünï 漢字 😀 x", "a b c a b c"]
+    texts = ["  a  b ", "x<|endoftext|> y", "a\n\n b \n  c\t\n", "it's  o'k 's", " lead", "", "a b   c", "\n", "a \n", "Ünï 漢字 😀 x", "a b c a b c", "it's o'shop 'tis .'s don't've", "a1b2 3.5% x-y_z (q). ñé\nÀb", "ałb c²d µx", "tab\there", "nbsp\u00a0x", "a\x00b", "e\u0301x y", "×÷ a×b"]
     encode = token_store.Encoder(BPE)
     for _ in range(2):
         ids, counts = encode(texts)
