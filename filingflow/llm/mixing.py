@@ -38,6 +38,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, ca
     """
     spark = sizes.sparkSession
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("__last", F.col("source").isNull())
+    per = written(per, "mix-sizes")  # read twice below; the words are counted once
     # numbered range by range; no task holds all sources
     num = dense_ids(per, ["__last", "source"], out="__i", partitions=min(8, shuffle_partitions(spark)))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("__i") - 1) % len(weights) + 1).cast("int"))
