@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import wraps
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filingflow.session import scratch_dir
@@ -77,6 +77,31 @@ def crc_bucket(id_col: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+def row_draw(id_col: Column, text_col: Column, seed: int) -> Column:
+    """62 random bits fixed by id, text and seed: only rows equal in both share them."""
+    return F.xxhash64(id_col, id_col.isNull(), text_col, F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1))
+
+
+def least_draws(rows: DataFrame, kind: Column, draw: Column, most: Callable[[int], int], *out: Column) -> DataFrame:
+    """``kind``, ``draw`` and ``out`` of the ``most(number of kinds)`` least draws of each kind, or of all if there are
+    fewer; a draw counts once. Exact: distinct draws are counted by bit length, which leaves about twice as many
+    candidates, and only those are ranked. No kind is lost, and repeated rows take no one's place."""
+    spark = rows.sparkSession
+    keyed = rows.withColumns({"__kind": kind, "__draw": draw, "__bits": F.length(F.bin(draw))})
+    counts = keyed.select("__kind", "__draw", "__bits").distinct().groupBy("__kind", "__bits").count().collect()
+    n = most(len({r["__kind"] for r in counts}))
+    cut, seen = {}, {}
+    for r in sorted(counts, key=lambda r: r["__bits"]):
+        k = r["__kind"]
+        if seen.get(k, 0) < n:
+            cut[k], seen[k] = r["__bits"], seen.get(k, 0) + r["count"]
+    cuts = F.broadcast(spark.createDataFrame(sorted(cut.items()), "__k string, __cut int"))  # one row per kind
+    near = keyed.join(cuts, (F.col("__kind") == F.col("__k")) & (F.col("__bits") <= F.col("__cut")))
+    near = near.select(F.col("__kind").alias("kind"), F.col("__draw").alias("draw"), *out).dropDuplicates(["kind", "draw"])
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("draw"))
+    return near.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import crc_bucket, others, own_names, text_buffers
+from filingflow.llm.common import crc_bucket, least_draws, others, own_names, row_draw, text_buffers
 
 UNKNOWN = "und"
 
@@ -26,11 +26,11 @@ UNKNOWN = "und"
 class Training:
     """Bounds of the sample and of the training; nothing else depends on the input's size."""
 
-    docs_per_lang: int = 500  # rows drawn for each language, by the hash of their id
-    max_langs: int = 64  # the most frequent ones are learned
+    docs_per_lang: int = 500  # rows drawn for each language, by the hash of id and text
+    sample: int = 32_000  # rows of all languages together: fewer of each beyond 64 languages, but one at least
     segment: int = 64  # bytes of a training segment
     hidden: int = 8  # states in each direction
-    steps: int = 300
+    steps: int = 300  # for up to 64 languages, in proportion beyond
     batch: int = 160
     rate: float = 0.02
     seed: int = 7
@@ -107,11 +107,13 @@ class Network:
         """Adam over random batches of segments (rows of bytes)."""
         rng = np.random.default_rng(how.seed)
         m, s = [[np.zeros_like(w) for w in self.weights()] for _ in range(2)]
-        for i in range(1, how.steps + 1):
-            pick = rng.integers(0, len(segments), how.batch)
+        batch = max(1, min(how.batch, (1 << 23) // (how.segment * len(self.langs))))  # memory of the driver
+        steps = -(-how.steps * how.batch * max(64, len(self.langs)) // (64 * batch))
+        for i in range(1, steps + 1):
+            pick = rng.integers(0, len(segments), batch)
             _, grads = self.gradients(segments[pick].T, label[pick])
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-            rate = how.rate * (1 - 0.9 * i / how.steps) * min(1.0, 1.0 / (norm + 1e-9))
+            rate = how.rate * (1 - 0.9 * i / steps) * min(1.0, 1.0 / (norm + 1e-9))
             for w, g, a, b in zip(self.weights(), grads, m, s):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
@@ -122,10 +124,12 @@ class Reader:
     """The trained network over whole texts: single precision, states as rows, segments as columns."""
 
     LENGTH = 128  # bytes of a segment
-    WIDTH = 2048  # segments at a time
+    WIDTH = 2048  # segments at a time, with up to 64 languages
+    CELLS = 1 << 22  # documents times languages at a time
 
     def __init__(self, net: Network):
         h = net.ahead.h
+        self.width = max(16, min(self.WIDTH, 64 * self.WIDTH // len(net.langs)))
         half = np.r_[np.full(2 * h, 0.5), np.ones(h)]  # a logistic is half a tanh of half its input
         self.parts = [
             (np.ascontiguousarray((d.x * half).T, np.float32), np.ascontiguousarray((d.u * half).T, np.float32)) for d in (net.ahead, net.back)
@@ -160,8 +164,8 @@ class Reader:
         k, total = len(self.langs), len(start)
         prob, hits = np.zeros((total, k), np.float32), np.zeros((total, k), np.float32)
         by_size = np.argsort(-size, kind="stable")
-        for at in range(0, total, self.WIDTH):
-            rows = by_size[at : at + self.WIDTH]
+        for at in range(0, total, self.width):
+            rows = by_size[at : at + self.width]
             t = int(size[rows[0]])
             place = start[rows] + np.minimum(np.arange(t)[:, None], size[rows] - 1)
             b = data[place]
@@ -185,14 +189,18 @@ class Reader:
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: best language (index), its mean probability, the share of positions labelled with it."""
         length = np.diff(offsets)
+        most = max(1, self.CELLS // len(self.langs))
+        if len(length) > most:
+            parts = [self.documents(data, offsets[at : at + most + 1]) for at in range(0, len(length), most)]
+            return tuple(np.concatenate(p) for p in zip(*parts))
         n = -(-length // self.LENGTH)
         doc = np.repeat(np.arange(len(length)), n)
         inside = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
         start = offsets[doc] + inside * self.LENGTH
         size = np.minimum(self.LENGTH, offsets[doc + 1] - start)
         prob, hits = np.zeros((len(length), len(self.langs))), np.zeros((len(length), len(self.langs)))
-        for at in range(0, len(doc), 16 * self.WIDTH):
-            some = slice(at, at + 16 * self.WIDTH)
+        for at in range(0, len(doc), 16 * self.width):
+            some = slice(at, at + 16 * self.width)
             p, h = self.segments(data, start[some], size[some])
             np.add.at(prob, doc[some], p)
             np.add.at(hits, doc[some], h)
@@ -202,34 +210,28 @@ class Reader:
 
 
 def learn(docs: DataFrame, how: Training, usable: Column, id_col: str, text_col: str, lang_col: str) -> Network | None:
-    """A network trained on at most about ``how.docs_per_lang`` rows of each language among the ``usable`` ones; None if
-    no row has both a language and a letter. The id only draws the rows."""
-    labelled = docs.where(usable & F.col(lang_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "lang").limit(how.max_langs).collect()
-    if not top:
-        return None
-    share = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], min(1.0, how.docs_per_lang / r["n"]))])
-    key = F.xxhash64(F.col(id_col), F.lit(how.seed))
-    dice = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
-    text = F.col(text_col)
-    spot = (F.pmod(F.shiftright(key, 30), F.greatest(F.lit(1), F.length(text) - how.segment)) + 1).cast("int")
-    sample = (
-        labelled.where(dice < F.element_at(share, F.col(lang_col)))
-        .where(text.rlike(r"\p{L}"))
-        .select(F.col(lang_col).alias("lang"), F.substring(text, spot, F.lit(how.segment)).alias("piece"))
-        .orderBy("lang", "piece")
-        .collect()
+    """A network trained on at most ``how.docs_per_lang`` rows of each language among the ``usable`` ones, in equal shares
+    of ``how.sample`` if there are many languages; None if no row has both a language and a letter. Every language
+    with a letter is learned. Id and text only draw the rows; rows equal in both count once."""
+    text, lang = F.col(text_col), F.col(lang_col).cast("string")
+    labelled = docs.where(usable & lang.isNotNull() & text.rlike(r"\p{L}"))
+    spot = (F.pmod(F.xxhash64("__draw"), F.greatest(F.lit(1), F.length(text) - how.segment)) + 1).cast("int")
+    piece = F.substring(text, spot, F.lit(how.segment)).alias("piece")
+    sample = least_draws(
+        labelled, lang, row_draw(F.col(id_col), text, how.seed), lambda n: max(1, min(how.docs_per_lang, how.sample // max(1, n))), piece
     )
-    langs = sorted({r["lang"] for r in sample})
+    sample = sorted((r["kind"], r["piece"]) for r in sample.collect())
+    langs = sorted({k for k, _ in sample})
     if not langs:
         return None
-    label = np.array([langs.index(r["lang"]) for r in sample])
+    number = {k: i for i, k in enumerate(langs)}
+    label = np.array([number[k] for k, _ in sample])
     rows = np.zeros((len(sample), how.segment), np.uint8)
-    for i, r in enumerate(sample):  # short pieces repeat up to the segment's length
-        raw = np.frombuffer(r["piece"].encode(), np.uint8)
+    for i, (_, piece) in enumerate(sample):  # short pieces repeat up to the segment's length
+        raw = np.frombuffer(piece.encode(), np.uint8)
         rows[i] = np.resize(raw, how.segment)
-    even = np.concatenate([np.resize(np.flatnonzero(label == k), max(np.bincount(label))) for k in range(len(langs))])
+    most = int(np.bincount(label).max())
+    even = np.concatenate([np.resize(np.flatnonzero(label == k), most) for k in range(len(langs))])
     net = Network(langs, how.hidden, how.seed)
     if len(langs) > 1:
         net.train(rows[even], label[even], how)

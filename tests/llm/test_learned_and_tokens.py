@@ -82,6 +82,25 @@ def test_language_odd_rows(odd_docs, no_docs, make_docs):
     assert unknown[0]["lang_pred"] == "und"
 
 
+def test_every_language_is_learned(make_docs):
+    pairs = [(a, b) for a in "bcdfghjklm" for b in "nprstvwxz"][:80]
+    rows = [(80 * j + i, " ".join((a + v + b + v) * 2 for v in "aeiou"[j % 4 :] * 3), f"l{i:02}") for i, (a, b) in enumerate(pairs) for j in range(4)]
+    docs = make_docs(rows)
+    net = language_id.learn(docs, language_id.Training(), F.lit(True), "doc_id", "text", "lang")
+    assert net.langs == sorted({r[2] for r in rows})
+    got = language_id.label_languages(docs, net).where("lang >= 'l64'").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.8
+
+
+def test_sample_is_shared_and_keeps_rare_languages(make_docs):
+    draw = language_id.row_draw(F.col("doc_id"), F.col("text"), 1)
+    docs = make_docs([(None, f"text {i}", "big") for i in range(900)] + [(1, "same", "big")] * 300 + [(None, "only", "rare")] * 3)
+    got = language_id.least_draws(docs, F.col("lang"), draw, lambda n: 80 // n, F.col("text")).collect()
+    assert sorted(r["kind"] for r in got) == ["big"] * 40 + ["rare"]
+    every = sorted({(r["d"]) for r in docs.where("lang = 'big'").select(draw.alias("d")).collect()})
+    assert sorted(r["draw"] for r in got if r["kind"] == "big") == every[:40]
+
+
 # ----------------------------------------------------------------------------------------- quality
 
 
