@@ -112,11 +112,11 @@ def _expand(field: Column, lo: int, hi: int, names: tuple[int, list[str]] | None
 def next_fire_time(cron: Column, now: Column) -> Column:
     """K5: the first minute strictly after ``now`` that the cron expression selects.
 
-    Day rule as in Vixie cron: when both day-of-month and day-of-week are restricted (not starting
-    with ``*``) a day matches if either does. NULL when the expression is malformed or no date ever
+    Day rule as in Vixie cron: a day must be in both the day-of-month and the day-of-week set if either field
+    starts with ``*`` (steps like ``*/2`` count), and in one of them otherwise. NULL when the expression is malformed or no date ever
     matches. Days are listed month by month, only in months of the month set, and the fold stops
-    listing once it holds two; any day that exists comes back within eight years (29 February
-    across a century year), so 97 months hold the next one or there is none.
+    listing once it holds two; any day that exists comes back within forty years (29 February on one
+    weekday across a century year), so 481 months hold the next one or there is none.
     """
     fields = _let(
         _parts(cron),
@@ -137,15 +137,14 @@ def next_fire_time(cron: Column, now: Column) -> Column:
     def days_of(f: Column) -> Column:
         def day_ok(d: Column) -> Column:
             dom_ok, dow_ok = F.array_contains(f["doms"], F.dayofmonth(d)), F.array_contains(f["dows"], F.dayofweek(d) - 1)
-            both = f["any_dom"] & f["any_dow"]
-            rule = F.when(both, F.lit(True)).when(f["any_dom"], dow_ok).when(f["any_dow"], dom_ok).otherwise(dom_ok | dow_ok)
+            rule = F.when(f["any_dom"] | f["any_dow"], dom_ok & dow_ok).otherwise(dom_ok | dow_ok)
             return (d >= today) & rule
 
         def more(found: Column, m: Column) -> Column:
             days = F.filter(F.sequence(m, F.last_day(m)), day_ok)
             return F.when(F.size(found) >= 2, found).otherwise(F.concat(found, F.slice(days, 1, 2)))
 
-        months = F.transform(F.sequence(F.lit(0), F.lit(97)), lambda i: F.add_months(first, i))
+        months = F.transform(F.sequence(F.lit(0), F.lit(480)), lambda i: F.add_months(first, i))
         return F.aggregate(F.filter(months, lambda m: F.array_contains(f["months"], F.month(m))), F.array().cast("array<date>"), more)
 
     def times_of(f: Column) -> Column:

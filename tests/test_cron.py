@@ -102,3 +102,17 @@ def test_malformed_fields_give_null_and_never_fail(spark):
     assert _check(spark, "99999999999999999999 9 * * 1") == (False, "Minuta musi być między 0 a 59")
     assert _check(spark, "9" * 60 + " 9 * * 1") == (False, "Minuta musi być między 0 a 59")
     assert _check(spark, "0 9 * * MON")[0] is True
+
+
+def test_steps_on_a_star_in_the_day_fields(spark):
+    now = dt.datetime(2024, 2, 1, 10, 30)  # a Thursday
+    for expr, day in (
+        ("0 0 */2 * *", dt.datetime(2024, 2, 3)),  # odd days
+        ("0 0 */2 * 1", dt.datetime(2024, 2, 5)),  # Mondays on odd days
+        ("0 0 */2 * 2", dt.datetime(2024, 2, 13)),
+        ("0 0 1 * */2", dt.datetime(2024, 6, 1)),  # a first that is a Sunday, Tuesday, Thursday or Saturday
+        ("0 0 * * */3", dt.datetime(2024, 2, 3)),
+        ("0 0 1-31/2 * 1", dt.datetime(2024, 2, 3)),  # no star: either field
+    ):
+        assert _next(spark, expr, now) == day, expr
+    assert _next(spark, "0 0 29 2 */7", dt.datetime(2088, 2, 29, 12)) == dt.datetime(2128, 2, 29)  # Sundays
