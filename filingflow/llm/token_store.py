@@ -131,23 +131,17 @@ def encoder(path: str) -> Encoder:
 
 
 def _frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of pairs that occur ``least`` times or more, the places where one stands, and which one it is. Of pairs that
-    share a slot one is found at a time; the others have their turn in later rounds."""
+    """Codes of all pairs that occur ``least`` times or more, the places where one stands, and which one it is. A hashed
+    count leaves few places to be sorted; those are counted exactly."""
     code = (seq[:-1].astype(np.int64) << 32) | seq[1:]
     slot = ((code ^ (code >> 32) * 0x9E3779B1) * 0x85EBCA6B >> 15) & (SLOTS - 1)
     many = np.bincount(slot, minlength=SLOTS) >= least
     maybe = np.flatnonzero(many[slot] & (seq[:-1] != END))  # a rule never runs over a document's end
-    here, slot = code[maybe], slot[maybe]
-    owner = np.zeros(SLOTS, np.int64)
-    owner[slot] = here
-    mine = owner[slot] == here
-    maybe, slot = maybe[mine], slot[mine]
-    times = np.bincount(slot, minlength=SLOTS)
-    good = np.flatnonzero(times >= least)
-    number = np.full(SLOTS, -1)
-    number[good] = np.arange(len(good))
-    which = number[slot]
-    return owner[good], maybe[which >= 0], which[which >= 0]
+    pairs, which, times = np.unique(code[maybe], return_inverse=True, return_counts=True)
+    good = times >= least
+    number = np.where(good, np.cumsum(good) - 1, -1)
+    which = number[which]
+    return pairs[good], maybe[which >= 0], which[which >= 0]
 
 
 def compress(ids: np.ndarray, least: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -161,6 +161,20 @@ def test_repair_round_trip_and_random_access():
     assert len(token_store.compress(np.tile(np.array([4, 5, 6, 7], np.int32), 300))[0]) < 100
 
 
+def test_pairs_of_one_slot_are_counted_apart():
+    slots = {}
+    for a in range(1, 2000):
+        code = (a << 32) | (a + 1)
+        slot = (((code ^ (code >> 32) * 0x9E3779B1) * 0x85EBCA6B) >> 15) & (token_store.SLOTS - 1)
+        if slot in slots:
+            break
+        slots[slot] = a
+    often, rare = slots[slot], a
+    ids = [x for i in range(50) for x in (often, often + 1, 5000 + i)] + [rare, rare + 1]
+    pairs, here, which = token_store._frequent(np.array(ids), 8)
+    assert pairs.tolist() == [(often << 32) | (often + 1)] and here.tolist() == list(range(0, 150, 3)) and not which.any()
+
+
 def test_tokens_match_brute_force(spark):
     got = {r["doc_id"]: r for r in QUERIES["op7_token_ids"](spark, SF_SMALL).collect()}
     whole, start = Tokenizer.from_file(BPE), 0
