@@ -33,7 +33,6 @@ MAGIC = b"RPS1"
 END = 0  # id after each document
 FIRST_RULE = 1 << 17  # symbols from here on are nonterminals; the vocabularies are smaller
 MIN_USES = 8  # a pair that occurs less often gets no rule
-MIN_GAIN = 0.02  # a round that shortens the sequence by less is the last
 SLOTS = 1 << 18  # of the first, hashed count of pairs
 
 
@@ -144,21 +143,33 @@ def _frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.n
     return pairs[good], maybe[which >= 0], which[which >= 0]
 
 
+def _apart(here: np.ndarray) -> np.ndarray:
+    """Which of these ascending places are taken, so that no two are neighbours: every other one of a run."""
+    run = np.r_[True, np.diff(here) != 1]
+    place = np.arange(len(here)) - np.maximum.accumulate(np.where(run, np.arange(len(here)), 0))
+    return place % 2 == 0
+
+
 def compress(ids: np.ndarray, least: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: (symbols, rules (n, 2), expansion lengths). Each round replaces all frequent pairs from left to right
-    where they don't overlap; rules may use the nonterminals of earlier rounds."""
+    """Re-Pair: (symbols, rules (n, 2), expansion lengths), until no pair occurs ``least`` times. Each round replaces all
+    frequent pairs from left to right where they don't overlap; rules may use the nonterminals of earlier rounds."""
     seq, rules, lengths = ids.astype(np.int64), [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
+    worth = max(2, least // 2)
     while len(seq) > 1:
         pairs, here, which = _frequent(seq, least)
         if not len(pairs):
             break
-        run = np.r_[True, np.diff(here) != 1]  # neighbours overlap: every other one is taken
-        place = np.arange(len(here)) - np.maximum.accumulate(np.where(run, np.arange(len(here)), 0))
-        here, which = here[place % 2 == 0], which[place % 2 == 0]
-        good = np.bincount(which, minlength=len(pairs)) >= max(2, least // 2)
+        taken = _apart(here)
+        good = np.bincount(which[taken], minlength=len(pairs)) >= worth
+        if not good.any():  # pairs took each other's places: the most frequent one alone has enough
+            own = which == np.bincount(which).argmax()
+            here, which = here[own], which[own]
+            taken = _apart(here)
+            good = np.bincount(which[taken], minlength=len(pairs)) >= worth
+            if not good.any():
+                break
+        here, which = here[taken], which[taken]
         here, which = here[good[which]], (np.cumsum(good) - 1)[which[good[which]]]
-        if len(here) < MIN_GAIN * len(seq):
-            break
         new = pairs[good]
         pair = np.stack([new >> 32, new & 0xFFFFFFFF], axis=1)
         size = np.where(pair >= FIRST_RULE, lengths[np.clip(pair - FIRST_RULE, 0, max(0, len(lengths) - 1))] if len(lengths) else 1, 1)

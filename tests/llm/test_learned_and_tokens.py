@@ -175,6 +175,17 @@ def test_pairs_of_one_slot_are_counted_apart():
     assert pairs.tolist() == [(often << 32) | (often + 1)] and here.tolist() == list(range(0, 150, 3)) and not which.any()
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(5)
+    rare = np.concatenate([np.r_[rng.integers(1, 100_000, 500), 7, 8] for _ in range(60)])  # far under 2% of the places
+    blocked = np.concatenate([np.arange(9), *[[a, 200, 201, 202, b] for a, b in rng.integers(300, 99_999, (9, 2))]])
+    for ids in (rare, blocked, rng.integers(1, 60, 40_000)):
+        symbols, rules, _ = token_store.compress(ids.astype(np.int32))
+        _, times = np.unique((symbols[:-1] << 32) | symbols[1:], return_counts=True)
+        assert len(rules) and times.max() < token_store.MIN_USES
+        assert np.array_equal(token_store.expand(symbols, rules), ids)
+
+
 def test_tokens_match_brute_force(spark):
     got = {r["doc_id"]: r for r in QUERIES["op7_token_ids"](spark, SF_SMALL).collect()}
     whole, start = Tokenizer.from_file(BPE), 0
