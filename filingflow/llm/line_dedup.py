@@ -24,18 +24,22 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text`` (columns of these names are replaced).
 
-    A key of at least ``min_chars`` code points that occurs in ``min_docs`` rows or more loses all
+    A key of at least ``min_chars`` code points that occurs in ``min_docs`` documents or more loses all
     its lines everywhere. Lines end at ``\\n`` only. Null and empty texts are one empty line; a
-    document that loses every line keeps the empty text. A row is a document: repeated rows count
-    each, and lose the same lines. An empty table gives an empty table.
+    document that loses every line keeps the empty text. Rows of one id are one document; rows without an
+    id are none that can be told apart and count for nothing, but lose the same lines. An empty table
+    gives an empty table.
     """
     base = with_row_key(docs, id_col, text_col)
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     keys = F.transform(lines, lambda x: F.when(F.length(F.btrim(x, F.lit(WHITE))) >= min_chars, F.unhex(F.md5(line_key(x).cast("binary")))))
     # written once: the hashes are read for the counts and again for the positions
-    narrow = written(base.select("__rk", "__rd", keys.alias("__keys")), "line-keys")
+    narrow = written(base.select("__rk", "__rd", F.col(id_col).isNotNull().alias("__known"), keys.alias("__keys")), "line-keys")
+    # __rd is the id; (key, id) pairs are told apart first, so that a hot line's documents stay spread
     shared = (
-        narrow.select(F.explode(F.array_distinct(F.array_compact("__keys"))).alias("__key"))
+        narrow.where(F.col("__known"))
+        .select("__rd", F.explode(F.array_distinct(F.array_compact("__keys"))).alias("__key"))
+        .distinct()
         .groupBy("__key")
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") >= min_docs)

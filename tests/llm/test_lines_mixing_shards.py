@@ -40,6 +40,13 @@ def test_lines_odd_rows(odd_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).collect() == []
 
 
+def test_lines_of_one_document_count_once(make_docs):
+    docs = make_docs([(1, "mine\nboth")] * 12 + [(1, "mine\nother")] + [(i, f"both\nown {i}") for i in range(2, 5)] + [(None, "none")] * 9)
+    got = line_dedup.dedup_lines(docs, min_docs=4).collect()
+    assert {(r["doc_id"], r["kept_text"]) for r in got} == {(1, "mine"), (1, "mine\nother"), *[(i, f"own {i}") for i in range(2, 5)], (None, "none")}
+    assert len(got) == docs.count()
+
+
 def brute_targets(sizes, budget=1.5, cap=2.0, weights=(5, 2, 1)):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
