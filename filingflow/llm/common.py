@@ -35,6 +35,15 @@ def others(df: DataFrame, new: list[str]) -> list[str]:
     return [f"`{c}`" for c in df.columns if c.lower() not in taken]
 
 
+def fed_once(df: DataFrame, rest: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The columns ``rest`` of ``df`` for a Python node that reads ``text_col``, and that column's place; the text goes there
+    once, behind the others only if it isn't among them."""
+    names = [c.strip("`").lower() for c in rest]
+    if text_col.lower() in names:
+        return df.select(*rest), names.index(text_col.lower())
+    return df.select(*rest, F.col(text_col).alias("__text")), len(rest)
+
+
 def own_names(operator):
     """Names that start with ``__`` belong to the operators: columns of the caller that do are renamed on the
     way in and get their names back on the way out."""

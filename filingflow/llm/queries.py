@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingflow.llm import decontamination, fingerprints, language_id, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_store
+from filingflow.llm import decontamination, fingerprints, language_id, line_dedup, mixing, periodic_runs, quality, sharding, simhash, suffix_dedup, token_store
 from filingflow.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,37 @@ def q_decontamination(spark, sf_dir):
 @register("op10_sharding")
 def q_sharding(spark, sf_dir):
     return sharding.shard_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), n=8)
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """The contract's input of op13: texts whose id draws 0 of 10 become periodic from word ``a`` on (a null id draws nothing).
+
+    The period is cut out of the words once and repeated as a whole, so a text of any length is linear work.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    drawn = docs.withColumn("h", h).withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)))
+    drawn = drawn.withColumn("n", F.when(F.col("words").isNotNull(), F.size("words"))).withColumn("g", F.floor(F.col("h") / 10))
+    drawn = drawn.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    drawn = drawn.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    new = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), F.col("n") - F.col("a"))), " ")
+    return drawn.select("doc_id", F.when(F.col("a").isNotNull(), new).otherwise(F.col("text")).alias("text"))
+
+
+@register("op13_periodic_runs")
+def q_periodic_runs(spark, sf_dir):
+    docs = with_planted_period(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.collapse_runs(docs, least=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    text = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-best["start"]).alias("start"),
+        best["length"].alias("length"),
+        (-best["period"]).alias("period"),
+        F.floor(1000 * F.try_divide(best["length"].cast("decimal(20,0)"), -best["period"])).cast("long").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
