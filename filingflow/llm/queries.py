@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingflow.llm import decontamination, fingerprints, hard_negatives, language_id, line_dedup, mixing, periodic_runs, quality, sharding, simhash, suffix_dedup, token_store
+from filingflow.llm import decontamination, fingerprints, hard_negatives, html_extraction, language_id, line_dedup, mixing, periodic_runs, quality, sharding, simhash, suffix_dedup, token_store
 from filingflow.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +150,12 @@ def q_sharding(spark, sf_dir):
     return sharding.shard_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), n=8)
 
 
+@register("op11_html_extraction")
+def q_html_extraction(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extraction.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 @register(
     "op12_hard_negatives",
     """
