@@ -117,15 +117,28 @@ def page_text(html: str) -> str:
     return _SPACE.sub(" ", unescape("".join(out)).replace("\xa0", " ")).strip(" ")
 
 
-def with_page_text(pages: DataFrame, columns: list[str], html_col: str = "html", out: str = "text") -> DataFrame:
-    """``columns`` of ``pages`` and ``out``, the text of ``html_col`` (null stays null); one Arrow pass, the page itself
-    is not sent back."""
-    narrow = pages.select(*columns, F.col(html_col).alias("__html"))
-    schema = narrow.select(*columns, F.col("__html").alias(out)).schema
+ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+
+
+def scan_pages(pages: DataFrame, keys: list[str], rows_of, out: dict[str, str], source: str = "html", null_row: tuple | None = None) -> DataFrame:
+    """``keys`` of every page with the rows that ``rows_of`` reads from its ``source`` (text or bytes; null: ``null_row``, if any).
+
+    One Arrow pass: a page goes to Python once and only the rows come back. ``out`` names the fields of a row with
+    their types (those of ``ARROW``), in order.
+    """
+    narrow = pages.select(*keys, F.col(source).alias("__source"))
+    schema = narrow.select(*keys, *[F.lit(None).cast(t).alias(n) for n, t in out.items()]).schema
+    kinds = [ARROW[t] for t in out.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pa.array([None if h is None else page_text(h) for h in b.column(b.num_columns - 1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*columns, out])
+            at, rows = [], []
+            for i, page in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                found = rows_of(page) if page is not None else [null_row] if null_row else []
+                rows += found
+                at += [i] * len(found)
+            left = pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).take(pa.array(at, pa.int64()))
+            fields = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*left.columns, *fields], names=schema.names)
 
     return narrow.mapInArrow(run, schema)

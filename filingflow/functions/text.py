@@ -5,9 +5,6 @@ codegen; none is a Python UDF.
 
 from __future__ import annotations
 
-import json
-from html.entities import name2codepoint
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,11 +123,6 @@ def price_value(price_text: Column) -> Column:
     return _py_float(F.replace(F.replace(price_text, F.lit(","), F.lit(".")), F.lit("Kurs"), F.lit("")))
 
 
-def change_class_of(li_html: Column) -> Column:
-    """Which change span a listing item carries: profit or loss."""
-    return F.regexp_extract(li_html, r'<span class="(profit|loss) margin-left-30 pull-right">', 1)
-
-
 # ----------------------------------------------------------------------------- N6 / N7
 
 
@@ -276,38 +268,6 @@ def json_list_encode(arr: Column) -> Column:
     return F.when(F.coalesce(F.size(arr), F.lit(0)) > 0, F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")))
 
 
-# ----------------------------------------------------------------------------- HTML references
-
-# Named references come from the standard library's table, as one constant.
-_NAMED = json.dumps(name2codepoint | {"apos": 39})
-
-
-def _character(code: Column) -> Column:
-    """The character of a code point, NULL outside Unicode; a no-break space is a plain space."""
-    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    four = F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0"))
-    return F.when(code == 0xA0, F.lit(" ")).when(valid, F.decode(four, "UTF-32"))
-
-
-def decode_references(c: Column) -> Column:
-    """Named, decimal and hexadecimal character references decoded, each once; unknown ones stay as they are."""
-    names = F.from_json(F.lit(_NAMED), "map<string,int>")
-
-    def piece(p: Column) -> Column:
-        ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
-        code = (
-            F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 6), 16, 10).cast("long"))
-            .when(ref.startswith("#"), F.substring(ref, 2, 7).try_cast("long"))
-            .otherwise(F.try_element_at(names, ref))
-        )
-        char = F.when(ref != "", _character(code))
-        return F.when(char.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.substr(p, F.length(ref) + 2)))
-
-    parts = F.split(c, "&", -1)
-    tail = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), piece)
-    return F.when(~c.contains("&"), c).otherwise(F.array_join(F.concat(F.slice(parts, 1, 1), tail), ""))
-
-
 # ----------------------------------------------------------------------------- extractive summary
 
 

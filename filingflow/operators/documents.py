@@ -23,28 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
+from filingflow.functions.html import page_text, scan_pages
 from filingflow.functions.text import _at
 from filingflow.operators.common import ordinal, top_k
 
 
 # ----------------------------------------------------------------------------- S3 HTML -> text
 
-_WS_ASCII = r"[ \t\n\r\f]+"
-
-
-def html_to_text(html: Column) -> Column:
-    """S3: drop script/style/comments first (they may hold ``</p>`` in strings), then tags,
-    decode character references, collapse whitespace."""
-    t = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>", " ")
-    t = F.regexp_replace(t, r"(?is)<style\b[^>]*>.*?</style>", " ")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"<[^>]*>", " ")
-    return F.btrim(F.regexp_replace(X.decode_references(t), _WS_ASCII, " "), F.lit(" "))
-
-
 def document_scan(pages: DataFrame) -> DataFrame:
-    """S3 over landed HTML pages: one text per page; an HTML file loads as one section."""
-    return pages.select("page_id", "url", html_to_text(F.col("html")).alias("text"), F.lit(1).alias("n_pages"))
+    """S3 over landed HTML pages: one text per page, read by the tokenizer in one Arrow pass; an HTML file loads as one section
+    (X16), a null page has a null text."""
+    read = scan_pages(pages, ["page_id", "url"], lambda html: [(page_text(html),)], {"text": "string"}, null_row=(None,))
+    return read.withColumn("n_pages", F.lit(1))
 
 
 # ----------------------------------------------------------------------------- D1 chunking

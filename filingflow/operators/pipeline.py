@@ -60,7 +60,7 @@ class Pipeline:
 
     @cached_property
     def items(self) -> DataFrame:
-        return L.page_items(T.listing_pages(self.spark, self.sf_dir))
+        return L.listing_page_scan(T.listing_pages(self.spark, self.sf_dir))
 
     @cached_property
     def arrivals(self) -> DataFrame:
@@ -74,10 +74,10 @@ class Pipeline:
         return cut_lineage(condense_files(docs, self.model), "condensed")
 
     def reports(self) -> DataFrame:
-        return L.normalise_listing(L.parse_items(self.items))[0]
+        return L.normalise_listing(self.items)[0]
 
     def rejected(self) -> DataFrame:
-        return L.normalise_listing(L.parse_items(self.items))[1]
+        return L.normalise_listing(self.items)[1]
 
     def files(self) -> DataFrame:
         """The registry's files after the run, summaries attached."""

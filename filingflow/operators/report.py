@@ -3,8 +3,7 @@ S9 run-result artifact, U11 summary-report registry rows.
 
 A company's document list is unbounded, so its text is never assembled in one task: blocks are
 numbered with the skew-safe ``ordinal`` and packed into *parts* of at most ``BLOCKS_PER_PART``
-blocks; a report is the ordered sequence of its parts (written as consecutive lines of the
-company's output file). The filings table only ever holds the newest ``limit`` (<= 100) rows.
+blocks; a report is the ordered sequence of its parts, which one task streams into the company's Markdown file. The filings table only ever holds the newest ``limit`` (<= 100) rows.
 """
 
 from __future__ import annotations
@@ -14,7 +13,8 @@ from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
 from filingflow.operators.common import cut_lineage, ordinal, top_k
-from filingflow.sources.listing import listing_frame, newest_items, parse_items
+from filingflow.sources.files import read_files, write_text_files
+from filingflow.sources.listing import listing_frame, newest_items
 
 
 BLOCKS_PER_PART = 50
@@ -235,13 +235,13 @@ def collective_report(items: DataFrame, files: DataFrame, as_of: str, model: str
                       limit: int = 5, footer: str = DEFAULT_FOOTER) -> DataFrame:
     """(company, part, text) — part 0 header + table, parts 1.. the A7 parts, last part the footer.
 
-    ``items``: unparsed listing items with ``company`` (only the newest ``limit`` of each are parsed);
+    ``items``: the rows of S1 with ``company`` (only the newest ``limit`` of each are typed);
     ``files``: (id, company, file_name, summary_text). Company keys are compared lower-cased.
     """
     dfrom, dto = X.range_from_to(F.lit(date_request))
     newest = newest_items(items.withColumn("company", F.lower("company")), "company", limit)
     # a few rows per company, read by all three kinds of parts
-    listing = cut_lineage(listing_tables(listing_frame(parse_items(newest)), "company", limit), "report-listing")
+    listing = cut_lineage(listing_tables(listing_frame(newest), "company", limit), "report-listing")
     fl = files.withColumn("company", F.lower("company"))
     counts = fl.groupBy("company").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(is_document(F.col("file_name"))).alias("n_docs"))
     heads = listing.join(counts, "company", "left").join(collective_overview(fl), "company", "left")
@@ -262,11 +262,21 @@ def collective_report(items: DataFrame, files: DataFrame, as_of: str, model: str
     return head.unionByName(body).unionByName(tail)
 
 
-def write_artifacts(parts: DataFrame, path: str, order: list[str]) -> DataFrame:
-    """S8 / S9 sink: the texts as a table, dealt by all of ``order`` and sorted, so that a company with most of the parts is
-    spread over files; returns what was written, read back."""
-    parts.repartition(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
-    return parts.sparkSession.read.parquet(path)
+def write_reports(parts: DataFrame, path: str) -> DataFrame:
+    """S8 sink: one Markdown file ``<company>.md`` for each company, its parts in order; returns (``company``, ``file_size``, ``content``)
+    of the files as they were committed. A company of very many parts has further volumes (``<company>.2.md``)."""
+    write_text_files(parts.withColumn("name", F.concat("company", F.lit(".md"))), path)
+    files = read_files(parts.sparkSession, path, "*.md")
+    return files.select(F.regexp_replace("name", r"\.md$", "").alias("company"), F.col("size").alias("file_size"), "content")
+
+
+def write_run_results(runs: DataFrame, path: str) -> DataFrame:
+    """S9 sink: one text file ``<job>_<run>.txt`` for each run of (``id``, ``job_name``, ``text``); returns (``id``, ``content``) of the
+    files as they were committed."""
+    name = F.concat("job_name", F.lit("_"), F.col("id").cast("string"), F.lit(".txt"))
+    write_text_files(runs.select(name.alias("name"), F.lit(0).alias("part"), "text"), path)
+    files = read_files(runs.sparkSession, path, "*.txt")
+    return files.select(F.regexp_extract("name", r"_([0-9]+)\.txt$", 1).cast("long").alias("id"), "content")
 
 
 def run_result_text(company: Column, as_of: str, date_to: Column, model: Column, status_text: Column, n_docs: Column) -> Column:

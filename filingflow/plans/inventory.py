@@ -6,7 +6,7 @@ INVENTORY: dict[str, tuple[str, ...]] = {
     # 2.1 scans, sources, sinks
     "S1": ("listing_page_scan", "normalise_listing"),  # scan, then Job N (N1-N8 together)
     "S2": ("attachment_scan",),
-    "S3": ("document_scan",),
+    "S3": ("document_scan", "landed_page_scan"),
     "S4": ("registry_scan",),
     "S5": ("legacy_config_scan",),
     "S7": ("listing_csv_export",),

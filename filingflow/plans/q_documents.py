@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from filingflow.operators import documents as D
 from filingflow.operators import registry as R
 from filingflow.operators.common import cut_lineage
-from filingflow.plans.catalog import register
+from filingflow.plans.catalog import ORACLES, register
+from filingflow.session import scratch_dir
 from filingflow.sources import tables as T
+from filingflow.sources.files import write_text_files
+from filingflow.sources.landed import landed_documents
 
 MODEL = "llama3.2:latest"
 WS_CLASS = D.UNICODE_WS_CLASS
@@ -29,6 +32,33 @@ def q_document_scan(spark, sf):
     return D.document_scan(T.read(spark, sf, "pages"))
 
 
+# A folder of files in three charsets stands for the landing zone: files of one page each, named by page.
+_CHARSET = """CASE WHEN page_id % 3 = 0 THEN 'utf-8' WHEN page_id % 3 = 1 THEN 'utf-16-le'
+  WHEN regexp_matches(html, '[^\\x{01}-\\x{FF}]') THEN 'utf-8' ELSE 'cp1252' END"""
+
+
+@register(
+    "landed_page_scan",
+    f"""SELECT concat('page ', page_id, CASE WHEN page_id % 2 = 0 THEN '.html' ELSE '.htm' END) AS file_name,
+  {_CHARSET} AS charset, text, 1 AS n_pages FROM ({ORACLES['document_scan']}) JOIN (SELECT page_id, html FROM pages) USING (page_id)""",
+)
+def q_landed_page_scan(spark, sf):
+    """Lands every page as a file while it is built, then reads the folder: charset and text of each file."""
+    p = T.read(spark, sf, "pages").select("page_id", "html")
+    latin = F.replace("html", F.lit('charset="utf-8"'), F.lit('charset="iso-8859-1"'))
+    content = (
+        F.when(F.col("page_id") % 3 == 0, F.encode("html", "UTF-8"))
+        .when(F.col("page_id") % 3 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE")))
+        .when(F.col("html").rlike(r"[^\x01-\xFF]"), F.encode("html", "UTF-8"))
+        .otherwise(F.encode(latin, "ISO-8859-1"))
+    )
+    ending = F.when(F.col("page_id") % 2 == 0, ".html").otherwise(".htm")
+    name = F.concat(F.lit("page "), F.col("page_id").cast("string"), ending)
+    folder = scratch_dir(spark, "landed-pages")
+    write_text_files(p.select(name.alias("name"), F.lit(0).alias("part"), content.alias("text")), folder)
+    return landed_documents(spark, folder).select("file_name", "charset", "text", "n_pages")
+
+
 def _paged(spark, sf):
     return T.file_arrivals(spark, sf).select(F.col("id").alias("doc_id"), "pages")
 

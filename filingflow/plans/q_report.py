@@ -52,13 +52,13 @@ def q_collective_overview(spark, sf):
 
 
 def _items(spark, sf):
-    items = L.page_items(T.listing_pages(spark, sf))
+    items = L.listing_page_scan(T.listing_pages(spark, sf))
     return items.join(T.companies(spark, sf).select(F.col("id").alias("company_id"), F.col("name").alias("company")), "company_id")
 
 
-def _report_parts(spark, sf):
+def _report_files(spark, sf):
     parts = P.collective_report(_items(spark, sf), _files(spark, sf), AS_OF, MODEL)
-    return P.write_artifacts(parts, scratch_dir(spark, "reports"), ["company", "part"])
+    return P.write_reports(parts, scratch_dir(spark, "reports"))
 
 
 _PL = """CASE report_type WHEN 'current' THEN 'Bieżący' WHEN 'quarterly' THEN 'Kwartalny'
@@ -118,9 +118,14 @@ UNION ALL SELECT company, CAST(part AS INTEGER), text FROM body
 UNION ALL SELECT company, CAST(part AS INTEGER), text FROM tail"""
 
 
-@register("collective_report_sink", _S8, ("downloaded_files", "reports", "companies"))
+@register(
+    "collective_report_sink",
+    f"SELECT company, string_agg(text, '' ORDER BY part) AS text FROM ({_S8}) GROUP BY company",
+    ("downloaded_files", "reports", "companies"),
+)
 def q_collective_report_sink(spark, sf):
-    return _report_parts(spark, sf)
+    """Writes one Markdown file for each company while it is built and reads the files back."""
+    return _report_files(spark, sf).select("company", F.decode("content", "UTF-8").alias("text"))
 
 
 @register(
@@ -133,13 +138,15 @@ FROM job_execution_log l JOIN scheduled_jobs j ON j.job_name = l.job_name WHERE
     ("job_execution_log", "scheduled_jobs"),
 )
 def q_run_result_sink(spark, sf):
+    """Writes one text file for each run while it is built and reads the files back."""
     log = T.job_execution_log(spark, sf).where(F.col("status") == "success")
     jobs = T.scheduled_jobs(spark, sf).select("job_name", "company", "model")
     j = log.join(jobs, "job_name")
     n = F.col("documents_processed")
     day = F.when(F.col("id") % 4 != 0, F.to_date("started_at"))  # three runs of four ask for a day
     txt = P.run_result_text(F.col("company"), AS_OF, day, F.col("model"), P.scrape_status_text(n), n)
-    return P.write_artifacts(j.select("id", txt.alias("text")), scratch_dir(spark, "run-results"), ["id"])
+    files = P.write_run_results(j.select("id", "job_name", txt.alias("text")), scratch_dir(spark, "run-results"))
+    return files.select("id", F.decode("content", "UTF-8").alias("text"))
 
 
 @register(
@@ -159,8 +166,8 @@ SELECT (SELECT max(id) FROM summary_reports) + row_number() OVER (ORDER BY compa
     ("downloaded_files", "reports", "companies", "summary_reports"),
 )
 def q_append_summary_report(spark, sf):
-    parts = _report_parts(spark, sf)
-    size = parts.groupBy("company").agg(F.sum(F.octet_length("text")).cast("bigint").alias("file_size"))
+    files = _report_files(spark, sf)
+    size = files.groupBy("company").agg(F.sum("file_size").cast("bigint").alias("file_size"))
     files = _files(spark, sf).withColumn("company", F.lower("company"))
     nf = files.groupBy("company").agg(F.count(F.lit(1)).alias("document_count"))
     ov = P.collective_overview(files)

@@ -1,65 +1,126 @@
 """S1 listing_page_scan, S2 attachment_scan and Job N (normalise_listing).
 
-Landed HTML is parsed with regular expressions over the fixed listing markup: one
-``regexp_extract_all`` per page gives the item array, ``posexplode`` keeps each item's ordinal,
-and one ``regexp_extract`` per field pulls the parts. Everything is a native expression, so a
-page never leaves the JVM.
+A landed page goes once through the HTML tokenizer (``functions.html``) in an Arrow pass that returns the fields of its
+items; everything after that is native. Tags inside attributes, comments and raw text are never taken for items.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from html import unescape
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
+from filingflow.functions.html import attributes, scan_pages, tokens
 from filingflow.functions.text import _at
 from filingflow.sources.tables import ATTACHMENT_BASE, LISTING_BASE
 
-
-_LI = r"(?s)<li(?:\s[^>]*)?>(.*?)</li>"
-_TR_DANE = r'(?s)<tr class="dane"[^>]*>(.*?)</tr>'
-
-
-def html_text(c: Column) -> Column:
-    """Visible text of an HTML fragment: tags dropped, character references decoded."""
-    return X.decode_references(F.regexp_replace(c, r"<[^>]*>", ""))
-
-
-def _field(li: Column, pattern: str) -> Column:
-    return F.regexp_extract(li, pattern, 1)
-
-
-def page_items(pages: DataFrame, key_cols=("company_id", "page_no")) -> DataFrame:
-    """One row per ``<li>`` of a landed page with its ordinal, not parsed yet."""
-    return pages.select(*key_cols, F.posexplode(F.regexp_extract_all("html", F.lit(_LI), 1)).alias("pos", "li"))
-
-
-def header_text(li: Column) -> Column:
-    return html_text(_field(li, r'(?s)<span class="date">(.*?)</span>'))
-
-
-def parse_items(items: DataFrame) -> DataFrame:
-    """The raw field texts of each item; other columns stay."""
-    li = F.col("li")
-    return items.select(
-        *[c for c in items.columns if c != "li"],
-        _field(li, r'<a href="([^"]*)"').alias("href"),
-        header_text(li).alias("header_text"),
-        html_text(_field(li, r"(?s)<p>(.*?)</p>")).alias("title_text"),
-        X.change_class_of(li).alias("change_class"),
-        html_text(_field(li, r'(?s)<span class="(?:profit|loss) margin-left-30 pull-right">(.*?)</span>')).alias("change_text"),
-        html_text(_field(li, r'(?s)<span class="summary margin-left-30 pull-right">(.*?)</span>')).alias("price_text"),
-    )
+# The classes of an item's spans.
+PROFIT, LOSS, PRICE = (f"{kind} margin-left-30 pull-right" for kind in ("profit", "loss", "summary"))
+ITEM_FIELDS = ("href", "header_text", "title_text", "change_class", "change_text", "price_text")
+
+
+def shown(text: str) -> str:
+    """References decoded; a no-break space is a plain one."""
+    return unescape(text).replace("\xa0", " ")
+
+
+class _Element:
+    """An open element whose parts are looked for: the first of each kind counts."""
+
+    def __init__(self):
+        self.found: dict[str, str] = {}
+        self.taking: dict[str, list] = {}  # kind -> [element, depth, parts]
+        self.lists = 0  # lists open inside it
+
+    def start(self, kind: str, name: str) -> None:
+        if kind not in self.found and kind not in self.taking:
+            self.taking[kind] = [name, 0, []]
+
+    def opened(self, name: str) -> None:
+        for t in self.taking.values():
+            t[1] += t[0] == name
+
+    def closed(self, name: str) -> None:
+        for kind, t in list(self.taking.items()):
+            if t[0] == name:
+                t[1] -= 1
+                if t[1] <= 0:
+                    self.end(kind)
+
+    def end(self, kind: str) -> None:
+        if kind in self.taking:
+            self.found[kind] = "".join(self.taking.pop(kind)[2])
+
+    def text(self, data: str) -> None:
+        for t in self.taking.values():
+            t[2].append(data)
+
+    def done(self) -> dict[str, str]:
+        for kind in list(self.taking):
+            self.end(kind)
+        return self.found
+
+
+def listing_rows(html: str) -> list[tuple]:
+    """(pos, *ITEM_FIELDS) of every ``<li>`` of a listing page; a part that is missing is empty. The next item and the end
+    of its list end an item, an item of a list inside an item is one of its own."""
+    items: list[_Element] = []
+    inside: list[_Element] = []  # items that are open
+    for kind, name, data in tokens(html):
+        if kind == "text":
+            for item in inside:
+                item.text(shown(data))
+        elif kind == "open":
+            if name == "li":
+                if inside and not inside[-1].lists:
+                    inside.pop().done()
+                items.append(_Element())
+                inside.append(items[-1])
+            elif name in ("ul", "ol") and inside:
+                inside[-1].lists += 1
+            a = attributes(data) if name in ("a", "span") and inside else {}
+            for item in inside:
+                if name == "p":
+                    item.end("title_text")  # a paragraph ends the one before
+                    item.start("title_text", "p")
+                elif name == "a" and "href" in a:
+                    item.found.setdefault("href", a["href"])
+                elif name == "span":
+                    css = a.get("class", "")
+                    if "date" in css.split():
+                        item.start("header_text", "span")
+                    for part, of in (("profit", PROFIT), ("loss", LOSS), ("price_text", PRICE)):
+                        if css == of:
+                            item.start(part, "span")
+                item.opened(name)
+        elif kind == "close":
+            for item in inside:
+                item.closed(name)
+            if name == "li" and inside:
+                inside.pop().done()
+            elif name in ("ul", "ol") and inside:
+                if inside[-1].lists:
+                    inside[-1].lists -= 1
+                else:
+                    inside.pop().done()
+    out = []
+    for pos, item in enumerate(items):
+        f = item.done()
+        change = "profit" if "profit" in f else "loss" if "loss" in f else ""
+        out.append((pos, f.get("href", ""), f.get("header_text", ""), f.get("title_text", ""), change, f.get(change, ""), f.get("price_text", "")))
+    return out
 
 
 def listing_page_scan(pages: DataFrame, key_cols=("company_id", "page_no")) -> DataFrame:
     """One row per ``<li>`` with its ordinal and raw field texts."""
-    return parse_items(page_items(pages, key_cols))
+    return scan_pages(pages, list(key_cols), listing_rows, {"pos": "int", **dict.fromkeys(ITEM_FIELDS, "string")})
 
 
 def newest_items(items: DataFrame, key: str, limit: int) -> DataFrame:
-    """The newest ``limit`` unparsed items of each key, with their order ``ord``: only the header's date is read before the cut."""
-    date = F.try_to_date(_at(X.split_header(header_text(F.col("li"))), 1), "dd-MM-yyyy")
+    """The newest ``limit`` items of each key, with their order ``ord``: only the header's date is read before the cut."""
+    date = F.try_to_date(_at(X.split_header(F.col("header_text")), 1), "dd-MM-yyyy")
     dated = items.withColumn("ord", F.struct(date.alias("d"), "page_no", "pos"))
     w = Window.partitionBy(key).orderBy(F.desc("ord"))
     return dated.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
@@ -111,22 +172,43 @@ def listing_frame(items: DataFrame) -> DataFrame:
     )
 
 
+def attachment_rows(html: str) -> list[tuple]:
+    """One row with two lists: target and text of the first link of each ``<tr class="dane">``."""
+    rows: list[_Element] = []
+    row: _Element | None = None
+    for kind, name, data in tokens(html):
+        if kind == "text" and row:
+            row.text(shown(data))
+        elif kind == "open":
+            if name == "tr":
+                row = _Element() if "dane" in attributes(data).get("class", "").split() else None
+                rows += [row] if row else []
+            elif row:
+                if name == "a":
+                    row.found.setdefault("href", attributes(data).get("href", ""))
+                    row.start("name", "a")
+                row.opened(name)
+        elif kind == "close" and row:
+            row.closed(name)
+            if name in ("tr", "table"):
+                row = None
+    found = [r.done() for r in rows]
+    return [([f.get("href", "") for f in found], [f.get("name", "") for f in found])]
+
+
 def attachment_scan(report_pages: DataFrame, wanted: list[str], key_col="link") -> DataFrame:
     """A report page -> two parallel lists (urls, names) of the wanted attachments, like the
     reference's ``get_attachments``; J9 zips them back into rows."""
-    rows = F.regexp_extract_all("html", F.lit(_TR_DANE), 1)
+    read = scan_pages(report_pages, [key_col], attachment_rows, {"hrefs": "array<string>", "names": "array<string>"})
     parsed = F.transform(
-        rows,
-        lambda r: F.struct(
-            X.absolute_link(ATTACHMENT_BASE, F.regexp_extract(r, r'<a href="([^"]*)"', 1)).alias("url"),
-            X.ustrip(html_text(F.regexp_extract(r, r"(?s)<a [^>]*>(.*?)</a>", 1))).alias("name"),
-        ),
+        F.arrays_zip("hrefs", "names"),
+        lambda r: F.struct(X.absolute_link(ATTACHMENT_BASE, r["hrefs"]).alias("url"), X.ustrip(r["names"]).alias("name")),
     )
     if not wanted:
         kept = F.array().cast("array<struct<url:string,name:string>>")
     else:
         kept = F.filter(parsed, lambda a: X.wanted_attachment(a["name"], wanted))
-    return report_pages.select(
+    return read.select(
         key_col,
         F.transform(kept, lambda a: a["url"]).alias("urls"),
         F.transform(kept, lambda a: a["name"]).alias("names"),

@@ -1,6 +1,6 @@
-"""Sinks: S7 listing CSV export, S8 collective report documents, S9 run-result artifacts.
+"""S7 listing CSV export (S8 and S9 write plain files, see ``sources.files`` and ``operators.report``).
 
-Writers partition by company / job so each output file is produced by the tasks that own that
+The writer partitions by company, so each output file is produced by the tasks that own that
 key's rows; no artifact is assembled on the driver.
 """
 

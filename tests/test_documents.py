@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
+from filingflow.functions.html import page_text
 from filingflow.operators import documents as D
 from tests.conftest import SF_SMALL, rows
 
@@ -124,17 +125,16 @@ def test_extractive_summary_reads_the_whole_text(spark):
     assert got == {i: want for i, (_, _, want) in enumerate(cases)}
 
 
-def test_character_references(spark):
+def test_character_references():
     cases = {
         "Sp&oacute;&#322;ka &ndash; A&amp;B": "Spółka – A&B",
         "&#x142;&#X0142; &amp;lt; &lt;b&gt;": "łł &lt; <b>",
         "a&nbsp;b&#160;c": "a b c",
-        "&nope; & &; &#; &#xZZ; &#0; &#55296; &#9999999; AT&T": "&nope; & &; &#; &#xZZ; &#0; &#55296; &#9999999; AT&T",
-        "&apos;&quot;&eacute": "'\"&eacute",
-        "&#128512;": "😀",
+        "&nope; & &; &#; &#xZZ; AT&T": "&nope; & &; &#; &#xZZ; AT&T",
+        "&apos;&quot;&eacute": "'\"é",
+        "&#128512;&hellip;&check;": "😀…✓",
     }
-    df = spark.createDataFrame([(k,) for k in cases], "t string")
-    assert dict(rows(df.select("t", X.decode_references(F.col("t"))))) == cases
+    assert {k: page_text(k) for k in cases} == cases
 
 
 def test_chunks_stay_inside_pages(spark):
@@ -142,10 +142,10 @@ def test_chunks_stay_inside_pages(spark):
     assert sorted(rows(D.chunk_documents(df, 2000), "doc_id", "chunk_no", "chunk")) == [(1, 0, "aaa bbb"), (1, 1, "ccc")]
 
 
-def test_html_to_text_drops_script_strings(spark):
-    html = '<html><script>var t="</p>";</script><style>p{}</style><!-- c --><p>A &amp; B</p><p>C</p></html>'
-    df = spark.createDataFrame([(html,)], "h string")
-    assert rows(df.select(D.html_to_text(F.col("h")))) == [("A & B C",)]
+def test_document_scan_reads_pages_by_their_tokens(spark):
+    html = '<html><script>var t="</p>";</script><style>p{}</style><!-- c > d --><p title="a > b">A &amp; B</p><p>C</p><!-- open <p>lost'
+    df = spark.createDataFrame([(1, "u", html), (2, None, None), (3, "", "")], "page_id long, url string, html string")
+    assert sorted(rows(D.document_scan(df))) == [(1, "u", "A & B C", 1), (2, None, None, 1), (3, "", "", 1)]
 
 
 def test_kmeans_groups_cut_by_arrow_batches(spark):
