@@ -3,7 +3,7 @@ representative chunks -> prompt -> summary, over whole tables of documents.
 
 * Chunking (D1) is a per-row Python helper (an Arrow-batched pandas UDF): the recursive
   separator splitter has no compact native form. Pages are split one by one.
-* Embedding (D5) is HashingTF + IDF + L2 Normalizer from Spark ML (JVM side).
+* Embedding (D5) is a distributed randomised SVD of TF-IDF (``operators.embedding``).
 * K-means per document (D6) is one Arrow pass over points dealt by document; centres, assignments
   and the distances that pick representatives all come from it. The chunks of one document meet in
   one task, as its text did before.
@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -26,6 +25,7 @@ from filingflow.functions import text as X
 from filingflow.functions.html import page_text, scan_pages
 from filingflow.functions.text import _at
 from filingflow.operators.common import ordinal, top_k
+from filingflow.operators.embedding import Svd, embed_texts
 
 
 # ----------------------------------------------------------------------------- S3 HTML -> text
@@ -158,21 +158,12 @@ def too_few_chunks_message(n_chunks: Column, k: Column) -> Column:
 
 # ----------------------------------------------------------------------------- D5 embeddings
 
-EMBED_DIM = 256
+def embed_chunks(chunks: DataFrame, text_col: str = "chunk", how: Svd = Svd()) -> DataFrame:
+    """Dense vectors of length one from a randomised SVD of the chunk table's TF-IDF matrix; adds ``vec`` ARRAY<DOUBLE>.
 
-
-def embed_chunks(chunks: DataFrame, text_col: str = "chunk", dim: int = EMBED_DIM) -> DataFrame:
-    """Hashed term frequencies, IDF-weighted, L2-normalised; adds ``vec`` ARRAY<DOUBLE>.
-
-    IDF is fitted over the whole chunk table (a distributed aggregate of document frequencies).
+    Fitted over the whole chunk table, see ``operators.embedding``; jobs run while the frame is built.
     """
-    tok = chunks.withColumn(
-        "__tok", F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
-    )
-    tf = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=dim).transform(tok)
-    idf = IDF(inputCol="__tf", outputCol="__tfidf").fit(tf).transform(tf)
-    norm = Normalizer(inputCol="__tfidf", outputCol="__v", p=2.0).transform(idf)
-    return norm.withColumn("vec", vector_to_array("__v")).drop("__tok", "__tf", "__tfidf", "__v")
+    return embed_texts(chunks, text_col, how)
 
 
 def l2_norm(vec: Column) -> Column:
@@ -196,13 +187,36 @@ def _means(assigned: DataFrame) -> DataFrame:
     return m.select("grp", "cluster", vector_to_array("__m").alias("center"))
 
 
-def _lloyd(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lloyd's k-means until no label changes: (centres, squared distances of every point to every centre).
+KMEANS_STARTS = 3  # seedings of a group, the one that ends with the least inertia stays
+KMEANS_SEED = 42
+
+
+def _spread_start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ seeding: the first centre at random, each next one drawn in proportion to the squared distance from the
+    nearest so far; of a few such draws the one that leaves the least total distance."""
+    picks = [int(rng.integers(len(x)))]
+    d = ((x - x[picks[0]]) ** 2).sum(axis=1)
+    tries = 2 + int(np.log(max(k, 1)))
+    while len(picks) < k:
+        total = d.sum()
+        if total <= 0:  # fewer different points than centres
+            picks.append(len(picks) % len(x))
+            continue
+        drawn = np.minimum(np.searchsorted(np.cumsum(d), rng.random(tries) * total, "right"), len(x) - 1)
+        left = np.minimum(d[:, None], ((x[:, None, :] - x[drawn][None]) ** 2).sum(axis=2))
+        best = int(left.sum(axis=0).argmin())
+        picks.append(int(drawn[best]))
+        d = left[:, best]
+    return x[picks].copy()
+
+
+def _lloyd(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lloyd's k-means from the centres ``c`` until no label changes: (centres, squared distances of every point to every centre).
 
-    Evenly spaced initial points by pid, ties to the smaller cluster; an empty cluster keeps its centre.
+    Ties to the smaller cluster; an empty cluster keeps its centre.
     Labels that repeat an earlier sum of distances end the loop, so it always ends.
     """
-    c, lab, best = x[[(i * len(x)) // k for i in range(k)]].copy(), None, np.inf
+    k, lab, best = len(c), None, np.inf
     while True:
         d = np.stack([((x - c[j]) ** 2).sum(axis=1) for j in range(k)], axis=1)
         new, total = d.argmin(axis=1), d.min(axis=1).sum()
@@ -214,6 +228,12 @@ def _lloyd(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
                 c[j] = x[lab == j].mean(axis=0)
 
 
+def kmeans(x: np.ndarray, k: int, group: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best of ``KMEANS_STARTS`` seeded runs; draws depend on the group's number alone, so reruns agree."""
+    runs = [_lloyd(x, _spread_start(x, k, np.random.default_rng([KMEANS_SEED, group % (1 << 64), i]))) for i in range(KMEANS_STARTS if k > 1 else 1)]
+    return min(runs, key=lambda r: r[1].min(axis=1).sum())
+
+
 _KMEANS = "grp long, pid long, cluster int, dist double, dists array<double>, center array<double>"
 
 
@@ -235,7 +255,7 @@ def _cluster_frame(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for g, part in pdf.groupby("grp", sort=False):
         k = int(part["k"].iloc[0])
-        c, d = _lloyd(np.stack(part["vec"].to_numpy()).astype(np.float64), k)
+        c, d = kmeans(np.stack(part["vec"].to_numpy()).astype(np.float64), k, int(g))
         near = d.argmin(axis=1)
         out += [(g, p, j, row[j], row, None) for p, j, row in zip(part["pid"], near, d)]
         out += [(g, None, j, None, None, c[j]) for j in range(k)]
@@ -244,7 +264,7 @@ def _cluster_frame(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def kmeans_per_group(points: DataFrame, k: DataFrame) -> DataFrame:
-    """Lloyd's k-means inside every group. ``points``: (grp, pid, vec); ``k``: (grp, k).
+    """Lloyd's k-means with k-means++ seeding inside every group. ``points``: (grp, pid, vec); ``k``: (grp, k).
 
     One Python node gives all a caller needs: a row per point (cluster, squared distance, distances to
     all centres) and a row per centre (``pid`` NULL, ``center``). Iterated until nothing changes, the same
@@ -350,31 +370,32 @@ def summarise(prompts: DataFrame, model: str, budget_col: str = "budget", pages_
     return prompts.withColumn("summary", F.concat(summary_header(F.lit(model), F.col(pages_col)), F.lit("\n"), s))
 
 
-# Fixed value: what stands for the summary when the model fails.
-MODEL_FAILED = "❌ Błąd podczas generowania podsumowania: "
+# Fixed value: what stands for header and summary when the model fails, before the reason.
+def model_failed(n_pages: Column) -> Column:
+    return F.concat(F.lit("#### zbyt mały dokument, "), n_pages.cast("string"), F.lit(" stron w raporcie #### "))
 
 
 def summarise_with_model(prompts: DataFrame, model_fn, model: str, budget_col: str = "budget", pages_col: str = "n_pages") -> DataFrame:
     """D9 hook: a caller's model applied per Arrow batch (built once per partition): (grp, summary).
 
     The model gets the prompt and the token budget; its answer follows the header line. A prompt on which
-    the model raises gets the failure text with the reason instead; other rows go on.
+    the model raises gets the failure text with the reason instead of both; other rows go on.
     """
 
     def run(batches):
         fn = model_fn()
         for pdf in batches:
             out = []
-            for prompt, budget in zip(pdf["prompt"], pdf["budget"]):
+            for prompt, budget, header, failed in zip(pdf["prompt"], pdf["budget"], pdf["header"], pdf["failed"]):
                 try:
-                    out.append(fn(prompt, int(budget)))
+                    out.append(f"{header}\n{fn(prompt, int(budget))}")
                 except Exception as e:  # noqa: BLE001 - whatever the caller's model raises
-                    out.append(f"{MODEL_FAILED}{e}")
-            yield pd.DataFrame({"grp": pdf["grp"], "header": pdf["header"], "answer": out})
+                    out.append(f"{failed}{e}")
+            yield pd.DataFrame({"grp": pdf["grp"], "summary": out})
 
-    fed = prompts.select("grp", "prompt", F.col(budget_col).alias("budget"), summary_header(F.lit(model), F.col(pages_col)).alias("header"))
-    got = fed.mapInPandas(run, "grp long, header string, answer string")
-    return got.select("grp", F.concat("header", F.lit("\n"), "answer").alias("summary"))
+    n = F.col(pages_col)
+    fed = prompts.select("grp", "prompt", F.col(budget_col).alias("budget"), summary_header(F.lit(model), n).alias("header"), model_failed(n).alias("failed"))
+    return fed.mapInPandas(run, "grp long, summary string")
 
 
 # ----------------------------------------------------------------------------- W4

@@ -92,31 +92,33 @@ COLLECTIVE_PROMPT = (
 )
 
 
-COLLECTIVE_FAILED = "Błąd podczas generowania zbiorczego podsumowania: "
+# What comes before the reason and the summaries when the model fails, and the tokens it may answer with.
+COLLECTIVE_FAILED = "❌ Nie udało się wygenerować zbiorczego raportu: "
+COLLECTIVE_BUDGET = 1500
 
 
 def collective_prompts(files: DataFrame) -> DataFrame:
-    """(company, part, prompt): the collective prompt over the concatenated summaries, one prompt for each part of at most
-    ``BLOCKS_PER_PART`` files, so that a prompt is bounded."""
+    """(company, part, summaries, prompt): the collective prompt over the concatenated summaries, one prompt for each part of at
+    most ``BLOCKS_PER_PART`` files, so that a prompt is bounded."""
     head, rest = COLLECTIVE_PROMPT.split("{company}")
     middle, tail = rest.split("{individual_summaries}")
     text = F.concat(F.lit(head), F.col("company"), F.lit(middle), F.col("text"), F.lit(tail))
-    return concat_summaries(files).where(F.col("text") != NO_DOCUMENTS).select("company", "part", text.alias("prompt"))
+    return concat_summaries(files).where(F.col("text") != NO_DOCUMENTS).select("company", "part", F.col("text").alias("summaries"), text.alias("prompt"))
 
 
-def overview_with_model(files: DataFrame, model_fn) -> DataFrame:
-    """D10 hook: (company, part, overview) from a caller's model, built once per partition; where it raises, the failure
-    text with the reason, other rows go on."""
+def overview_with_model(files: DataFrame, model_fn, budget: int = COLLECTIVE_BUDGET) -> DataFrame:
+    """D10 hook: (company, part, overview) from a caller's model (prompt, token budget), built once per partition; where it raises,
+    the failure text with the reason, a blank line and the summaries themselves; other rows go on."""
 
     def run(batches):
         fn = model_fn()
         for pdf in batches:
             out = []
-            for prompt in pdf["prompt"]:
+            for prompt, summaries in zip(pdf["prompt"], pdf["summaries"]):
                 try:
-                    out.append(fn(prompt))
+                    out.append(fn(prompt, budget))
                 except Exception as e:  # noqa: BLE001 - whatever the caller's model raises
-                    out.append(f"{COLLECTIVE_FAILED}{e}")
+                    out.append(f"{COLLECTIVE_FAILED}{e}\n\n{summaries}")
             yield pdf[["company", "part"]].assign(overview=out)
 
     return collective_prompts(files).mapInPandas(run, "company string, part int, overview string")

@@ -174,7 +174,7 @@ def test_summarise_with_model_hook(spark):
     got = dict(rows(D.summarise_with_model(prompts, _model, "m")))
     assert got == {
         1: "#### Model: m | Liczba stron: 1 ####\nalpha beta gamma",
-        2: "#### Model: m | Liczba stron: 4 ####\n" + D.MODEL_FAILED + "no answer",
+        2: "#### zbyt mały dokument, 4 stron w raporcie #### no answer",
     }
 
 
@@ -187,7 +187,8 @@ def test_overview_reads_all_files_and_model_failures_stay_local(spark):
     assert got == {"c": "a a a. many different words in here.", "d": "bad"}
 
     def _model():
-        def answer(prompt):
+        def answer(prompt, budget):
+            assert budget == 1500
             if "x.pdf" in prompt:
                 raise ValueError("no")
             return "fine"
@@ -196,7 +197,7 @@ def test_overview_reads_all_files_and_model_failures_stay_local(spark):
 
     out = rows(P.overview_with_model(df, _model), "company", "part", "overview")
     assert {o for c, _, o in out if c == "c"} == {"fine"} and len([1 for c, *_ in out if c == "c"]) == 15
-    assert [o for c, _, o in out if c == "d"] == [P.COLLECTIVE_FAILED + "no"]
+    assert [o for c, _, o in out if c == "d"] == ["❌ Nie udało się wygenerować zbiorczego raportu: no\n\n\n## File 1/1: x.pdf ##\nbad\n"]
 
 
 def test_g_format_matches_python(spark):
