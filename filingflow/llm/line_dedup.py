@@ -38,7 +38,7 @@ def dedup_lines(
     # __rd is the id; (key, id) pairs are told apart first, so that a hot line's documents stay spread
     shared = (
         narrow.where(F.col("__known"))
-        .select("__rd", F.explode(F.array_distinct(F.array_compact("__keys"))).alias("__key"))
+        .select("__rd", F.explode(F.array_compact("__keys")).alias("__key"))  # array_distinct of binaries would be quadratic
         .distinct()
         .groupBy("__key")
         .agg(F.count(F.lit(1)).alias("__n"))
@@ -56,23 +56,13 @@ def dedup_lines(
     )
     new = ["n_lines", "n_dropped", "kept_text"]
     n = F.size("__lines")
-    # The kept lines are the slices between neighbouring lost positions: linear in the lines.
-    cuts = F.concat(F.array(F.lit(-1)), F.col("__lost"), F.array(n))
-    kept = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size(cuts) - 1),
-            lambda i: F.slice("__lines", F.get(cuts, i - 1) + 2, F.get(cuts, i) - F.get(cuts, i - 1) - 1),
-        )
-    )
-    return (
-        base.join(lost, ["__rk", "__rd"], "left")
-        .withColumn("__lines", lines)
-        .select(
-            *others(docs, new),
-            n.cast("long").alias("n_lines"),
-            F.coalesce(F.size("__lost"), F.lit(0)).cast("long").alias("n_dropped"),
-            F.when(F.col("__lost").isNull(), F.coalesce(F.col(text_col), F.lit("")))
-            .otherwise(F.array_join(kept, "\n"))
-            .alias("kept_text"),
-        )
+    # Kept positions are a set difference, and lines are looked up by position: linear in the lines. (A slice inside the
+    # lambda would copy all lines for every piece.)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("__lost")), lambda i: F.get("__lines", i))
+    met = base.join(lost, ["__rk", "__rd"], "left").withColumn("__lines", lines)
+    return met.select(
+        *others(docs, new),
+        n.cast("long").alias("n_lines"),
+        F.coalesce(F.size("__lost"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("__lost").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )

@@ -132,3 +132,15 @@ def test_one_key_with_most_rows(make_docs):
     assert len(set(hot)) == 2000
     # ids, not contents, decide
     assert sharding.shard_documents(make_docs([(1, "other")]), 8).first()["shard"] == next(r["shard"] for r in got if r["doc_id"] == 1)
+
+
+def test_lines_many_lost_in_one_text(make_docs):
+    """200,000 lines, half of them lost: reassembly is linear in the lines."""
+    import time
+
+    shared = [f"shared {i}" for i in range(100_000)]
+    text = "\n".join(x for i, s in enumerate(shared) for x in (s, f"own {i}"))
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(make_docs([(1, text), (2, "\n".join(shared))]), min_docs=2).collect()}
+    assert got[1]["kept_text"] == "\n".join(f"own {i}" for i in range(100_000)) and got[1]["n_dropped"] == 100_000
+    assert got[2]["kept_text"] == "" and got[2]["n_dropped"] == 100_000 and time.time() - began < 60
