@@ -248,23 +248,25 @@ def label_languages(docs: DataFrame, net: Network | None, text_col: str = "text"
     """
     new = ["lang_pred", "score", "label_share"]
     rest = others(docs, new)
-    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     if net is None:
         return docs.select(*rest, F.lit(UNKNOWN).alias(new[0]), F.lit(0.0).alias(new[1]), F.lit(0.0).alias(new[2]))
-    fed = docs.select(*rest, F.coalesce(F.when(has_letter, F.col(text_col)), F.lit("")).alias("__text"))
-    schema = docs.select(*rest, F.lit("").alias(new[0]), F.lit(0.0).alias(new[1]), F.lit(0.0).alias(new[2])).schema
     reader = Reader(net)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double, label_share double")
+    def label(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         names = np.array([*reader.langs, UNKNOWN], dtype=object)
-        for b in batches:
-            data, off = text_buffers(b.column(b.num_columns - 1))
+        for text, lettered in batches:
+            data, off = text_buffers(text)
+            read = np.asarray(lettered.to_numpy(zero_copy_only=False), bool)
             best, score, share = reader.documents(data, off)
-            best = np.where(np.diff(off) > 0, best, len(reader.langs))
-            cols = [*b.columns[:-1], pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.clip(share, 0, 1))]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            best = np.where(read, best, len(reader.langs))
+            cols = [pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1) * read), pa.array(np.clip(share, 0, 1) * read)]
+            yield pa.StructArray.from_arrays(cols, names=new)
 
-    return fed.mapInArrow(run, schema)
+    # Only the text goes to Python, once, and three small columns come back.
+    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    found = docs.select(*rest, label.asNondeterministic()(F.col(text_col), has_letter).alias("__label"))
+    return found.select(*rest, *[F.col(f"__label.{c}").alias(c) for c in new])
 
 
 def identify(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import crc_bucket, others, own_names, text_buffers
+from filingflow.llm.common import crc_bucket, least_draws, others, own_names, row_draw, text_buffers
 from filingflow.llm.fingerprints import CHUNK, word_hashes
 
 WORD_SLOTS = 256
@@ -111,6 +111,23 @@ def _falling(z: np.ndarray) -> np.ndarray:
     return -0.5 * (1 - np.tanh(0.5 * z))
 
 
+def negative_risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float) -> float:
+    """Unbiased estimate of the negatives' risk: unlabelled rows less the positives among them."""
+    return float(np.logaddexp(0, u @ w[:-1] + w[-1]).mean() - prior * np.logaddexp(0, p @ w[:-1] + w[-1]).mean())
+
+
+def risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of the weights ``w`` (the last is the offset) and the direction to go down from: its gradient, or,
+    where the negatives' part was below 0 and is taken for 0, the gradient that leads that part back up."""
+    zp, zu, negative = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1], negative_risk(p, u, w, prior)
+    if negative >= 0:
+        at_p, at_u = prior * (_falling(zp) + _falling(-zp)) / len(p), -_falling(-zu) / len(u)
+    else:
+        at_p, at_u = -prior * _falling(-zp) / len(p), _falling(-zu) / len(u)
+    value = prior * float(np.logaddexp(0, -zp).mean()) + max(0.0, negative)
+    return value, np.r_[p.T @ at_p + u.T @ at_u, at_p.sum() + at_u.sum()]
+
+
 def fit(pos: np.ndarray, unl: np.ndarray, prior: float, how: Training) -> Model:
     """The linear score of least non-negative risk (Adam over random batches of both samples)."""
     everything = np.concatenate([pos, unl])
@@ -121,14 +138,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, how: Training) -> Model:
     w, m, s = np.zeros(SIZE + 1), np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     for i in range(1, how.steps + 1):
         p, u = pos[rng.integers(0, len(pos), how.batch)], unl[rng.integers(0, len(unl), how.batch)]
-        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        at_p, at_u = prior * _falling(zp) / len(p), np.zeros(len(u))
-        if negative >= 0:
-            at_p, at_u = at_p + prior * _falling(-zp) / len(p), -_falling(-zu) / len(u)
-        else:  # the estimate of a risk cannot be below 0: step back up
-            at_p, at_u = -prior * _falling(-zp) / len(p), _falling(-zu) / len(u)
-        g = np.r_[p.T @ at_p + u.T @ at_u, at_p.sum() + at_u.sum()]
+        _, g = risk(p, u, w, prior)
         g[:-1] += how.decay * w[:-1]
         m += 0.1 * (g - m)
         s += 0.01 * (g * g - s)
@@ -146,32 +156,47 @@ def _collect(docs: DataFrame, text_col: str) -> np.ndarray:
     return np.frombuffer(b"".join(got), np.float32).reshape(-1, SIZE)
 
 
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, how: Training) -> float:
+    """Share of positives among unlabelled rows, from the scores of held-back positives.
+
+    A score is fitted on one half of both samples. In the other half, the share of unlabelled rows above a threshold is at
+    least the prior times that of positives; over the thresholds that most positives pass, the least quotient of the
+    two is the estimate, kept in 0.02 to 0.98.
+    """
+    rng = np.random.default_rng(how.seed + 2)
+    pos, unl = pos[rng.permutation(len(pos))], unl[rng.permutation(len(unl))]
+    half_p, half_u = -(-len(pos) // 2), -(-len(unl) // 2)
+    model = fit(pos[:half_p], unl[:half_u], 0.5, how)
+    back, among = np.sort(model.score(pos[half_p:])), np.sort(model.score(unl[half_u:]))
+    if not len(back) or not len(among):
+        return 0.5
+    at = np.quantile(back, np.linspace(0.05, 0.5, 10))
+    passed = 1 - np.searchsorted(back, at, "left") / len(back)
+    share = 1 - np.searchsorted(among, at, "left") / len(among)
+    return float(np.clip((share / passed).min(), 0.02, 0.98))
+
+
 def learn(docs: DataFrame, labels: DataFrame, how: Training, folds: int, held: int, id_col: str, text_col: str, label_col: str) -> Model | None:
     """The model, from rows that are not held out; None without a trusted positive.
 
-    Positives are drawn by the hash of their id among labels of 1, unlabelled rows likewise among all
-    documents; at most about ``how.positives`` + ``how.unlabelled`` feature rows reach the driver. The
-    prior is the share of 1 among the labels (which are a sample of the documents), kept in
-    0.02 to 0.98; labels of 0 serve for nothing else.
+    Positives are the rows of at most ``how.positives`` ids with a label of 1, unlabelled rows come from all
+    documents; both are the least draws by id and text, at most ``how.positives`` and ``how.unlabelled`` different
+    rows, whatever an id's rows. The class prior is estimated from the two samples. Labels of 0 serve for nothing.
     """
-    spark = docs.sparkSession
+    known = labels.where(crc_bucket(F.col(id_col), folds) != held).where(F.col(label_col) == 1)
+    ids = known.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).distinct()
+    ids = ids.orderBy(F.xxhash64("__id", F.lit(how.seed))).limit(how.positives)
+    open_ = docs.where(crc_bucket(F.col(id_col), folds) != held)
 
-    def dice(seed: int):
-        return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    def sample(rows: DataFrame, seed: int, most: int) -> np.ndarray:
+        drawn = least_draws(rows, F.lit("row"), row_draw(F.col(id_col), F.col(text_col), seed), lambda n: most, F.col(text_col).alias("__text"))
+        return _collect(drawn, "__text")
 
-    known = labels.where(crc_bucket(F.col(id_col), folds) != held).where(F.col(label_col).isin(0, 1))
-    ones, all_ = known.agg(F.sum(F.col(label_col).cast("long")), F.count(F.lit(1))).first()
-    if not ones:
-        return None
-    prior = min(0.98, max(0.02, ones / all_))
-    trusted = known.where((F.col(label_col) == 1) & (dice(how.seed) < how.positives / ones)).select(id_col).distinct()
-    ids = spark.createDataFrame(trusted.collect(), trusted.schema)  # about how.positives rows
-    open_ = docs.where(crc_bucket(F.col(id_col), folds) != held)
-    pos = _collect(open_.join(F.broadcast(ids), id_col, "left_semi"), text_col)
-    unl = _collect(open_.where(dice(how.seed + 1) < how.unlabelled / max(1, open_.select(id_col).count())), text_col)
+    pos = sample(open_.join(F.broadcast(ids), F.col(id_col) == F.col("__id"), "left_semi"), how.seed, how.positives)
+    unl = sample(open_, how.seed + 1, how.unlabelled) if len(pos) else pos
     if not len(pos) or not len(unl):
         return None
-    return fit(pos, unl, prior, how)
+    return fit(pos, unl, estimate_prior(pos, unl, how), how)
 
 
 @own_names
@@ -181,15 +206,13 @@ def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text")
     rest = others(docs, ["score"])
     if model is None:
         return docs.select(*rest, F.lit(0.5).alias("score"))
-    fed = docs.select(*rest, F.col(text_col).alias("__text"))
-    schema = docs.select(*rest, F.lit(0.0).alias("score")).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = features(*text_buffers(b.column(b.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], names=schema.names)
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:  # only the text goes to Python, once
+            yield pa.array(model.score(features(*text_buffers(text))))
 
-    return fed.mapInArrow(run, schema)
+    return docs.select(*rest, score.asNondeterministic()(F.col(text_col)).alias("score"))
 
 
 def classify(

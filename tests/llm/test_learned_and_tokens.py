@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from filingflow.llm import language_id, quality, token_store
+from filingflow.llm.common import load
 from filingflow.llm.queries import QUERIES
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -123,6 +124,50 @@ def test_quality_held_out(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in held]) > 0.95
 
 
+def test_both_branches_of_the_risk_have_its_gradient():
+    """One step from zero weights moves along minus the gradient of the risk that the branch minimises."""
+    rng = np.random.default_rng(5)
+    pos, unl = rng.normal(0.4, 1, (40, quality.SIZE)), rng.normal(-0.2, 1, (60, quality.SIZE))
+    for prior in (0.2, 0.9):  # the second clips: the unlabelled risk is less than the positives' share of it
+        w0 = rng.normal(0, 0.01, quality.SIZE + 1) + (0 if prior < 0.5 else 0.3 * np.r_[pos.mean(axis=0) - unl.mean(axis=0), 0])
+        value, got = quality.risk(pos, unl, w0, prior)
+        clipped = quality.negative_risk(pos, unl, w0, prior) < 0
+        assert clipped == (prior > 0.5)
+        for k in (0, 7, quality.SIZE):
+            step = np.zeros(quality.SIZE + 1)
+            step[k] = 1e-5
+            f = (lambda w: -quality.negative_risk(pos, unl, w, prior)) if clipped else (lambda w: quality.risk(pos, unl, w, prior)[0])
+            assert abs((f(w0 + step) - f(w0 - step)) / 2e-5 - got[k]) < 1e-5
+
+
+def test_prior_is_estimated_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(6)
+    for share in (0.3, 0.6, 0.85):
+        pos = rng.normal(0.25, 1, (800, quality.SIZE)).astype(np.float32)
+        mixed = np.where(rng.random(1600)[:, None] < share, 0.25, -0.25) + rng.normal(0, 1, (1600, quality.SIZE))
+        assert abs(quality.estimate_prior(pos, mixed.astype(np.float32), quality.Training()) - share) < 0.1
+
+
+def test_prior_is_near_the_share_of_labels(spark):
+    docs, labels = load(spark, SF, "documents"), load(spark, SF, "labels").select("doc_id", "quality")
+    model = quality.learn(docs.select("doc_id", "text"), labels, quality.Training(), 3, 1, "doc_id", "text", "quality")
+    share = labels.agg(F.avg("quality")).first()[0]
+    assert abs(model.prior - share) < 0.12
+
+
+def test_quality_samples_are_bounded_with_hot_and_null_ids(make_docs, spark):
+    rows = [(7, f"hot words number {i}") for i in range(400)] + [(None, f"no id {i}") for i in range(400)] + [(i, f"plain {i}") for i in range(100, 200)]
+    labels = spark.createDataFrame([(7, 1), (None, 1), (101, 1)], "doc_id long, quality int")
+    sizes, real = [], quality._collect
+    try:
+        quality._collect = lambda d, c: sizes.append(d.count()) or real(d, c)
+        how = quality.Training(positives=50, unlabelled=60, steps=5)
+        assert quality.learn(make_docs(rows).select("doc_id", "text"), labels, how, 3, 5, "doc_id", "text", "quality")
+    finally:
+        quality._collect = real
+    assert sizes == [50, 60]
+
+
 def test_quality_odd_rows(odd_docs, no_docs, spark):
     labels = spark.createDataFrame([(4, 1), (8, 1), (6, 0), (5, None), (99, 1)], "doc_id long, quality int")
     got = quality.classify(own(odd_docs, "extra"), labels, quality.Training(steps=5)).collect()
