@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from filingflow.llm import decontamination, language_id, mixing, sharding, simhash
 from filingflow.llm.common import load, written
 
-LEAST_LANGUAGE_SCORE = 0.3  # mean probability of the best language over all bytes
+# A language fits if its mean probability over all bytes is this part of the way from chance (1 / languages) to certainty.
+LANGUAGE_MARGIN = 0.1
 SHARDS = 8
 
 #: Training of a network and float arithmetic; SQL has neither.
@@ -28,7 +29,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     net = language_id.learn(docs, language_id.Training(), F.lit(True), "doc_id", "text", "lang")
     own = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("lang_pred", "score", "label_share")}
     labelled = language_id.label_languages(docs.withColumnsRenamed(own), net, "text")
-    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    chance = 1 / len(net.langs) if net else 1.0
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= chance + LANGUAGE_MARGIN * (1 - chance) - 1e-3)
     kept = labelled.where(known if net else F.col("text").rlike(r"\p{L}")).drop("lang_pred", "score", "label_share")
     return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*[f"`{c}`" for c in docs.columns])
 
