@@ -55,12 +55,12 @@ def condense_files(files: DataFrame, model: str, chunk_size: int = 2000) -> Data
 class Pipeline:
     """D12 over a registry: each result is a frame of its own, and only what is asked for is planned and run."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, model: str = "llama3.2:latest", as_of: str = "2024-02-01 00:00:00"):
-        self.spark, self.sf_dir, self.model, self.as_of = spark, sf_dir, model, as_of
+    def __init__(self, spark: SparkSession, sf_dir: str, model: str = "llama3.2:latest", as_of: str = "2024-02-01 00:00:00", pages: DataFrame | None = None):
+        self.spark, self.sf_dir, self.model, self.as_of, self.pages = spark, sf_dir, model, as_of, pages
 
     @cached_property
     def items(self) -> DataFrame:
-        return L.listing_page_scan(T.listing_pages(self.spark, self.sf_dir))
+        return L.listing_page_scan(self.pages if self.pages is not None else T.listing_pages(self.spark, self.sf_dir))
 
     @cached_property
     def arrivals(self) -> DataFrame:
@@ -83,7 +83,7 @@ class Pipeline:
         """The registry's files after the run, summaries attached."""
         registry = R.register_files(T.downloaded_files(self.spark, self.sf_dir).limit(0), self.arrivals.drop("text", "n_pages", "pages"))
         stored = self.condensed.where(F.col("summary").isNotNull())
-        att = R.attach_summaries(registry, stored.select("company", "file_name", "summary"))
+        att = R.attach_summaries(registry, stored.select("id", "company", "file_name", "summary"))
         changes = att.where(F.col("new_summary").isNotNull()).select("id", F.col("new_summary").alias("summary_text"), F.col("id").alias("change_no"))
         return R.update_file_summary(registry, changes)
 

@@ -20,9 +20,11 @@ def _max_id(state: DataFrame, col: str = "id") -> DataFrame:
     return state.agg(F.coalesce(F.max(col), F.lit(0)).cast("bigint").alias("__max_id"))
 
 
-def append_with_ids(state: DataFrame, new_rows: DataFrame, order_cols: list[str], id_col: str = "id") -> DataFrame:
-    """New rows numbered after the current maximum id (a one-row scalar, broadcast)."""
+def append_with_ids(state: DataFrame, new_rows: DataFrame, order_cols: list[str], id_col: str = "id", last_id: int | None = None) -> DataFrame:
+    """New rows numbered after ``last_id``, or after the current maximum id (a one-row scalar, broadcast)."""
     numbered = dense_ids(new_rows, order_cols, out="__rank")
+    if last_id is not None:
+        return numbered.withColumn(id_col, (F.lit(last_id) + F.col("__rank")).cast("bigint")).drop("__rank")
     j = numbered.join(F.broadcast(_max_id(state, id_col)))
     return j.withColumn(id_col, (F.col("__max_id") + F.col("__rank")).cast("bigint")).drop("__max_id", "__rank")
 
@@ -105,13 +107,13 @@ JOB_CONFIG_COLS = [
 ]
 
 
-def upsert_jobs(jobs: DataFrame, batch: DataFrame, as_of: str) -> DataFrame:
+def upsert_jobs(jobs: DataFrame, batch: DataFrame, as_of: str, last_id: int | None = None) -> DataFrame:
     """U5 insert-or-update by job_name; the result has every column of ``jobs``, and ``updated_at``.
 
     Rows the batch does not name stay as they are, whatever columns they have. For the others the
     config columns and updated_at come from the batch (the last writer inside a batch wins, by
     ``change_no``; a config column the batch lacks is NULL) and the rest is kept. New jobs get new ids, no
-    runs, and ``created_at`` = now.
+    runs, and ``created_at`` = now; ``last_id`` is the highest id given so far where ``jobs`` is a part of the table.
     """
     now = F.lit(as_of).cast("timestamp_ntz")
     if "updated_at" not in jobs.columns:
@@ -126,7 +128,7 @@ def upsert_jobs(jobs: DataFrame, batch: DataFrame, as_of: str) -> DataFrame:
     value = {c: F.when(hit, F.col("__c")[c]).otherwise(F.col(c)) for c in cfg} | {"updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
     kept = kept.select(*[value.get(c, F.col(c)).alias(c) for c in jobs.columns])
     new = last.join(jobs.select("job_name"), "job_name", "left_anti").select("job_name", *[F.col("__c")[c].alias(c) for c in cfg])
-    new = append_with_ids(jobs, new, ["job_name"])
+    new = append_with_ids(jobs, new, ["job_name"], last_id=last_id)
     start = {"run_count": F.lit(0), "updated_at": now, "created_at": now}
     rest = [c for c in jobs.columns if c not in ("id", "job_name", *cfg)]
     new = new.withColumns({c: start.get(c, F.lit(None)).cast(types[c]) for c in rest})
@@ -312,8 +314,10 @@ def set_null_on_summary_delete(log: DataFrame, summaries: DataFrame) -> DataFram
 
 
 def attach_summaries(files: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Per-file summaries matched to registered files by (lower(company), file_name)."""
-    s = summaries.select(lower_key("company").alias("__c"), F.col("file_name").alias("__f"), F.col("summary").alias("new_summary"))
+    """Per-file summaries matched to registered files by (lower(company), file_name). Of several summaries of one file the
+    last counts: the largest ``id`` if there is one, then the greatest text; so files never multiply."""
+    last = F.struct(F.col("id") if "id" in summaries.columns else F.lit(0).alias("id"), F.col("summary").alias("summary"))
+    s = summaries.groupBy(lower_key("company").alias("__c"), F.col("file_name").alias("__f")).agg(F.max(last)["summary"].alias("new_summary"))
     cond = (lower_key(files["company"]) == s["__c"]) & (files["file_name"] == s["__f"])
     return files.join(s, cond, "left").drop("__c", "__f")
 

@@ -8,11 +8,11 @@ Point look-ups take a *table* of requests and join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
-from filingflow.operators.common import lower_key, top_k
+from filingflow.operators.common import cut_lineage, lower_key, top_k
 
 
 def search_reports(reports: DataFrame, company_id=None, date_from=None, date_to=None, report_type=None, limit=100):
@@ -163,8 +163,8 @@ def company_lookup(requests: DataFrame, companies: DataFrame, name_col="name") -
     * text and one ``%`` at its end: the smallest id per name prefix is aggregated first, so a prefix
       that all names share is one row;
     * wildcards only: the smallest id per name length decides;
-    * anything else: names are indexed by the n-grams (1 to 3 characters) they hold, the pattern
-      joins on the rarest n-gram of its literal runs, and LIKE is the residual filter.
+    * anything else: blocks of ids are read in ascending order, and a pattern visits those that hold all n-grams (of 1 to 3
+      characters) of its literal runs, until its first hit (``_first_like``; jobs run while the frame is built).
     """
     q = requests.select(F.col(name_col).alias("pattern")).where(F.col(name_col).isNotNull()).distinct()
     q = q.withColumn("lp", F.lower("pattern")).withColumn("runs", F.filter(F.split("lp", "[%_]"), lambda r: r != ""))
@@ -193,21 +193,48 @@ def company_lookup(requests: DataFrame, companies: DataFrame, name_col="name") -
     fit = F.filter("lens", lambda x: F.when(F.col("open"), x["len"] >= F.col("least")).otherwise(x["len"] == F.col("least")))
     wild = spans.select("pattern", F.array_min(F.transform(fit, lambda x: x["id"])).alias("company_id"))
 
-    hard = q.where("form = 'grams'")
-    longest = F.aggregate("runs", F.lit(""), lambda a, r: F.when(F.length(r) > F.length(a), r).otherwise(a))
-    hard = hard.withColumn("n", F.least(F.lit(GRAM), F.length(longest)))
-    names = c.select("id", "lname", F.explode(F.flatten(F.array(*[_grams(F.col("lname"), n) for n in range(1, GRAM + 1)]))).alias("gram"))
-    wanted = hard.select("pattern", "lp", F.explode(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.when(F.length(r) >= F.col("n"), F.transform(
-        F.sequence(F.lit(1), F.length(r) - F.col("n") + 1), lambda i: F.substring(r, i, F.col("n")))).otherwise(F.array().cast("array<string>")))))).alias("gram"))
-    frequency = names.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-    rarest = wanted.join(frequency, "gram", "left").groupBy("pattern", "lp").agg(
-        F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("gram")
-    )
-    hits = rarest.join(names, "gram", "left").groupBy("pattern").agg(F.min(F.when(F.expr("lname LIKE lp"), F.col("id"))).alias("company_id"))
+    hits = _first_like(q.where("form = 'grams'").select("pattern", "lp", "runs"), c)
     out = [x.select("pattern", "company_id") for x in (text, prefix, wild, hits)]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+BLOCK_IDS = 1024  # ids of a posting block
+FIRST_BLOCKS = 16  # blocks that are read first; each next round reads 16 times as many
+
+
+def _first_like(patterns: DataFrame, names: DataFrame) -> DataFrame:
+    """(``pattern``, ``company_id``): the smallest id whose name is like ``lp``, read in ascending blocks of ids with an early end.
+
+    A round reads the next range of ids only. Its postings are (n-gram, block) pairs; a pattern visits the blocks that hold
+    all n-grams of its literal runs, and LIKE decides inside them. Patterns with a hit are done, as later ids are larger,
+    and the search ends when none is left. Names meet patterns by block, so an n-gram that all names share is no hot key.
+    """
+    ends = names.agg(F.min("id"), F.max("id")).first()
+    longest = F.aggregate("runs", F.lit(""), lambda a, r: F.when(F.length(r) > F.length(a), r).otherwise(a))
+    sized = patterns.withColumn("n", F.least(F.lit(GRAM), F.length(longest)))
+    of_run = lambda r: F.when(
+        F.length(r) >= F.col("n"), F.transform(F.sequence(F.lit(1), F.length(r) - F.col("n") + 1), lambda i: F.substring(r, i, F.col("n")))
+    ).otherwise(F.array().cast("array<string>"))
+    wanted = sized.select("pattern", "lp", F.array_distinct(F.flatten(F.transform("runs", of_run))).alias("grams"))
+    open_ = cut_lineage(wanted, "open-patterns")
+    found = open_.select("pattern", F.lit(None).cast("long").alias("company_id")).limit(0)
+    at, width = (None, 0) if ends[0] is None else (ends[0] // BLOCK_IDS, FIRST_BLOCKS)
+    while at is not None and at <= ends[1] // BLOCK_IDS and not open_.isEmpty():
+        inside = names.where(F.col("id").between(at * BLOCK_IDS, (at + width) * BLOCK_IDS - 1))
+        inside = inside.withColumn("block", F.floor(F.col("id") / BLOCK_IDS).cast("long"))
+        postings = inside.select("block", F.explode(F.flatten(F.array(*[_grams(F.col("lname"), n) for n in range(1, GRAM + 1)]))).alias("gram")).distinct()
+        visits = open_.select("pattern", "lp", F.size("grams").alias("need"), F.explode("grams").alias("gram")).join(postings, "gram")
+        visits = visits.groupBy("pattern", "lp", "need", "block").agg(F.count(F.lit(1)).alias("got")).where("got = need")
+        # written, so that the join below shuffles plain tables, which AQE can split
+        visits = cut_lineage(visits.select("pattern", "lp", "block"), "visited-blocks")
+        hit = visits.join(inside, "block").where(F.expr("lname LIKE lp")).groupBy("pattern").agg(F.min("id").alias("company_id"))
+        hit = cut_lineage(hit, "like-hits")
+        found = found.unionByName(hit)
+        open_ = cut_lineage(open_.join(hit.select("pattern"), "pattern", "left_anti"), "open-patterns")
+        at, width = at + width, width * FIRST_BLOCKS
+    return found.unionByName(open_.select("pattern", F.lit(None).cast("long").alias("company_id")))
+
+
 def list_companies(companies: DataFrame) -> DataFrame:
     """dropdown list, sorted by name."""
     return companies.select("id", "name", "full_name", "sector").orderBy("name", "id")
@@ -247,29 +274,74 @@ def job_requests(jobs: DataFrame) -> DataFrame:
 
 
 def _cut_to_largest(reports: DataFrame, requests: DataFrame, companies: DataFrame, groups: list[str]) -> DataFrame:
-    """Reports with their company key, each group cut to the largest limit that any undated request of the company
-    has (exact: none takes more), or whole where a request has dates."""
+    """Reports with their company key, each group cut to the largest limit that any request of the company has (exact: none
+    takes more)."""
     c = companies.select(F.col("id").alias("company_id"), lower_key("name").alias("ckey"))
-    dated = F.col("first_day").isNotNull() | F.col("last_day").isNotNull()
-    most = requests.groupBy("ckey").agg(F.max(F.when(dated, F.lit(2**31 - 1)).otherwise(F.col("lim"))).alias("__most"))
+    most = requests.groupBy("ckey").agg(F.max("lim").alias("__most"))
     r = reports.join(c, "company_id").join(most, "ckey")
     return top_k(r, ["company_id", *groups], [F.desc("date"), F.desc("id")], F.col("__most"), F.col("id"), out="__g").drop("__g", "__most")
 
 
+def _no_day() -> Column:
+    """Stands for the day of a report without a date: the oldest, and in no range of days."""
+    return F.lit("0001-01-01").cast("date")
+
+
+def _months(first: Column, last: Column) -> Column:
+    """First days of the months from one day to another."""
+    return F.when(first <= last, F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH"))).otherwise(F.array().cast("array<date>"))
+
+
+def _needed_days(requests: DataFrame, counts: DataFrame) -> DataFrame:
+    """(requests' columns, ``day``): the newest days of each request that hold its first ``lim`` rows together.
+
+    ``counts``: (ckey, report_type, report_category, day, n). Requests and days meet by company and month, so that a company
+    with many reports and many requests is spread over its months; a request has at most a row for each day here.
+    """
+    known = F.when(F.col("day") != _no_day(), F.col("day"))
+    span = counts.groupBy("ckey").agg(F.min(known).alias("__min"), F.max(known).alias("__max"))
+    asked = requests.join(span, "ckey")
+    asked = asked.withColumns({"__from": F.greatest("first_day", "__min"), "__to": F.least("last_day", "__max")})
+    undated = F.col("first_day").isNull() & F.col("last_day").isNull()
+    none = F.array().cast("array<date>")
+    months = F.concat(F.coalesce(_months(F.col("__from"), F.col("__to")), none), F.when(undated, F.array(_no_day())).otherwise(none))
+    asked = asked.withColumn("month", F.explode(months))
+    by_month = counts.withColumn("month", F.trunc("day", "month"))
+    wanted = F.array_contains("types", F.col("report_type")) & F.array_contains("categories", F.col("report_category"))
+    inside = F.col("day").between(F.col("__from"), F.col("__to")) | (undated & (F.col("day") == _no_day()))
+    fit = asked.join(by_month, ["ckey", "month"]).where(wanted & inside)
+    per_day = fit.groupBy(*requests.columns, "day").agg(F.sum("n").alias("__n"))
+    newer = Window.partitionBy("job_name").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    return per_day.withColumn("__before", F.coalesce(F.sum("__n").over(newer), F.lit(0))).where(F.col("__before") < F.col("lim")).drop("__n", "__before")
+
+
 def listing_filter(jobs: DataFrame, companies: DataFrame, reports: DataFrame) -> DataFrame:
     """the listing request as a table filter, one request per job.
 
     Type set (default: the scheduled run's four types), category set (default ESPI and EBI), a day or a
     range of days, company text (case-insensitive), newest first, at most the request's
-    ``report_limit`` (default 5) rows, offset 0. Groups of a company are first cut to what its
-    largest request can take, so the join stays bounded by the requests, not by the company.
+    ``report_limit`` (default 5) rows, offset 0.
+
+    Rows are counted by company and day first. From the newest day of its range down a request needs the days that fill
+    its limit, at most ``report_limit`` of them, and only those days' rows are read: each cut, in salted parts, to the
+    largest limit that asks for the day, and met by company and day. So neither a company's rows nor its requests come
+    together in a task, dated or not.
     """
-    req = job_requests(jobs)
-    r = reports.select("id", "company_id", "date", "report_type", "report_category")
-    r = _cut_to_largest(r, req, companies, ["report_type", "report_category"])
+    req = job_requests(jobs).where(F.col("lim") > 0)
+    c = companies.select(F.col("id").alias("company_id"), lower_key("name").alias("ckey"))
+    r = reports.select("id", "company_id", F.coalesce("date", _no_day()).alias("day"), "report_type", "report_category")
+    kinds = ["report_type", "report_category", "day"]
+    counts = r.groupBy("company_id", *kinds).agg(F.count(F.lit(1)).alias("n")).join(c, "company_id")
+    # names that differ in case only are one company
+    counts = cut_lineage(counts.groupBy("ckey", *kinds).agg(F.sum("n").alias("n")), "report-days")
+    need = cut_lineage(_needed_days(req, counts), "needed-days")
+    most = need.groupBy("ckey", "day").agg(F.max("lim").alias("__most"))
+    most = cut_lineage(most.join(c, "ckey"), "days-read")  # by company: a day read is a day of each spelling
+    rows = r.join(most, ["company_id", "day"])
+    rows = top_k(rows, ["company_id", *kinds], [F.desc("id")], F.col("__most"), F.col("id"), out="__g").drop("__g", "__most")
     wanted = F.array_contains("types", F.col("report_type")) & F.array_contains("categories", F.col("report_category"))
-    inside = F.coalesce(F.col("date") >= F.col("first_day"), F.lit(True)) & F.coalesce(F.col("date") <= F.col("last_day"), F.lit(True))
-    out = per_request_limit(r.join(req, "ckey").where(wanted & inside), "job_name", [F.desc("date"), F.desc("id")], "lim")
+    met = rows.join(need, ["ckey", "day"]).where(wanted).withColumn("date", F.nullif("day", _no_day()))
+    out = per_request_limit(met, "job_name", [F.desc("date"), F.desc("id")], "lim")
     return out.select("job_name", "id", "date", "report_type", "report_category", "rn")
 
 

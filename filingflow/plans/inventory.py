@@ -113,7 +113,7 @@ INVENTORY: dict[str, tuple[str, ...]] = {
     "D11": ("write_back_summaries",),
     "D12": ("pipeline_result", "pipeline_rejected", "pipeline_files", "pipeline_overview", "pipeline_report"),
     # 2.10 streaming
-    "R1": ("incremental_feed",),
+    "R1": ("incremental_feed", "feed_rejects"),
     "R2": ("streaming_registry",),
     "R3": ("execution_pairing",),
 }

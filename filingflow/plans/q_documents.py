@@ -101,14 +101,17 @@ def _file_chunks(spark, sf):
     )
 
 
+# One arrival in thirty is a scan: its pages hold nothing but white space.
 @register(
     "empty_document",
     f"""SELECT id, concat('❌ Brak tekstu do przetworzenia w: ', file_name) AS message FROM file_arrivals
-WHERE NOT ({_HAS_TEXT})""",
+WHERE id % 30 = 4 OR NOT ({_HAS_TEXT})""",
     ("file_arrivals",),
 )
 def q_empty_document(spark, sf):
-    c = _file_chunks(spark, sf)
+    blank = F.transform("pages", lambda p: F.lit(" \n\t"))
+    scans = T.file_arrivals(spark, sf).withColumn("pages", F.when(F.col("id") % 30 == 4, blank).otherwise(F.col("pages")))
+    c = scans.select("id", "file_name", D.chunk_column(F.col("pages")).alias("chunks"))
     return c.where(F.size("chunks") == 0).select("id", D.empty_document_message(F.col("file_name")).alias("message"))
 
 
@@ -217,24 +220,26 @@ def q_select_representatives(spark, sf):
     return D.select_representatives(pts.drop("label"), D.label_centroids(pts))
 
 
-# Representatives stand for documents here: point p speaks for the first chunk of document p.
+# Representatives stand for chunks here: point p, picked n-th, speaks for chunk n (counted round) of document p.
 _HEAD, _TAIL = D.PROMPT_TEMPLATE.replace(chr(10), "' || chr(10) || '").split("{text}")
 
 
 @register(
     "build_prompts",
     f"""WITH w AS ({_W5_SQL}),
-c AS (SELECT id, trim(substr(text, 1, 500), ' ' || chr(9) || chr(10) || chr(13)) AS chunk FROM file_arrivals WHERE file_type = 'pdf'),
-g AS (SELECT grp, string_agg(chunk, chr(10) || chr(10) ORDER BY cluster) AS combined FROM w JOIN c ON c.id = w.pid WHERE chunk <> '' GROUP BY grp)
+c AS (SELECT id, list_filter(list_transform(range(0, n_pages), lambda i: trim(substr(text, 500 * i + 1, CASE WHEN i = n_pages - 1 THEN length(text) ELSE 500 END),
+    ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS chunks FROM file_arrivals WHERE file_type = 'pdf'),
+g AS (SELECT grp, string_agg(chunks[cluster % len(chunks) + 1], chr(10) || chr(10) ORDER BY cluster) AS combined
+  FROM w JOIN c ON c.id = w.pid WHERE len(chunks) > 0 GROUP BY grp)
 SELECT grp, combined, concat('{_HEAD}', combined, '{_TAIL}') AS prompt,
   CAST(length(concat('{_HEAD}', combined, '{_TAIL}')) AS INTEGER) AS prompt_length FROM g""",
     ("file_arrivals",),
 )
 def q_build_prompts(spark, sf):
-    pdf = T.file_arrivals(spark, sf).where(F.col("file_type") == "pdf").select("id", F.slice("pages", 1, 1).alias("pages"))
-    chunks = D.chunk_documents(pdf, id_col="id").where(F.col("chunk_no") == 0)
+    pdf = T.file_arrivals(spark, sf).where(F.col("file_type") == "pdf").select("id", D.chunk_column(F.col("pages")).alias("chunks"))
     reps = _w5(spark, sf).select("grp", F.col("cluster").alias("order"), F.col("pid").alias("id"))
-    return D.build_prompts(reps.join(chunks, "id").select("grp", "order", "chunk"))
+    met = reps.join(pdf.where(F.size("chunks") > 0), "id")
+    return D.build_prompts(met.select("grp", "order", F.get("chunks", F.col("order") % F.size("chunks")).alias("chunk")))
 
 
 # Sentences of the whole text ranked by their number of different words; those that fit the budget, in text order.

@@ -87,9 +87,34 @@ def q_pipeline_result(spark, sf):
     return Pipeline(spark, sf).condensed
 
 
-@register("pipeline_rejected", "SELECT CAST(NULL AS BIGINT) AS company_id, CAST(NULL AS VARCHAR) AS link WHERE FALSE")
+# Malformed items: pages numbered 3 of 7 have lost the marks between the parts of their headers.
+_BAD_PAGE = "CAST(floor(id / 100) AS BIGINT) % 7 = 3"
+
+
+def _pages_with_malformed(spark, sf):
+    p = T.listing_pages(spark, sf)
+    return p.withColumn("html", F.when(F.col("page_no") % 7 == 3, F.replace("html", F.lit(" | "), F.lit(" "))).otherwise(F.col("html")))
+
+
+@register("pipeline_rejected", f"SELECT company_id, link FROM reports WHERE {_BAD_PAGE}", ("reports",))
 def q_pipeline_rejected(spark, sf):
-    return Pipeline(spark, sf).rejected().select("company_id", "link")
+    return Pipeline(spark, sf, pages=_pages_with_malformed(spark, sf)).rejected().select("company_id", "link")
+
+
+@register(
+    "feed_rejects",
+    f"""SELECT company_id, link, FALSE AS accepted FROM reports WHERE {_BAD_PAGE}
+UNION ALL SELECT company_id, link, TRUE FROM reports WHERE NOT ({_BAD_PAGE})""",
+    ("reports",),
+)
+def q_feed_rejects(spark, sf):
+    """R1 over pages with malformed items: what the feed kept in each of its two sinks."""
+    landing, schema = _land(_pages_with_malformed(spark, sf), "listing-bad", 3, "page_no")
+    sink = scratch_dir(spark, "feed-sink")
+    good = feeds.incremental_feed(spark, landing, schema, sink, scratch_dir(spark, "feed-ckpt"))
+    bad = feeds.read_batches(spark, f"{sink}-rejects")
+    rows = [df.select("company_id", "link", F.lit(ok).alias("accepted")) for df, ok in ((good, True), (bad, False))]
+    return rows[0].unionByName(rows[1])
 
 
 @register(

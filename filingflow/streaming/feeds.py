@@ -12,23 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingflow.operators import registry as R
+from filingflow.operators.common import cut_lineage
 from filingflow.sources import listing as L
 
 
-def incremental_feed(spark: SparkSession, landing: str, schema, sink: str, checkpoint: str, files_per_trigger: int = 1):
-    """New listing pages since the last run -> Job N -> appended typed rows (parquet sink)."""
+def incremental_feed(spark: SparkSession, landing: str, schema, sink: str, checkpoint: str, files_per_trigger: int = 1, rejects: str | None = None):
+    """New listing pages since the last run -> Job N -> typed rows in ``sink``, items that cannot be typed in ``rejects``
+    (``<sink>-rejects`` if not given; ``read_batches`` reads either).
+
+    Each micro-batch writes its rows to folders of its own number, so a batch that is run again replaces what it wrote. The
+    items are scanned once for both sinks.
+    """
     pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
-    accepted, _ = L.normalise_listing(L.listing_page_scan(pages))
-    q = (
-        accepted.writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    rejects = rejects or f"{sink}-rejects"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        items = cut_lineage(L.listing_page_scan(batch), "feed-items")
+        for rows, path in zip(L.normalise_listing(items), (sink, rejects)):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id:08d}")
+
+    q = pages.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return read_batches(spark, sink)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that the batches of a feed have written to ``path``."""
+    return spark.read.parquet(path).drop("batch")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -211,3 +211,28 @@ def test_queries_are_listed_without_a_session(tmp_path):
     code = f"import sys; sys.path.insert(0, {repo!r}); import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.stdout.strip() == "True", out.stderr[-500:]
+
+
+def test_a_malformed_page_goes_to_the_feeds_rejects(spark):
+    from filingflow.session import scratch_dir
+    from filingflow.streaming import feeds
+
+    li = '<li><a href="k?{0}">o</a><span class="date">0{0}-01-2024 12:00:00 | Bieżący | ESPI | 1/2024</span><p>t</p><span class="profit margin-left-30 pull-right">Zmiana 1,0%</span><span class="summary margin-left-30 pull-right">Kurs2,0</span></li>'
+    bad = li.format(3).replace("Zmiana 1,0%", "no number")
+    landing, sink = scratch_dir(spark, "t-bad"), scratch_dir(spark, "t-bad-sink")
+    pages = spark.createDataFrame([(1, 0, li.format(1) + bad), (2, 0, "<li>broken"), (3, 0, None)], "company_id long, page_no long, html string")
+    pages.repartition(3).write.parquet(landing)
+    for ckpt in ("a", "a", "b"):  # a restart, and a replay from the start
+        got = feeds.incremental_feed(spark, landing, pages.schema, sink, f"{sink}-{ckpt}")
+        assert [(r["company_id"], r["pos"]) for r in got.collect()] == [(1, 0)]
+        rejected = feeds.read_batches(spark, f"{sink}-rejects").collect()
+        assert sorted((r["company_id"], r["pos"]) for r in rejected) == [(1, 1), (2, 0)]
+
+
+def test_summaries_of_one_file_do_not_multiply_it(spark):
+    from filingflow.operators import registry as R
+
+    files = spark.createDataFrame([(1, "A", "x.pdf"), (2, "b", "y.pdf")], "id long, company string, file_name string")
+    found = spark.createDataFrame([(7, "a", "x.pdf", "old"), (9, "A", "x.pdf", "new"), (8, "a", "x.pdf", "zzz")], "id long, company string, file_name string, summary string")
+    assert sorted((r["id"], r["new_summary"]) for r in R.attach_summaries(files, found).collect()) == [(1, "new"), (2, None)]
+    assert R.attach_summaries(files, found.drop("id")).where("id = 1").first()["new_summary"] == "zzz"

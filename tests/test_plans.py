@@ -11,13 +11,13 @@ PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapI
 # S1-S3 (the HTML tokenizer), names of written files, D1 (chunker UDF), D6 (documents clustered per Arrow batch) and everything built on them.
 PYTHON_ALLOWED = {
     "listing_page_scan", "normalise_listing", "attachment_scan", "zip_attachments", "attach_report_id", "filing_and_file_ordinals",
-    "document_scan", "landed_page_scan", "collective_report_sink", "run_result_sink", "append_summary_report", "append_reports", "pipeline_rejected",
+    "document_scan", "landed_page_scan", "collective_report_sink", "run_result_sink", "append_summary_report", "append_reports", "pipeline_rejected", "feed_rejects",
     "chunk_documents", "chunk_documents_1000", "empty_document", "too_few_chunks", "embed_chunks", "cluster_chunks",
     "build_prompts",
     "pipeline_result",
 }
 # queries that write artifacts or drain streams while being built are planned elsewhere
-SKIP = {"listing_csv_export", "incremental_feed", "streaming_registry", "execution_pairing", "pipeline_result",
+SKIP = {"listing_csv_export", "incremental_feed", "feed_rejects", "streaming_registry", "execution_pairing", "pipeline_result",
         "legacy_config_scan", "unmigrated_configs", "migrate_legacy_configs", "add_report_limit"}
 
 
