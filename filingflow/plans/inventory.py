@@ -67,7 +67,7 @@ INVENTORY: dict[str, tuple[str, ...]] = {
     "U2": ("append_reports",),
     "U3": ("register_files",),
     "U4": ("update_file_summary",),
-    "U5": ("upsert_jobs",),
+    "U5": ("upsert_jobs", "jobs_snapshot",),
     "U6": ("update_run_stats",),
     "U7": ("delete_jobs", "delete_jobs_existed"),
     "U8": ("start_execution",),

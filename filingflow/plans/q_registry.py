@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filingflow.operators import registry as R
-from filingflow.plans.catalog import register
+from filingflow.plans.catalog import ORACLES, register
 from filingflow.session import scratch_dir
 from filingflow.sources import listing as L
 from filingflow.sources import tables as T
+from filingflow.sources.snapshots import SnapshotTable
 from filingflow.sources.schemas import REGISTRY_SCHEMAS, conform, domain_check
 
 AS_OF = "2024-02-01 00:00:00"
@@ -182,6 +183,18 @@ def q_upsert_jobs(spark, sf):
     return R.upsert_jobs(_full_jobs(spark, sf), _job_batch(spark, sf), AS_OF)
 
 
+@register("jobs_snapshot")
+def q_jobs_snapshot(spark, sf):
+    """U5 on a copy-on-write table, written while it is built: the state after an upsert that rewrites the buckets it names."""
+    table = SnapshotTable(spark, scratch_dir(spark, "jobs-table"), ["job_name"])
+    table.create(_full_jobs(spark, sf))
+    table.apply(_job_batch(spark, sf), lambda jobs, batch, last: R.upsert_jobs(jobs, batch, AS_OF, last_id=last))
+    return table.read()
+
+
+ORACLES["jobs_snapshot"] = ORACLES["upsert_jobs"]
+
+
 @register(
     "update_run_stats",
     """SELECT j.job_name, CASE WHEN a.n IS NULL THEN j.last_run ELSE a.last END AS last_run,
