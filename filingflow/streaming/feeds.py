@@ -8,7 +8,9 @@ md5s / execution ids already registered — so executor or driver loss cannot do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingflow.operators import registry as R
@@ -52,22 +54,80 @@ REGISTRY_SCHEMA = (
 )
 
 
+REGISTRY_BUCKETS = 64
+FILTER_BITS = 16  # for each md5: with four probes about one false hit in 400
+
+
+def _md5_bucket(md5: Column) -> Column:
+    return F.pmod(F.xxhash64(md5), F.lit(REGISTRY_BUCKETS)).cast("int")
+
+
+def _probes(h1: np.ndarray, h2: np.ndarray, bits: int) -> np.ndarray:
+    """Four places in a filter of ``bits`` bits (a power of two) for each pair of hashes."""
+    a, b = h1.astype(np.uint64), h2.astype(np.uint64) | np.uint64(1)
+    return np.stack([(a + np.uint64(i) * b) & np.uint64(bits - 1) for i in range(4)])
+
+
+def membership_filters(rows: DataFrame) -> DataFrame:
+    """(``bucket``, ``bits``): a Bloom filter over the md5s of each bucket of ``rows``, sized by their number."""
+
+    def build(group: pa.Table) -> pa.Table:
+        size = 1 << int(np.ceil(np.log2(max(64, FILTER_BITS * group.num_rows))))
+        bits = np.zeros(size, bool)
+        bits[_probes(group["h1"].to_numpy(), group["h2"].to_numpy(), size).ravel()] = True
+        return pa.table({"bucket": pa.array([group["bucket"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    return _hashed(rows).groupBy("bucket").applyInArrow(build, "bucket int, bits binary")
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    md5 = F.col("md5_hash")
+    return rows.where(md5.isNotNull()).select(_md5_bucket(md5).alias("bucket"), md5, F.xxhash64(md5, F.lit(1)).alias("h1"), F.xxhash64(md5, F.lit(2)).alias("h2")).distinct()
+
+
+def maybe_registered(rows: DataFrame, filters: DataFrame) -> DataFrame:
+    """(``bucket``, ``md5_hash``) of the md5s that some filter of their bucket has: all that are registered and a few more."""
+
+    def probe(arrived: pa.Table, known: pa.Table) -> pa.Table:
+        h1, h2 = arrived["h1"].to_numpy(), arrived["h2"].to_numpy()
+        hit = np.zeros(arrived.num_rows, bool)
+        for packed in known["bits"].to_pylist():
+            bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+            hit |= bits[_probes(h1, h2, len(bits))].all(axis=0)
+        return arrived.select(["bucket", "md5_hash"]).filter(pa.array(hit))
+
+    return _hashed(rows).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, "bucket int, md5_hash string")
+
+
 def streaming_registry(spark: SparkSession, landing: str, schema, registry_path: str, checkpoint: str, files_per_trigger: int = 1):
     """R2: each micro-batch runs U3 (first arrival per md5, anti join on the registry, append).
 
-    The registry is a parquet folder that only ever grows by appends of md5s it does not hold,
-    so replaying a batch after a failure appends nothing twice. Only the md5 and id columns of it are read.
+    The registry is a Parquet folder in buckets of the md5 that only ever grows, with a Bloom filter for each batch and bucket
+    beside it (``<registry>-filters``). A batch asks the filters first and reads the md5s of only those buckets that may hold one
+    of its own; the exact check there decides. A batch's filters are written before its rows, so a batch that is run again
+    after a failure finds what it wrote and appends nothing twice. Of the rest only the ids are read, for the next number.
     """
     arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
+    filters_path = f"{registry_path.rstrip('/')}-filters"
 
     def current(s: SparkSession) -> DataFrame:
-        return s.read.schema(REGISTRY_SCHEMA).parquet(registry_path) if path_exists(s, registry_path) else s.createDataFrame([], REGISTRY_SCHEMA)
+        stored = f"{REGISTRY_SCHEMA}, bucket int"
+        return s.read.schema(stored).parquet(registry_path) if path_exists(s, registry_path) else s.createDataFrame([], stored)
 
     def register(batch: DataFrame, batch_id: int) -> None:
-        known = current(batch.sparkSession)
-        fresh = R.new_files_only(R.first_arrival_dedup(batch), known).withColumnRenamed("id", "arrival_id")
+        s = batch.sparkSession
+        known, first = current(s), R.first_arrival_dedup(batch)
+        if path_exists(s, filters_path):
+            maybe = cut_lineage(maybe_registered(first, s.read.schema("bucket int, bits binary").parquet(filters_path)), "maybe-registered")
+            hit = [r[0] for r in maybe.select("bucket").distinct().collect()]  # at most one row for each bucket
+            first = R.new_files_only(first, known.where(F.col("bucket").isin(hit)).join(maybe.select("md5_hash"), "md5_hash", "left_semi")) if hit else first
+        fresh = cut_lineage(first.withColumnRenamed("id", "arrival_id"), "fresh-files")
+        if fresh.isEmpty():
+            return
+        membership_filters(fresh).write.mode("append").parquet(filters_path)
         added = R.append_with_ids(known, fresh, ["arrival_id"]).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        added.select(*known.columns).write.mode("append").parquet(registry_path)
+        added = added.withColumn("bucket", _md5_bucket(F.col("md5_hash"))).select(*known.columns)
+        added.repartition("bucket").write.partitionBy("bucket").mode("append").parquet(registry_path)
 
     q = (
         arrivals.writeStream.foreachBatch(register)
@@ -76,7 +136,7 @@ def streaming_registry(spark: SparkSession, landing: str, schema, registry_path:
         .start()
     )
     q.awaitTermination()
-    return current(spark)
+    return current(spark).drop("bucket")
 
 
 START_COLS = ["job_name", "started_at", "start_status"]

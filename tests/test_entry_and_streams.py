@@ -236,3 +236,36 @@ def test_summaries_of_one_file_do_not_multiply_it(spark):
     found = spark.createDataFrame([(7, "a", "x.pdf", "old"), (9, "A", "x.pdf", "new"), (8, "a", "x.pdf", "zzz")], "id long, company string, file_name string, summary string")
     assert sorted((r["id"], r["new_summary"]) for r in R.attach_summaries(files, found).collect()) == [(1, "new"), (2, None)]
     assert R.attach_summaries(files, found.drop("id")).where("id = 1").first()["new_summary"] == "zzz"
+
+
+def test_filters_keep_new_files_from_reading_the_registry(spark):
+    from filingflow.streaming import feeds
+
+    md5s = lambda a, b: spark.range(a, b).select(F.md5(F.col("id").cast("string").cast("binary")).alias("md5_hash"))
+    filters = feeds.membership_filters(md5s(0, 3000)).unionByName(feeds.membership_filters(md5s(3000, 3100)))
+    assert filters.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2
+    assert filters.agg(F.sum(F.length("bits"))).first()[0] < 3100 * 32 * 0.2  # bytes of filters against bytes of md5s
+    old = feeds.maybe_registered(md5s(0, 3100), filters)
+    assert old.count() == 3100  # none is missed
+    new = feeds.maybe_registered(md5s(10_000, 14_000), filters)
+    assert new.count() < 60
+
+
+def test_a_batch_that_died_after_its_filters_is_registered_once(spark, monkeypatch):
+    from filingflow.operators import registry as R
+    from filingflow.session import scratch_dir
+    from filingflow.streaming import feeds
+
+    kinds = "id long, company string, file_name string, file_type string, file_size long, md5_hash string"
+    rows = spark.createDataFrame([(i, "c", f"f{i}", "pdf", 1, f"m{i % 7}" if i % 5 else None) for i in range(20)], kinds)
+    landing, reg, ckpt = scratch_dir(spark, "t-die"), scratch_dir(spark, "t-die-reg"), scratch_dir(spark, "t-die-ckpt")
+    rows.coalesce(1).write.parquet(landing)
+    real = R.append_with_ids
+    monkeypatch.setattr(R, "append_with_ids", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("died")))
+    with pytest.raises(Exception, match="died"):
+        feeds.streaming_registry(spark, landing, rows.schema, reg, ckpt)
+    monkeypatch.setattr(R, "append_with_ids", real)
+    got = feeds.streaming_registry(spark, landing, rows.schema, reg, ckpt).collect()
+    assert sorted(r["md5_hash"] for r in got) == [f"m{i}" for i in range(7)] and sorted(r["id"] for r in got) == list(range(1, 8))
+    again = feeds.streaming_registry(spark, landing, rows.schema, reg, scratch_dir(spark, "t-die-again")).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
