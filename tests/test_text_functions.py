@@ -120,11 +120,12 @@ def test_split_header_long_header_general_path(spark):
     assert one(spark, X.split_header(F.col("a")), h) == ["01-02-2024", "Roczny", "ESPI", "extra"]
 
 
-def test_html_text_fragments(spark):
-    from filingflow.sources.listing import html_text
+def test_html_text_fragments():
+    from filingflow.sources.listing import listing_rows
 
-    assert one(spark, html_text(F.col("a")), "<b>A &amp; B</b> &lt;x&gt;") == "A & B <x>"
-    assert one(spark, html_text(F.col("a")), "plain") == "plain"
+    title = lambda fragment: listing_rows(f"<li><p>{fragment}</p>")[0][3]
+    assert title("<b>A &amp; B</b> &lt;x&gt;") == "A & B <x>"
+    assert title("plain") == "plain"
 
 
 def test_date_input_keeps_the_text_own_day(spark):
