@@ -8,10 +8,14 @@ md5s / execution ids already registered — so executor or driver loss cannot do
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from filingflow.operators import registry as R
 from filingflow.operators.common import cut_lineage
@@ -152,21 +156,95 @@ def fold_executions(events: DataFrame) -> DataFrame:
     return one.select("execution_id", *cols, F.col("e").isNotNull().alias("is_end"))
 
 
-def execution_pairing(spark: SparkSession, landing: str, schema, state_root: str, checkpoint: str, files_per_trigger: int = 1):
-    """Start and end events of executions (one stream, ``is_end`` flag) folded into the latest state per execution id.
+EXECUTION_SCHEMA = (
+    "execution_id long, job_name string, started_at timestamp_ntz, start_status string, end_status string, finished_at timestamp_ntz, "
+    "reports_found int, documents_processed int, summary_report_id long, error_message string, log_file_path string, is_end boolean"
+)
+# What is known of a run: its start and its end, null if that is yet to come.
+RUN_FIELDS = (
+    "start struct<job_name: string, started_at: timestamp_ntz, start_status: string>, "
+    "end struct<end_status: string, finished_at: timestamp_ntz, reports_found: int, documents_processed: int, "
+    "summary_report_id: bigint, error_message: string, log_file_path: string>"
+)
+
+
+def _nulls_first(at, fields: tuple) -> tuple:
+    """Sort key of an event, as ``fold_executions`` orders them: by its time, then its fields, nulls first."""
+    return tuple((v is not None, v) for v in (at, *fields))
 
-    Each micro-batch writes its own events, folded, to a folder of its own; a replayed batch rewrites that
-    folder and nothing else. The state is the fold over all folders, so no batch copies what came
-    before and a run without new input gives the state as it was (an empty one before any input).
+
+def _open_runs(patience_ms: int):
+    """Keeps an execution id in the state from its first event until both its start and its end are there.
+
+    An end without a start waits ``patience_ms`` for it, then it is emitted as it is: the start never came, or the run was
+    closed before and this is another end of it. So the state holds the open runs and what came within that time.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, end = (x and tuple(x) for x in (state.get if state.exists else (None, None)))
+        if not state.hasTimedOut:
+            for events in batches:
+                # an event comes as a dict or a row, as this Spark's Arrow setting has it
+                starts, ends = ([tuple(x[f] for f in fields) for x in events[c] if x is not None] for c, fields in (("start", START_COLS), ("end", END_COLS)))
+                start = min([start, *starts] if start else starts, key=lambda s: _nulls_first(s[1], s), default=None)
+                end = max([end, *ends] if end else ends, key=lambda e: _nulls_first(e[1], e), default=end)
+        if end and (start or state.hasTimedOut):
+            if state.exists:
+                state.remove()
+            named = [x and dict(zip(fields, x)) for x, fields in ((start, START_COLS), (end, END_COLS))]
+            yield pd.DataFrame({"run_id": [key[0]], "start": [named[0]], "end": [named[1]]})
+        elif start or end:
+            state.update((start, end))
+            if end:
+                state.setTimeoutDuration(patience_ms)
+
+    return run
+
+
+def _flat(runs: DataFrame, run_id: Column) -> DataFrame:
+    fields = [F.col(f"start.{c}").alias(c) for c in START_COLS] + [F.col(f"end.{c}").alias(c) for c in END_COLS]
+    return runs.select(run_id.cast("long").alias("execution_id"), *fields, F.col("end").isNotNull().alias("is_end"))
+
+
+def open_executions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The runs in the state of ``execution_pairing``, read from its checkpoint; one row for each."""
+    if not path_exists(spark, f"{checkpoint}/state/0"):
+        return spark.createDataFrame([], EXECUTION_SCHEMA)
+    state = spark.read.format("statestore").load(checkpoint)
+    return _flat(state.select("key", "value.groupState.*"), F.col("key.run_id"))
+
+
+def execution_pairing(
+    spark: SparkSession, landing: str, schema, sink: str, checkpoint: str, files_per_trigger: int = 1, patience_ms: int = 3_600_000
+) -> DataFrame:
+    """Start and end events of executions (one stream, ``is_end`` flag), one row per execution id: its first start and
+    its latest end, null where there is none.
+
+    Keyed state holds a run only while it is open (``_open_runs``). A run that closes is written once to ``sink``, each batch to
+    a folder of its own, so a batch that is run again replaces what it wrote. The result is the closed runs and the state; no
+    event is read a second time. They are folded by id once more for ends that came after their run was closed and for
+    events that were landed again. An event without an execution id belongs to one run of its own, of the null id.
     """
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
+    start = F.when(F.col("start_status").isNotNull(), F.struct(*START_COLS))
+    end = F.when(F.col("is_end"), F.struct(*END_COLS))
+    # ids as text: pandas has no whole numbers with nulls among them
+    runs = events.select(F.col("execution_id").cast("string").alias("run_id"), start.alias("start"), end.alias("end")).groupBy("run_id")
+    closed = runs.applyInPandasWithState(_open_runs(patience_ms), f"run_id string, {RUN_FIELDS}", RUN_FIELDS, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        fold_executions(batch).write.mode("overwrite").parquet(f"{state_root}/batch={batch_id:08d}")
-
-    q = events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        _flat(batch, F.col("run_id")).write.mode("overwrite").parquet(f"{sink}/batch={batch_id:08d}")
+
+    # a drain ends with its input: a waiting time asks for batches without data for ever
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle)
+    spark.conf.set(idle, "false")
+    try:
+        q = closed.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(idle, before)
     q.awaitTermination()
-    kept = fold_executions(spark.createDataFrame([], schema))
-    if path_exists(spark, state_root):
-        kept = spark.read.schema(kept.schema).parquet(state_root).drop("batch")
-    return fold_executions(kept)
+    rows = open_executions(spark, checkpoint)
+    if path_exists(spark, sink):
+        rows = rows.unionByName(spark.read.schema(EXECUTION_SCHEMA).parquet(sink).drop("batch"))
+    return fold_executions(rows)

@@ -269,3 +269,80 @@ def test_a_batch_that_died_after_its_filters_is_registered_once(spark, monkeypat
     assert sorted(r["md5_hash"] for r in got) == [f"m{i}" for i in range(7)] and sorted(r["id"] for r in got) == list(range(1, 8))
     again = feeds.streaming_registry(spark, landing, rows.schema, reg, scratch_dir(spark, "t-die-again")).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+EXECUTION_EVENTS = (
+    "execution_id long, job_name string, started_at timestamp_ntz, start_status string, end_status string, finished_at timestamp_ntz, "
+    "reports_found int, documents_processed int, summary_report_id long, error_message string, log_file_path string, is_end boolean"
+)
+
+
+def _events(spark, landing, *events):
+    """Lands one file of start events (id, minute) and end events (id, minute, status)."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [
+        (e[0], None, None, None, e[2], t0 + dt.timedelta(minutes=e[1]), 1, 2, None, None, None, True)
+        if len(e) == 3
+        else (e[0], f"job {e[0]}", t0 + dt.timedelta(minutes=e[1]), "running", None, None, None, None, None, None, None, False)
+        for e in events
+    ]
+    spark.createDataFrame(rows, EXECUTION_EVENTS).coalesce(1).write.mode("append").parquet(landing)
+
+
+def test_the_state_of_executions_holds_open_runs_only(spark):
+    from filingflow.session import scratch_dir
+    from filingflow.streaming import feeds
+
+    landing, sink, ckpt = scratch_dir(spark, "t-open"), scratch_dir(spark, "t-open-sink"), scratch_dir(spark, "t-open-ckpt")
+    schema = spark.createDataFrame([], EXECUTION_EVENTS).schema
+
+    def drain(checkpoint=ckpt, patience=3_600_000):
+        got = feeds.execution_pairing(spark, landing, schema, sink, checkpoint, patience_ms=patience).collect()
+        held = feeds.open_executions(spark, checkpoint).collect()
+        minute = lambda x: x and x.minute
+        return {r["execution_id"]: (minute(r["started_at"]), r["end_status"], minute(r["finished_at"])) for r in got}, sorted(r["execution_id"] for r in held)
+
+    _events(spark, landing, *[(i, i % 7) for i in range(40)])
+    rows, held = drain()
+    assert held == list(range(40)) and rows[3] == (3, None, None)
+    _events(spark, landing, *[(i, 10, "success") for i in range(38)], (50, 11, "early"))
+    rows, held = drain()
+    assert held == [38, 39, 50] and rows[5] == (5, "success", 10) and rows[50] == (None, "early", 11)
+    assert drain() == (rows, held)  # a restart without new input
+    _events(spark, landing, (50, 9), (7, 30, "failed"), (8, 1, "stale"))  # a late start, a second end later and one earlier
+    rows, held = drain()
+    assert held == [7, 8, 38, 39] and rows[50] == (9, "early", 11) and rows[7] == (0, "failed", 30) and rows[8] == (1, "success", 10)
+    full = rows
+    rows, held = drain(scratch_dir(spark, "t-open-replay"))  # all events again, with no state, into the same sink
+    assert rows == full
+    _events(spark, landing, (60, 1))
+    quick = scratch_dir(spark, "t-open-quick")
+    drain(quick, 1)
+    _events(spark, landing, (61, 1))
+    rows, held = drain(quick, 1)  # ends that have waited their time are out of the state and in the result
+    assert held == [38, 39, 60, 61] and {k: v for k, v in rows.items() if k < 60} == full
+
+
+def test_a_batch_of_executions_that_died_is_written_once(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from filingflow.session import scratch_dir
+    from filingflow.streaming import feeds
+
+    landing, sink, ckpt = scratch_dir(spark, "t-dead"), scratch_dir(spark, "t-dead-sink"), scratch_dir(spark, "t-dead-ckpt")
+    schema = spark.createDataFrame([], EXECUTION_EVENTS).schema
+    _events(spark, landing, *[(i, 1) for i in range(9)], *[(i, 5, "success") for i in range(6)])
+    real = DataFrameWriter.parquet
+
+    def dies(self, path, *a, **k):
+        real(self, path, *a, **k)
+        if sink in path:
+            raise RuntimeError("died")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", dies)
+    with pytest.raises(Exception, match="died"):
+        feeds.execution_pairing(spark, landing, schema, sink, ckpt)
+    monkeypatch.setattr(DataFrameWriter, "parquet", real)
+    got = feeds.execution_pairing(spark, landing, schema, sink, ckpt).collect()
+    assert sorted((r["execution_id"], r["is_end"]) for r in got) == [(i, i < 6) for i in range(9)]
+    assert spark.read.parquet(sink).count() == 6
