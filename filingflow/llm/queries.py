@@ -63,7 +63,8 @@ def q_fingerprints(spark, sf_dir):
     "op4_mixing",
     r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix-1:' || md5(coalesce(text, ''))) AS h FROM documents),
 src AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS ss,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
@@ -76,12 +77,21 @@ lv AS (
 water AS (SELECT first(level ORDER BY 2 * ss / w, source NULLS LAST) AS level FROM lv WHERE 2 * ss > w * level),
 tgt AS (SELECT source, ss, least(2 * ss, w * coalesce((SELECT level FROM water), 0)) AS target FROM src),
 rated AS (
-  SELECT d.doc_id, d.size, t.ss, t.target, CASE WHEN t.ss > 0 THEN t.target / t.ss ELSE 0 END AS rate,
-    CAST(('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':mix-1'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
-  FROM sized d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source)
+  SELECT d.doc_id, d.source, d.size, t.ss, t.target, CASE WHEN t.ss > 0 THEN t.target / t.ss ELSE 0 END AS rate,
+    CAST(('0x' || substr(h, 1, 13)) AS BIGINT) AS a, CAST(('0x' || substr(h, 14, 13)) AS BIGINT) AS b
+  FROM sized d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source),
+tried AS (
+  SELECT doc_id, source, size, ss, target, floor(rate) AS whole, j,
+    CAST((a + j * b) & 4503599627370495 AS DOUBLE) < (rate - floor(rate)) * 4503599627370496.0::DOUBLE AS extra
+  FROM rated, range(32) AS seeds(j)),
+best AS (
+  SELECT source, j FROM (
+    SELECT source, j, abs(CAST(sum(CASE WHEN extra THEN size ELSE 0 END) AS DOUBLE) + any_value(whole) * any_value(ss) - any_value(target)) AS off
+    FROM tried GROUP BY source, j)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, j) = 1)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ss AS BIGINT) AS source_size, target,
-  CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM rated
+  CAST(size * (whole + CASE WHEN extra THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM tried t JOIN best ON t.source IS NOT DISTINCT FROM best.source AND t.j = best.j
 """,
 )
 def q_mixing(spark, sf_dir):
