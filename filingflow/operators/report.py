@@ -264,11 +264,11 @@ def collective_report(items: DataFrame, files: DataFrame, as_of: str, model: str
     return head.unionByName(body).unionByName(tail)
 
 
-def write_reports(parts: DataFrame, path: str) -> DataFrame:
+def write_reports(parts: DataFrame, path: str, content: bool = True) -> DataFrame:
     """S8 sink: one Markdown file ``<company>.md`` for each company, its parts in order; returns (``company``, ``file_size``, ``content``)
-    of the files as they were committed. A company of very many parts has further volumes (``<company>.2.md``)."""
+    of the files as they were committed (without ``content`` only their sizes). A company of very many parts has further volumes (``<company>.2.md``)."""
     write_text_files(parts.withColumn("name", F.concat("company", F.lit(".md"))), path)
-    files = read_files(parts.sparkSession, path, "*.md")
+    files = read_files(parts.sparkSession, path, "*.md", content)
     return files.select(F.regexp_replace("name", r"\.md$", "").alias("company"), F.col("size").alias("file_size"), "content")
 
 

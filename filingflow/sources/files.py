@@ -6,6 +6,8 @@ run visible with one rename, the commit. A task that fails or runs twice leaves
 fails leaves what was there before. Files are written as a stream, so a task holds one part at a time; a name with very
 many parts is cut into volumes, which spread over tasks.
 
+``read_files`` reads them back where they lie: each task takes the files of some folders, the driver sees no file.
+
 Paths are local (or mounted) folders, or addresses that pyarrow's file systems open (file, hdfs, s3, gs).
 """
 
@@ -15,6 +17,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -126,10 +129,51 @@ def write_text_files(parts: DataFrame, path: str, name: str = "name", order: str
     rows.repartition("name").sortWithinPartitions("name", "part").write.format(FORMAT).mode("append").save(path)
 
 
-def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(``name``, ``size``, ``content``) of every committed file below ``path`` that is not empty; ``content`` is read only if it is used."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    decode = F.udf(lambda p: unquote(p.rsplit("/", 1)[-1]), "string")
-    last = F.substring_index("path", "/", -1)
-    # only names that hold an escape go to Python
-    return found.select(F.when(last.contains("%"), decode("path")).otherwise(last).alias("name"), F.col("length").alias("size"), "content")
+READ_BYTES = 8 << 20  # contents that a reading task holds at a time
+
+
+def committed_folders(path: str) -> list[str]:
+    """The folders of all committed runs below ``path``, one for each task that wrote files."""
+    fs, root = file_system(path.rstrip("/"))
+    below = lambda folder: [i for i in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if i.type == pafs.FileType.Directory]
+    runs = [r for r in below(root) if r.base_name.startswith("run-")]
+    return sorted(part.path for r in runs for part in below(r.path))
+
+
+def read_files(spark: SparkSession, path: str, glob: str = "*", content: bool = True) -> DataFrame:
+    """(``name``, ``size``, ``content``) of every committed file below ``path`` that is not empty and whose name on disk fits
+    ``glob`` (``*``, ``?``, ``[...]``); without ``content`` that column is null and no file is opened.
+
+    The driver lists the folders of the writing tasks only, a task lists and reads the files of a folder, so the number of
+    files costs the driver nothing.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = file_system(path.rstrip("/"))
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows, held = [], 0
+                for info in fs.get_file_info(pafs.FileSelector(folder)):
+                    if info.type != pafs.FileType.File or not info.size or not fnmatchcase(info.base_name, glob) or info.base_name[0] in "._":
+                        continue
+                    data = None
+                    if content:
+                        with fs.open_input_stream(info.path) as s:
+                            data = s.read()
+                        held += len(data)
+                    rows.append((unquote(info.base_name), info.size, data))
+                    if held >= READ_BYTES or len(rows) >= 10_000:
+                        yield _files_batch(rows)
+                        rows, held = [], 0
+                yield _files_batch(rows)
+
+    folders = committed_folders(path)
+    listed = spark.createDataFrame(spark.sparkContext.parallelize([(f,) for f in folders], max(1, len(folders))), "folder string")
+    return listed.mapInArrow(read, "name string, size long, content binary")
+
+
+def _files_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names, sizes, contents = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary())], names=["name", "size", "content"]
+    )

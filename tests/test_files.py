@@ -54,6 +54,20 @@ def test_a_run_that_fails_leaves_nothing_and_appends_join(spark, tmp_path):
     assert contents(spark, path) == {"a.txt": "1", "b.txt": "2"} and contents(spark, path, "b*") == {"b.txt": "2"}
 
 
+def test_files_are_read_by_the_folders_of_their_tasks(spark, tmp_path):
+    """The driver knows one folder for each writing task; before it listed every file, and 40 files made a split."""
+    path = str(tmp_path / "out")
+    names = spark.range(400).select(F.concat("id", F.lit(".txt")).alias("name"), F.lit(0).alias("part"), F.col("id").cast("string").alias("text"))
+    W.write_text_files(names, path)
+    folders = W.committed_folders(path)
+    read = W.read_files(spark, path)
+    assert 1 <= len(folders) <= 8 and read.rdd.getNumPartitions() == len(folders) and read.inputFiles() == []
+    assert {r["name"]: bytes(r["content"]).decode() for r in read.collect()} == {f"{i}.txt": str(i) for i in range(400)}
+    sizes = W.read_files(spark, path, "1?.txt", content=False).collect()
+    assert sorted((r["name"], r["size"], r["content"]) for r in sizes) == [(f"{i}.txt", 2, None) for i in range(10, 20)]
+    assert W.read_files(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_losing_attempts_are_not_read(tmp_path):
     writer = W.Writer(str(tmp_path), "run")
     for folder in ("attempt-000000-win", "attempt-000000-lost"):
