@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filingflow.operators import report as P
+from filingflow.operators.common import cut_lineage
 from filingflow.operators.registry import append_with_ids
 from filingflow.plans.catalog import register
 from filingflow.session import scratch_dir
@@ -56,9 +57,9 @@ def _items(spark, sf):
     return items.join(T.companies(spark, sf).select(F.col("id").alias("company_id"), F.col("name").alias("company")), "company_id")
 
 
-def _report_files(spark, sf):
-    parts = P.collective_report(_items(spark, sf), _files(spark, sf), AS_OF, MODEL)
-    return P.write_reports(parts, scratch_dir(spark, "reports"))
+def _report_files(spark, sf, items=None, content=True):
+    parts = P.collective_report(_items(spark, sf) if items is None else items, _files(spark, sf), AS_OF, MODEL)
+    return P.write_reports(parts, scratch_dir(spark, "reports"), content)
 
 
 _PL = """CASE report_type WHEN 'current' THEN 'Bieżący' WHEN 'quarterly' THEN 'Kwartalny'
@@ -166,13 +167,13 @@ SELECT (SELECT max(id) FROM summary_reports) + row_number() OVER (ORDER BY compa
     ("downloaded_files", "reports", "companies", "summary_reports"),
 )
 def q_append_summary_report(spark, sf):
-    files = _report_files(spark, sf)
+    items = cut_lineage(_items(spark, sf), "report-items")  # read by the reports and their counts
+    files = _report_files(spark, sf, items, content=False)
     size = files.groupBy("company").agg(F.sum("file_size").cast("bigint").alias("file_size"))
     files = _files(spark, sf).withColumn("company", F.lower("company"))
     nf = files.groupBy("company").agg(F.count(F.lit(1)).alias("document_count"))
     ov = P.collective_overview(files)
-    items = _items(spark, sf).withColumn("company", F.lower("company"))
-    nr = items.groupBy("company").agg(F.least(F.count(F.lit(1)), F.lit(5)).alias("report_count"))
+    nr = items.withColumn("company", F.lower("company")).groupBy("company").agg(F.least(F.count(F.lit(1)), F.lit(5)).alias("report_count"))
     rows = (
         size.join(nr, "company").join(nf, "company", "left").join(ov, "company", "left")
         .select(
