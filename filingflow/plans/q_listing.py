@@ -319,15 +319,11 @@ FROM r WHERE idx < 5""",
     ("reports", "companies"),
 )
 def q_listing_csv_export(spark, sf):
-    from filingflow.sources.sinks import listing_csv_export
+    from filingflow.sources.sinks import listing_csv_export, read_listing_csv
     from filingflow.session import scratch_dir
 
     frame = L.listing_frame(_scan(spark, sf))
     c = T.companies(spark, sf).select(F.col("id").alias("company_id"), F.col("name").alias("company"))
     path = scratch_dir(spark, "listing-csv")
     listing_csv_export(frame.join(c, "company_id"), path, limit=5)
-    # read back as text: every CSV column (and the partition column) stays a string
-    return spark.read.option("header", True).option("basePath", path).schema(
-        "`_c0` string, date string, title string, `report type` string, `report category` string, "
-        "`exchange rate` string, `rate change` string, link string, company string"
-    ).csv(path)
+    return read_listing_csv(spark, path)

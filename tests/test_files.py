@@ -68,6 +68,24 @@ def test_files_are_read_by_the_folders_of_their_tasks(spark, tmp_path):
     assert W.read_files(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_one_csv_file_for_each_company_in_few_folders(spark, tmp_path):
+    from filingflow.sources import sinks as S
+
+    path = str(tmp_path / "csv")
+    rows = [(f"c {i}", f"0{d}-01-2024", 1, d, f't, "{d}"' if d % 2 else None, "x", "", 1.5, None, "l") for i in range(40) for d in range(1, 8)]
+    rows += [(None, "01-01-2024", 1, 1, "none", "x", "y", 0.0, 2.0, "l")]
+    kinds = "company string, date string, page_no long, pos int, title string, `report type` string, `report category` string, `exchange rate` double, `rate change` double, link string"
+    S.listing_csv_export(spark.createDataFrame(rows, kinds), path)
+    files = [n for n in tree(path) if n.endswith(".csv")]
+    assert len(files) == 41 and len({os.path.dirname(n) for n in files}) <= 8  # a folder for each company before
+    one = next(n for n in files if n.endswith("/c 7.csv"))
+    assert (tmp_path / "csv" / one).read_text().splitlines()[:2] == [",date,title,report type,report category,exchange rate,rate change,link", '0,07-01-2024,"t, \\"7\\"",x,"",1.5,,l']
+    got = S.read_listing_csv(spark, path)
+    assert got.columns == ["_c0", *S.LISTING_COLUMNS, "company"] and got.where("company IS NULL").first()["title"] == "none"
+    mine = sorted((r["_c0"], r["date"], r["title"], r["report category"], r["exchange rate"], r["rate change"]) for r in got.where("company = 'c 7'").collect())
+    assert mine == [(str(7 - d), f"0{d}-01-2024", f't, "{d}"' if d % 2 else None, None, "1.5", None) for d in (7, 6, 5, 4, 3)]
+
+
 def test_losing_attempts_are_not_read(tmp_path):
     writer = W.Writer(str(tmp_path), "run")
     for folder in ("attempt-000000-win", "attempt-000000-lost"):
