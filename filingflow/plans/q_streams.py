@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from filingflow.operators.common import cut_lineage
 from filingflow.operators.pipeline import Pipeline
 from filingflow.plans import q_listing, q_registry  # noqa: F401  (oracles registered there)
 from filingflow.plans.catalog import ORACLES, register
@@ -12,26 +13,39 @@ from filingflow.sources import tables as T
 from filingflow.streaming import feeds
 
 
-def _land(df, name: str, files: int, order_col: str | None = None):
-    """Land a DataFrame as several parquet files and return (path, schema); with ``order_col`` one range of it after the
-    other, so that files arrive in its order."""
+def _increments(df, name: str, increments: int, order_col: str | None = None):
+    """Land a DataFrame as Parquet in several increments, each written by as many tasks as it has splits; yields (path, schema,
+    files landed so far) after each of them. With ``order_col`` an increment is one range of it, so that they arrive in its order."""
     spark = df.sparkSession
     path = scratch_dir(spark, f"landing-{name}")
+    staged = cut_lineage(df, f"staged-{name}")  # read once for the marks and once for each increment
     if order_col:
-        marks = df.approxQuantile(order_col, [i / files for i in range(1, files)], 0.01)
-        for lo, hi in zip([None, *marks], [*marks, None]):
-            c = F.col(order_col)
-            part = df.where((F.lit(True) if lo is None else c > lo) & (F.lit(True) if hi is None else c <= hi))
-            part.coalesce(1).write.mode("append").parquet(path)
+        marks = staged.approxQuantile(order_col, [i / increments for i in range(1, increments)], 0.01)
+        c = F.col(order_col)
+        parts = [
+            staged.where((F.lit(True) if lo is None else c > lo) & (F.lit(True) if hi is None else c <= hi))
+            for lo, hi in zip([None, *marks], [*marks, None])
+        ]
     else:
-        df.repartition(files).write.parquet(path)
-    return path, spark.read.parquet(path).schema
+        dealt = F.pmod(F.xxhash64(*staged.columns), F.lit(increments))
+        parts = [staged.where(dealt == i) for i in range(increments)]
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        landed = spark.read.parquet(path)
+        yield path, landed.schema, len(landed.inputFiles())
+
+
+def _land(df, name: str, files: int, order_col: str | None = None):
+    """All increments of a DataFrame landed, as (path, schema)."""
+    *_, (path, schema, _) = _increments(df, name, files, order_col)
+    return path, schema
 
 
 @register("incremental_feed")
 def q_incremental_feed(spark, sf):
-    landing, schema = _land(T.listing_pages(spark, sf), "listing", 4, "page_no")
-    out = feeds.incremental_feed(spark, landing, schema, scratch_dir(spark, "feed-sink"), scratch_dir(spark, "feed-ckpt"))
+    sink, checkpoint = scratch_dir(spark, "feed-sink"), scratch_dir(spark, "feed-ckpt")
+    for landing, schema, files in _increments(T.listing_pages(spark, sf), "listing", 4, "page_no"):
+        out = feeds.incremental_feed(spark, landing, schema, sink, checkpoint, files)  # an increment is one batch
     return out.select("company_id", "page_no", "pos", "date", "title", "report_type", "report_category", "rate_change", "exchange_rate", "link")
 
 
@@ -47,8 +61,9 @@ WHERE id IN (SELECT min(id) FROM file_arrivals GROUP BY md5_hash)""",
 )
 def q_streaming_registry(spark, sf):
     arr = T.file_arrivals(spark, sf).drop("text", "n_pages", "pages")
-    landing, schema = _land(arr, "arrivals", 4, "id")
-    reg = feeds.streaming_registry(spark, landing, schema, scratch_dir(spark, "registry"), scratch_dir(spark, "registry-ckpt"))
+    registry, checkpoint = scratch_dir(spark, "registry"), scratch_dir(spark, "registry-ckpt")
+    for landing, schema, files in _increments(arr, "arrivals", 4, "id"):
+        reg = feeds.streaming_registry(spark, landing, schema, registry, checkpoint, files)  # an increment is one batch
     return reg.select("id", "arrival_id", "md5_hash", "file_size")
 
 
@@ -67,8 +82,9 @@ def q_execution_pairing(spark, sf):
         F.lit(None).cast("string").alias("start_status"), F.col("status").alias("end_status"), "finished_at",
         "reports_found", "documents_processed", "summary_report_id", "error_message", "log_file_path", F.lit(True).alias("is_end"),
     )
-    landing, schema = _land(starts.unionByName(ends), "exec-events", 4)
-    st = feeds.execution_pairing(spark, landing, schema, scratch_dir(spark, "exec-state"), scratch_dir(spark, "exec-ckpt"))
+    sink, checkpoint = scratch_dir(spark, "exec-state"), scratch_dir(spark, "exec-ckpt")
+    for landing, schema, files in _increments(starts.unionByName(ends), "exec-events", 4):
+        st = feeds.execution_pairing(spark, landing, schema, sink, checkpoint, files)  # an increment is one batch
     from filingflow.functions.text import micros_between
 
     secs = F.floor(micros_between(F.col("started_at"), F.col("finished_at")) / F.lit(1000000)).cast("int")
@@ -109,9 +125,9 @@ UNION ALL SELECT company_id, link, TRUE FROM reports WHERE NOT ({_BAD_PAGE})""",
 )
 def q_feed_rejects(spark, sf):
     """R1 over pages with malformed items: what the feed kept in each of its two sinks."""
-    landing, schema = _land(_pages_with_malformed(spark, sf), "listing-bad", 3, "page_no")
-    sink = scratch_dir(spark, "feed-sink")
-    good = feeds.incremental_feed(spark, landing, schema, sink, scratch_dir(spark, "feed-ckpt"))
+    sink, checkpoint = scratch_dir(spark, "feed-sink"), scratch_dir(spark, "feed-ckpt")
+    for landing, schema, files in _increments(_pages_with_malformed(spark, sf), "listing-bad", 3, "page_no"):
+        good = feeds.incremental_feed(spark, landing, schema, sink, checkpoint, files)
     bad = feeds.read_batches(spark, f"{sink}-rejects")
     rows = [df.select("company_id", "link", F.lit(ok).alias("accepted")) for df, ok in ((good, True), (bad, False))]
     return rows[0].unionByName(rows[1])

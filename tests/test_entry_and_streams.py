@@ -182,6 +182,24 @@ def test_streams_restart_on_unchanged_input(spark):
     assert feeds.execution_pairing(spark, empty, schema, scratch_dir(spark, "t-none-s"), scratch_dir(spark, "t-none-c")).collect() == []
 
 
+def test_an_increment_is_landed_by_several_tasks_and_drained_as_one_batch(spark):
+    from filingflow.plans import q_streams
+    from filingflow.session import scratch_dir
+    from filingflow.streaming import feeds
+
+    kinds = "id long, company string, file_name string, file_type string, file_size long, md5_hash string"
+    rows = spark.createDataFrame([(i, "c", f"f{i}", "pdf", 1, f"m{i % 70}" if i % 5 else None) for i in range(400)], kinds).repartition(6)
+    reg, ckpt, landed, batches = scratch_dir(spark, "t-inc"), scratch_dir(spark, "t-inc-ckpt"), [0], set()
+    for landing, schema, files in q_streams._increments(rows, "t-inc", 4, "id"):
+        landed.append(files)
+        got = feeds.streaming_registry(spark, landing, schema, reg, ckpt, files).collect()
+        batches |= {r["batch_id"] for r in got}
+    assert min(b - a for a, b in zip(landed, landed[1:])) > 1  # one file, so one task, for each increment before
+    assert spark.read.parquet(landing).count() == 400 and batches == {0}
+    want = sorted(next(i for i in range(400) if i % 5 and i % 70 == m) for m in range(70) if m % 5)
+    assert [r["arrival_id"] for r in sorted(got, key=lambda r: r["id"])] == want
+
+
 def test_python_workers_find_the_package_from_another_folder(tmp_path):
     import os
     import subprocess
