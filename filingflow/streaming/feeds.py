@@ -161,11 +161,15 @@ EXECUTION_SCHEMA = (
     "reports_found int, documents_processed int, summary_report_id long, error_message string, log_file_path string, is_end boolean"
 )
 # What is known of a run: its start and its end, null if that is yet to come.
-RUN_FIELDS = (
-    "start struct<job_name: string, started_at: timestamp_ntz, start_status: string>, "
-    "end struct<end_status: string, finished_at: timestamp_ntz, reports_found: int, documents_processed: int, "
+_START = "struct<job_name: string, started_at: timestamp_ntz, start_status: string>"
+_END = (
+    "struct<end_status: string, finished_at: timestamp_ntz, reports_found: int, documents_processed: int, "
     "summary_report_id: bigint, error_message: string, log_file_path: string>"
 )
+RUN_FIELDS = f"run_id string, start {_START}, end {_END}"
+# Runs are kept in buckets of their ids, one row of state for each; the number belongs to a checkpoint, like its schema.
+RUN_BUCKETS = 1024
+BUCKET_STATE = f"runs array<struct<run_id: string, start: {_START}, end: {_END}, until: bigint>>"
 
 
 def _nulls_first(at, fields: tuple) -> tuple:
@@ -174,29 +178,50 @@ def _nulls_first(at, fields: tuple) -> tuple:
 
 
 def _open_runs(patience_ms: int):
-    """Keeps an execution id in the state from its first event until both its start and its end are there.
+    """Keeps an execution id in the state of its bucket from its first event until both its start and its end are there.
 
-    An end without a start waits ``patience_ms`` for it, then it is emitted as it is: the start never came, or the run was
-    closed before and this is another end of it. So the state holds the open runs and what came within that time.
+    An end without a start waits ``patience_ms`` for it (``until``, the time of the batch it stops waiting at), then it is emitted as
+    it is: the start never came, or the run was closed before and this is another end of it. So the state holds the open
+    runs and what came within that time. A call to Python, a frame and a row of state are for a bucket, not for a run.
     """
 
+    def first(a: tuple | None, b: tuple) -> bool:
+        return a is None or _nulls_first(b[1], b) < _nulls_first(a[1], a)
+
+    def last(a: tuple | None, b: tuple) -> bool:
+        return a is None or _nulls_first(b[1], b) > _nulls_first(a[1], a)
+
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end = (x and tuple(x) for x in (state.get if state.exists else (None, None)))
-        if not state.hasTimedOut:
-            for events in batches:
-                # an event comes as a dict or a row, as this Spark's Arrow setting has it
-                starts, ends = ([tuple(x[f] for f in fields) for x in events[c] if x is not None] for c, fields in (("start", START_COLS), ("end", END_COLS)))
-                start = min([start, *starts] if start else starts, key=lambda s: _nulls_first(s[1], s), default=None)
-                end = max([end, *ends] if end else ends, key=lambda e: _nulls_first(e[1], e), default=end)
-        if end and (start or state.hasTimedOut):
-            if state.exists:
-                state.remove()
-            named = [x and dict(zip(fields, x)) for x, fields in ((start, START_COLS), (end, END_COLS))]
-            yield pd.DataFrame({"run_id": [key[0]], "start": [named[0]], "end": [named[1]]})
-        elif start or end:
-            state.update((start, end))
-            if end:
-                state.setTimeoutDuration(patience_ms)
+        now = state.getCurrentProcessingTimeMs()
+        held = {r[0]: (r[1] and tuple(r[1]), r[2] and tuple(r[2]), r[3]) for r in state.get[0]} if state.exists else {}
+        came: dict[str | None, list] = {}
+        for events in () if state.hasTimedOut else batches:
+            # an event comes as a dict or a row, as this Spark's Arrow setting has it
+            for run_id, start, end in zip(events["run_id"], events["start"], events["end"]):
+                one = came.get(run_id) or came.setdefault(run_id, list(held.pop(run_id, (None, None)))[:2])
+                if start is not None and first(one[0], start := tuple(start[f] for f in START_COLS)):
+                    one[0] = start
+                if end is not None and last(one[1], end := tuple(end[f] for f in END_COLS)):
+                    one[1] = end
+        done = [(run_id, start, end) for run_id, (start, end, until) in held.items() if until is not None and until <= now]
+        for run_id, _, _ in done:
+            del held[run_id]
+        for run_id, (start, end) in came.items():
+            if start and end:
+                done.append((run_id, start, end))
+            elif start or end:
+                held[run_id] = (start, end, now + patience_ms if end else None)
+        if held:
+            state.update(([(run_id, *kept) for run_id, kept in held.items()],))
+            waits = [kept[2] for kept in held.values() if kept[2] is not None]
+            if waits:
+                state.setTimeoutDuration(max(1, min(waits) - now))
+        elif state.exists:
+            state.remove()
+        if done:
+            ids, starts, ends = zip(*done)
+            named = {c: [x and dict(zip(fields, x)) for x in side] for c, side, fields in (("start", starts, START_COLS), ("end", ends, END_COLS))}
+            yield pd.DataFrame({"run_id": ids, **named})
 
     return run
 
@@ -211,7 +236,7 @@ def open_executions(spark: SparkSession, checkpoint: str) -> DataFrame:
     if not path_exists(spark, f"{checkpoint}/state/0"):
         return spark.createDataFrame([], EXECUTION_SCHEMA)
     state = spark.read.format("statestore").load(checkpoint)
-    return _flat(state.select("key", "value.groupState.*"), F.col("key.run_id"))
+    return _flat(state.select(F.explode("value.groupState.runs").alias("r")).select("r.*"), F.col("run_id"))
 
 
 def execution_pairing(
@@ -220,7 +245,7 @@ def execution_pairing(
     """Start and end events of executions (one stream, ``is_end`` flag), one row per execution id: its first start and
     its latest end, null where there is none.
 
-    Keyed state holds a run only while it is open (``_open_runs``). A run that closes is written once to ``sink``, each batch to
+    Keyed state, in ``RUN_BUCKETS`` buckets of ids, holds a run only while it is open (``_open_runs``). A run that closes is written once to ``sink``, each batch to
     a folder of its own, so a batch that is run again replaces what it wrote. The result is the closed runs and the state; no
     event is read a second time. They are folded by id once more for ends that came after their run was closed and for
     events that were landed again. An event without an execution id belongs to one run of its own, of the null id.
@@ -229,8 +254,9 @@ def execution_pairing(
     start = F.when(F.col("start_status").isNotNull(), F.struct(*START_COLS))
     end = F.when(F.col("is_end"), F.struct(*END_COLS))
     # ids as text: pandas has no whole numbers with nulls among them
-    runs = events.select(F.col("execution_id").cast("string").alias("run_id"), start.alias("start"), end.alias("end")).groupBy("run_id")
-    closed = runs.applyInPandasWithState(_open_runs(patience_ms), f"run_id string, {RUN_FIELDS}", RUN_FIELDS, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    bucket = F.pmod(F.xxhash64("execution_id"), F.lit(RUN_BUCKETS)).cast("int")
+    runs = events.select(bucket.alias("bucket"), F.col("execution_id").cast("string").alias("run_id"), start.alias("start"), end.alias("end")).groupBy("bucket")
+    closed = runs.applyInPandasWithState(_open_runs(patience_ms), RUN_FIELDS, BUCKET_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         _flat(batch, F.col("run_id")).write.mode("overwrite").parquet(f"{sink}/batch={batch_id:08d}")

@@ -364,3 +364,23 @@ def test_a_batch_of_executions_that_died_is_written_once(spark, monkeypatch):
     got = feeds.execution_pairing(spark, landing, schema, sink, ckpt).collect()
     assert sorted((r["execution_id"], r["is_end"]) for r in got) == [(i, i < 6) for i in range(9)]
     assert spark.read.parquet(sink).count() == 6
+
+
+def test_open_executions_share_a_row_of_state(spark, monkeypatch):
+    from filingflow.session import scratch_dir
+    from filingflow.streaming import feeds
+
+    monkeypatch.setattr(feeds, "RUN_BUCKETS", 8, raising=False)
+    landing, sink, ckpt = scratch_dir(spark, "t-share"), scratch_dir(spark, "t-share-sink"), scratch_dir(spark, "t-share-ckpt")
+    schema = spark.createDataFrame([], EXECUTION_EVENTS).schema
+    _events(spark, landing, *[(i, i % 7) for i in range(300)], *[(i, 9, "success") for i in range(200)], (None, 3))
+    got = feeds.execution_pairing(spark, landing, schema, sink, ckpt).collect()
+    assert {r["execution_id"]: (r["started_at"].minute, r["end_status"]) for r in got} == {
+        i: (3 if i is None else i % 7, "success" if i is not None and i < 200 else None) for i in [None, *range(300)]
+    }
+    assert {r["execution_id"] for r in feeds.open_executions(spark, ckpt).collect()} == {None, *range(200, 300)}
+    assert spark.read.format("statestore").load(ckpt).count() <= 8  # a row, and a call to Python, for each open run before
+    _events(spark, landing, *[(i, 9, "late") for i in range(200, 300)], (None, 4, "late"))
+    got = feeds.execution_pairing(spark, landing, schema, sink, ckpt).collect()
+    assert len(got) == 301 and all(r["is_end"] for r in got)
+    assert spark.read.format("statestore").load(ckpt).count() == 0
