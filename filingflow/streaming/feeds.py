@@ -163,9 +163,10 @@ EXECUTION_SCHEMA = (
 # What is known of a run: its start and its end, null if that is yet to come.
 _START = "struct<job_name: string, started_at: timestamp_ntz, start_status: string>"
 _END = (
-    "struct<end_status: string, finished_at: timestamp_ntz, reports_found: int, documents_processed: int, "
-    "summary_report_id: bigint, error_message: string, log_file_path: string>"
+    "struct<end_status: string, finished_at: timestamp_ntz, reports_found: string, documents_processed: string, "
+    "summary_report_id: string, error_message: string, log_file_path: string>"
 )
+NUMBERS = {"reports_found": "int", "documents_processed": "int", "summary_report_id": "long"}  # go as text: pandas has no whole numbers with nulls
 RUN_FIELDS = f"run_id string, start {_START}, end {_END}"
 # Runs are kept in buckets of their ids, one row of state for each; the number belongs to a checkpoint, like its schema.
 RUN_BUCKETS = 1024
@@ -188,8 +189,14 @@ def _open_runs(patience_ms: int):
     def first(a: tuple | None, b: tuple) -> bool:
         return a is None or _nulls_first(b[1], b) < _nulls_first(a[1], a)
 
+    def rank(end: tuple) -> tuple:
+        return _nulls_first(end[1], tuple(int(v) if f in NUMBERS and v is not None else v for f, v in zip(END_COLS, end)))
+
     def last(a: tuple | None, b: tuple) -> bool:
-        return a is None or _nulls_first(b[1], b) > _nulls_first(a[1], a)
+        return a is None or rank(b) > rank(a)
+
+    def fields_of(x, fields: list[str]) -> tuple:
+        return tuple(v if v == v else None for v in (x[f] for f in fields))  # no NaT
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentProcessingTimeMs()
@@ -199,9 +206,9 @@ def _open_runs(patience_ms: int):
             # an event comes as a dict or a row, as this Spark's Arrow setting has it
             for run_id, start, end in zip(events["run_id"], events["start"], events["end"]):
                 one = came.get(run_id) or came.setdefault(run_id, list(held.pop(run_id, (None, None)))[:2])
-                if start is not None and first(one[0], start := tuple(start[f] for f in START_COLS)):
+                if start is not None and first(one[0], start := fields_of(start, START_COLS)):
                     one[0] = start
-                if end is not None and last(one[1], end := tuple(end[f] for f in END_COLS)):
+                if end is not None and last(one[1], end := fields_of(end, END_COLS)):
                     one[1] = end
         done = [(run_id, start, end) for run_id, (start, end, until) in held.items() if until is not None and until <= now]
         for run_id, _, _ in done:
@@ -227,7 +234,7 @@ def _open_runs(patience_ms: int):
 
 
 def _flat(runs: DataFrame, run_id: Column) -> DataFrame:
-    fields = [F.col(f"start.{c}").alias(c) for c in START_COLS] + [F.col(f"end.{c}").alias(c) for c in END_COLS]
+    fields = [F.col(f"start.{c}").alias(c) for c in START_COLS] + [F.col(f"end.{c}").cast(NUMBERS.get(c, "timestamp_ntz" if c == "finished_at" else "string")).alias(c) for c in END_COLS]
     return runs.select(run_id.cast("long").alias("execution_id"), *fields, F.col("end").isNotNull().alias("is_end"))
 
 
@@ -252,8 +259,7 @@ def execution_pairing(
     """
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
     start = F.when(F.col("start_status").isNotNull(), F.struct(*START_COLS))
-    end = F.when(F.col("is_end"), F.struct(*END_COLS))
-    # ids as text: pandas has no whole numbers with nulls among them
+    end = F.when(F.col("is_end"), F.struct(*[F.col(c).cast("string").alias(c) if c in NUMBERS else F.col(c) for c in END_COLS]))
     bucket = F.pmod(F.xxhash64("execution_id"), F.lit(RUN_BUCKETS)).cast("int")
     runs = events.select(bucket.alias("bucket"), F.col("execution_id").cast("string").alias("run_id"), start.alias("start"), end.alias("end")).groupBy("bucket")
     closed = runs.applyInPandasWithState(_open_runs(patience_ms), RUN_FIELDS, BUCKET_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -383,4 +383,10 @@ def test_open_executions_share_a_row_of_state(spark, monkeypatch):
     _events(spark, landing, *[(i, 9, "late") for i in range(200, 300)], (None, 4, "late"))
     got = feeds.execution_pairing(spark, landing, schema, sink, ckpt).collect()
     assert len(got) == 301 and all(r["is_end"] for r in got)
+    assert {(r["reports_found"], r["documents_processed"]) for r in got} == {(1, 2)}
+    _events(spark, landing, *[(i, 9, "first") for i in range(400, 500)], *[(i, 1) for i in range(500, 600)])  # held next to each other
+    feeds.execution_pairing(spark, landing, schema, sink, ckpt)
+    _events(spark, landing, *[(i, 1) for i in range(400, 500)], *[(i, 9, "then") for i in range(500, 600)])
+    got = [r for r in feeds.execution_pairing(spark, landing, schema, sink, ckpt).collect() if (r["execution_id"] or 0) >= 400]
+    assert len(got) == 200 and {(r["reports_found"], r["documents_processed"], r["finished_at"].minute) for r in got} == {(1, 2, 9)}
     assert spark.read.format("statestore").load(ckpt).count() == 0
