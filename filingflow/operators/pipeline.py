@@ -44,7 +44,7 @@ def condense_files(files: DataFrame, model: str, chunk_size: int = 2000) -> Data
     pts = emb.select(F.col("id").alias("grp"), F.col("chunk_no").cast("bigint").alias("pid"), "vec")
     clustered = D.kmeans_per_group(pts, ok.select(F.col("id").alias("grp"), "k"))
     reps = D.unique_picks(D.distances_of_clustering(clustered))
-    reps = reps.join(ok_chunks.select(F.col("id").alias("grp"), F.col("chunk_no").cast("bigint").alias("pid"), "chunk"), ["grp", "pid"])
+    reps = reps.join(emb.select(F.col("id").alias("grp"), F.col("chunk_no").cast("bigint").alias("pid"), "chunk"), ["grp", "pid"])
     prompts = D.build_prompts(reps).withColumnRenamed("grp", "id").join(ok.select("id", "company", "file_name", "n_pages", "budget"), "id")
     summed = D.summarise(prompts, model).select(
         "id", "company", "file_name", "summary", F.lit(None).cast("string").alias("error")
@@ -82,6 +82,7 @@ class Pipeline:
     def files(self) -> DataFrame:
         """The registry's files after the run, summaries attached."""
         registry = R.register_files(T.downloaded_files(self.spark, self.sf_dir).limit(0), self.arrivals.drop("text", "n_pages", "pages"))
+        registry = cut_lineage(registry, "registry")  # read by the match and by the update
         stored = self.condensed.where(F.col("summary").isNotNull())
         att = R.attach_summaries(registry, stored.select("id", "company", "file_name", "summary"))
         changes = att.where(F.col("new_summary").isNotNull()).select("id", F.col("new_summary").alias("summary_text"), F.col("id").alias("change_no"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
-from filingflow.operators.common import dense_ids, lower_key
+from filingflow.operators.common import cut_lineage, dense_ids, lower_key
 from filingflow.sources.tables import first_arrival_per_md5
 
 
@@ -56,7 +56,9 @@ def resolve_company(feed: DataFrame, companies: DataFrame, name_col: str = "comp
 def append_reports(reports: DataFrame, normalised: DataFrame, order_cols: list[str]) -> DataFrame:
     """Normalised feed rows appended with new ids; no de-duplication."""
     cols = ["company_id", "date", "title", "report_type", "report_category", "rate_change", "exchange_rate", "link"]
-    added = append_with_ids(reports, normalised.select(*cols, *[c for c in order_cols if c not in cols]), order_cols)
+    # the numbering reads the rows several times: the pages behind them are scanned once
+    rows = cut_lineage(normalised.select(*cols, *[c for c in order_cols if c not in cols]), "normalised")
+    added = append_with_ids(reports, rows, order_cols)
     return reports.select("id", *cols).unionByName(added.select("id", *cols))
 
 
@@ -80,7 +82,8 @@ FILE_COLS = ["id", "company", "report_id", "file_name", "file_type", "file_size"
 def register_files(registry: DataFrame, arrivals: DataFrame) -> DataFrame:
     """W3 then J4 then append (new ids in arrival order). Idempotent."""
     fresh = new_files_only(first_arrival_dedup(arrivals), registry)
-    fresh = fresh.withColumnRenamed("id", "arrival_id")
+    # the arrivals are read once for the numbering and the rows
+    fresh = cut_lineage(fresh.withColumnRenamed("id", "arrival_id"), "fresh-files")
     added = append_with_ids(registry, fresh, ["arrival_id"]).select(
         "id", "company", "report_id", "file_name", "file_type", F.col("file_size").cast("bigint").alias("file_size"),
         "md5_hash", F.lit(False).alias("is_summarized"), F.lit(None).cast("string").alias("summary_text"),

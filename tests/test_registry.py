@@ -150,3 +150,18 @@ def test_upsert_keeps_untouched_jobs_and_all_columns(spark):
     assert tuple(got["b"]) == (2, "b", None, None, 7, t, t, 4, None, "x")
     assert tuple(got["a"]) == (1, "a", "newest", "1 * * * *", None, t, t, 3, now, "keep")
     assert tuple(got["z"]) == (3, "z", None, None, None, None, now, 0, now, None)
+
+
+def test_appended_rows_and_new_files_are_computed_once(spark):
+    feed = spark.createDataFrame([(1, 0, i) for i in range(5)], "company_id long, page_no long, pos int")
+    feed = feed.mapInArrow(lambda batches: batches, feed.schema)
+    cols = {"date": "date", "title": "string", "report_type": "string", "report_category": "string", "rate_change": "double", "exchange_rate": "double", "link": "string"}
+    feed = feed.withColumns({c: F.lit(None).cast(t) for c, t in cols.items()})
+    state = feed.select(F.lit(7).cast("bigint").alias("id"), "company_id", *cols).limit(1)
+    state = spark.createDataFrame(state.collect(), state.schema)
+    out = R.append_reports(state, feed, ["company_id", "page_no", "pos"])
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()  # the pages were scanned for each reader before
+    assert sorted(r["id"] for r in out.collect()) == [7, 8, 9, 10, 11, 12]
+    arr = T.file_arrivals(spark, SF_SMALL).drop("text", "n_pages", "pages")
+    out = R.register_files(T.downloaded_files(spark, SF_SMALL).limit(0), arr)
+    assert "md5(" not in out._jdf.queryExecution().optimizedPlan().toString()
