@@ -1,7 +1,7 @@
 """Document condensation: S3, D1-D9, W5, W4 — chunk -> embed -> per-document k-means ->
 representative chunks -> prompt -> summary, over whole tables of documents.
 
-* Chunking (D1) is a per-row Python helper (an Arrow-batched pandas UDF): the recursive
+* Chunking (D1) is a per-row Python helper (an Arrow UDF): the recursive
   separator splitter has no compact native form. Pages are split one by one.
 * Embedding (D5) is a distributed randomised SVD of TF-IDF (``operators.embedding``).
 * K-means per document (D6) is one Arrow pass over points dealt by document; centres, assignments
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -71,14 +72,38 @@ def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
     return out
 
 
+def _packed(text: str, sep: str, size: int, rest: tuple[str, ...]) -> list[str]:
+    """What ``_merge`` makes of the pieces of ``text`` (without overlap), cut where the separators stand instead of piece by piece."""
+    if not sep:
+        return [c for at in range(0, len(text), size) if (c := text[at : at + size].strip())]
+    out: list[str] = []
+    at, n = 0, len(text)
+    while at < n:
+        end = n if n - at <= size else text.rfind(sep, at + 1, at + size + 1)
+        if end < 0 or end - at >= size and text.find(sep, at + 1, end) < 0:  # a piece that is too long by itself
+            end = end if end >= 0 else text.find(sep, at + 1)
+            end = end if end >= 0 else n
+            piece = text[at:end]
+            out.extend(split_text(piece, size, 0, rest) if rest else [piece])
+        elif chunk := text[at:end].strip():
+            out.append(chunk)
+        at = end
+    return out
+
+
 def split_text(text: str, size: int = 2000, overlap: int = 0, seps: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Recursive character splitting — the first separator present splits the text; short
     pieces are packed greedily, pieces still too long are split again with the next separator."""
+    if len(text) < size:  # all pieces are packed into one chunk
+        whole = text.strip()
+        return [whole] if whole else []
     sep, rest = seps[-1], ()
     for i, s in enumerate(seps):
         if s == "" or s in text:
             sep, rest = s, (seps[i + 1 :] if s != "" else ())
             break
+    if not overlap and (len(sep) == 1 or sep == "" and size > 1):
+        return _packed(text, sep, size, rest)
     out: list[str] = []
     good: list[str] = []
     for piece in _pieces(text, sep):
@@ -94,13 +119,29 @@ def split_text(text: str, size: int = 2000, overlap: int = 0, seps: tuple[str, .
     return out
 
 
+CHUNK_CHARS = 1 << 20  # characters of chunks that a task holds as Python strings
+
+
 def chunk_column(pages: Column, size: int = 2000, overlap: int = 0) -> Column:
     """D1 as a column: the chunks of an ARRAY<STRING> of pages, each page split by itself, in page order
-    (Arrow-batched pandas UDF; a chunk never crosses a page)."""
-
-    @F.pandas_udf("array<string>")
-    def _chunks(docs: pd.Series) -> pd.Series:
-        return docs.map(lambda d: [c for page in (d if d is not None else ()) for c in split_text(page or "", size, overlap)])
+    (an Arrow UDF that takes a document at a time; a chunk never crosses a page)."""
+
+    @F.arrow_udf("array<string>")
+    def _chunks(docs: pa.Array) -> pa.Array:
+        docs = docs.combine_chunks() if isinstance(docs, pa.ChunkedArray) else docs
+        flat, at = docs.flatten(), 0
+        done, held, chars, counts = [pa.array([], pa.string())], [], 0, [0]
+        for n in docs.value_lengths().fill_null(0).to_pylist():
+            found = [c for page in flat.slice(at, n).to_pylist() for c in split_text(page or "", size, overlap)]
+            at += n
+            held += found
+            counts.append(len(found))
+            chars += sum(map(len, found))
+            if chars >= CHUNK_CHARS:
+                done.append(pa.array(held, pa.string()))
+                held, chars = [], 0
+        done.append(pa.array(held, pa.string()))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.concat_arrays(done))
 
     return _chunks(pages)
 
@@ -189,6 +230,7 @@ def _means(assigned: DataFrame) -> DataFrame:
 
 KMEANS_STARTS = 3  # seedings of a group, the one that ends with the least inertia stays
 KMEANS_SEED = 42
+SMALL_GROUP = 256  # points whose differences from all centres are held at once
 
 
 def _spread_start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -218,7 +260,10 @@ def _lloyd(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     k, lab, best = len(c), None, np.inf
     while True:
-        d = np.stack([((x - c[j]) ** 2).sum(axis=1) for j in range(k)], axis=1)
+        if len(x) <= SMALL_GROUP:  # the same sums in one step
+            d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
+        else:
+            d = np.stack([((x - c[j]) ** 2).sum(axis=1) for j in range(k)], axis=1)
         new, total = d.argmin(axis=1), d.min(axis=1).sum()
         if lab is not None and (np.array_equal(new, lab) or total >= best):
             return c, d
@@ -230,37 +275,63 @@ def _lloyd(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def kmeans(x: np.ndarray, k: int, group: int) -> tuple[np.ndarray, np.ndarray]:
     """The best of ``KMEANS_STARTS`` seeded runs; draws depend on the group's number alone, so reruns agree."""
-    runs = [_lloyd(x, _spread_start(x, k, np.random.default_rng([KMEANS_SEED, group % (1 << 64), i]))) for i in range(KMEANS_STARTS if k > 1 else 1)]
+    if k == 1:  # any start ends in the mean
+        c = x.mean(axis=0, keepdims=True)
+        return c, ((x - c) ** 2).sum(axis=1, keepdims=True)
+    runs = [_lloyd(x, _spread_start(x, k, np.random.default_rng([KMEANS_SEED, group % (1 << 64), i]))) for i in range(KMEANS_STARTS)]
     return min(runs, key=lambda r: r[1].min(axis=1).sum())
 
 
 _KMEANS = "grp long, pid long, cluster int, dist double, dists array<double>, center array<double>"
 
 
-def _kmeans_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _kmeans_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive dealt by group and sorted by (grp, pid); a group cut by a batch's end is carried into the next."""
-    carry = None
-    for pdf in batches:
-        pdf = pd.concat([carry, pdf], ignore_index=True) if carry is not None else pdf
-        if len(pdf):
-            last = pdf["grp"].iloc[-1]
-            carry = pdf[pdf["grp"] == last]
-            if len(carry) < len(pdf):
-                yield _cluster_frame(pdf[pdf["grp"] != last])
-    if carry is not None and len(carry):
-        yield _cluster_frame(carry)
-
-
-def _cluster_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for g, part in pdf.groupby("grp", sort=False):
-        k = int(part["k"].iloc[0])
-        c, d = kmeans(np.stack(part["vec"].to_numpy()).astype(np.float64), k, int(g))
-        near = d.argmin(axis=1)
-        out += [(g, p, j, row[j], row, None) for p, j, row in zip(part["pid"], near, d)]
-        out += [(g, None, j, None, None, c[j]) for j in range(k)]
-    frame = pd.DataFrame(out, columns=["grp", "pid", "cluster", "dist", "dists", "center"])
-    return frame.astype({"grp": "int64", "pid": "Int64", "cluster": "int32"})
+    carry: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        grp = batch["grp"].to_numpy()
+        last = int(np.searchsorted(grp, grp[-1]))  # where the last group begins
+        if last or carry and carry[-1]["grp"][0].as_py() != grp[0]:
+            yield _cluster_rows([*carry, batch.slice(0, last)])
+            carry = []
+        carry.append(batch.slice(last))
+    if carry:
+        yield _cluster_rows(carry)
+
+
+def _cluster_rows(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The points and then the centres of every group of ``parts``, which holds whole groups."""
+    t = pa.Table.from_batches(parts).combine_chunks()
+    n, grp, ks, vec = t.num_rows, t["grp"].to_numpy(), t["k"].to_numpy(), t["vec"].combine_chunks()
+    if vec.null_count or len(set(vec.value_lengths().to_pylist())) != 1:
+        raise ValueError("all vectors of a clustering need one length")
+    x = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    first = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+    near, dist, dists, centers, k = np.zeros(n, np.int32), np.zeros(n), [], [], ks[first]
+    for a, b, of in zip(first, [*first[1:], n], k):
+        c, d = kmeans(x[a:b], int(of), int(grp[a]))
+        near[a:b] = d.argmin(axis=1)
+        dist[a:b] = d[np.arange(b - a), near[a:b]]
+        dists.append(d.ravel())
+        centers.append(c.ravel())
+    m, width = int(k.sum()), x.shape[1]
+    point, center = np.r_[np.zeros(n, bool), np.ones(m, bool)], np.r_[np.ones(n, bool), np.zeros(m, bool)]
+    lists = lambda sizes, values, null: pa.ListArray.from_arrays(
+        pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(values), pa.float64()), mask=pa.array(null)
+    )
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.r_[grp, np.repeat(grp[first], k)], pa.int64()),
+            pa.concat_arrays([t["pid"].combine_chunks().cast(pa.int64()), pa.nulls(m, pa.int64())]),
+            pa.array(np.r_[near, np.arange(m) - np.repeat(np.cumsum(k) - k, k)], pa.int32()),
+            pa.array(np.r_[dist, np.zeros(m)], pa.float64(), mask=point),
+            lists(np.r_[ks, np.zeros(m, ks.dtype)], dists, point),
+            lists(np.r_[np.zeros(n, np.int64), np.full(m, width)], centers, center),
+        ],
+        names=["grp", "pid", "cluster", "dist", "dists", "center"],
+    )
 
 
 def kmeans_per_group(points: DataFrame, k: DataFrame) -> DataFrame:
@@ -273,7 +344,7 @@ def kmeans_per_group(points: DataFrame, k: DataFrame) -> DataFrame:
     """
     sizes = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).join(k.select("grp", "k"), "grp").where("n >= k")
     pts = points.select("grp", "pid", F.col("vec").cast("array<double>").alias("vec")).join(sizes.select("grp", "k"), "grp")
-    return pts.repartition("grp").sortWithinPartitions("grp", "pid").mapInPandas(_kmeans_batches, _KMEANS)
+    return pts.repartition("grp").sortWithinPartitions("grp", "pid").mapInArrow(_kmeans_batches, _KMEANS)
 
 
 # ----------------------------------------------------------------------------- D7 / W5 representatives

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from filingflow.operators.common import cut_lineage
 
-SLICE = 1 << 16  # weights multiplied at a time
+SLICE = 1 << 16  # weights added up at a time
+PIECE = 1 << 12  # of those, multiplied at a time: few enough to stay in a core's cache
 
 
 @dataclass(frozen=True)
@@ -68,10 +69,15 @@ class Rows:
 
     @staticmethod
     def _add(out: np.ndarray, to: np.ndarray, source: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> None:
-        for at in range(0, len(to), SLICE):
-            some = slice(at, at + SLICE)
-            first = np.flatnonzero(np.r_[True, to[some][1:] != to[some][:-1]])
-            out[to[some][first]] += np.add.reduceat(weight[some, None] * basis[source[some]], first, axis=0)
+        for begin in range(0, len(to), SLICE):
+            end = min(begin + SLICE, len(to))
+            first = begin + np.flatnonzero(np.r_[True, to[begin + 1 : end] != to[begin : end - 1]])
+            at = 0
+            while at < len(first):  # a row's part of the slice is one sum, however the slice is cut
+                stop = max(at + 1, int(np.searchsorted(first, first[at] + PIECE)))
+                some = slice(first[at], first[stop] if stop < len(first) else end)
+                out[to[first[at:stop]]] += np.add.reduceat(weight[some, None] * basis[source[some]], first[at:stop] - first[at], axis=0)
+                at = stop
 
 
 def _gram_times(texts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -112,8 +118,8 @@ def fit(texts: DataFrame, how: Svd = Svd()) -> tuple[np.ndarray, np.ndarray]:
 def embed_texts(texts: DataFrame, text_col: str = "chunk", how: Svd = Svd()) -> DataFrame:
     """``texts`` with ``vec`` ARRAY<DOUBLE> of length one (of length zero for texts without words, and where every word is
     in every text). Fitting runs three jobs while the frame is built; only term numbers go to Python."""
-    terms = cut_lineage(texts.select(term_numbers(F.col(text_col), how.terms).alias("terms")), "term-numbers")
-    idf, vectors = fit(terms, how)
+    numbered = cut_lineage(texts.withColumn("__terms", term_numbers(F.col(text_col), how.terms)), "term-numbers")
+    idf, vectors = fit(numbered.select(F.col("__terms").alias("terms")), how)
 
     @F.arrow_udf("array<double>")
     def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -122,4 +128,4 @@ def embed_texts(texts: DataFrame, text_col: str = "chunk", how: Svd = Svd()) ->
             norm = np.sqrt((y * y).sum(axis=1, keepdims=True))
             yield pa.array(list(np.divide(y, norm, out=np.zeros_like(y), where=norm > 1e-12)), pa.list_(pa.float64()))
 
-    return texts.withColumn("vec", project(term_numbers(F.col(text_col), how.terms)))
+    return numbered.withColumn("vec", project("__terms")).drop("__terms")

@@ -207,3 +207,19 @@ def test_g_format_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r[0] for r in df.select(_g_format(F.col("v"))).collect()]
     assert got == [format(v, "g") for v in vals]
+
+
+def test_long_pages_are_cut_at_separators_not_piece_by_piece(monkeypatch):
+    text = "\n".join(" ".join("w" * (1 + (i * j) % 13) for i in range(60)) for j in range(30)) + " " + "z" * 90
+    words = D._merge(D._pieces(text.replace("\n", " "), " ")[:-1], 50, 0)
+    monkeypatch.setattr(D, "_merge", None)  # every word went through it before
+    assert D.split_text(text.replace("\n", " "), 50) == [*words, "z" * 49, "z" * 41]
+    assert max(map(len, D.split_text(text, 50))) <= 50 and D.split_text(" short\n", 50) == ["short"]
+
+
+def test_kmeans_takes_whole_arrow_batches(spark):
+    pts = spark.createDataFrame([(g, p, [float(p % 3), float(g)]) for g in range(4) for p in range(6)], "grp long, pid long, vec array<double>")
+    out = D.kmeans_per_group(pts, spark.createDataFrame([(g, 1 + g % 3) for g in range(4)], "grp long, k int"))
+    assert "MapInArrow" in out._jdf.queryExecution().toString()  # a pandas frame for each group before
+    got = out.where("pid is null").groupBy("grp").count().collect()
+    assert {(r["grp"], r["count"]) for r in got} == {(0, 1), (1, 2), (2, 3), (3, 1)}

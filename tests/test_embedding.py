@@ -90,3 +90,11 @@ def test_seeding_of_few_different_points():
     assert c.shape == (3, 2) and d.shape == (4, 3) and d.min(axis=1).max() == 0
     far = np.r_[np.zeros((50, 2)), np.full((50, 2), 9.0), np.full((2, 2), 99.0)]
     assert {tuple(r) for r in D._spread_start(far, 3, np.random.default_rng(0)).tolist()} == {(0, 0), (9, 9), (99, 99)}
+
+
+def test_texts_are_computed_once(spark):
+    docs = spark.createDataFrame([(1, ["ab cd ef", "gh ij"]), (2, ["ab kl mn"]), (3, None)], "doc_id long, pages array<string>")
+    out = D.embed_chunks(D.chunk_documents(docs))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # chunked a second time before
+    assert sorted((r["doc_id"], r["chunk_no"], r["chunk"]) for r in out.collect()) == [(1, 0, "ab cd ef"), (1, 1, "gh ij"), (2, 0, "ab kl mn")]
+    assert out.columns == ["doc_id", "chunk_no", "chunk", "vec"]
