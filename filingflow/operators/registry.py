@@ -290,11 +290,15 @@ def resolve_execution_summary(log: DataFrame, summaries: DataFrame, bucket_secon
 
 
 def execution_with_summary(log: DataFrame, summaries: DataFrame) -> DataFrame:
-    """The log with its resolved summary (FK left join)."""
+    """The log with its resolved summary (FK left join).
+
+    The found summaries meet their times before they meet the log: most runs have none, and a join of the whole log on the
+    summary's id would put all of those into the one task of the null key.
+    """
     fk = resolve_execution_summary(log, summaries)
-    j = log.select("id", "job_name", "status").join(fk, F.col("id") == F.col("execution_id"), "left").drop("execution_id")
     s = summaries.select(F.col("id").alias("__sid"), F.col("created_at").alias("summary_created_at"))
-    return j.join(s, j["summary_report_id"] == s["__sid"], "left").drop("__sid")
+    dated = fk.join(s, fk["summary_report_id"] == s["__sid"], "left").drop("__sid")
+    return log.select("id", "job_name", "status").join(dated, F.col("id") == F.col("execution_id"), "left").drop("execution_id")
 
 
 def referential_delete(companies: DataFrame, reports: DataFrame, files: DataFrame, drop_companies: DataFrame):

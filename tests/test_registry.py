@@ -165,3 +165,26 @@ def test_appended_rows_and_new_files_are_computed_once(spark):
     arr = T.file_arrivals(spark, SF_SMALL).drop("text", "n_pages", "pages")
     out = R.register_files(T.downloaded_files(spark, SF_SMALL).limit(0), arr)
     assert "md5(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_without_a_summary_do_not_meet_in_one_task(spark):
+    start = dt.datetime(2024, 1, 1)
+    log = spark.range(4000).select(
+        "id", F.lit("j").alias("job_name"), F.lit("success").alias("status"), F.lit(start).cast("timestamp_ntz").alias("started_at"),
+        F.when(F.col("id") < 2, F.lit(start + dt.timedelta(minutes=5)).cast("timestamp_ntz")).alias("finished_at"),
+    )
+    made = start + dt.timedelta(minutes=1)
+    summ = spark.createDataFrame([(10, "j", made), (10, "j", made), (11, "k", made)], "id long, job_name string, created_at timestamp_ntz")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = R.execution_with_summary(log, summ).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # a summary's id that occurs twice gives its run two rows, as the join on it always did
+    assert sorted(r["id"] for r in out) == [0, 0, 1, 1, *range(2, 4000)]
+    assert {(r["id"], r["summary_report_id"], r["summary_created_at"]) for r in out if r["id"] < 3} == {(0, 10, made), (1, 10, made), (2, None, None)}
+    tasks = [r["task"] for r in out]
+    assert max(tasks.count(t) for t in set(tasks)) < 1000  # all 3,998 were in one task before
