@@ -50,8 +50,7 @@ def split_header(h: Column) -> Column:
     def seg(i: int) -> Column:
         return ustrip(_at(parts, i))
 
-    first = seg(1)
-    date = F.when(first.contains(" "), first_token(first)).otherwise(first)
+    date = _header_date(parts)
     kept = F.slice(parts, 1, F.greatest(n, F.lit(0)))
     general = F.concat(F.array(date), F.transform(F.slice(kept, 2, F.greatest(n - 1, F.lit(0))), ustrip))
     return (
@@ -61,6 +60,17 @@ def split_header(h: Column) -> Column:
     )
 
 
+def _header_date(parts: Column) -> Column:
+    first = ustrip(_at(parts, 1))
+    return F.when(first.contains(" "), first_token(first)).otherwise(first)
+
+
+def header_date(h: Column) -> Column:
+    """The first value of ``split_header`` by itself, without the others."""
+    parts = F.split(h, r"\|")
+    return F.when(F.size(parts) > 2, _header_date(parts))
+
+
 # ----------------------------------------------------------------------------- N2 / N3 enums
 
 # Report-type spellings (lower-cased, stripped) and their registry enum.

@@ -137,19 +137,18 @@ def _strip_fraction_zeros(s: Column) -> Column:
 def _g_format(x: Column) -> Column:
     """Python ``format(v, 'g')``: six significant digits; fixed notation when the decimal exponent
     lies in [-4, 6), otherwise ``d.ddddde+XX``; trailing zeros removed. The exponent is read from
-    the value rounded to six digits; each fixed-notation precision is its own literal format."""
+    the value rounded to six digits; it gives the fixed notation's precision."""
     d = x.cast("double")
     sci = F.format_string("%.5e", d)
     exp = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int")
-    fixed = F.lit(None).cast("string")
-    for e in range(-4, 6):
-        fixed = F.when(exp == e, _strip_fraction_zeros(F.format_string(f"%.{5 - e}f", d))).otherwise(fixed)
+    digits = F.greatest(F.lit(0), F.least(F.lit(9), 5 - exp))  # one format by the exponent, not a branch for each
+    fixed = _strip_fraction_zeros(F.call_function("format_string", F.concat(F.lit("%."), digits.cast("string"), F.lit("f")), d))
     mant, ex = F.regexp_extract(sci, r"^(.*)e", 1), F.regexp_extract(sci, r"(e[+-]\d+)$", 1)
     scientific = F.concat(_strip_fraction_zeros(mant), ex)
     general = F.when(d == 0, F.lit("0")).when((exp >= -4) & (exp < 6), fixed).otherwise(scientific)
     # exact fast path: below 1e4 with at most two decimals the value has at most six significant
     # digits, so its two-decimal text without trailing zeros is already the 'g' text
-    short = F.regexp_replace(F.regexp_replace(d.cast("decimal(20,2)").cast("string"), r"0+$", ""), r"\.$", "")
+    short = F.rtrim(F.rtrim(d.cast("decimal(20,2)").cast("string"), F.lit("0")), F.lit("."))  # the text always has a point
     out = F.when((F.abs(d) < 1e4) & (F.bround(d, 2) == d), short).otherwise(general)
     return F.when(out == "-0", F.lit("0")).otherwise(out)
 

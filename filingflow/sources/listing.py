@@ -6,13 +6,15 @@ items; everything after that is native. Tags inside attributes, comments and raw
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from html import unescape
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingflow.functions import text as X
-from filingflow.functions.html import attributes, scan_pages, tokens
+from filingflow.functions.html import ESCAPABLE_RAW_TEXT, RAW_TEXT, Token, attributes, scan_pages, tokens
 from filingflow.functions.text import _at
 from filingflow.sources.tables import ATTACHMENT_BASE, LISTING_BASE
 
@@ -63,12 +65,11 @@ class _Element:
         return self.found
 
 
-def listing_rows(html: str) -> list[tuple]:
-    """(pos, *ITEM_FIELDS) of every ``<li>`` of a listing page; a part that is missing is empty. The next item and the end
-    of its list end an item, an item of a list inside an item is one of its own."""
+def _item_fields(page: Iterable[Token]) -> tuple[list[tuple], bool]:
+    """``ITEM_FIELDS`` of every ``<li>`` among these tokens, and whether none of them is left open."""
     items: list[_Element] = []
     inside: list[_Element] = []  # items that are open
-    for kind, name, data in tokens(html):
+    for kind, name, data in page:
         if kind == "text":
             for item in inside:
                 item.text(shown(data))
@@ -106,13 +107,89 @@ def listing_rows(html: str) -> list[tuple]:
                 else:
                     inside.pop().done()
     out = []
-    for pos, item in enumerate(items):
+    for item in items:
         f = item.done()
         change = "profit" if "profit" in f else "loss" if "loss" in f else ""
-        out.append((pos, f.get("href", ""), f.get("header_text", ""), f.get("title_text", ""), change, f.get(change, ""), f.get("price_text", "")))
+        out.append((f.get("href", ""), f.get("header_text", ""), f.get("title_text", ""), change, f.get(change, ""), f.get("price_text", "")))
+    return out, not inside
+
+
+# Items of one page are mostly built alike: which text goes to which field depends on an item's tags only. The reader above
+# runs once for each sequence of tags, on the places of the texts instead of the texts, and leaves a plan: for each field
+# its places, or the value itself. Pages with any tag but the plain ones are read token by token.
+_CUT = re.compile(r"(<[^>]*>)")
+_PLAIN = re.compile(r"""<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)(?P<attrs>(?:\s+[A-Za-z-]+="[^"<>\0]*")*\s*)>""")
+_LINK = re.compile(r"""<a href="[^"<>\0]*">""")  # the only tag with a place of its own, that of its target
+_PLACE = re.compile(r"\0(\d+)\0")
+_LINK_AT = len('<a href="')
+MOST_TAGS, MOST_KNOWN = 64, 10_000  # of one plan; kept tags and plans
+_known: set[str] = set()  # plain tags other than links
+_plans: dict[tuple, tuple[list[tuple], bool]] = {}
+
+
+def _plan(tags: tuple[str, ...]) -> tuple[list[tuple], bool]:
+    """Fields of the items between these tags (a link stands as ``<a>``), and whether none is left open."""
+    page = [Token("text", "", "\x000\x00")]
+    for i, tag in enumerate(tags):
+        link = tag == "<a>"
+        m = _PLAIN.fullmatch(tag)
+        attrs = f' href="\0{2 * i + 1}\0"' if link else m["attrs"]
+        page.append(Token("close" if m["close"] else "open", m["name"].lower(), attrs))
+        page.append(Token("text", "", f"\0{2 * i + 2}\0"))
+    rows, ended = _item_fields(page)
+    return [tuple([int(p) for p in _PLACE.findall(v)] if "\0" in v else v for v in r) for r in rows], ended
+
+
+def _planned_rows(html: str) -> list[tuple] | None:
+    """The rows of a page of plain tags by the plans of its items; None: to be read token by token."""
+    parts = _CUT.split(html)  # texts at even places, tags at odd ones
+    if "<" in parts[-1]:
+        return None
+    out: list[tuple] = []
+    first, tags, last = 0, [], len(parts) - 2
+    for at in range(1, len(parts), 2):
+        tag = parts[at]
+        if tag not in _known:
+            if _LINK.fullmatch(tag):
+                tag = "<a>"
+            else:
+                m = _PLAIN.fullmatch(tag)
+                if not m or tag == "<a>" or m["name"].lower() in RAW_TEXT or m["name"].lower() in ESCAPABLE_RAW_TEXT:
+                    return None
+                if len(_known) >= MOST_KNOWN:
+                    _known.clear()
+                _known.add(tag)
+        tags.append(tag)
+        if tag == "</li>" or at == last:  # no item goes over the end of an item, so each has its plan
+            if len(tags) > MOST_TAGS:
+                return None
+            key = tuple(tags)
+            plan = _plans.get(key)
+            if plan is None:
+                if len(_plans) >= MOST_KNOWN:
+                    _plans.clear()
+                plan = _plans[key] = _plan(key)
+            rows, ended = plan
+            if not ended and at != last:
+                return None
+            for row in rows:
+                values = [v if isinstance(v, str) else "".join([_value(parts[first + p], p) for p in v]) for v in row]
+                out.append((len(out), *values))
+            first, tags = at + 1, []
     return out
 
 
+def _value(part: str, place: int) -> str:
+    return unescape(part[_LINK_AT:-2]) if place % 2 else shown(part)
+
+
+def listing_rows(html: str) -> list[tuple]:
+    """(pos, *ITEM_FIELDS) of every ``<li>`` of a listing page; a part that is missing is empty. The next item and the end
+    of its list end an item, an item of a list inside an item is one of its own."""
+    rows = _planned_rows(html)
+    return [(pos, *r) for pos, r in enumerate(_item_fields(tokens(html))[0])] if rows is None else rows
+
+
 def listing_page_scan(pages: DataFrame, key_cols=("company_id", "page_no")) -> DataFrame:
     """One row per ``<li>`` with its ordinal and raw field texts."""
     return scan_pages(pages, list(key_cols), listing_rows, {"pos": "int", **dict.fromkeys(ITEM_FIELDS, "string")})
@@ -120,7 +197,7 @@ def listing_page_scan(pages: DataFrame, key_cols=("company_id", "page_no")) -> D
 
 def newest_items(items: DataFrame, key: str, limit: int) -> DataFrame:
     """The newest ``limit`` items of each key, with their order ``ord``: only the header's date is read before the cut."""
-    date = F.try_to_date(_at(X.split_header(F.col("header_text")), 1), "dd-MM-yyyy")
+    date = F.try_to_date(X.header_date(F.col("header_text")), "dd-MM-yyyy")
     dated = items.withColumn("ord", F.struct(date.alias("d"), "page_no", "pos"))
     w = Window.partitionBy(key).orderBy(F.desc("ord"))
     return dated.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
@@ -158,9 +235,9 @@ def normalise_listing(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def listing_frame(items: DataFrame) -> DataFrame:
     """The seven-column listing frame exactly as the reference builds it, including its swapped
     rate labels (change % under ``exchange rate``, price under ``rate change``; SURVEY X1)."""
-    h = X.split_header(F.col("header_text"))
+    h = F.col("__header")  # a column of its own, so that a header is split once, not once for each use
     label = _at(h, 2)
-    return items.select(
+    return items.withColumn("__header", X.split_header(F.col("header_text"))).select(
         *[c for c in items.columns if c in ("company_id", "company", "page_no", "pos", "id", "ord")],
         _at(h, 1).alias("date"),
         X.title_or_untitled(F.col("title_text"), label).alias("title"),

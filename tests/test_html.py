@@ -7,6 +7,8 @@ import re
 from html.parser import HTMLParser
 
 from filingflow.functions import html as H
+from filingflow.functions.html import tokens
+from filingflow.sources import listing as L
 
 
 class Plain(HTMLParser):
@@ -68,3 +70,30 @@ def test_states():
 def test_time_is_linear():
     for html in ("<" * 400_000, "<a " * 200_000, "<a b='" * 100_000, "<!--" * 200_000, "<a " + "x=y " * 200_000 + ">", "</" * 300_000, "<script>" * 100_000, "&" * 400_000):
         assert len(H.page_text(html)) <= len(html)
+
+
+ITEM = (
+    '<li class="item"><a href="k?id={0}&amp;x">open</a><span class="date">0{0}-03-2021 15:41:53 | Roczny | EBI | 7/2024</span><p>  A&amp;B {0} </p>'
+    '<span class="{1} margin-left-30 pull-right">Zmiana 0,3{0}%</span><span class="summary margin-left-30 pull-right">Kurs{0},00</span></li>'
+)
+
+
+def test_items_built_alike_are_not_read_token_by_token(monkeypatch):
+    pages = [ITEM.format(1, "profit") + ITEM.format(2, "loss"), "\n<ul>" + ITEM.format(3, "profit") + "</ul> 1 < 2"]
+    want = [[(i, *r) for i, r in enumerate(L._item_fields(tokens(p))[0])] for p in pages]
+    assert [L.listing_rows(p) for p in pages] == want  # the second has a sign that is no tag
+    assert want[0][1] == (1, "k?id=2&x", "02-03-2021 15:41:53 | Roczny | EBI | 7/2024", "  A&B 2 ", "loss", "Zmiana 0,32%", "Kurs2,00")
+
+    def never(html):
+        raise AssertionError("read token by token")
+
+    monkeypatch.setattr(L, "tokens", never)
+    assert L.listing_rows(ITEM.format(4, "loss") + ITEM.format(5, "profit"))[1][1] == "k?id=5&x"
+    monkeypatch.undo()
+    odd = [
+        "<li><a href='q'>x<p>t<li><ul><li>in</li></ul><p>u</p></li>", "<li><p>a</li><!-- <li> --><li><p>b", "<script><li><p>x</p></li></script>",
+        '<li><a href="a>b">x</a><p>y</p></li>', "<li><title><p>z</p></title></li>", "<a><li><p>t</p></li>", "<li><p>t</p></li><", "\0001\0<li><p>\0002\0</p></li>",
+        "<LI><P>t</P></LI><li>" + "<b></b>" * 70 + "<p>u</p></li>", "</li></ul><li><ul></li><li><p>v</p></li></ul></li>", "",
+    ]
+    for page in odd:
+        assert L.listing_rows(page) == [(i, *r) for i, r in enumerate(L._item_fields(tokens(page))[0])], page

@@ -133,3 +133,10 @@ def test_date_input_keeps_the_text_own_day(spark):
     df = spark.createDataFrame([(k,) for k in given], "c string")
     got = {r["c"]: r["v"] for r in df.select("c", X.format_date_input(F.col("c")).alias("v")).collect()}
     assert got == given
+
+
+def test_date_of_a_header_by_itself(spark):
+    heads = ["02-03-2021 08:00 | Roczny | EBI | 7/2021", " 02-03-2021 | Roczny | 7", "a | b", "a", "", None, " | | |", "1 2 | b | c | d | e", "x||y"]
+    df = spark.createDataFrame([(h,) for h in heads], "h string").select(X.header_date(F.col("h")), F.try_element_at(X.split_header(F.col("h")), F.lit(1)))
+    assert all(a == b for a, b in df.collect())
+    assert [r[0] for r in df.collect()][:4] == ["02-03-2021", "02-03-2021", None, None]
