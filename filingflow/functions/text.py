@@ -30,7 +30,7 @@ def ustrip(c: Column) -> Column:
 
 def first_token(c: Column) -> Column:
     """Python ``s.split()[0]`` (after strip)."""
-    return _at(F.split(ustrip(c), _WS_RUN), 1)
+    return F.regexp_extract(ustrip(c), r"(?U)^\S+", 0)  # its pattern is compiled once, that of a split for each row
 
 
 # ----------------------------------------------------------------------------- N1 header split

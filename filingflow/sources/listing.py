@@ -137,7 +137,7 @@ def _plan(tags: tuple[str, ...]) -> tuple[list[tuple], bool]:
         page.append(Token("close" if m["close"] else "open", m["name"].lower(), attrs))
         page.append(Token("text", "", f"\0{2 * i + 2}\0"))
     rows, ended = _item_fields(page)
-    return [tuple([int(p) for p in _PLACE.findall(v)] if "\0" in v else v for v in r) for r in rows], ended
+    return [tuple(tuple(int(p) for p in _PLACE.findall(v)) if "\0" in v else v for v in r) for r in rows], ended
 
 
 def _planned_rows(html: str) -> list[tuple] | None:
@@ -173,14 +173,20 @@ def _planned_rows(html: str) -> list[tuple] | None:
             if not ended and at != last:
                 return None
             for row in rows:
-                values = [v if isinstance(v, str) else "".join([_value(parts[first + p], p) for p in v]) for v in row]
-                out.append((len(out), *values))
+                values: list = [len(out)]
+                for v in row:
+                    if type(v) is tuple:
+                        v = _value(parts[first + v[0]], v[0]) if len(v) == 1 else "".join([_value(parts[first + p], p) for p in v])
+                    values.append(v)
+                out.append(tuple(values))
             first, tags = at + 1, []
     return out
 
 
 def _value(part: str, place: int) -> str:
-    return unescape(part[_LINK_AT:-2]) if place % 2 else shown(part)
+    if place % 2:
+        return unescape(part[_LINK_AT:-2])
+    return shown(part) if "&" in part or "\xa0" in part else part
 
 
 def listing_rows(html: str) -> list[tuple]:
