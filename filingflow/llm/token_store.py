@@ -15,20 +15,20 @@ asked for.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import range_marks, ranges_of, shuffle_partitions, written
+from filingflow.llm.common import range_marks, ranges_of, shuffle_partitions, text_buffers, written
 
 SHARD_IDS = 1 << 18
+BATCH_BYTES = 1 << 22  # texts that are cut into pieces together
 MAGIC = b"RPS1"
 END = 0  # id after each document
 FIRST_RULE = 1 << 17  # symbols from here on are nonterminals; the vocabularies are smaller
@@ -47,73 +47,144 @@ class _Places(dict):
         return at
 
 
+# Kinds of bytes. OTHER: a character beyond ASCII that is neither white space nor surely a letter; DOUBT: white space beyond
+# ASCII, general punctuation and control characters, which are surely neither letters nor digits.
+LETTER, DIGIT, MARK, APOSTROPHE, SPACE, LINE, OTHER, DOUBT = range(8)
+
+
+def _kinds() -> bytes:
+    kind = [DOUBT] * 0x20 + [MARK] * 0x5F + [DOUBT] + [OTHER] * 0x80
+    for chars, k in (("\t\n\r", LINE), (" ", SPACE), ("'", APOSTROPHE), ("0123456789", DIGIT)):
+        for c in chars:
+            kind[ord(c)] = k
+    for c in range(0x80):
+        if chr(c).isalpha():
+            kind[c] = LETTER
+    return bytes(kind)
+
+
+def _cuts() -> bytes:
+    """For a pair of kinds (8 * first + second): 1 if a piece ends between them, 2 if one ends before the first."""
+    seen = (LETTER, DIGIT, MARK, APOSTROPHE, OTHER)  # surely not white space
+    cut = [0] * 256
+    for a in range(8):
+        for b in range(8):
+            between = (a in seen and b in (SPACE, LINE)) or (a == LINE and b in seen)
+            between |= a == LETTER and b in (DIGIT, MARK, APOSTROPHE, DOUBT)
+            between |= (a in (DIGIT, MARK) and b == LETTER) or (a == DIGIT and b in (MARK, APOSTROPHE, DOUBT)) or (a in (MARK, APOSTROPHE) and b == DIGIT)
+            cut[8 * a + b] = between + 2 * (a in (SPACE, LINE) and b in seen)
+    return bytes(cut)
+
+
 class Encoder:
     """The tokenizer behind a cache of pieces.
 
-    The tokenizer's byte-level pattern always cuts between letters and what is not a letter, before a
-    single space and around a single line end, but for an apostrophe before letters, which may take
-    some of them. A text of plain letters whose white space is single spaces and line ends inside is
-    therefore its pieces by ``PIECE``, encoded one by one. All other texts are encoded whole.
+    The tokenizer's byte-level pattern takes a space, if there is one, with the letters, digits or other
+    marks that follow it, and else white space up to the last of a run. So it always ends a token before
+    white space that follows something else, before the last of a run of white space, behind a tab or a
+    line end before something else, and between letters, digits and other marks, but for an apostrophe
+    before letters, which may take some of them. Texts are cut there, all of a batch at once; each
+    distinct piece is encoded by the tokenizer once and looked up after that. A text with one of the
+    tokenizer's special tokens is one piece.
     """
 
     MOST = 1_200_000  # cached pieces; the cache starts anew beyond that
-    LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-    PIECE = re.compile(rf" ?[^{LETTER}\s]*'[{LETTER}]+|\n| ?[{LETTER}]+| ?[^{LETTER}\s]+")
-    ASCII = bytes([0x0A, *range(0x20, 0x7F)])
-    NOT_LETTERS = re.compile(rf"[^{LETTER}]")
+    MOST_BYTES = 32 * MOST  # and beyond so many bytes of pieces
+    TOGETHER = 500  # pieces given to the tokenizer in one call, as words of a text that is cut already
+    KINDS, CUTS = _kinds(), _cuts()
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = list(added.values())
+        widths = {i: len(word) for word, i in self.tokenizer.get_vocab().items()}  # the vocabulary has one character a byte
+        widths |= {i: len(word) for i, word in added.items()}
+        self.width = np.zeros(max(widths) + 1, np.int64)  # bytes that each id stands for
+        self.width[list(widths)] = list(widths.values())
         self._clear()
 
     def _clear(self) -> None:
-        self.places = _Places({"": 0})  # the end id
-        self.flat, self.ends = np.array([END], np.int32), np.array([0, 1])
-
-    def _plain(self, t: str) -> bool:
-        """Only these letters, printable ASCII and line ends; no white space in a row or at an end; no special token."""
-        if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in ("  ", " \n", "\n ", "\n\n", *self.special)):
-            return False
-        rest = t.encode("utf-8", "surrogatepass").translate(None, self.ASCII)  # deleted at the speed of a copy
-        return not rest or not self.NOT_LETTERS.search(rest.decode("utf-8", "replace"))
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.places, self.bytes = _Places({"": 0}), 0  # the end id
+        self.flat, self.ends = np.array([END], np.int32), np.array([0, 1], np.int32)
+
+    def _starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where the pieces start; the texts between ``off`` have their own."""
+        n, raw = len(data), data.tobytes()
+        kind = np.empty(n + 2, np.uint8)
+        kind[:n] = np.frombuffer(raw.translate(self.KINDS), np.uint8)
+        far = np.r_[data, np.zeros(2, np.uint8)]
+
+        def put(at: np.ndarray, width: int, k: int) -> None:
+            for i in range(width):
+                kind[at + i] = k
+
+        at = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))  # U+00C0 to U+024F
+        put(at[(data[at] != 0xC3) | ((far[at + 1] != 0x97) & (far[at + 1] != 0xB7))], 2, LETTER)
+        at = np.flatnonzero(data == 0xC2)
+        put(at[(far[at + 1] == 0x85) | (far[at + 1] == 0xA0)], 2, DOUBT)
+        for lead in (0xE1, 0xE2, 0xE3):
+            at = np.flatnonzero(data == lead)
+            second, third = far[at + 1], far[at + 2]
+            if lead == 0xE1:
+                white = ((second == 0x9A) & (third == 0x80)) | ((second == 0xA0) & (third == 0x8E))
+            elif lead == 0xE2:  # U+2000 to U+206F
+                white = (second == 0x80) | ((second == 0x81) & (third <= 0xAF))
+            else:
+                white = (second == 0x80) & (third == 0x80)
+            put(at[white], 3, DOUBT)
+        pairs = ((kind[: n - 1] << 3) | kind[1:n]).tobytes()
+        flags = np.zeros(n + 1, np.uint8)  # of the pair that ends here
+        flags[1:n] = np.frombuffer(pairs.translate(self.CUTS), np.uint8)
+        flags[off] = 0
+        cut = (flags[:n] & 1) | (flags[1:] >> 1)
+        for word in self.special:
+            at = raw.find(word)
+            while at >= 0:
+                i = int(np.searchsorted(off, at, "right"))
+                cut[off[i - 1] : off[i]] = 0
+                at = raw.find(word, int(off[i]))
+        cut[off[:-1][off[:-1] < n]] = 1
+        return np.flatnonzero(cut)
+
+    def _learn(self, new: list[str], sizes: np.ndarray) -> None:
+        """Encodes pieces of these bytes that are seen first and appends them to the cache. Ids stand for bytes, so the
+        bytes they have in all tell where a piece's ids end."""
+        groups = [new[i : i + self.TOGETHER] for i in range(0, len(new), self.TOGETHER)]
+        got = self.tokenizer.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+        ids, want = np.concatenate([np.array(g.ids, np.int32) for g in got]), np.cumsum(sizes)
+        upto = np.cumsum(self.width[ids])
+        ends = np.searchsorted(upto, want) + 1
+        if len(ids) != ends[-1] or not np.array_equal(upto[ends - 1], want):  # ids that stand for more or less than their bytes
+            got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            ids, ends = np.concatenate([np.array(g.ids, np.int32) for g in got]), np.cumsum([len(g.ids) for g in got])
+        self.ends = np.concatenate([self.ends, (len(self.flat) + ends).astype(np.int32)])
+        self.flat = np.concatenate([self.flat, ids])
+        self.bytes += int(want[-1])
+
+    def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``END`` after each, and the number of ids of each."""
-        if len(self.places) > self.MOST:
+        if len(self.places) > self.MOST or self.bytes > self.MOST_BYTES:
             self._clear()
-        before, keys, size, whole = len(self.places), [], np.zeros(len(texts), np.int64), []
-        for i, t in enumerate(texts):
-            pieces = []
-            if self._plain(t):
-                pieces = self.PIECE.findall(t)
-            else:
-                whole.append(i)
-            keys += pieces
-            keys.append("")
-            size[i] = len(pieces) + 1
-        at = np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
+        data, off = text_buffers(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        if not len(data):
+            return np.full(len(off) - 1, END, np.int32), np.ones(len(off) - 1, np.int64)
+        starts = self._starts(data, off)
+        cuts = np.r_[starts, len(data)].astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        before, keys = len(self.places), pieces.dictionary
+        places = np.fromiter(map(self.places.__getitem__, keys.to_numpy(zero_copy_only=False)), np.int32, len(keys))
         if len(self.places) > before:
-            ids = self._encode(list(islice(self.places, before, None)))
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
+            self._learn(list(islice(self.places, before, None)), np.diff(text_buffers(keys)[1])[places >= before])
+        closed = np.searchsorted(starts, off[1:])  # pieces before each text's end
+        at = np.insert(places[pieces.indices.to_numpy()], closed, 0)
         first = self.ends[at]
         n = self.ends[at + 1] - first
-        out = self.flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        counts = np.add.reduceat(n, np.cumsum(size) - size) if len(texts) else size
-        if whole:
-            parts = np.split(out, np.cumsum(counts)[:-1])
-            for i, got in zip(whole, self._encode([texts[i] for i in whole])):
-                parts[i] = np.array([*got, END], np.int32)
-                counts[i] = len(got) + 1
-            out = np.concatenate(parts)
-        return out, counts
+        stop = np.cumsum(n)
+        out = self.flat[np.repeat(first - (stop - n), n) + np.arange(int(stop[-1]))]
+        return out, np.diff(stop[closed + np.arange(len(closed))], prepend=0)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -129,36 +200,45 @@ def encoder(path: str) -> Encoder:
 # ---------------------------------------------------------------------------------------- Re-Pair
 
 
-def _frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(seq: np.ndarray, least: int, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all pairs that occur ``least`` times or more, the places where one stands, and which one it is. A hashed
-    count leaves few places to be sorted; those are counted exactly."""
-    code = (seq[:-1].astype(np.int64) << 32) | seq[1:]
-    slot = ((code ^ (code >> 32) * 0x9E3779B1) * 0x85EBCA6B >> 15) & (SLOTS - 1)
+    count leaves few places to be counted exactly. With ``places`` (ascending) only the pairs there are counted."""
+    first, second = (seq[:-1], seq[1:]) if places is None else (seq[places], seq[places + 1])
+    code = (first.astype(np.int64) << 32) | second
+    slot = ((code ^ first.astype(np.int64) * 0x9E3779B1) * 0x85EBCA6B >> 15) & (SLOTS - 1)
     many = np.bincount(slot, minlength=SLOTS) >= least
-    maybe = np.flatnonzero(many[slot] & (seq[:-1] != END))  # a rule never runs over a document's end
-    pairs, which, times = np.unique(code[maybe], return_inverse=True, return_counts=True)
-    good = times >= least
-    number = np.where(good, np.cumsum(good) - 1, -1)
+    maybe = np.flatnonzero(many[slot] & (first != END))  # a rule never runs over a document's end
+    found = pa.array(code[maybe]).dictionary_encode()
+    pairs, which = found.dictionary.to_numpy(), found.indices.to_numpy()
+    good = np.bincount(which, minlength=len(pairs)) >= least
+    order = np.flatnonzero(good)[np.argsort(pairs[good])]
+    number = np.full(len(pairs), -1, np.int32)
+    number[order] = np.arange(len(order))
     which = number[which]
-    return pairs[good], maybe[which >= 0], which[which >= 0]
+    good = np.flatnonzero(which >= 0)
+    here = maybe[good]
+    return pairs[order], here if places is None else places[here], which[good]
 
 
 def _apart(here: np.ndarray) -> np.ndarray:
-    """Which of these ascending places are taken, so that no two are neighbours: every other one of a run."""
-    run = np.r_[True, np.diff(here) != 1]
-    place = np.arange(len(here)) - np.maximum.accumulate(np.where(run, np.arange(len(here)), 0))
-    return place % 2 == 0
+    """Numbers of those of these ascending places that are taken, so that no two are neighbours: every other one of a run."""
+    first = np.flatnonzero(np.diff(here, prepend=-2) != 1)
+    place = np.arange(len(here)) - np.repeat(first, np.diff(first, append=len(here)))
+    return np.flatnonzero(place & 1 == 0)
 
 
 def compress(ids: np.ndarray, least: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, rules (n, 2), expansion lengths), until no pair occurs ``least`` times. Each round replaces all
-    frequent pairs from left to right where they don't overlap; rules may use the nonterminals of earlier rounds."""
-    seq, rules, lengths = ids.astype(np.int64), [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
-    worth = max(2, least // 2)
+    frequent pairs from left to right where they don't overlap; rules may use the nonterminals of earlier rounds. No
+    replacement makes a pair of old symbols more frequent, so a round counts those that were frequent and the new ones."""
+    seq, rules, lengths = ids.astype(np.int32), [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
+    worth, places = max(2, least // 2), None
     while len(seq) > 1:
-        pairs, here, which = _frequent(seq, least)
+        pairs, here, which = _frequent(seq, least, places)
         if not len(pairs):
             break
+        again = np.zeros(len(seq) + 1, bool)  # places of the pairs to be counted next
+        again[here] = True
         taken = _apart(here)
         good = np.bincount(which[taken], minlength=len(pairs)) >= worth
         if not good.any():  # pairs took each other's places: the most frequent one alone has enough
@@ -169,32 +249,47 @@ def compress(ids: np.ndarray, least: int = MIN_USES) -> tuple[np.ndarray, np.nda
             if not good.any():
                 break
         here, which = here[taken], which[taken]
-        here, which = here[good[which]], (np.cumsum(good) - 1)[which[good[which]]]
+        kept = np.flatnonzero(good[which])
+        here, which = here[kept], (np.cumsum(good) - 1)[which[kept]]
         new = pairs[good]
         pair = np.stack([new >> 32, new & 0xFFFFFFFF], axis=1)
         size = np.where(pair >= FIRST_RULE, lengths[np.clip(pair - FIRST_RULE, 0, max(0, len(lengths) - 1))] if len(lengths) else 1, 1)
         seq[here] = FIRST_RULE + len(lengths) + which
+        again[here] = again[here - 1] = True  # if the symbol before goes, the one before it is new too; -1 is the spare place
         keep = np.ones(len(seq), bool)
         keep[here + 1] = False
-        seq = seq[keep]
+        keep = np.flatnonzero(keep)
+        seq, places = seq[keep], np.flatnonzero(again[keep])
+        places = places[places < len(seq) - 1]
         rules.append(pair)
         lengths = np.r_[lengths, size.sum(axis=1)]
-    return seq, np.concatenate(rules), lengths
+    return seq.astype(np.int64), np.concatenate(rules), lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids that the symbols stand for."""
-    seq = symbols
-    while True:
-        big = seq >= FIRST_RULE
-        if not big.any():
-            return seq
-        n = 1 + big
-        out = np.repeat(seq, n)
-        first = (np.cumsum(n) - n)[big]
-        pair = rules[seq[big] - FIRST_RULE]
-        out[first], out[first + 1] = pair[:, 0], pair[:, 1]
-        seq = out
+    """The ids that the symbols stand for. Each rule among them is expanded once and looked up."""
+    big = np.flatnonzero(symbols >= FIRST_RULE)
+    if not len(big):
+        return symbols
+    named = symbols[big] - FIRST_RULE
+    used = np.zeros(len(rules), bool)
+    used[named] = True
+    seq = np.flatnonzero(used) + FIRST_RULE
+    owner = np.arange(len(seq))
+    while (more := seq >= FIRST_RULE).any():
+        n = 1 + more
+        first = (np.cumsum(n) - n)[more]
+        pair = rules[seq[more] - FIRST_RULE]
+        seq, owner = np.repeat(seq, n), np.repeat(owner, n)
+        seq[first], seq[first + 1] = pair[:, 0], pair[:, 1]
+    size = np.bincount(owner)
+    which = (np.cumsum(used) - 1)[named]
+    long = size[which]
+    n = np.ones(len(symbols), np.int64)
+    n[big] = long
+    out = np.repeat(symbols, n)
+    out[np.flatnonzero(out >= FIRST_RULE)] = seq[np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))]
+    return out
 
 
 def pack(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -276,10 +371,13 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             )
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
+            sizes, at = text_buffers(b.column(2))[1], 0
+            while at < b.num_rows:
+                here_on = max(1, int(np.searchsorted(sizes, sizes[at] + BATCH_BYTES, "right")) - 1 - at)
+                some = b.slice(at, here_on)
+                at += here_on
                 ranges, doc_ids = some.column(0).to_pylist(), some.column(1).to_pylist()
-                ids, counts = encode(some.column(2).to_pylist())
+                ids, counts = encode(some.column(2))
                 cuts = np.r_[0, np.cumsum(counts)]
                 for i, (r, d) in enumerate(zip(ranges, doc_ids)):
                     if held and (r != here or filled + counts[i] > shard_ids):

@@ -190,6 +190,52 @@ def test_encoder_equals_the_tokenizer():
         assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
 
 
+def test_encoder_cuts_only_where_the_tokenizer_does():
+    whole, rng = Tokenizer.from_file(BPE), np.random.default_rng(11)
+    odd = ["\u0085", "\u00a0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2019", "\u2028", "\u202f", "\u205f", "\u2071", "\u3000", "\ufeff", "\x00", "\x0b", "\x0c", "\x1c", "\x7f"]
+    signs = [*"aBz09.-'\" \n\t\rsté×÷łƻɏɐµª²漢😀жא٣ǅʰ", *odd, "'s", "'ll", "  ", "\n\n", " a", " don't", "<|endoftext|>"]
+    encode = token_store.Encoder(BPE)
+    for _ in range(40):
+        texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(100)]
+        ids, counts = encode(texts)
+        want = [[*e.ids, 0] for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+        assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_pieces_reach_the_tokenizer_once():
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.calls, self.pieces = inner, 0, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.calls += 1
+            self.pieces += sum(len(t) if isinstance(t, list) else 1 for t in texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    encode = token_store.Encoder(BPE)
+    encode.tokenizer = count = Counting(encode.tokenizer)
+    texts = ["two  blanks\tand tabs\r\n", " zażółć gęślą\n\njaźń ", "“quoted” words — it's 1234, 漢字 and 😀 blanks", "a<|endoftext|>b"]
+    first = encode(texts)
+    assert count.calls == 1
+    again = encode([t for t in texts for _ in range(3)])
+    assert count.calls == 1 and count.pieces == len(encode.places) - 1
+    assert np.array_equal(again[1], np.repeat(first[1], 3))
+    encode.MOST_BYTES = 10  # the cache starts anew
+    assert [x.tolist() for x in encode(texts)] == [x.tolist() for x in first] and count.calls == 2
+    encode.width = encode.width + 1  # ids that don't tell where pieces end: one by one
+    assert [x.tolist() for x in encode(texts)] == [x.tolist() for x in first] and count.calls == 4
+
+
+def test_later_rounds_count_changed_pairs_only(monkeypatch):
+    counted, real = [], token_store._frequent
+    monkeypatch.setattr(token_store, "_frequent", lambda seq, least, places=None: counted.append(len(seq) - 1 if places is None else len(places)) or real(seq, least, places))
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([np.r_[rng.integers(1, 100_000, 500), np.arange(7, 7 + k % 9)] for k in range(90)]).astype(np.int32)
+    symbols, rules, _ = token_store.compress(ids)
+    assert len(counted) > 3 and sum(counted[1:]) < len(ids) // 10
+    assert np.array_equal(token_store.expand(symbols, rules), ids)
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(7)
     for ids in (rng.integers(0, 5, 3000), np.zeros(500, int), np.full(400, 7), np.array([3]), np.zeros(0, int), np.tile([4, 5, 6, 7], 300)):
